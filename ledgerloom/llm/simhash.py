@@ -116,16 +116,22 @@ def hex_fingerprint(fp: Column) -> Column:
 # ------------------------------------------------------------------ the pivot index
 
 
-def pivot_keys(fp: Column, max_bits: int, groups: int) -> Column:
-    """Array of bucket keys: for each choice of ``groups - max_bits`` groups, the distance differences of their segments."""
+def with_pivot_keys(nodes: DataFrame, max_bits: int, groups: int) -> DataFrame:
+    """``nodes`` (with ``fp``) once for each bucket ``key``: a choice of ``groups - max_bits`` groups and the distance differences of their segments."""
     if groups <= max_bits:
         raise ValueError("groups must exceed max_bits")
     refs = [F.lit(_signed(int(x))) for x in _references()[0]]
-    base = F.bit_count(fp.bitwiseXOR(refs[0]))
-    digits = [F.bit_count(fp.bitwiseXOR(r)) - base for r in refs[1:]]
-    dealt = np.array_split(np.arange(len(digits)), groups)
-    code = [sum(((digits[j] + _SEGMENT_BITS) * F.lit((2 * _SEGMENT_BITS + 1) ** i) for i, j in enumerate(g.tolist())), F.lit(0).cast("long")) for g in dealt]
-    return F.array(*[F.xxhash64(F.lit(k), *[code[g] for g in chosen]) for k, chosen in enumerate(itertools.combinations(range(groups), groups - max_bits))])
+    dealt = np.array_split(np.arange(len(refs) - 1), groups)
+
+    def code(g: np.ndarray) -> Column:
+        return sum(((F.bit_count(F.col("fp").bitwiseXOR(refs[j + 1])) - F.col("_base") + _SEGMENT_BITS) * F.lit((2 * _SEGMENT_BITS + 1) ** i) for i, j in enumerate(g.tolist())), F.lit(0).cast("long"))
+
+    # a step of its own for each level, so that distances and codes are computed once
+    base = nodes.withColumn("_base", F.bit_count(F.col("fp").bitwiseXOR(refs[0])))
+    coded = base.withColumn("_codes", F.array(*[code(g) for g in dealt]))
+    chosen = F.array(*[F.array(F.lit(k), *map(F.lit, c)) for k, c in enumerate(itertools.combinations(range(groups), groups - max_bits))])
+    keys = F.transform(chosen, lambda c: F.xxhash64(F.get(c, 0), *[F.get("_codes", F.get(c, i + 1)) for i in range(groups - max_bits)]))
+    return coded.select(*nodes.columns, F.explode(keys).alias("key"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,9 +227,10 @@ def bucket_links(nodes: DataFrame, max_bits: int, groups: int, wide_bits: int |
     """
     keep = ["fp"] + (["node", "wide"] if wide_bits is not None else [])
     own = F.col("fp") if wide_bits is None else F.col("node")
-    keyed = nodes.select(*keep, F.explode(pivot_keys(F.col("fp"), max_bits, groups)).alias("key"))
-    # salted by a hash of the row: the count of a hot key is shared by several tasks
-    hot = cut(nodes.select(F.explode(pivot_keys(F.col("fp"), max_bits, groups)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block))
+    # dealt out anew: the nodes are few bytes and would otherwise make few, slow tasks
+    spread = cut(nodes.select(*keep).repartition(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)))
+    keyed = with_pivot_keys(spread, max_bits, groups)
+    hot = cut(with_pivot_keys(spread.select("fp"), max_bits, groups).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block))
     if hot.isEmpty():
         ready = keyed.select(*keep, "key", F.lit(0).alias("block"), F.lit(0).alias("side"))
     else:

@@ -68,9 +68,10 @@ def test_pivot_keys_meet_for_every_flip(spark, groups):
             x = (b & (2**64 - 1)) ^ sum(1 << int(k) for k in bits)
             rows.append((i, b, x - 2**64 if x >= 2**63 else x))
     df = spark.createDataFrame(rows, "i int, a long, b long")
-    from pyspark.sql import functions as F
-
-    assert df.where(~F.arrays_overlap(sh.pivot_keys(F.col("a"), 3, groups), sh.pivot_keys(F.col("b"), 3, groups))).count() == 0
+    a = sh.with_pivot_keys(df.selectExpr("i", "a", "b", "a AS fp"), 3, groups)
+    b = sh.with_pivot_keys(df.selectExpr("i AS i2", "a AS a2", "b AS b2", "b AS fp"), 3, groups).drop("fp")
+    met = a.join(b, (a["key"] == b["key"]) & (a["i"] == b["i2"]) & (a["b"] == b["b2"]))
+    assert met.select("i", "b").distinct().count() == df.select("i", "b").distinct().count()
 
 
 def test_drop_near_duplicates(spark):
