@@ -66,12 +66,19 @@ def route(code: int, bands: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.n
     return row, _mix(np.full(len(row), code), path)
 
 
-def _fitter(depths: dict[int, int], spill: float):
-    """A node's model from its sample: the depth, then the bands."""
+def _fitter(depths: dict[int, int], spill: float, least: float | None):
+    """A node's model from its sample: the depth, then the bands.
+
+    With ``least``, none for a node in whose sample over a tenth of the pairs link: splits
+    would only part links there, and the node is left to be cut into parts instead.
+    """
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         c = int(d["leaf"].iloc[0])
-        bands = fit_node(c, _unit(d["embedding"]), depths[c], spill)
+        x = _unit(d["embedding"])
+        if least is not None and len(x) and (x[:1024] @ x[:1024].T >= least).mean() > 0.1:
+            return pd.DataFrame({"leaf": np.zeros(0, np.int64), "model": np.zeros(0, object)})
+        bands = fit_node(c, x, depths[c], spill)
         return pd.DataFrame({"leaf": [c], "model": [np.concatenate(([float(depths[c])], bands.ravel())).tobytes()]})
 
     return run
@@ -144,7 +151,7 @@ def _compare(least: float):
     return run
 
 
-def leaves(nodes: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, spill: float = SPILL) -> tuple[DataFrame, DataFrame]:
+def leaves(nodes: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, spill: float = SPILL, least: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """``nodes`` (node, embedding, copies) with ``codes``, its leaves over all trees, and the sizes of the leaves."""
     dims = F.size("embedding")
     # trees of their own for each number of components
@@ -157,13 +164,15 @@ def leaves(nodes: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int =
         big = {c: n for c, n in big.items() if c not in before}
         if not big:
             break
-        rate = F.create_map(*[F.lit(v) for c, n in big.items() for v in (c, sample / n)])
-        drawn = rows.select("embedding", "node", F.explode(F.filter("codes", lambda c: F.element_at(rate, c).isNotNull())).alias("leaf"))
-        drawn = drawn.where(F.pmod(F.xxhash64(F.lit(5), "node", "leaf"), F.lit(1 << 20)) < F.element_at(rate, F.col("leaf")) * (1 << 20))
+        rates = nodes.sparkSession.createDataFrame([(c, sample / n) for c, n in big.items()], "leaf long, rate double")
+        drawn = rows.select("embedding", "node", F.explode("codes").alias("leaf")).join(F.broadcast(rates), "leaf")
+        drawn = drawn.where(F.pmod(F.xxhash64(F.lit(5), "node", "leaf"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("embedding", "leaf")
         sized = {c: max(1, min(DEPTH, int(np.ceil(np.log2(n / leaf))))) for c, n in big.items()}
-        models = {r["leaf"]: bytes(r["model"]) for r in drawn.groupBy("leaf").applyInPandas(_fitter(sized, spill), "leaf long, model binary").collect()}
+        models = {r["leaf"]: bytes(r["model"]) for r in drawn.groupBy("leaf").applyInPandas(_fitter(sized, spill, least if before else None), "leaf long, model binary").collect()}
+        before |= big
+        if not models:
+            break
         rows = cut(rows.mapInPandas(_router(models), rows.schema))
-        before |= {c: 1 for c in models}
     return rows, sizes
 
 
@@ -180,7 +189,7 @@ def embedding_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     base = vectors.select(F.col(id_col).alias("_id"), F.when(fine, F.transform(v, lambda x: x + F.lit(0).cast("float"))).alias("embedding"))
     base = base.withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     nodes = cut(base.where("node is not null").groupBy("node").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")))
-    rows, sizes = leaves(nodes.select("node", "embedding", "copies"), trees, leaf, block, sample)
+    rows, sizes = leaves(nodes.select("node", "embedding", "copies"), trees, leaf, block, sample, least=least)
     each = rows.select("node", "embedding", "copies", "codes", F.explode("codes").alias("leaf"))
     parts = sizes.where(F.col("n") > block).select("leaf", F.ceil(F.col("n") * 2 / block).alias("parts"))
     if parts.isEmpty():
