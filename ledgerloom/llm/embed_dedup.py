@@ -157,12 +157,12 @@ def leaves(nodes: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int =
     # trees of their own for each number of components
     rows = nodes.withColumn("codes", F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t, dims)))
     before: dict[int, int] = {}
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         sizes = cut(rows.select(F.explode("codes").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")))
         # the nodes to split in this round: at most 1,000, each model a few KB
         big = {r["leaf"]: r["n"] for r in sizes.where(F.col("n") > (leaf if not before else block)).orderBy(F.desc("n"), "leaf").limit(1000).collect()}
         big = {c: n for c, n in big.items() if c not in before}
-        if not big:
+        if not big or turn == ROUNDS:
             break
         rates = nodes.sparkSession.createDataFrame([(c, sample / n) for c, n in big.items()], "leaf long, rate double")
         drawn = rows.select("embedding", "node", F.explode("codes").alias("leaf")).join(F.broadcast(rates), "leaf")
