@@ -46,6 +46,11 @@ def _positions(n: Column, span: int) -> Column:
     return F.when(n >= span, F.sequence(F.lit(0), n - F.lit(span))).otherwise(F.array().cast("array<int>"))
 
 
+def _held(x: Column) -> Column:
+    """Evaluated once a row: a plain projection would be put into each place, and each lambda, that refers to it."""
+    return F.explode(F.array(x))
+
+
 def _spaced(mask: tuple[int, ...], k: int):
     """Span and hash of a spaced seed."""
     return mask[-1] + 1, lambda t, i: _seed(t, i, mask, k)
@@ -69,7 +74,7 @@ def needed(length: Column) -> Column:
 
 def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """Contained items: ``_key`` (hash of the text), ``item_id``, ``agreeing`` (most agreeing tokens of a stretch), ``stretch``."""
-    it = items.select("item_id", tokens(F.col("text")).alias("it")).where(F.size("it") > 0).withColumn("n", F.size("it"))
+    it = items.select("item_id", _held(tokens(F.col("text"))).alias("it")).where(F.size("it") > 0).withColumn("n", F.size("it"))
     short = sorted(r[0] for r in it.where(F.col("n") < SPAN).select("n").distinct().collect())  # seven values at most
     spans = [_spaced(mask, k) for k, mask in enumerate(MASKS)]
     seeds = [_seeds(F.when(F.col("n") >= SPAN, _positions(F.col("n"), s)).otherwise(F.array().cast("array<int>")), F.col("it"), f) for s, f in spans]
@@ -81,8 +86,9 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     full = [0] * (1 << (_MAP_BITS - 6))
     for r in rows:
         full[r["w"]] = r["v"]
-    bits = F.from_json(F.lit(str(full)), "array<bigint>") if rows else None
-    doc = docs.select(F.xxhash64(F.lit(5), text_col).alias("_key"), tokens(F.col(text_col)).alias("dt"))
+    # a literal: folded once, where a parsed or joined map would be looked up through more layers for each position
+    bits = F.expr("array(" + ",".join(f"{x}L" if x > -(1 << 63) else "bigint(-9223372036854775808)" for x in full) + ")") if rows else None
+    doc = docs.select(F.xxhash64(F.lit(5), text_col).alias("_key"), _held(tokens(F.col(text_col))).alias("dt"))
     empty = "_key long, item_id long, agreeing int, stretch int"
     if bits is None:
         return docs.sparkSession.createDataFrame([], empty)
@@ -98,7 +104,7 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
         return _seeds(F.filter(_positions(n, span), lambda i: passes(f(F.col("dt"), i))), F.col("dt"), f)
 
     found = [found_by(s, f) for s, f in tests]
-    hit = doc.withColumn("hits", F.concat(*found)).where(F.size("hits") > 0)
+    hit = doc.withColumn("hits", _held(F.concat(*found))).where(F.size("hits") > 0)
     # copies of a text share its hits
     hit = hit.groupBy("_key").agg(F.first("dt").alias("dt"), F.first("hits").alias("hits"))
     at = hit.select("_key", F.explode("hits").alias("x")).select("_key", F.col("x.at").alias("doc_at"), F.col("x.h").alias("h"))
@@ -114,7 +120,7 @@ def verify(diagonals: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     # running sums: a stretch's count is a difference of two
     sums = F.aggregate("eq", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("w")), lambda i: F.get("sums", i + F.col("w")) - F.get("sums", i)))
-    scored = pair.withColumn("eq", equal).withColumn("w", width).withColumn("sums", sums).select("_key", "item_id", "n", "w", best.alias("best"))
+    scored = pair.withColumn("eq", _held(equal)).withColumn("w", width).withColumn("sums", _held(sums)).select("_key", "item_id", "n", "w", _held(best).alias("best"))
     kept = scored.where(F.col("best") >= needed(F.col("n")))
     return kept.groupBy("_key", "item_id").agg(F.max("best").alias("agreeing"), F.max("w").alias("stretch"))
 
