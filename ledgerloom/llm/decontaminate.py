@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
 SPAN = 8
 WINDOW = 16
@@ -41,6 +43,10 @@ def _whole(t: Column, i: Column, n: int) -> Column:
     return F.xxhash64(F.lit(100 + n), *[F.get(t, i + F.lit(o)) for o in range(n)])
 
 
+def _pair(t: Column, i: Column) -> Column:
+    return F.xxhash64(F.lit(50), F.get(t, i), F.get(t, i + F.lit(1)))
+
+
 def _positions(n: Column, span: int) -> Column:
     """0 .. n - span, empty when the tokens are fewer."""
     return F.when(n >= span, F.sequence(F.lit(0), n - F.lit(span))).otherwise(F.array().cast("array<int>"))
@@ -79,6 +85,8 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     spans = [_spaced(mask, k) for k, mask in enumerate(MASKS)]
     seeds = [_seeds(F.when(F.col("n") >= SPAN, _positions(F.col("n"), s)).otherwise(F.array().cast("array<int>")), F.col("it"), f) for s, f in spans]
     seeds += [F.when(F.col("n") == n, F.array(F.struct(F.lit(0).alias("at"), _whole(F.col("it"), F.lit(0), n).alias("h")))) .otherwise(F.array().cast("array<struct<at:int,h:bigint>>")) for n in short]
+    pairs = F.transform(_positions(F.col("n"), 2), lambda i: F.struct(F.lit(-1).alias("at"), _pair(F.col("it"), i).alias("h")))
+    seeds.append(pairs)  # at -1: they only fill the bit map
     seeded = it.select("item_id", "it", "n", F.explode(F.concat(*seeds)).alias("s")).select("item_id", F.col("s.at").alias("item_at"), F.col("s.h").alias("h")).distinct()
     # the bit map: 2^20 bits in 2^14 longs at most, however many items
     cell = F.shiftrightunsigned(F.col("h"), 64 - _MAP_BITS)
@@ -101,12 +109,15 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     tests = [*spans, *[_contiguous(k) for k in short]]
 
     def found_by(span: int, f) -> Column:
-        return _seeds(F.filter(_positions(n, span), lambda i: passes(f(F.col("dt"), i))), F.col("dt"), f)
-
-    found = [found_by(s, f) for s, f in tests]
-    hit = doc.withColumn("hits", _held(F.concat(*found))).where(F.size("hits") > 0)
-    # copies of a text share its hits
-    hit = hit.groupBy("_key").agg(F.first("dt").alias("dt"), F.first("hits").alias("hits"))
+        at = F.col("pairs") if span > 1 else _positions(n, 1)
+        return _seeds(F.filter(at, lambda i: (i + F.lit(span) <= n) & passes(f(F.col("dt"), i))), F.col("dt"), f)
+
+    # every seed of two tokens or more looks at the first two: most positions end there
+    doc = doc.withColumn("pairs", _held(F.filter(_positions(n, 2), lambda i: passes(_pair(F.col("dt"), i)))))
+    hit = doc.withColumn("hits", _held(F.concat(*[found_by(s, f) for s, f in tests]))).where(F.size("hits") > 0).select("_key", "dt", "hits")
+    # copies of a text share its hits; computed once, for the join with the seeds and for the comparison
+    hit = cut(hit.groupBy("_key").agg(F.first("dt").alias("dt"), F.first("hits").alias("hits")))
+    seeded = seeded.where("item_at >= 0")
     at = hit.select("_key", F.explode("hits").alias("x")).select("_key", F.col("x.at").alias("doc_at"), F.col("x.h").alias("h"))
     diagonals = at.join(seeded, "h").select("_key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("d")).distinct()
     return verify(diagonals, hit.select("_key", "dt"), it)
