@@ -27,6 +27,7 @@ SPAN = 8
 WINDOW = 16
 AGREE = 0.8
 _MAP_BITS = 20
+BROADCAST_KEYS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -114,13 +115,17 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
 
     # every seed of two tokens or more looks at the first two: most positions end there
     doc = doc.withColumn("pairs", _held(F.filter(_positions(n, 2), lambda i: passes(_pair(F.col("dt"), i)))))
-    hit = doc.withColumn("hits", _held(F.concat(*[found_by(s, f) for s, f in tests]))).where(F.size("hits") > 0).select("_key", "dt", "hits")
-    # copies of a text share its hits; computed once, for the join with the seeds and for the comparison
-    hit = cut(hit.groupBy("_key").agg(F.first("dt").alias("dt"), F.first("hits").alias("hits")))
+    hit = doc.withColumn("hits", _held(F.concat(*[found_by(s, f) for s, f in tests]))).where(F.size("hits") > 0).select("_key", "hits")
     seeded = seeded.where("item_at >= 0")
     at = hit.select("_key", F.explode("hits").alias("x")).select("_key", F.col("x.at").alias("doc_at"), F.col("x.h").alias("h"))
-    diagonals = at.join(seeded, "h").select("_key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("d")).distinct()
-    return verify(diagonals, hit.select("_key", "dt"), it)
+    diagonals = cut(at.join(seeded, "h").select("_key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("d")).distinct())
+    # only texts on a diagonal are tokenized again; their keys are broadcast while they are few
+    keys = diagonals.select("_key").distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    texts = docs.select(F.xxhash64(F.lit(5), text_col).alias("_key"), F.col(text_col).alias("_text")).join(keys, "_key", "left_semi")
+    kept = texts.groupBy("_key").agg(F.first("_text").alias("_text")).select("_key", _held(tokens(F.col("_text"))).alias("dt"))
+    return verify(diagonals, kept, it)
 
 
 def verify(diagonals: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
