@@ -24,7 +24,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 FILE_BYTES = 64 << 20
 #: Different words whose ids a task remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 
 
 def _encoder(vocab: str, end_id: int):
@@ -50,7 +50,7 @@ def _encoder(vocab: str, end_id: int):
             nonlocal flat
             for at in range(0, len(words), 4096):
                 some = words[at : at + 4096]
-                for w, e in zip(some, t.encode_batch(some, add_special_tokens=False), strict=True):
+                for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
                     ids = e.ids
                     known[w] = len(starts) - 1
                     end = starts[-1] + len(ids)
