@@ -79,8 +79,59 @@ def _count_terms(known: dict | None):
     return run
 
 
+def evidence(toxic: float, clean: float, share: float) -> float:
+    """n * KL(share of toxic documents among these, share overall); 0 if it isn't higher."""
+    n = toxic + clean
+    p = toxic / n if n else 0.0
+    return n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0)) if p > share else 0.0
+
+
+def cover(found: list[list[int]], gold: np.ndarray, clean: np.ndarray, share: float) -> list[int]:
+    """Terms picked by their evidence over toxic documents that no earlier pick occurs in, while it suffices."""
+    at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    col = np.fromiter((k for f in found for k in f), np.int64)
+    at, col = at[gold[at] == 1], col[gold[at] == 1]
+    taken: list[int] = []
+    while len(at):
+        a = np.bincount(col, minlength=len(clean)).astype(np.float64)
+        live = np.flatnonzero(a >= SUPPORT)
+        # candidates in order of how many they explain; the evidence decides
+        best, most = -1, EVIDENCE
+        for k in live[np.argsort(-(a[live] - clean[live]), kind="stable")][:50].tolist():
+            e = evidence(a[k], clean[k], share)
+            if e > most:
+                best, most = k, e
+        if best < 0:
+            break
+        taken.append(best)
+        gone = np.isin(at, at[col == best])
+        at, col = at[~gone], col[~gone]
+    return taken
+
+
+def _lexicons(terms: list[str]) -> dict:
+    """Terms dealt to lexicons by kind, in turn."""
+    placed: Counter = Counter()
+    lexicon = []
+    for t in terms:
+        k = 0 if not t.endswith("*") else PREFIXES.index(len(t) - 1) + 1
+        lexicon.append(k * STRIPES + placed[k] % STRIPES)
+        placed[k] += 1
+    n = (len(PREFIXES) + 1) * STRIPES
+    return {"known": {t: i for i, t in enumerate(terms)}, "lexicon": lexicon, "n_lexicons": n, "n_votes": n + 5}
+
+
+def _vote(row: np.ndarray, hit: list[int], model: dict) -> None:
+    """Votes of the lexicons, of several finds, and against."""
+    n = model["n_lexicons"]
+    for k in hit:
+        row[model["lexicon"][k]] = 1
+    row[n] = 1 if len(hit) >= 3 else 0
+    row[n + 1] = -1 if not hit else 0
+
+
 def _rows(model: dict):
-    known, lexicons = model["known"], model["lexicon"]
+    known = model["known"]
 
     def run(texts) -> tuple[list[list[int]], np.ndarray]:
         memo: dict = {}
@@ -88,12 +139,8 @@ def _rows(model: dict):
         for i, t in enumerate(texts):
             hit = sorted(doc_terms(t, known, memo))
             found.append(hit)
-            for k in hit:
-                votes[i, lexicons[k]] = 1
-            n = model["n_lexicons"]
-            votes[i, n] = 1 if len(hit) >= 3 else 0
-            votes[i, n + 1] = -1 if not hit else 0
-            votes[i, n + 2 :] = pattern_votes(t)
+            votes[i, model["n_lexicons"] + 2 :] = pattern_votes(t)
+            _vote(votes[i], hit, model)
         return found, votes
 
     return run
@@ -163,21 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict:
         return {"known": {}, "lexicon": [], "n_lexicons": 0, "n_votes": 5, "w": [0.0] * 5 + [4.0 if t1 and not t0 else -4.0], "probs": None}
     ratio = {t: ((first[t] + 0.1) / (t1 + 1)) / ((n0.get(t, 0) + 0.1 * t0 / t1) / (t0 + 1)) for t in first}
     share = t1 / (t1 + t0)
-
-    def evidence(t: str) -> float:
-        a, n = first[t], first[t] + n0.get(t, 0)
-        p = a / n
-        return n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0))
-
-    strong = sorted((t for t in first if ratio[t] >= RATIO and evidence(t) >= EVIDENCE), key=lambda t: (-first[t] * np.log(ratio[t]), t))[:MOST_TERMS]
-    kinds = [0 if not t.endswith("*") else PREFIXES.index(len(t) - 1) + 1 for t in strong]
-    placed: Counter = Counter()
-    lexicon = []
-    for k in kinds:
-        lexicon.append(k * STRIPES + placed[k] % STRIPES)
-        placed[k] += 1
-    n_lex = (len(PREFIXES) + 1) * STRIPES
-    model = {"known": {t: i for i, t in enumerate(strong)}, "lexicon": lexicon, "n_lexicons": n_lex, "n_votes": n_lex + 5}
+    strong = sorted((t for t in first if ratio[t] >= RATIO and evidence(first[t], n0.get(t, 0), share) >= EVIDENCE), key=lambda t: (-first[t] * np.log(ratio[t]), t))[:MOST_TERMS]
+    model = _lexicons(strong)
     make = _rows(model)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,9 +223,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict:
     got = got.assign(key=[f"{a}|{b.hex()}|{list(c)}" for a, b, c in zip(got["toxic"], got["votes"], got["found"], strict=True)]).sort_values("key")
     votes = np.stack([np.frombuffer(x, np.int8) for x in got["votes"]])
     gold = (got["toxic"].to_numpy() == 1).astype(np.int64)
+    # only terms that explain toxic documents which stronger terms leave unexplained: a word that is merely common in them explains none
+    found = [[int(k) for k in f] for f in got["found"]]
+    taken = cover(found, gold, np.array([n0.get(t, 0) for t in strong], np.float64), share)
+    # and those about as frequent as the picked ones and hardly ever elsewhere: other words of the same kind
+    usual = float(np.median([first[strong[k]] for k in taken])) if taken else np.inf
+    taken += [k for k, t in enumerate(strong) if k not in set(taken) and first[t] >= usual / 2 and n0.get(t, 0) <= 0.02 * first[t] and evidence(first[t], n0.get(t, 0), share) >= 2 * EVIDENCE]
+    model = _lexicons([strong[k] for k in taken])
+    place = {k: i for i, k in enumerate(taken)}
+    found = [sorted(place[k] for k in f if k in place) for f in found]
+    n_lex = model["n_lexicons"]
+    patterns, votes = votes[:, n_lex + 2 :], np.zeros((len(found), model["n_votes"]), np.int8)
+    votes[:, n_lex + 2 :] = patterns
+    for i, f in enumerate(found):
+        _vote(votes[i], f, model)
     q, probs, weight = label_model(votes, gold)
-    n = len(strong)
-    x = [[*map(int, f), *(n + np.flatnonzero(v)).tolist()] for f, v in zip(got["found"], votes, strict=True)]
+    n = len(taken)
+    x = [[*f, *(n + np.flatnonzero(v)).tolist()] for f, v in zip(found, votes, strict=True)]
     balance = np.where(gold == 1, 0.5 / max(gold.sum(), 1), 0.5 / max((1 - gold).sum(), 1)) * len(gold)
     model |= {"w": _logistic(x, n + model["n_votes"], q, np.sqrt(balance)).tolist(), "probs": probs, "weight": weight}
     return model
