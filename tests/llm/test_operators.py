@@ -155,13 +155,13 @@ def test_embedding_links_equal_brute_force(spark, block):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # about 60 held-out toxic documents; sf0.01 has six, two of them in languages with hardly a labelled one
     out = toxicity.toxicity_scores(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
     assert (out["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out["doc_id"]]).all()
     held = out[out["held_out"]]
     a, b = held["score"][held["toxic"] == 1].to_numpy(), held["score"][held["toxic"] == 0].to_numpy()
     auc = (a[:, None] > b[None, :]).mean() + 0.5 * (a[:, None] == b[None, :]).mean()
-    assert auc > 0.8 and held["predicted"][held["toxic"] == 0].mean() < 0.02
+    assert auc > 0.9 and held["predicted"][held["toxic"] == 0].mean() < 0.02
 
 
 def test_toxicity_edges(spark):
