@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,46 +45,39 @@ def _encoder(vocab: str, end_id: int):
         t = Tokenizer.from_file(vocab)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
         known: dict[str, int] = {}
-        flat, starts = np.zeros(1 << 16, np.int32), [0]  # ids of all known words, and where each begins
+        flat, ends, total = [np.array([end_id], np.int32)], [0, 1], 1  # ids of the end, then of all known words; where each stops
 
         def learn(words: list[str]) -> None:
-            nonlocal flat
+            nonlocal total
             for at in range(0, len(words), 4096):
                 some = words[at : at + 4096]
-                for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    known[w] = len(starts) - 1
-                    end = starts[-1] + len(ids)
-                    if end > len(flat):
-                        flat = np.concatenate([flat, np.zeros(max(len(flat), len(ids)), np.int32)])
-                    flat[starts[-1] : end] = ids
-                    starts.append(end)
-
-        def encode(texts: pa.Array) -> pa.Array:
-            nonlocal starts
-            n = len(texts)
+                ids = [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
+                known.update(zip(some, range(len(ends) - 1, len(ends) - 1 + len(some)), strict=True))
+                stops = total + np.cumsum([len(x) for x in ids])
+                ends.extend(stops.tolist())
+                flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(stops[-1]) - total))
+                total = int(stops[-1])
+
+        def encode(texts: pa.Array) -> pa.ListArray:
+            nonlocal total
             # only ASCII white space separates words here; the tokenizer itself splits at the rest
             words = pc.split_pattern_regex(pc.fill_null(texts, ""), "[\x09-\x0d ]+")
             coded = words.flatten().dictionary_encode()
             different = coded.dictionary.to_pylist()
             if len(known) > MEMORY_WORDS:
                 known.clear()
-                starts = [0]
+                del flat[1:], ends[2:]
+                total = 1
             learn([w for w in different if w not in known])
-            place = np.fromiter((known[w] for w in different), np.int64, len(different))
-            begin = np.asarray(starts, np.int64)
-            word = place[coded.indices.to_numpy(zero_copy_only=False)]
-            size = begin[word + 1] - begin[word]
-            bounds = words.offsets.to_numpy().astype(np.int64)
+            flat[1:] = [np.concatenate(flat[1:])] if len(flat) > 1 else []
+            place = np.fromiter(map(known.__getitem__, different), np.int32, len(different))
+            bounds = words.offsets.to_numpy()
             bounds = bounds - bounds[0]
-            run_size = np.concatenate(([0], np.cumsum(size)))
-            per_doc = run_size[bounds[1:]] - run_size[bounds[:-1]]
-            offsets = np.concatenate(([0], np.cumsum(per_doc + 1)))
-            out = np.full(offsets[-1], end_id, np.int32)
-            # every id moves by the number of end ids before it
-            source = np.repeat(begin[word] - run_size[:-1], size) + np.arange(run_size[-1])
-            out[np.arange(run_size[-1]) + np.repeat(np.arange(n), per_doc)] = flat[source]
-            return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+            # the end counts as word 0 after each document's words
+            word = np.insert(place[coded.indices.to_numpy(zero_copy_only=False)], bounds[1:], 0)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat))).take(pa.array(word))
+            starts = ids.offsets.to_numpy()[bounds + np.arange(len(bounds))]
+            return pa.ListArray.from_arrays(pa.array(starts - starts[0]), ids.flatten())
 
         for batch in batches:
             # slices of about 16 MB of text bound the memory whatever the batch holds
