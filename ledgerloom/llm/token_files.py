@@ -24,15 +24,66 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 FILE_BYTES = 64 << 20
-#: Different words whose ids a task remembers; beyond it the memory starts anew.
+#: Different words whose ids a Python worker remembers; beyond it the memory starts anew.
 MEMORY_WORDS = 1_000_000
+#: The tokenizer splits between these two, too; the apostrophe, with which it joins letters, is not among them.
+_BEFORE_PUNCTUATION = r"([0-9A-Za-z])([!-&(-/:-@\[-`{-~])"
+
+
+class _Memory:
+    """A tokenizer and the ids of the words it has met: kept by a worker from task to task."""
+
+    def __init__(self, vocab: str, end_id: int):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocab)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.end_id = end_id
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        # ids of the end, then of all known words; where each stops
+        self.flat, self.ends = [np.array([self.end_id], np.int32)], [0, 1]
+
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            first = len(self.ends) - 1
+            self.known.update(zip(some, range(first, first + len(some)), strict=True))
+            stops = self.ends[-1] + np.cumsum([len(x) for x in ids])
+            self.flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(stops[-1]) - self.ends[-1]))
+            self.ends.extend(stops.tolist())
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Each word's place in ``lists()``."""
+        if len(self.known) > MEMORY_WORDS:
+            self.clear()
+        self.learn([w for w in words if w not in self.known])
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+
+    def lists(self) -> pa.ListArray:
+        self.flat = [np.concatenate(self.flat)]
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.flat[0]))
+
+
+_MEMORY: dict[tuple[str, int], _Memory] = {}
+
+
+def _memory(vocab: str, end_id: int) -> _Memory:
+    if (vocab, end_id) not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[vocab, end_id] = _Memory(vocab, end_id)
+    return _MEMORY[vocab, end_id]
 
 
 def _encoder(vocab: str, end_id: int):
     """A function of Arrow batches (…, text) that replaces the text by its ids.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its
-    words' ids in a row, and a word is encoded once for as long as it is remembered.
+    The tokenizer drops white space and never merges across it, nor from a letter or digit
+    to punctuation, so a text's ids are its words' ids in a row, and a word is encoded
+    once for as long as it is remembered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,42 +91,20 @@ def _encoder(vocab: str, end_id: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import pyarrow.compute as pc
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(vocab)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        known: dict[str, int] = {}
-        flat, ends, total = [np.array([end_id], np.int32)], [0, 1], 1  # ids of the end, then of all known words; where each stops
-
-        def learn(words: list[str]) -> None:
-            nonlocal total
-            for at in range(0, len(words), 4096):
-                some = words[at : at + 4096]
-                ids = [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
-                known.update(zip(some, range(len(ends) - 1, len(ends) - 1 + len(some)), strict=True))
-                stops = total + np.cumsum([len(x) for x in ids])
-                ends.extend(stops.tolist())
-                flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(stops[-1]) - total))
-                total = int(stops[-1])
+        memory = _memory(vocab, end_id)
 
         def encode(texts: pa.Array) -> pa.ListArray:
-            nonlocal total
             # only ASCII white space separates words here; the tokenizer itself splits at the rest
-            words = pc.split_pattern_regex(pc.fill_null(texts, ""), "[\x09-\x0d ]+")
+            texts = pc.replace_substring_regex(pc.fill_null(texts, ""), _BEFORE_PUNCTUATION, r"\1 \2")
+            words = pc.split_pattern_regex(texts, "[\x09-\x0d ]+")
             coded = words.flatten().dictionary_encode()
-            different = coded.dictionary.to_pylist()
-            if len(known) > MEMORY_WORDS:
-                known.clear()
-                del flat[1:], ends[2:]
-                total = 1
-            learn([w for w in different if w not in known])
-            flat[1:] = [np.concatenate(flat[1:])] if len(flat) > 1 else []
-            place = np.fromiter(map(known.__getitem__, different), np.int32, len(different))
+            place = memory.places(coded.dictionary.to_pylist())
             bounds = words.offsets.to_numpy()
             bounds = bounds - bounds[0]
             # the end counts as word 0 after each document's words
             word = np.insert(place[coded.indices.to_numpy(zero_copy_only=False)], bounds[1:], 0)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat))).take(pa.array(word))
+            ids = memory.lists().take(pa.array(word))
             starts = ids.offsets.to_numpy()[bounds + np.arange(len(bounds))]
             return pa.ListArray.from_arrays(pa.array(starts - starts[0]), ids.flatten())
 

@@ -269,6 +269,19 @@ def test_token_files(spark, tmp_path, encoding):
     assert meta.has_offset_index and (("RLE_DICTIONARY" in meta.encodings) == (encoding == "dictionary"))
 
 
+def test_words_apart_have_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary())
+    t.encode_special_tokens = True
+    rng = np.random.default_rng(8)
+    signs = np.array(list("aZhHsS09''``,.!<&-_~ \t\x0b\x85\u2028\u0338\u0331\u0307éÉİßK中") + ["'ll", "'S", "re,", "it's", "<|endoftext|>"])
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = [ids for b in token_files._encoder(queries.vocabulary(), 2)(iter([batch])) for ids in b.column(2).to_pylist()]
+    assert got == [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 # ------------------------------------------------------------------ pipeline
 
 
