@@ -10,6 +10,7 @@ and ids of a range of documents without the rest.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,14 +25,16 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 FILE_BYTES = 64 << 20
-#: Different words whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 1_000_000
+#: Different words whose ids a task remembers; beyond it the memory starts anew.
+MEMORY_WORDS = 600_000
+#: Text that a task encodes at a time.
+SLICE_BYTES = 8 << 20
 #: The tokenizer splits between these two, too; the apostrophe, with which it joins letters, is not among them.
 _BEFORE_PUNCTUATION = r"([0-9A-Za-z])([!-&(-/:-@\[-`{-~])"
 
 
 class _Memory:
-    """A tokenizer and the ids of the words it has met: kept by a worker from task to task."""
+    """A tokenizer and the ids of the words it has met. A task has its own: workers that wait for tasks would keep it."""
 
     def __init__(self, vocab: str, end_id: int):
         from tokenizers import Tokenizer
@@ -44,7 +47,7 @@ class _Memory:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         # ids of the end, then of all known words; where each stops
-        self.flat, self.ends = [np.array([self.end_id], np.int32)], [0, 1]
+        self.flat, self.ends = [np.array([self.end_id], np.int32)], array("i", [0, 1])
 
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
@@ -65,17 +68,7 @@ class _Memory:
 
     def lists(self) -> pa.ListArray:
         self.flat = [np.concatenate(self.flat)]
-        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.flat[0]))
-
-
-_MEMORY: dict[tuple[str, int], _Memory] = {}
-
-
-def _memory(vocab: str, end_id: int) -> _Memory:
-    if (vocab, end_id) not in _MEMORY:
-        _MEMORY.clear()
-        _MEMORY[vocab, end_id] = _Memory(vocab, end_id)
-    return _MEMORY[vocab, end_id]
+        return pa.ListArray.from_arrays(pa.array(np.array(self.ends, np.int32)), pa.array(self.flat[0]))
 
 
 def _encoder(vocab: str, end_id: int):
@@ -92,7 +85,7 @@ def _encoder(vocab: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import pyarrow.compute as pc
 
-        memory = _memory(vocab, end_id)
+        memory = _Memory(vocab, end_id)
 
         def encode(texts: pa.Array) -> pa.ListArray:
             # only ASCII white space separates words here; the tokenizer itself splits at the rest
@@ -109,12 +102,12 @@ def _encoder(vocab: str, end_id: int):
             return pa.ListArray.from_arrays(pa.array(starts - starts[0]), ids.flatten())
 
         for batch in batches:
-            # slices of about 16 MB of text bound the memory whatever the batch holds
+            # slices of a set size bound the memory whatever the batch holds
             k = batch.schema.get_field_index("text")
             sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False))))
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + (16 << 20))))
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SLICE_BYTES)))
                 part = batch.slice(at, to - at)
                 ids = encode(part.column(k))
                 count = np.diff(ids.offsets.to_numpy()).astype(np.int64)
