@@ -22,6 +22,7 @@ VIEWS = {
         "quantity": "CAST(l_quantity AS INT)",
         "unit_price": "CAST(floor(l_extendedprice / l_quantity) / 100.0 AS DECIMAL(12,2))",
         "discount_percent": "CAST(round(l_discount * 100, 0) AS INT)",
+        "ship_date": "CAST(l_shipdate AS DATE)",
     }),
     "v_products": ("part", {
         "product_id": "p_partkey",
@@ -38,6 +39,8 @@ VIEWS = {
         "segment": "c_mktsegment",
         "balance": "CAST(round(c_acctbal, 2) AS DECIMAL(12,2))",
     }),
+    "v_nations": ("nation", {"nation_key": "n_nationkey", "nation": "n_name", "region_key": "n_regionkey"}),
+    "v_regions": ("region", {"region_key": "r_regionkey", "region": "r_name"}),
     "v_events": ("events", {
         "event_id": "event_id",
         "ts": "ts",
