@@ -17,9 +17,9 @@ SPENT = "CAST(sum(total_amount) AS DECIMAL(28,2))"
 
 
 def per(money: str | Column, count: str | Column) -> Column:
-    """A ratio to four places, in double precision; null for no rows."""
+    """A ratio in double precision, one division and no rounding, so that engines agree on ties; null for no rows."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (money, count))
-    return F.round(F.try_divide(a.cast("double"), b.cast("double")), 4)
+    return F.try_divide(a.cast("double"), b.cast("double"))
 
 
 def line_total(name: str = "revenue") -> Column:
@@ -43,7 +43,7 @@ def _(v):
     return o.join(cohort, "customer_id").groupBy("cohort", since).agg(F.countDistinct("customer_id").alias("customers"))
 
 
-@query("q08_rfm_distribution", f"WITH s AS (SELECT monetary, CASE WHEN r + f + m >= 13 THEN 'Champions' WHEN r + f + m >= 10 THEN 'Loyal' WHEN r + f + m >= 7 THEN 'Potential' ELSE 'Lost' END AS segment FROM ({RFM})), g AS (SELECT segment, count(*) AS customers, CAST(sum(monetary) AS DECIMAL(28,2)) AS revenue FROM s GROUP BY 1) SELECT segment, customers, revenue, round(CAST(customers AS DOUBLE) / (SELECT sum(customers) FROM g), 4) AS share, round(CAST(revenue AS DOUBLE) / CAST((SELECT sum(revenue) FROM g) AS DOUBLE), 4) AS revenue_share FROM g")
+@query("q08_rfm_distribution", f"WITH s AS (SELECT monetary, CASE WHEN r + f + m >= 13 THEN 'Champions' WHEN r + f + m >= 10 THEN 'Loyal' WHEN r + f + m >= 7 THEN 'Potential' ELSE 'Lost' END AS segment FROM ({RFM})), g AS (SELECT segment, count(*) AS customers, CAST(sum(monetary) AS DECIMAL(28,2)) AS revenue FROM s GROUP BY 1) SELECT segment, customers, revenue, (CAST(customers AS DOUBLE) / (SELECT sum(customers) FROM g)) AS share, (CAST(revenue AS DOUBLE) / CAST((SELECT sum(revenue) FROM g) AS DOUBLE)) AS revenue_share FROM g")
 def _(v):
     c = v("v_orders").groupBy("customer_id").agg(F.date_diff(F.lit(AS_OF).cast("date"), F.max("order_date")).alias("recency"), n().alias("frequency"), total("total_amount", "monetary"))
     score = steps(F.col("recency"), (30, 60, 90, 180), False) + steps(F.col("frequency"), (10, 7, 4, 2), True) + steps(F.col("monetary"), (5000, 2000, 1000, 500), True)
@@ -52,7 +52,7 @@ def _(v):
     return g.select("*", per("customers", F.sum("customers").over(every)).alias("share"), per("revenue", F.sum("revenue").over(every)).alias("revenue_share"))
 
 
-@query("q09_ltv", f"WITH c AS (SELECT customer_id, date_diff('day', min(order_date), max(order_date)) AS days, {SPENT} AS spent FROM v_orders GROUP BY 1) SELECT segment, CASE WHEN days < 365 THEN 'Year 1' WHEN days < 1095 THEN 'Year 2-3' ELSE 'Longer' END AS tenure, count(*) AS customers, round(CAST(sum(spent) AS DOUBLE) / count(*), 4) AS ltv, round(CAST(sum(spent) AS DOUBLE) * 365 / CAST(nullif(sum(days), 0) AS DOUBLE), 4) AS per_year FROM c JOIN v_customers USING (customer_id) GROUP BY 1, 2")
+@query("q09_ltv", f"WITH c AS (SELECT customer_id, date_diff('day', min(order_date), max(order_date)) AS days, {SPENT} AS spent FROM v_orders GROUP BY 1) SELECT segment, CASE WHEN days < 365 THEN 'Year 1' WHEN days < 1095 THEN 'Year 2-3' ELSE 'Longer' END AS tenure, count(*) AS customers, (CAST(sum(spent) AS DOUBLE) / count(*)) AS ltv, (CAST(sum(spent) AS DOUBLE) * 365 / CAST(nullif(sum(days), 0) AS DOUBLE)) AS per_year FROM c JOIN v_customers USING (customer_id) GROUP BY 1, 2")
 def _(v):
     c = v("v_orders").groupBy("customer_id").agg(F.date_diff(F.max("order_date"), F.min("order_date")).alias("days"), total("total_amount", "spent"))
     tenure = F.when(F.col("days") < 365, "Year 1").when(F.col("days") < 1095, "Year 2-3").otherwise("Longer").alias("tenure")
@@ -67,7 +67,7 @@ def geo(v):
     return v("v_orders").join(v("v_customers"), "customer_id").join(v("v_nations"), "nation_key").join(v("v_regions"), "region_key")
 
 
-@query("q11_regional", f"SELECT region, count(*) AS orders, {SPENT} AS revenue, round(CAST(sum(total_amount) AS DOUBLE) / count(DISTINCT customer_id), 4) AS per_customer, round(CAST(sum(total_amount) AS DOUBLE) / CAST((SELECT sum(total_amount) FROM {GEO}) AS DOUBLE), 4) AS share FROM {GEO} GROUP BY 1")
+@query("q11_regional", f"SELECT region, count(*) AS orders, {SPENT} AS revenue, (CAST(sum(total_amount) AS DOUBLE) / count(DISTINCT customer_id)) AS per_customer, (CAST(sum(total_amount) AS DOUBLE) / CAST((SELECT sum(total_amount) FROM {GEO}) AS DOUBLE)) AS share FROM {GEO} GROUP BY 1")
 def _(v):
     g = geo(v).groupBy("region").agg(n().alias("orders"), total("total_amount", "revenue"), F.countDistinct("customer_id").alias("_c"))
     return g.select("region", "orders", "revenue", per("revenue", "_c").alias("per_customer"), per("revenue", F.sum("revenue").over(Window.partitionBy())).alias("share"))
@@ -91,7 +91,7 @@ def _(v):
     return d.groupBy("status").agg(n().alias("lines"), F.round(F.percentile("days", F.lit(0.5)), 4).alias("middle"), F.round(F.percentile("days", F.lit(0.95)), 4).alias("p95"))
 
 
-@query("q15_payment_methods", f"WITH g AS (SELECT payment_method, count(*) AS orders, {SPENT} AS revenue FROM v_orders GROUP BY 1) SELECT payment_method, orders, revenue, round(CAST(orders AS DOUBLE) / (SELECT sum(orders) FROM g), 4) AS share, CAST(revenue * 0.029 AS DECIMAL(28,2)) AS fees FROM g")
+@query("q15_payment_methods", f"WITH g AS (SELECT payment_method, count(*) AS orders, {SPENT} AS revenue FROM v_orders GROUP BY 1) SELECT payment_method, orders, revenue, (CAST(orders AS DOUBLE) / (SELECT sum(orders) FROM g)) AS share, CAST(revenue * 0.029 AS DECIMAL(28,2)) AS fees FROM g")
 def _(v):
     g = v("v_orders").groupBy("payment_method").agg(n().alias("orders"), total("total_amount", "revenue"))
     return g.select("*", per("orders", F.sum("orders").over(Window.partitionBy())).alias("share"), (F.col("revenue") * F.lit("0.029").cast("decimal(4,3)")).cast("decimal(28,2)").alias("fees"))
@@ -100,7 +100,7 @@ def _(v):
 YTD = "SELECT count(*) FILTER (now)::DOUBLE AS o1, count(*) FILTER (NOT now)::DOUBLE AS o0, CAST(sum(CASE WHEN now THEN total_amount ELSE 0 END) AS DOUBLE) AS r1, CAST(sum(CASE WHEN NOT now THEN total_amount ELSE 0 END) AS DOUBLE) AS r0 FROM (SELECT total_amount, year(order_date) = 1998 AS now FROM v_orders WHERE year(order_date) IN (1997, 1998) AND dayofyear(order_date) <= 200)"
 
 
-@query("q16_ytd_vs_prev", f"WITH y AS ({YTD}) SELECT 'orders' AS metric, o1 AS this_year, o0 AS last_year FROM y UNION ALL SELECT 'revenue', r1, r0 FROM y UNION ALL SELECT 'average', round(r1 / nullif(o1, 0), 4), round(r0 / nullif(o0, 0), 4) FROM y")
+@query("q16_ytd_vs_prev", f"WITH y AS ({YTD}) SELECT 'orders' AS metric, o1 AS this_year, o0 AS last_year FROM y UNION ALL SELECT 'revenue', r1, r0 FROM y UNION ALL SELECT 'average', (r1 / nullif(o1, 0)), (r0 / nullif(o0, 0)) FROM y")
 def _(v):
     now = F.year("order_date") == 1998
     o = v("v_orders").where(F.year("order_date").isin(1997, 1998) & (F.dayofyear("order_date") <= 200))
@@ -120,12 +120,12 @@ def _(v):
     return v("v_orders").groupBy(F.trunc("order_date", "week").alias("week_start")).agg(n().alias("orders"), total("total_amount", "revenue"))
 
 
-@query("order_summary_period", f"SELECT date_trunc('quarter', order_date)::DATE AS period, count(*) AS orders, count(DISTINCT customer_id) AS customers, {SPENT} AS revenue, round(CAST(sum(total_amount) AS DOUBLE) / count(*), 4) AS average FROM v_orders GROUP BY 1")
+@query("order_summary_period", f"SELECT date_trunc('quarter', order_date)::DATE AS period, count(*) AS orders, count(DISTINCT customer_id) AS customers, {SPENT} AS revenue, (CAST(sum(total_amount) AS DOUBLE) / count(*)) AS average FROM v_orders GROUP BY 1")
 def _(v):
     return v("v_orders").groupBy(F.trunc("order_date", "quarter").alias("period")).agg(n().alias("orders"), F.countDistinct("customer_id").alias("customers"), total("total_amount", "revenue"), per(F.sum("total_amount"), n()).alias("average"))
 
 
-@query("daily_summary_trend", f"WITH d AS (SELECT order_date, {SPENT} AS revenue FROM v_orders GROUP BY 1) SELECT order_date, revenue, round(CAST(revenue - lag(revenue) OVER w AS DOUBLE) / CAST(nullif(lag(revenue) OVER w, 0) AS DOUBLE), 4) AS change, CASE WHEN count(*) OVER r = 7 THEN round(CAST(sum(revenue) OVER r AS DOUBLE) / 7, 4) END AS mean7 FROM d WINDOW w AS (ORDER BY order_date), r AS (ORDER BY order_date ROWS 6 PRECEDING)")
+@query("daily_summary_trend", f"WITH d AS (SELECT order_date, {SPENT} AS revenue FROM v_orders GROUP BY 1) SELECT order_date, revenue, (CAST(revenue - lag(revenue) OVER w AS DOUBLE) / CAST(nullif(lag(revenue) OVER w, 0) AS DOUBLE)) AS change, CASE WHEN count(*) OVER r = 7 THEN (CAST(sum(revenue) OVER r AS DOUBLE) / 7) END AS mean7 FROM d WINDOW w AS (ORDER BY order_date), r AS (ORDER BY order_date ROWS 6 PRECEDING)")
 def _(v):
     w = Window.orderBy("order_date")  # a row per day
     r, before = w.rowsBetween(-6, 0), F.lag("revenue").over(w)
@@ -145,7 +145,7 @@ def _(v):
     return v("v_events").groupBy(F.hour("ts").alias("hour"), F.weekday("ts").alias("dow")).agg(n().alias("events"), total("value", "value")).withColumn("business_hours", F.col("hour").between(9, 17))
 
 
-@query("product_summary", f"WITH p AS (SELECT product_id, count(DISTINCT order_id) AS orders, sum(quantity)::BIGINT AS units, {LINE} AS revenue, min(order_date) AS first_sale, max(order_date) AS last_sale FROM v_items JOIN v_orders USING (order_id) GROUP BY 1) SELECT *, round(CAST(revenue AS DOUBLE) / units, 4) AS per_unit, CASE WHEN revenue > 0 AND revenue <= 1000 THEN 'Low' WHEN revenue > 1000 AND revenue <= 5000 THEN 'Medium' WHEN revenue > 5000 AND revenue <= 20000 THEN 'High' WHEN revenue > 20000 THEN 'Top' END AS revenue_tier FROM p")
+@query("product_summary", f"WITH p AS (SELECT product_id, count(DISTINCT order_id) AS orders, sum(quantity)::BIGINT AS units, {LINE} AS revenue, min(order_date) AS first_sale, max(order_date) AS last_sale FROM v_items JOIN v_orders USING (order_id) GROUP BY 1) SELECT *, (CAST(revenue AS DOUBLE) / units) AS per_unit, CASE WHEN revenue > 0 AND revenue <= 1000 THEN 'Low' WHEN revenue > 1000 AND revenue <= 5000 THEN 'Medium' WHEN revenue > 5000 AND revenue <= 20000 THEN 'High' WHEN revenue > 20000 THEN 'Top' END AS revenue_tier FROM p")
 def _(v):
     p = v("v_items").join(v("v_orders"), "order_id").groupBy("product_id").agg(F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("units"), line_total(), F.min("order_date").alias("first_sale"), F.max("order_date").alias("last_sale"))
     return p.select("*", per("revenue", "units").alias("per_unit"), C.bucketize_right_closed(F.col("revenue"), [0, 1000, 5000, 20000, None], ["Low", "Medium", "High", "Top"]).alias("revenue_tier"))
@@ -171,7 +171,7 @@ def _(v):
     return g.groupBy("customer_id").agg(total("s", "spent"), F.sum("r").alias("recent"), F.min(F.struct(-F.col("n"), "payment_method")).getField("payment_method").alias("usual_payment"))
 
 
-@query("mart_category_performance_sql", f"WITH m AS (SELECT category, date_trunc('month', order_date)::DATE AS month, {LINE} AS revenue FROM v_items JOIN v_orders USING (order_id) JOIN v_products USING (product_id) GROUP BY 1, 2) SELECT category, month, revenue, round(CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER (PARTITION BY month) AS DOUBLE), 4) AS share FROM m")
+@query("mart_category_performance_sql", f"WITH m AS (SELECT category, date_trunc('month', order_date)::DATE AS month, {LINE} AS revenue FROM v_items JOIN v_orders USING (order_id) JOIN v_products USING (product_id) GROUP BY 1, 2) SELECT category, month, revenue, (CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER (PARTITION BY month) AS DOUBLE)) AS share FROM m")
 def _(v):
     m = v("v_items").join(v("v_orders"), "order_id").join(v("v_products"), "product_id").groupBy("category", F.trunc("order_date", "month").alias("month")).agg(line_total())
     return m.withColumn("share", per("revenue", F.sum("revenue").over(Window.partitionBy("month"))))
@@ -185,7 +185,7 @@ def _(v):
     return v("v_customers").join(o, "customer_id").select("customer_id", "segment", "orders", "units", "revenue", "lifetime")
 
 
-@query("vw_daily_kpis", f"SELECT order_date, count(*) AS orders, round(CAST(count(*) FILTER ({DONE}) AS DOUBLE) / count(*), 4) AS done_rate, round(CAST(sum(total_amount) AS DOUBLE) / count(*), 4) AS average FROM v_orders GROUP BY 1")
+@query("vw_daily_kpis", f"SELECT order_date, count(*) AS orders, (CAST(count(*) FILTER ({DONE}) AS DOUBLE) / count(*)) AS done_rate, (CAST(sum(total_amount) AS DOUBLE) / count(*)) AS average FROM v_orders GROUP BY 1")
 def _(v):
     return v("v_orders").groupBy("order_date").agg(n().alias("orders"), per(F.count_if(done()), n()).alias("done_rate"), per(F.sum("total_amount"), n()).alias("average"))
 
