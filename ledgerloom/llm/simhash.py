@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
+from .set_join import set_sketch, similar_components
 
 SEED = 42
 _SEGMENT_BITS = 2
@@ -270,36 +271,28 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("_id").alias(id_col), hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def similarity_bits(similarity: float, lanes: int) -> int:
-    """Most differing bits of a wide sketch at which the estimated Jaccard similarity reaches ``similarity``."""
-    return int(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def near_duplicate_roots(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
+    """``_row`` (hash of id and text) and ``root`` of every document that has words.
 
-
-def near_duplicate_roots(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 6, groups: int = 8, lanes: int = 4, block: int = 4096) -> DataFrame:
-    """``_row`` (hash of id and text) and ``_root`` of every document that is not the one to stay of its group.
-
-    Candidates: SimHash over the different words of a text, at most ``max_bits`` bits
-    apart, found through the pivot index. Verified: a ``64 * lanes``-bit SimHash over
-    shingles of ``words`` words whose estimated Jaccard similarity is at least
-    ``similarity``. A group is what such links connect, with texts of the same words.
+    Documents link when their sets of shingles of ``words`` words have a Jaccard
+    similarity of at least ``similarity``; a group is what such links connect.
     """
-    lanes_bits = similarity_bits(similarity, lanes)
-    seen = cut(docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id", "text").alias("_row"), simhash(F.col("text"), 1, True).alias("fp"), wide_simhash(F.col("text"), words, lanes).alias("wide")))
+    row = F.xxhash64(F.lit(3), "doc_id", "text").alias("_row")
     # texts without words are alike only in having none
-    seen = seen.where(F.col("fp") != 0)
-    classes = seen.groupBy("fp", "wide").agg(F.min("doc_id").alias("low"), F.min("_row").alias("low_row"), F.xxhash64("fp", "wide").alias("node"))
-    comps = connected_components(bucket_links(classes.select("fp", "node", "wide"), max_bits, groups, lanes_bits, block))
-    member = classes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node")).select("node", "root")
-    return seen.select("doc_id", "_row", F.xxhash64("fp", "wide").alias("node")).join(member, "node")
+    seen = cut(docs.select("doc_id", row, set_sketch(F.col("text"), words, similarity).alias("x")).where("x.node is not null").select("doc_id", "_row", "x.*"))
+    nodes = cut(seen.groupBy("node").agg(F.min(F.struct("_row", "n", "bits", "prefix")).alias("x")).select("node", "x.*"))
+    texts = docs.select(row, "text").join(nodes.select("_row", "node"), "_row").dropDuplicates(["_row"]).select("node", "text")
+    comps = similar_components(nodes.drop("_row"), texts, words, similarity, block)
+    return seen.select("doc_id", "_row", "node").join(comps, "node", "left").select("doc_id", "_row", "node", F.coalesce("component", "node").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 6, groups: int = 8, lanes: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Documents without near-duplicates: of each group the one with the smallest (doc_id, text hash) stays.
 
     Null ids sort last; rows repeated in full keep one; documents without words all
     stay; other columns come along.
     """
-    roots = cut(near_duplicate_roots(docs, words, similarity, max_bits, groups, lanes))
+    roots = cut(near_duplicate_roots(docs, words, similarity))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
     stays = roots.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row")).distinct()
     goes = roots.select("_row").distinct().join(stays, "_row", "left_anti")

@@ -82,3 +82,37 @@ def test_drop_near_duplicates(spark):
     rows = [(5, a, "x"), (2, b, "y"), (7, a, "z"), (9, c, "x"), (11, "", "x"), (12, None, "x"), (9, c, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert sorted(r.doc_id for r in sh.drop_near_duplicates(df).collect()) == [2, 9, 11, 12]
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_near_duplicates_equal_brute_force_jaccard(spark, block):
+    """Appended text, edits and small texts around a similarity of 0.8; buckets cut into parts."""
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = [None, "", " ", "one", "One  two", "one two", "a b c d e"]
+    for k in range(40):
+        base = list(rng.choice(vocab, [40, 200, 900][k % 3]))
+        line = "this very line stands in every one of the texts here".split()
+        texts.append(" ".join(base + line))
+        for share in (0.05, 0.1, 0.15, 0.2, 0.24, 0.25, 0.26, 0.3):
+            texts.append(" ".join(base + line + list(rng.choice(vocab, int(share * len(base))))))
+            edited = base + line
+            for at in rng.choice(len(base), max(1, int(share * len(base) / 9)), replace=False):
+                edited[at] = "new"
+            texts.append(" ".join(edited))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    want = {}
+    for i, r in enumerate(roots(len(sets), links)):
+        if sets[i]:
+            want.setdefault(r, []).append(i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sh.near_duplicate_roots(df, block=block).collect():
+        got.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
