@@ -1,13 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. First pass, context-free: a block in a
-menu, header, footer, sidebar, notice, advert, form or comment container is bad, as is
-one with much of its text in links; inside an article or main container other blocks
-are good; elsewhere length and the density of stop words make a block good, bad,
+menu, header, footer, sidebar, notice, advert, form or comment container is bad; inside
+an article or main container other blocks are good; elsewhere one with much of its text
+in links is bad, and length and the density of stop words make a block good, bad,
 near-good or short. Second pass: near-good blocks and short blocks take the label of
 the nearest decided blocks before and after; where these disagree the block is bad,
 but a heading takes that of the block after it. On a page that has an article or main
-container, blocks outside it are bad.
+container, blocks outside it are bad; inside it links do not count against a block, and
+class names of what holds it do not make it bad.
 """
 
 from __future__ import annotations
@@ -33,21 +34,24 @@ LINKS_MOST = 0.4
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul br".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SKIP = "script|style|noscript|template|svg|iframe|select|textarea|button|title|object|canvas|math|audio|video|datalist"
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes".split())
 _GOOD = frozenset(("article", "main"))
 _BAD = frozenset("nav header footer aside form menu dialog head fieldset".split())
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|reply|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|widget|copyright|legal|login|signup|search|form|pagination|pager|tags)(?:$|[\s_-])",
     re.I,
 )
+#: Hints at lists whose items may be articles themselves.
+_LISTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|reply|related|recommended|promo\w*|sponsor\w*|widget)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<!?\??(?P<skip>(?:{_SKIP}))\b[^>]*>.*?(?:</(?P=skip)\s*>|$)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 def _kind(tag: str, rest: str) -> int:
-    """1: an article or main container, -1: one of boilerplate, 0: neither."""
+    """1: an article or main container; 2: one whose own class or id has a hint; -1: one of boilerplate; -2, -3: by a hint of its class or id alone, -3 for lists; 0: neither."""
     if tag in _BAD:
         return -1
-    kind = 1 if tag in _GOOD else 0
+    kind, hint = 1 if tag in _GOOD else 0, 0
     if rest and tag not in ("html", "body"):
         for name, value in _ATTR.findall(rest):
             name, value = name.lower(), value.strip("\"'")
@@ -58,26 +62,48 @@ def _kind(tag: str, rest: str) -> int:
                     return -1
                 if kind == 0 and name == "role" and value.lower() in ("main", "article"):
                     kind = 1
-                elif kind == 0 and name != "role" and _HINT.search(value):
-                    return -1
-    return kind
+                elif name != "role" and _HINT.search(value):
+                    hint = min(hint, -3 if _LISTS.search(value) else -2)
+    return hint if kind == 0 else 2 if hint else kind
 
 
 def blocks(page: str | None) -> list[dict]:
     """Blocks of a page in order: text, tag, link density, in_article, boilerplate."""
     found: list[dict] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, tuple[int, int]]] = []  # tag, kind, hints and list hints that held before it
     parts: list[str] = []
     linked = total = 0
     in_link, tag_now = False, ""
-    bad = good = 0
+    bad = good = hints = lists = 0
+    any_good = False
+
+    def opened(tag: str, kind: int) -> None:
+        nonlocal bad, good, hints, lists, any_good
+        stack.append((tag, kind, (hints, lists)))
+        bad += kind == -1
+        hints += kind == -2
+        lists += kind == -3
+        if kind > 0:
+            if kind == 1:
+                # class names around an article tell nothing of it, but a later article in a list of comments or the like is one of its items
+                hints = 0
+                lists = lists if any_good else 0
+            good += 1
+            any_good = any_good or not (bad or hints or lists)
+
+    def left() -> str:
+        nonlocal bad, good, hints, lists
+        tag, kind, (hints, lists) = stack.pop()
+        bad -= kind == -1
+        good -= kind > 0
+        return tag
 
     def close() -> None:
         nonlocal linked, total
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append({"text": text, "tag": tag_now, "links": linked / max(total, 1), "in_article": good > 0, "boilerplate": bad > 0})
+                found.append({"text": text, "tag": tag_now, "links": linked / max(total, 1), "in_article": good > 0, "boilerplate": bad + hints + lists > 0})
             parts.clear()
         linked = total = 0
 
@@ -86,6 +112,9 @@ def blocks(page: str | None) -> list[dict]:
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
+            if stack and stack[-1][0] == "head" and piece.strip():
+                close()
+                left()
             parts.append(piece)
             n = len(piece.strip())
             total += n
@@ -95,6 +124,9 @@ def blocks(page: str | None) -> list[dict]:
         if tag is None:
             continue
         tag = tag.lower()
+        if stack and stack[-1][0] == "head" and not m["close"] and tag not in _IN_HEAD:  # the end tag of head can be left out
+            close()
+            left()
         if tag == "a":
             in_link = not m["close"]
             continue
@@ -103,32 +135,26 @@ def blocks(page: str | None) -> list[dict]:
             continue
         if tag not in _BLOCK:
             kind = 0 if m["close"] or tag in _VOID else _kind(tag, m["rest"])
-            if kind == 0 and not (m["close"] and any(t == tag for t, _ in stack)):
+            if kind == 0 and not (m["close"] and any(t == tag for t, *_ in stack)):
                 continue
         close()
         in_link = False
         if m["close"]:
-            if any(t == tag for t, _ in stack):
-                while True:
-                    t, kind = stack.pop()
-                    bad -= kind < 0
-                    good -= kind > 0
-                    if t == tag:
-                        break
+            if any(t == tag for t, *_ in stack):
+                while left() != tag:
+                    pass
             tag_now = stack[-1][0] if stack else ""
         else:
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag[0] == "h" and tag[1:].isdigit():
                 while stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":  # an open one of the same kind ends here
-                    _, kind = stack.pop()
-                    bad -= kind < 0
-                    good -= kind > 0
+                    left()
             if tag not in _VOID:
-                kind = _kind(tag, m["rest"])
-                stack.append((tag, kind))
-                bad += kind < 0
-                good += kind > 0
+                opened(tag, _kind(tag, m["rest"]))
             tag_now = tag
     if at < len(page) and not page[at:].startswith("<"):
+        if stack and stack[-1][0] == "head" and page[at:].strip():
+            close()
+            left()
         parts.append(page[at:])
         total += len(page[at:].strip())
     close()
@@ -139,10 +165,10 @@ def first_pass(b: dict, articles: bool) -> str:
     """good, bad, near or short, from the block alone."""
     if b["boilerplate"] or articles and not b["in_article"]:
         return "bad"
-    if b["links"] > LINKS_MOST:
-        return "bad"
     if b["in_article"]:
         return "good"
+    if b["links"] > LINKS_MOST:
+        return "bad"
     n, words = len(b["text"]), b["text"].lower().split()
     if n < LENGTH_LOW:
         return "short" if b["links"] == 0 else "bad"

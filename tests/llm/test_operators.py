@@ -211,6 +211,19 @@ def test_seating_matches_enumeration():
     assert np.allclose(np.bincount(t, minlength=5)[1:] / n, want, atol=0.015)
 
 
+def test_articles_keep_all_their_text():
+    main = html_extract.main_text
+    assert main("<article><h2><a href=/a>Linked heading</a></h2><p><a href=/b>A paragraph of links</a> x</p><ul><li><a href=/c>item</a></ul><p>Text.</p></article>") == "Linked heading A paragraph of links x item Text."
+    assert main("<div class='page has-sidebar'><article><p>Text.</p><div class=ad>Buy</div></article><div class=sidebar>Side</div></div>") == "Text."
+    assert main("<div class=with-comments><main><p>Text.</p></main><div class=comments><article><p>A comment</p></article></div></div>") == "Text."
+    assert main("<main><div class=has-sidebar><article><p>Text.</p></article><p>Side</p></div><p>End.</p></main>") == "Text. End."
+    assert main("<div class=comments><article class=comment><p>A comment</p></article></div>") == ""
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<html><head><link rel=x><body class=sidebar>", "<head><script>x</script>"):
+        assert main(f"{head}<article><p>Text.</p></article>") == "Text."
+        assert main(f"{head}<nav>Menu</nav><main><p>Text.</p></main>") == "Text."
+    assert main("<head><title>T</title></head><header>Top</header><main>Text.</main>") == "Text."
+
+
 # ------------------------------------------------------------------ chunks
 
 
