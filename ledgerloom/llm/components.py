@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two joins over the edges, with partial
-aggregation before each shuffle, so no task ever holds a node's neighbour list.
+aggregation before each shuffle, so no task ever holds a node's neighbour list. A node
+with over a ``HOT_SHARE``th of all edges is joined in parts; there are at most
+``2 * HOT_SHARE`` such nodes, whatever the number of edges.
 Rounds end when the edges form stars around the smallest node of each component;
 their number grows with the logarithm of the longest path.
 """
@@ -14,6 +16,18 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+HOT_SHARE, PARTS = 1000, 64
+
+
+def _join_nodes(edges: DataFrame, nodes: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """``edges`` with what ``nodes`` (``key``, ``m``, ``n``: its edges) say of ``key``; hot nodes' edges are spread over parts by ``other``."""
+    is_hot = F.col("n") > max(total // HOT_SHARE, 10 * PARTS)
+    hot = F.broadcast(nodes.where(is_hot).select(F.col(key).alias("_k"), F.lit(True).alias("_hot")))  # at most 2 * HOT_SHARE rows
+    spread = edges.join(hot, edges[key] == hot["_k"], "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
+    each = nodes.select(key, "m", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("_part"))
+    return spread.join(each, [key, "_part"]).select(*edges.columns, "m")
+
+
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -34,10 +48,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _digest(e)
     while before[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("a"), F.least("u", "m").alias("m"))
-        large = e.join(least, "a").select(F.col("m").alias("a"), "b")
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        pairs = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("a"), F.least("u", "m").alias("m"), "n")
+        large = _join_nodes(e, least, "a", "b", before[0]).select(F.col("m").alias("a"), "b")
+        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+        pairs = _join_nodes(large, low, "b", "a", before[0]).select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         e = cut(pairs.select("e.a", "e.b").where("a < b").distinct())
         after = _digest(e)
         if after == before:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
 SPAN = 8
@@ -157,6 +157,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """Documents that contain no item, with all their columns."""
-    hit = matches(docs, items, text_col).select("_key").distinct()
-    return docs.withColumn("_key", F.xxhash64(F.lit(5), text_col)).join(hit, "_key", "left_anti").select(*docs.columns)
+    """Documents that contain no item, with all their columns, whatever their names.
+
+    Null and empty texts contain none and stay; repeated rows stay or go together; an
+    empty table, of documents or of items, takes nothing away.
+    """
+    key = free_name(docs, "_key")
+    hit = matches(docs.select(text_col), items, text_col).select(F.col("_key").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64(F.lit(5), text_col)).join(hit, key, "left_anti").drop(key)

@@ -25,9 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 from .components import connected_components
-from .set_join import set_sketch, similar_components
+from .set_join import BROADCAST_NODES, set_sketch, similar_components
 
 SEED = 42
 _SEGMENT_BITS = 2
@@ -281,7 +281,13 @@ def near_duplicate_roots(docs: DataFrame, words: int = 5, similarity: float = 0.
     # texts without words are alike only in having none
     seen = cut(docs.select("doc_id", row, set_sketch(F.col("text"), words, similarity).alias("x")).where("x.node is not null").select("doc_id", "_row", "x.*"))
     nodes = cut(seen.groupBy("node").agg(F.min(F.struct("_row", "n", "bits", "prefix")).alias("x")).select("node", "x.*"))
-    texts = docs.select(row, "text").join(nodes.select("_row", "node"), "_row").dropDuplicates(["_row"]).select("node", "text")
+    wanted = nodes.select("_row", "node")
+
+    def texts(asked: DataFrame) -> DataFrame:
+        rows = cut(wanted.join(asked, "node"))
+        few = rows.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+        return docs.select(row, "text").join(F.broadcast(rows) if few else rows, "_row").select("node", "text")
+
     comps = similar_components(nodes.drop("_row"), texts, words, similarity, block)
     return seen.select("doc_id", "_row", "node").join(comps, "node", "left").select("doc_id", "_row", "node", F.coalesce("component", "node").alias("root"))
 
@@ -289,20 +295,22 @@ def near_duplicate_roots(docs: DataFrame, words: int = 5, similarity: float = 0.
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Documents without near-duplicates: of each group the one with the smallest (doc_id, text hash) stays.
 
-    Null ids sort last; rows repeated in full keep one; documents without words all
-    stay; other columns come along.
+    Null ids sort last; of rows that share id and text the one with the smallest hash of
+    its columns stays; null and empty texts and others without words all stay; all columns
+    come along, whatever their names; an empty table gives no rows.
     """
-    roots = cut(near_duplicate_roots(docs, words, similarity))
+    roots = cut(near_duplicate_roots(docs.select("doc_id", "text"), words, similarity))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
     stays = roots.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row")).distinct()
-    goes = roots.select("_row").distinct().join(stays, "_row", "left_anti")
-    columns = docs.columns
-    marked = docs.withColumn("_row", F.xxhash64(F.lit(3), "doc_id", "text"))
-    left = marked.join(goes, "_row", "left_anti")
-    # rows repeated in full (same id, same text): one stays, and only they can share a _row
-    repeated = cut(roots.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"))
+    key = free_name(docs, "_row")
+    goes = roots.select("_row").distinct().join(stays, "_row", "left_anti").withColumnRenamed("_row", key)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn(key, F.xxhash64(F.lit(3), "doc_id", "text"))
+    left = marked.join(goes, key, "left_anti")
+    # rows of one id and text: one stays, and only they can share a key
+    repeated = cut(roots.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_row").alias(key)))
     if repeated.isEmpty():
         return left.select(*columns)
-    alone = left.join(repeated, "_row", "left_anti")
-    first = left.join(repeated, "_row", "left_semi").groupBy("_row").agg(*[F.first(c).alias(c) for c in columns])
-    return alone.select(*columns).unionByName(first.select(*columns))
+    alone = left.join(repeated, key, "left_anti")
+    first = left.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(free_name(docs, "_all")))
+    return alone.select(*columns).unionByName(first.select(f"{free_name(docs, '_all')}.*"))

@@ -10,7 +10,6 @@ and ids of a range of documents without the rest.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,12 +24,39 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 FILE_BYTES = 64 << 20
+#: Ranges of ids dealt to tasks; beyond it a task writes several files in a row.
+MOST_RANGES = 20_000
 #: Different words whose ids a task remembers; beyond it the memory starts anew.
 MEMORY_WORDS = 600_000
 #: Text that a task encodes at a time.
 SLICE_BYTES = 8 << 20
-#: The tokenizer splits between these two, too; the apostrophe, with which it joins letters, is not among them.
-_BEFORE_PUNCTUATION = r"([0-9A-Za-z])([!-&(-/:-@\[-`{-~])"
+
+
+def _byte_kinds() -> np.ndarray:
+    """0: ASCII white space, 1: letter, 2: digit, 3: punctuation but the apostrophe, 4: the rest."""
+    kind = np.full(256, 4, np.uint8)
+    kind[[9, 10, 11, 12, 13, 32]] = 0
+    kind[[*range(65, 91), *range(97, 123)]] = 1
+    kind[48:58] = 2
+    kind[[x for x in range(33, 127) if kind[x] == 4 and x != 39]] = 3
+    return kind
+
+
+def word_starts(data: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Where words start in the texts' bytes: at each document, after white space, around digits, and between letters and punctuation.
+
+    The tokenizer drops white space and merges across none of these, so a text's ids are
+    its words' ids in a row; the apostrophe, with which it joins letters, parts nothing.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    k = _byte_kinds()[data]
+    was, now = k[:-1], k[1:]
+    low, high = np.minimum(was, now), np.maximum(was, now)
+    parts = (now != 0) & ((was == 0) | (now == 2) | (was == 2) | ((low == 1) & (high == 3)))
+    at = np.concatenate(([True], parts))
+    at[documents[documents < len(data)]] = True
+    return np.flatnonzero(at)
 
 
 class _Memory:
@@ -40,44 +66,69 @@ class _Memory:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id = end_id
+        # which ids close a word, if the tokenizer marks them
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = None
+        if suffix:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        # ids of the end, then of all known words; where each stops
-        self.flat, self.ends = [np.array([self.end_id], np.int32)], array("i", [0, 1])
+        # ids of the end, then of all known words, in arrays that grow by doubling; where each starts
+        self.flat, self.ends, self.n = np.full(1 << 16, self.end_id, np.int32), np.zeros(1 << 16, np.int64), 1
+        self.ends[1] = 1
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        if self.last is not None and words[0].isalpha():
+            # words of letters alone end with the one id that closes a word: they are encoded in lines, which takes less than one by one
+            lines = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]
+            flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)), np.int32)
+            stops = np.flatnonzero(self.last[flat]) + 1
+            if len(stops) == len(words) and stops[-1] == len(flat):
+                return flat, np.diff(stops, prepend=0)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            first = len(self.ends) - 1
-            self.known.update(zip(some, range(first, first + len(some)), strict=True))
-            stops = self.ends[-1] + np.cumsum([len(x) for x in ids])
-            self.flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(stops[-1]) - self.ends[-1]))
-            self.ends.extend(stops.tolist())
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        for group in (letters, rest):
+            for at in range(0, len(group), 4096):
+                some = group[at : at + 4096]
+                flat, size = self._ids(some)
+                self.known.update(zip(some, range(self.n, self.n + len(some)), strict=True))
+                start = int(self.ends[self.n])
+                while len(self.ends) < self.n + len(some) + 1:
+                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                while len(self.flat) < start + len(flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                self.flat[start : start + len(flat)] = flat
+                self.ends[self.n + 1 : self.n + len(some) + 1] = start + np.cumsum(size)
+                self.n += len(some)
 
     def places(self, words: list[str]) -> np.ndarray:
-        """Each word's place in ``lists()``."""
+        """Each word's place among the known ones; 0 is the end."""
         if len(self.known) > MEMORY_WORDS:
             self.clear()
-        self.learn([w for w in words if w not in self.known])
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        known = self.known
+        self.learn(list(dict.fromkeys(w for w in words if w not in known)))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def lists(self) -> pa.ListArray:
-        self.flat = [np.concatenate(self.flat)]
-        return pa.ListArray.from_arrays(pa.array(np.array(self.ends, np.int32)), pa.array(self.flat[0]))
+    def spell(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and where each word's start among them (n + 1 numbers)."""
+        first = self.ends[place]
+        size = self.ends[place + 1] - first
+        out = np.concatenate(([0], np.cumsum(size)))
+        return self.flat[np.arange(out[-1]) + np.repeat(first - out[:-1], size)], out
 
 
 def _encoder(vocab: str, end_id: int):
-    """A function of Arrow batches (…, text) that replaces the text by its ids.
-
-    The tokenizer drops white space and never merges across it, nor from a letter or digit
-    to punctuation, so a text's ids are its words' ids in a row, and a word is encoded
-    once for as long as it is remembered.
-    """
+    """A function of Arrow batches (…, text) that replaces the text by its ids; a word is encoded once for as long as it is remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -86,20 +137,34 @@ def _encoder(vocab: str, end_id: int):
         import pyarrow.compute as pc
 
         memory = _Memory(vocab, end_id)
+        added = [t.content for t in memory.tokenizer.get_added_tokens_decoder().values()]
 
         def encode(texts: pa.Array) -> pa.ListArray:
-            # only ASCII white space separates words here; the tokenizer itself splits at the rest
-            texts = pc.replace_substring_regex(pc.fill_null(texts, ""), _BEFORE_PUNCTUATION, r"\1 \2")
-            words = pc.split_pattern_regex(texts, "[\x09-\x0d ]+")
-            coded = words.flatten().dictionary_encode()
-            place = memory.places(coded.dictionary.to_pylist())
-            bounds = words.offsets.to_numpy()
-            bounds = bounds - bounds[0]
+            texts = pc.fill_null(texts, "").cast(pa.string())
+            _, offsets, raw = texts.buffers()
+            o = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(raw, np.uint8)[o[0] : o[-1]] if o[-1] > o[0] else np.zeros(0, np.uint8)
+            o = (o - o[0]).astype(np.int64)
+            starts = word_starts(data, o)
+            # a text with the string of an added token is one word: the tokenizer alone knows what to do with it
+            whole = np.zeros(len(texts), bool)
+            for a in added:
+                whole |= pc.match_substring(texts, a, ignore_case=True).to_numpy(zero_copy_only=False)
+            if whole.any():
+                inside = whole[np.searchsorted(o, starts, side="right") - 1]
+                starts = starts[~inside | np.isin(starts, o)]
+            bounds = np.searchsorted(starts, o)
+            ends = np.append(starts, len(data)).astype(np.int32)
+            words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+            names = pc.ascii_trim_whitespace(words.dictionary)
+            # the tokenizer lowers letters itself, but composes them with marks before that
+            plain = pc.if_else(pc.string_is_ascii(names), pc.ascii_lower(names), names).to_pylist()
+            if whole.any():
+                plain = [n if any(a.lower() in n.lower() for a in added) else p for n, p in zip(names.to_pylist(), plain, strict=True)]
+            place = memory.places(plain)[words.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
             # the end counts as word 0 after each document's words
-            word = np.insert(place[coded.indices.to_numpy(zero_copy_only=False)], bounds[1:], 0)
-            ids = memory.lists().take(pa.array(word))
-            starts = ids.offsets.to_numpy()[bounds + np.arange(len(bounds))]
-            return pa.ListArray.from_arrays(pa.array(starts - starts[0]), ids.flatten())
+            ids, at = memory.spell(np.insert(place, bounds[1:], 0))
+            return pa.ListArray.from_arrays(pa.array(at[bounds + np.arange(len(bounds))].astype(np.int32)), pa.array(ids))
 
         for batch in batches:
             # slices of a set size bound the memory whatever the batch holds
@@ -121,12 +186,14 @@ def write_token_files(docs: DataFrame, path: str, vocab: str, end_id: int = END_
     """Encode (doc_id, text) and write the files below ``path``.
 
     Null texts count as empty and have the end id alone; null ids come first; equal ids
-    are ordered by a hash of their text; an empty table writes no rows. ``encoding``:
-    "dictionary" or "delta".
+    are ordered by a hash of their text; an empty table writes no rows; other columns are
+    ignored. A text may hold the string of one of the tokenizer's added tokens, which then
+    gets that token's id, as the library does by default. ``encoding``: "dictionary" or "delta".
     """
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_h"))
-    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // file_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 20))
+    total, rows = narrow.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    total = total or 0
+    parts = max(1, min(MOST_RANGES, -(-total // file_bytes)), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 20))
     dealt = narrow.repartitionByRange(int(parts), "doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     ids = dealt.mapInArrow(_encoder(vocab, end_id), "doc_id long, n_tokens long, ids array<int>")
     (
@@ -134,14 +201,18 @@ def write_token_files(docs: DataFrame, path: str, vocab: str, end_id: int = END_
         .option("parquet.page.size", page_bytes)
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
         .option("parquet.writer.version", "v2")
+        .option("maxRecordsPerFile", max(1, 2 * rows * file_bytes // max(total, 1)))
         .parquet(path)
     )
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with ``file`` (place of the file in the order) beside doc_id, n_tokens and ids."""
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    return spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path).withColumn("file", part)
+    """Rows with ``file`` and ``row`` (places of the file in the order and of the row in it) beside doc_id, n_tokens and ids."""
+    name = F.col("_metadata.file_name")
+    # the task's number, then the file's among the task's
+    place = F.regexp_extract(name, r"part-(\d+)", 1).cast("long") * 1_000_000 + F.regexp_extract(name, r"-c(\d+)", 1).cast("long")
+    read = spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path)
+    return read.select("doc_id", "n_tokens", "ids", place.alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +233,8 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     rows = read_token_files(spark, path)
     files = cut(rows.groupBy("file").agg(F.sum("n_tokens").alias("n")))  # reads the counts alone
     before = files.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).select("file", "before")
-    read = rows.select("file", "doc_id", "n_tokens", "ids").mapInArrow(_crc, "file int, doc_id long, n_tokens long, n_read long, ids_crc32 long")
-    order = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_read", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    read = rows.select("file", "row", "doc_id", "n_tokens", "ids").mapInArrow(_crc, "file long, row long, doc_id long, n_tokens long, n_read long, ids_crc32 long")
+    order = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return read.join(before, "file").select("doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long").alias("start"), F.col("n_read").alias("n_tokens"), "ids_crc32")
 
 

@@ -272,6 +272,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """Documents with a score under 0.5, with all their columns."""
+    """Documents with a score under 0.5, with all their columns, whatever their names.
+
+    Null and empty texts have the score of a text without terms; repeated rows stay or go
+    together; without labels of both classes all documents have one score; an empty table
+    gives no rows.
+    """
     model = fit(docs, labels.where(crc32_mod(F.col("doc_id"), FOLDS) != 0), most)
-    return docs.withColumn("_score", score(F.col("text"), model)).where("_score < 0.5").select(*docs.columns)
+    return docs.where(score(F.col("text"), model) < 0.5)

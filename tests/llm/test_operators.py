@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import xxhash
 
 from ledgerloom.llm import chat, chunk_dedup, decontaminate, embed_dedup, html_extract, hpy_lm, mixing, queries, token_files, toxicity
 
@@ -263,18 +264,17 @@ def test_token_files(spark, tmp_path, encoding):
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(
-        spark.createDataFrame([(-5, None), (-4, ""), (-4, "dup x it's 12 İ é  tab\tend <|endoftext|>"), (-4, ""), (None, " x ")], "doc_id long, text string")
+        spark.createDataFrame([(-5, None), (-4, ""), (-4, "dup x it's 12 İ é  tab\tend <|endoftext|>"), (-4, ""), (None, " x "), (-3, "long " * 200_000)], "doc_id long, text string")
     )
     t = Tokenizer.from_file(queries.vocabulary())
-    t.encode_special_tokens = True
-    rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -99, [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in docs.collect()), key=lambda r: r[0])
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    place = lambda r: ((r["doc_id"] is not None, r["doc_id"] or 0), signed(xxhash.xxh64_intdigest((r["text"] or "").encode(), 42)) if r["text"] is not None else 42)
+    rows = [(r["doc_id"], [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in sorted(docs.collect(), key=place)]
     path = str(tmp_path / "ids")
     token_files.write_token_files(docs, path, queries.vocabulary(), encoding=encoding, file_bytes=100_000)
-    got = [(r["doc_id"] if r["doc_id"] is not None else -99, r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_digest(spark, path).collect()]
-    got.sort(key=lambda r: r[1])
-    assert [g[0] for g in got] == [r[0] for r in rows]
-    assert [g[1] for g in got] == np.cumsum([0, *[g[2] for g in got]])[:-1].tolist()
-    assert sorted(g[2:] for g in got) == sorted((len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for _, i in rows)
+    got = sorted((tuple(r) for r in token_files.token_digest(spark, path).select("start", "doc_id", "n_tokens", "ids_crc32").collect()), key=lambda r: r[0])
+    starts = np.cumsum([0, *[len(i) for _, i in rows]])[:-1].tolist()
+    assert got == [(s, d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for s, (d, i) in zip(starts, rows, strict=True)]
     assert token_files.read_token_files(spark, path).select("file").distinct().count() > 1
     import pyarrow.parquet as pq
 
@@ -286,10 +286,9 @@ def test_words_apart_have_the_ids_of_the_whole_text():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary())
-    t.encode_special_tokens = True
     rng = np.random.default_rng(8)
-    signs = np.array(list("aZhHsS09''``,.!<&-_~ \t\x0b\x85\u2028\u0338\u0331\u0307éÉİßK中") + ["'ll", "'S", "re,", "it's", "<|endoftext|>"])
-    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)]
+    signs = np.array(list("aZhHsS09''``,.!<=&-_~ \t\x0b\x1f\x85\u2028\u0338\u0331\u0307\u20e3éÉİßK中") + ["'ll", "'S", "re,", "it's", "5's", "<|endoftext|>", "<|ENDOFTEXT|>"], dtype=object)
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(6000)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
     got = [ids for b in token_files._encoder(queries.vocabulary(), 2)(iter([batch])) for ids in b.column(2).to_pylist()]
     assert got == [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
