@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source with ``size`` words and target ``T`` wants ``T / size`` copies of each
-document. The whole part is certain: every document is taken that often. The rest is
-an inclusion probability p, and documents are ranked by their random odds divided by
-their inclusion odds, u / (1 - u) : p / (1 - p), with u a hash of the document. The
-sample is the head of that order; its fixed size is counted in words, so it ends at
+A source with ``size`` words and target ``T`` takes each of its documents
+``floor(T / size)`` times: these whole copies are certain. The words still missing are
+drawn with unequal probabilities, in proportion to a document's size: p = l * size, with
+l such that the expected words are those missing; documents for which that would exceed 1
+are certain too, and l is that of the others. Those are ranked by their random odds
+divided by their inclusion odds, u / (1 - u) : p / (1 - p), with u a hash of the document.
+The sample is the head of that order; its fixed size is counted in words, so it ends at
 the document whose inclusion brings the words closest to the target.
 
-The order of a source is never sorted in one task: ranks fall into buckets by u, the
-words of each (source, bucket) are summed first, a running sum over at most
-``BUCKETS`` rows a source finds the bucket that holds the end, and only its documents
-are sorted, about one in ``BUCKETS``.
+``l`` comes from the counts of each (source, size). The order of a source is never sorted
+in one task: ranks fall into buckets, the words of each (source, bucket) are summed first,
+a running sum over at most ``BUCKETS`` rows a source finds the bucket that holds the end,
+and only its documents are sorted, about one in ``BUCKETS``.
 """
 
 from __future__ import annotations
@@ -61,13 +63,29 @@ def by_source_join(x: DataFrame, per_source: DataFrame, how: str) -> DataFrame:
     return x.join(per_source, x["source"].eqNullSafe(per_source["_s"]), how).drop("_s")
 
 
+def inclusion(sized: DataFrame, t: DataFrame) -> DataFrame:
+    """``source``, ``most_drawn``, ``per_word``, ``certain``: documents over ``most_drawn`` words are certain and have ``certain`` words; others are drawn with ``per_word`` times their size.
+
+    ``t``: ``_s``, ``rest`` by source. The window runs over the different sizes of a source.
+    """
+    kinds = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    kinds = by_source_join(kinds, t.where("rest > 0").select("_s", "rest"), "inner")
+    words, squares = (F.col("n") * F.col("size")).cast("decimal(38,0)"), F.col("n").cast("decimal(19,0)") * F.col("size").cast("decimal(9,0)") * F.col("size").cast("decimal(9,0)")
+    order = Window.partitionBy("source").orderBy(F.desc("size"))
+    larger = F.coalesce(F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    others = F.sum(squares).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast("double")
+    kinds = kinds.select("source", "size", larger.alias("certain"), ((F.col("rest") - larger) / others).alias("per_word"))
+    fits = kinds.where(F.col("per_word") * F.col("size") <= 1)
+    return fits.groupBy("source").agg(F.max(F.struct("size", "per_word", "certain")).alias("x")).select("source", F.col("x.size").alias("most_drawn"), "x.per_word", "x.certain")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (copies times size).
 
     Null texts have size 0; documents of size 0 are taken as often as is certain and
-    never sampled; null sources form one source, last in order; equal documents
+    never drawn; null sources form one source, last in order; equal documents
     (repeated rows) are ranked in a fixed order; an empty table gives no rows.
-    ``keep`` names further columns to return.
+    ``keep`` names further columns to return; others are ignored.
     """
     keep = tuple(c for c in keep if c != "source")
     sized = docs.select(F.col(id_col), "source", *keep, word_count(F.col("text")).alias("size"))
@@ -77,24 +95,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     t = cut(targets(sized.select("source", "size"), weights, most))
     t = t.withColumn("r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     # at most `most` copies; a share within rounding of a whole number is that number
-    t = t.withColumn("base", F.floor(F.col("r") + 1e-12).cast("int")).withColumn("p", F.greatest(F.col("r") - F.col("base"), F.lit(0.0))).withColumn("rest", F.greatest(F.col("target") - F.col("base") * F.col("source_size"), F.lit(0.0)))
+    t = t.withColumn("base", F.floor(F.col("r") + 1e-12).cast("int")).withColumn("rest", F.when(F.col("r") - F.col("base") > 1e-12, F.col("target") - F.col("base") * F.col("source_size")).otherwise(F.lit(0.0)))
     t = t.withColumnRenamed("source", "_s")
+    chances = cut(inclusion(sized.select("source", "size"), t)).withColumnRenamed("source", "_c")
+    t = cut(t.join(chances, t["_s"].eqNullSafe(chances["_c"]), "left").select("_s", "source_size", "target", "base", "most_drawn", "per_word", (F.col("rest") - F.col("certain")).alias("rest")))
     x = by_source_join(sized, t, "inner")
-    drawn = (F.col("p") > 1e-12) & (F.col("size") > 0)
-    # odds over odds: rising in u, so buckets of u are buckets of the order
-    x = x.withColumn("_b", F.floor(F.col("_u") * BUCKETS).cast("int")).withColumn("_score", F.when(drawn, F.col("_u") / (1 - F.col("_u")) / (F.col("p") / (1 - F.col("p")))))
+    some = F.col("most_drawn").isNotNull() & (F.col("size") > 0)
+    drawn = some & (F.col("size") <= F.col("most_drawn"))
+    p = F.col("per_word") * F.col("size")
+    x = x.withColumn("_score", F.when(drawn, F.col("_u") / (1 - F.col("_u")) * ((1 - p) / p)))
+    # rising in the score, so buckets are stretches of the order
+    x = x.withColumn("_b", F.floor(F.col("_score") / (1 + F.col("_score")) * BUCKETS).cast("int"))
     by_source = Window.partitionBy("source").orderBy("_b")
     sums = x.where(drawn).groupBy("source", "_b").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     ends = sums.withColumn("through", F.sum("words").over(by_source)).withColumn("before", F.col("through") - F.col("words"))
     # the bucket in which the words pass the target: the only one to sort
     end = ends.where((F.col("before") < F.col("rest")) & (F.col("through") >= F.col("rest"))).select(F.col("source").alias("_s"), F.col("_b").alias("_end"), F.col("before").alias("_before"))
     x = by_source_join(x, cut(end), "left")
-    edge = drawn & (F.col("_b") == F.col("_end"))
-    order = Window.partitionBy("source", "_edge").orderBy("_score", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # rows outside the edge get a part of their own each, so that none is large
-    x = x.withColumn("_edge", F.when(edge, F.lit(-1)).otherwise(F.lit(0)))
-    inner = x.where(F.col("_edge") == -1).withColumn("_run", F.col("_before") + F.sum("size").over(order)).withColumn("extra", (F.col("_run") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("_run")
-    outer = x.where(F.col("_edge") == 0).withColumn("extra", F.when(drawn & (F.col("_end").isNull() | (F.col("_b") < F.col("_end"))), 1).otherwise(0))
+    edge = F.coalesce(drawn & (F.col("_b") == F.col("_end")), F.lit(False))
+    order = Window.partitionBy("source").orderBy("_score", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = x.where(edge).withColumn("_run", F.col("_before") + F.sum("size").over(order)).withColumn("extra", (F.col("_run") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("_run")
+    outer = x.where(~edge).withColumn("extra", F.when(some & (~drawn | F.col("_end").isNull() | (F.col("_b") < F.col("_end"))), 1).otherwise(0))
     both = outer.unionByName(inner)
     return both.withColumn("copies", F.col("base") + F.col("extra")).select(id_col, "source", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -114,11 +135,21 @@ WITH sized AS (
 ), t AS (SELECT source, source_size, CASE WHEN lam IS NULL OR ratio < lam THEN cap ELSE lam * w END AS target FROM g
 ), b AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r FROM t
 ), p AS (SELECT *, CAST(floor(r + 1e-12) AS INTEGER) AS base FROM b
-), q AS (SELECT *, greatest(r - base, 0) AS p, greatest(target - base * source_size, 0) AS rest FROM p
+), q AS (SELECT *, CASE WHEN r - base > 1e-12 THEN target - base * source_size ELSE 0.0::DOUBLE END AS rest FROM p
+), k AS (SELECT source, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY ALL
+), m AS (
+  SELECT k.source, k.size, q.rest,
+    CAST(coalesce(sum(k.n * k.size) OVER (PARTITION BY k.source ORDER BY k.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS certain,
+    CAST(sum(CAST(k.n AS HUGEINT) * k.size * k.size) OVER (PARTITION BY k.source ORDER BY k.size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS squares
+  FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source WHERE q.rest > 0
+), d AS (SELECT source, size AS most_drawn, (rest - certain) / squares AS per_word, rest - certain AS left_over FROM m WHERE (rest - certain) / squares * size <= 1
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY size DESC) = 1
 ), x AS (
-  SELECT u.*, q.source_size, q.target, q.base, q.rest, q.p > 1e-12 AND size > 0 AS drawn, u / (1 - u) / (p / nullif(1 - p, 0)) AS score FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source
+  SELECT u.*, q.source_size, q.target, q.base, d.left_over, d.most_drawn IS NOT NULL AND size > most_drawn AS sure, coalesce(size > 0 AND size <= most_drawn, false) AS drawn,
+    CASE WHEN size > 0 AND size <= most_drawn THEN u / (1 - u) * ((1 - per_word * size) / (per_word * size)) END AS score
+  FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source LEFT JOIN d ON u.source IS NOT DISTINCT FROM d.source
 ), y AS (
-  SELECT *, sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY drawn DESC, score, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM x
+  SELECT *, sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY drawn DESC, score, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS run FROM x
 )
-SELECT doc_id, size, source_size, target, CAST((base + CASE WHEN drawn AND run - size / 2.0 <= rest AND run - size < rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM y
+SELECT doc_id, size, source_size, target, CAST((base + CASE WHEN sure OR drawn AND run - size / 2.0 <= left_over THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM y
 """
