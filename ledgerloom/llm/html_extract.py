@@ -1,20 +1,22 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. First pass, context-free: a block in a
-menu, header, footer, sidebar, notice, advert, form or comment container is bad; inside
-an article or main container other blocks are good; elsewhere one with much of its text
-in links is bad, and length and the density of stop words make a block good, bad,
-near-good or short. Second pass: near-good blocks and short blocks take the label of
-the nearest decided blocks before and after; where these disagree the block is bad,
-but a heading takes that of the block after it. On a page that has an article or main
-container, blocks outside it are bad; inside it links do not count against a block, and
-class names of what holds it do not make it bad.
+A page is cut into blocks at block-level tags by one forward scan. First pass, from the
+block alone: link density, length and the density of stop words make a block good, bad,
+near-good or short. Containers add evidence: a block in a menu, header, footer, sidebar,
+notice, advert, form or comment container is bad whatever its text; on a page that has an
+article or main container, so is a block outside it, and inside it a block is never bad
+for its links or its few stop words, only near-good. Second pass: near-good and short
+blocks take the label of the nearest decided blocks before and after; where these disagree
+the block is bad, but a heading takes that of the block after it. In an article only
+decided blocks of articles count as neighbours, and without any the block is good.
+Class names of what holds an article do not make it bad.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,7 +45,10 @@ _HINT = re.compile(
 )
 #: Hints at lists whose items may be articles themselves.
 _LISTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|reply|related|recommended|promo\w*|sponsor\w*|widget)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<!?\??(?P<skip>(?:{_SKIP}))\b[^>]*>.*?(?:</(?P=skip)\s*>|$)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
+#: What follows a tag's name, to its end; a quote counts only as a value. Nothing is tried twice.
+_REST = re.compile(r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>""")
+_END_OF = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in _SKIP.split("|")}
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -67,10 +72,51 @@ def _kind(tag: str, rest: str) -> int:
     return hint if kind == 0 else 2 if hint else kind
 
 
+def tags(page: str):
+    """Text and tags of a page in one forward scan: (text, "", "", False) or ("", tag, rest, closing).
+
+    Comments, declarations and elements whose content is no text are passed over. A
+    comment, tag or such element that never ends takes the rest of the page, as in browsers.
+    """
+    at, n = 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], "", "", False
+            return
+        # a sign that opens nothing is text
+        while lt + 1 < n and not (page[lt + 1] in "/!?" or page[lt + 1].isascii() and page[lt + 1].isalpha()):
+            lt = page.find("<", lt + 1)
+            if lt < 0:
+                yield page[at:], "", "", False
+                return
+        if lt > at:
+            yield page[at:lt], "", "", False
+        closing = page.startswith("</", lt)
+        name = _NAME.match(page, lt + 1 + closing)
+        if name is None:
+            ends = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            end = page.find(ends, lt + 1)
+            at = n if end < 0 else end + len(ends)
+            continue
+        rest = _REST.match(page, name.end())
+        if rest is None:
+            return
+        tag, at = name[0].lower(), rest.end()
+        inner = rest[0][:-1]
+        if not closing and tag in _END_OF:
+            if not inner.endswith("/"):
+                end = _END_OF[tag].search(page, at)
+                at = n if end is None else end.end()
+            continue
+        yield "", tag, inner, closing
+
+
 def blocks(page: str | None) -> list[dict]:
     """Blocks of a page in order: text, tag, link density, in_article, boilerplate."""
     found: list[dict] = []
     stack: list[tuple[str, int, tuple[int, int]]] = []  # tag, kind, hints and list hints that held before it
+    open_tags: Counter = Counter()
     parts: list[str] = []
     linked = total = 0
     in_link, tag_now = False, ""
@@ -80,6 +126,7 @@ def blocks(page: str | None) -> list[dict]:
     def opened(tag: str, kind: int) -> None:
         nonlocal bad, good, hints, lists, any_good
         stack.append((tag, kind, (hints, lists)))
+        open_tags[tag] += 1
         bad += kind == -1
         hints += kind == -2
         lists += kind == -3
@@ -94,6 +141,7 @@ def blocks(page: str | None) -> list[dict]:
     def left() -> str:
         nonlocal bad, good, hints, lists
         tag, kind, (hints, lists) = stack.pop()
+        open_tags[tag] -= 1
         bad -= kind == -1
         good -= kind > 0
         return tag
@@ -107,105 +155,107 @@ def blocks(page: str | None) -> list[dict]:
             parts.clear()
         linked = total = 0
 
-    page = page or ""
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            if stack and stack[-1][0] == "head" and piece.strip():
-                close()
-                left()
+    for piece, tag, rest, closing in tags(page or ""):
+        in_head = stack and stack[-1][0] == "head"
+        # the end tag of head can be left out
+        if in_head and (piece.strip() if piece else not closing and tag not in _IN_HEAD):
+            close()
+            left()
+        if piece:
             parts.append(piece)
             n = len(piece.strip())
             total += n
             linked += n * in_link
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
             continue
-        tag = tag.lower()
-        if stack and stack[-1][0] == "head" and not m["close"] and tag not in _IN_HEAD:  # the end tag of head can be left out
-            close()
-            left()
         if tag == "a":
-            in_link = not m["close"]
+            in_link = not closing
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in _BLOCK:
-            kind = 0 if m["close"] or tag in _VOID else _kind(tag, m["rest"])
-            if kind == 0 and not (m["close"] and any(t == tag for t, *_ in stack)):
+            kind = 0 if closing or tag in _VOID else _kind(tag, rest)
+            if kind == 0 and not (closing and open_tags[tag]):
                 continue
         close()
         in_link = False
-        if m["close"]:
-            if any(t == tag for t, *_ in stack):
+        if closing:
+            if open_tags[tag]:
                 while left() != tag:
                     pass
             tag_now = stack[-1][0] if stack else ""
         else:
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag[0] == "h" and tag[1:].isdigit():
+            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or _heading(tag):
                 while stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":  # an open one of the same kind ends here
                     left()
             if tag not in _VOID:
-                opened(tag, _kind(tag, m["rest"]))
+                opened(tag, _kind(tag, rest))
             tag_now = tag
-    if at < len(page) and not page[at:].startswith("<"):
-        if stack and stack[-1][0] == "head" and page[at:].strip():
-            close()
-            left()
-        parts.append(page[at:])
-        total += len(page[at:].strip())
     close()
     return found
 
 
-def first_pass(b: dict, articles: bool) -> str:
-    """good, bad, near or short, from the block alone."""
-    if b["boilerplate"] or articles and not b["in_article"]:
-        return "bad"
-    if b["in_article"]:
-        return "good"
+def _heading(tag: str) -> bool:
+    return tag[:1] == "h" and tag[1:].isdigit()
+
+
+def first_pass(b: dict, articles: bool) -> tuple[str, str]:
+    """good, bad, near or short, and the rule that says so."""
+    if b["boilerplate"]:
+        return "bad", "boilerplate"
+    if articles and not b["in_article"]:
+        return "bad", "outside"
+    worst = "near" if b["in_article"] else "bad"
     if b["links"] > LINKS_MOST:
-        return "bad"
+        return worst, "links"
     n, words = len(b["text"]), b["text"].lower().split()
     if n < LENGTH_LOW:
-        return "short" if b["links"] == 0 else "bad"
+        return "short" if b["links"] == 0 else worst, "length"
     stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
     if stops >= STOPS_HIGH:
-        return "good" if n > LENGTH_HIGH else "near"
-    return "near" if stops >= STOPS_LOW else "bad"
+        return "good" if n > LENGTH_HIGH else "near", "stop words"
+    return "near" if stops >= STOPS_LOW else worst, "stop words"
 
 
-def second_pass(labels: list[str], tags: list[str]) -> list[bool]:
+def second_pass(labels: list[str], found: list[dict]) -> list[bool]:
     """Undecided blocks inherit from the nearest decided ones."""
-    n, before, after = len(labels), [""] * len(labels), [""] * len(labels)
-    seen = ""
-    for i in range(n):
-        before[i] = seen
-        seen = labels[i] if labels[i] in ("good", "bad") else seen
-    seen = ""
-    for i in reversed(range(n)):
-        after[i] = seen
-        seen = labels[i] if labels[i] in ("good", "bad") else seen
-    out = []
+    n = len(labels)
+    sides: list[list[tuple[str, str]]] = []  # before and after each block: the nearest label of all, the nearest in articles
+    for order in (range(n), reversed(range(n))):
+        seen, inside, out = "", "", [("", "")] * n
+        for i in order:
+            out[i] = (seen, inside)
+            if labels[i] in ("good", "bad"):
+                seen = labels[i]
+                inside = labels[i] if found[i]["in_article"] and not found[i]["boilerplate"] else inside
+        sides.append(out)
+    keep = []
     for i, x in enumerate(labels):
+        within = found[i]["in_article"]
+        before, after = (s[i][within] for s in sides)
         if x in ("good", "bad"):
-            out.append(x == "good")
-        elif tags[i][:1] == "h" and tags[i][1:].isdigit():
-            out.append(after[i] == "good")
+            keep.append(x == "good")
+        elif within and not before and not after:
+            keep.append(True)
+        elif _heading(found[i]["tag"]) and (after or not within):
+            keep.append(after == "good")
         else:
-            sides = {before[i], after[i]} - {""}
-            out.append(sides == {"good"} or x == "near" and ("good" in sides or not sides) or x == "short" and not sides and n == 1)
-    return out
+            near = {before, after} - {""}
+            keep.append(near == {"good"} or x == "near" and ("good" in near or not near) or x == "short" and not near and n == 1)
+    return keep
 
 
-def main_text(page: str | None) -> str:
+def decisions(page: str | None) -> list[tuple[str, str, str, bool]]:
+    """Text, first label, rule and whether it is kept, of each block."""
     found = blocks(page)
     articles = any(b["in_article"] and not b["boilerplate"] for b in found)
-    keep = second_pass([first_pass(b, articles) for b in found], [b["tag"] for b in found])
-    return " ".join(b["text"] for b, k in zip(found, keep, strict=True) if k)
+    first = [first_pass(b, articles) for b in found]
+    keep = second_pass([x for x, _ in first], found)
+    return [(b["text"], x, rule, k) for b, (x, rule), k in zip(found, first, keep, strict=True)]
+
+
+def main_text(page: str | None) -> str:
+    return " ".join(text for text, _, _, kept in decisions(page) if kept)
 
 
 def extract(html_col: Column) -> Column:
