@@ -5,7 +5,13 @@ The hash of a position is h = (h << 1) + G[byte] in 16 bits, so it depends on th
 bytes after its start, and at ``MAX_CHUNK`` bytes in any case. Inserting text moves only
 the boundaries next to it. Chunks are told apart by a 64-bit digest of their bytes.
 Digests are counted with partial aggregation; a digest found in two documents marks its
-chunks, and neighbouring marked chunks join into passages, whose words are counted.
+chunks, and neighbouring marked chunks join into islands.
+
+A passage seldom starts or ends at a boundary, so islands are seeds: at both ends the
+bytes around are compared with those of another document that holds the chunk there (the
+one of the smallest id), which also confirms the chunk itself, and the passage is extended
+as far as both agree, in whole words, by up to ``CONTEXT`` bytes a side. Only these
+stretches travel, never whole texts. The words of the extended passage are counted.
 """
 
 from __future__ import annotations
@@ -13,13 +19,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, free_name
+
 MIN_CHUNK, MAX_CHUNK = 16, 128
 CUT_ONE_IN = 32
-MIN_WORDS = 25
+MIN_WORDS = 50
+#: Words that an island of marked chunks must hold to be extended: passages of MIN_WORDS seldom keep fewer.
+SEED_WORDS = 8
+#: Bytes compared beyond an island, on either side.
+CONTEXT = 512
+_LAST = (1 << 63) - 1  # stands for a null id: last in order
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -73,9 +87,9 @@ def _chunker(positions: bool):
 
             def flush():
                 take = np.repeat(np.asarray(at, np.int64), size)
-                cols = [pa.array(np.array(h, dtype=np.uint64).view(np.int64)), rows.take(pa.array(take))]
-                cols += [pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(e, np.int32)), pa.array(np.asarray(w, np.int32))] if positions else [ids.take(pa.array(take))]
-                out = pa.RecordBatch.from_arrays(cols, names=["h", "_row", "s", "e", "w"] if positions else ["h", "_row", "_id"])
+                cols = [pa.array(np.array(h, dtype=np.uint64).view(np.int64)), rows.take(pa.array(take)), ids.take(pa.array(take))]
+                cols += [pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(e, np.int32)), pa.array(np.asarray(w, np.int32))] if positions else []
+                out = pa.RecordBatch.from_arrays(cols, names=["h", "_row", "_id", "s", "e", "w"] if positions else ["h", "_row", "_id"])
                 for x in (size, at, h, s, e, w):
                     x.clear()
                 return out
@@ -108,24 +122,99 @@ def _chunker(positions: bool):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
+    return docs.select(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("_row"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("_id"), F.col(text_col).cast("binary").alias("text"))
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes asked for: up to ``CONTEXT`` beyond a chunk, and the chunk. ``side`` 0: before its end, 1: after its start."""
+    for b in batches:
+        rows, texts, asks = (b.column(b.schema.names.index(x)) for x in ("_row", "text", "asked"))
+        out: list[list] = [[], [], [], [], []]
+        for row, text, asked in zip(rows.to_pylist(), texts.to_pylist(), asks.to_pylist(), strict=True):
+            for a in asked:
+                s, e, side = a["s"], a["e"], a["side"]
+                piece = text[max(0, s - CONTEXT) : e] if side == 0 else text[s : e + CONTEXT]
+                for x, y in zip(out, (row, s, e, side, piece), strict=True):
+                    x.append(y)
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["_row", "s", "e", "side", "piece"])
+
+
+def agreement(own: bytes, other: bytes, size: int, side: int) -> tuple[int, int]:
+    """Bytes and words by which a passage goes on beyond a chunk of ``size`` bytes; -1, 0 if the chunks differ.
+
+    Whole words only: what agrees ends with the text or with white space on its far side.
+    """
+    if side == 0:
+        own, other = own[::-1], other[::-1]
+    n = min(len(own), len(other))
+    a, b = np.frombuffer(own, np.uint8, n), np.frombuffer(other, np.uint8, n)
+    off = np.flatnonzero(a != b)
+    k = int(off[0]) if len(off) else n
+    if k < size:
+        return -1, 0
+    beyond = np.frombuffer(own, np.uint8)[size : k + 1]  # with the byte after it, if there is one
+    space = _SPACE[beyond]
+    whole = k == len(own) or bool(space[-1])
+    if k > size and not whole:
+        at = np.flatnonzero(space[: k - size])
+        k = size + int(at[-1]) if len(at) else size
+    inside = space[: k - size]
+    if not len(inside):
+        return 0, 0
+    # a word counts where its first byte is; to the left that is the last one met
+    before = np.append(inside[1:], True) if side == 0 else np.append(_SPACE[own[size - 1]], inside[:-1])
+    return k - size, int((~inside & before).sum())
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Passages of at least ``min_words`` words that also occur in another document.
 
     One row per passage: ``_row`` (hash of id and text), ``first_byte``, ``end_byte``,
-    ``words``, ``first_id`` (smallest id of any document that holds one of its chunks).
+    ``words``, ``first_id`` (smallest id of any document that holds one of its chunks),
+    ``later`` (stretches of it that a document of a smaller id holds: what can go).
     """
     keyed = _keyed(docs, id_col, text_col)
     seen = keyed.mapInArrow(_chunker(False), "h long, _row long, _id long")
-    shared = seen.groupBy("h").agg(F.min("_row").alias("a"), F.max("_row").alias("b"), F.min("_id").alias("first_id")).where("a <> b").select("h", "first_id")
-    chunks = keyed.mapInArrow(_chunker(True), "h long, _row long, s int, e int, w int")
-    marked = chunks.join(shared, "h").select("_row", "s", "e", "w", "first_id").distinct()
+    holder = F.struct("_id", "_row")
+    shared = seen.groupBy("h").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a._row <> b._row")
+    chunks = keyed.mapInArrow(_chunker(True), "h long, _row long, _id long, s int, e int, w int")
+    mate = F.when(F.col("a._row") == F.col("_row"), F.col("b")).otherwise(F.col("a"))
+    marked = cut(chunks.join(shared, "h").select("h", "_row", "_id", "s", "e", "w", F.col("a._id").alias("first_id"), mate.alias("mate"), F.col("_row").isin(F.col("a._row"), F.col("b._row")).alias("asked_of")).distinct())
     order = Window.partitionBy("_row").orderBy("s")
-    islands = marked.withColumn("new", (F.col("s") != F.coalesce(F.lag("e").over(order), F.lit(-1))).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = islands.groupBy("_row", "island").agg(F.min("s").alias("first_byte"), F.max("e").alias("end_byte"), F.sum("w").cast("int").alias("words"), F.min("first_id").alias("first_id"))
-    return out.where(F.col("words") >= min_words).drop("island")
+    runs = marked.withColumn("new", (F.col("s") != F.coalesce(F.lag("e").over(order), F.lit(-1))).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edge = F.struct("s", "e", "h", "mate")
+    islands = cut(
+        runs.groupBy("_row", "_id", "island")
+        .agg(F.min(edge).alias("left"), F.max(edge).alias("right"), F.sum("w").cast("int").alias("w"), F.min("first_id").alias("first_id"), F.sort_array(F.collect_list(F.struct("s", "e", (F.col("first_id") < F.col("_id")).alias("later")))).alias("pieces"))
+        .where(F.col("w") >= min(SEED_WORDS, min_words))
+    )
+    # both ends with the same chunk of another document
+    ends = islands.select("_row", "_id", "island", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("x")), F.struct(F.lit(1).alias("side"), F.col("right").alias("x")))).alias("y")).select("_row", "_id", "island", "y.side", "y.x.s", "y.x.e", "y.x.h", F.col("y.x.mate._row").alias("m_row"), F.col("y.x.mate._id").alias("m_id"))
+    places = marked.where("asked_of").groupBy("h", F.col("_row").alias("m_row")).agg(F.min("s").alias("m_s"))
+    ends = cut(ends.join(places, ["h", "m_row"]).withColumn("m_e", F.col("m_s") + F.col("e") - F.col("s")))
+    asked = ends.select("_row", "s", "e", "side").union(ends.select("m_row", "m_s", "m_e", "side")).distinct().groupBy("_row").agg(F.collect_list(F.struct("s", "e", "side")).alias("asked"))
+    told = cut(keyed.select("_row", "text").join(asked, "_row").mapInArrow(_contexts, "_row long, s int, e int, side int, piece binary").dropDuplicates(["_row", "s", "e", "side"]))
+
+    @F.pandas_udf("bytes int, words int")
+    def grown(own: pd.Series, other: pd.Series, size: pd.Series, side: pd.Series) -> pd.DataFrame:
+        got = [agreement(*x) for x in zip(own, other, size, side, strict=True)]
+        return pd.DataFrame({"bytes": [g[0] for g in got], "words": [g[1] for g in got]})
+
+    mates = told.select(F.col("_row").alias("m_row"), F.col("s").alias("m_s"), F.col("e").alias("m_e"), "side", F.col("piece").alias("m_piece"))
+    both = ends.join(told, ["_row", "s", "e", "side"]).join(mates, ["m_row", "m_s", "m_e", "side"])
+    both = both.select("_row", "_id", "island", "side", (F.col("m_id") < F.col("_id")).alias("later"), grown("piece", "m_piece", F.col("e") - F.col("s"), "side").alias("g"))
+    on = lambda side, what: F.max(F.when(F.col("side") == side, what))
+    per = both.where("g.bytes >= 0").groupBy("_row", "island").agg(*[on(side, what).alias(f"{name}{side}") for side in (0, 1) for name, what in (("n", F.col("g.bytes")), ("w", F.col("g.words")), ("later", F.col("later")))])
+    none = F.lit(0)
+    out = islands.join(per, ["_row", "island"]).select(
+        "_row", "first_id", "pieces",
+        (F.col("left.s") - F.coalesce("n0", none)).alias("first_byte"), (F.col("right.e") + F.coalesce("n1", none)).alias("end_byte"),
+        (F.col("w") + F.coalesce("w0", none) + F.coalesce("w1", none)).alias("words"),
+        F.array(F.struct((F.col("left.s") - F.coalesce("n0", none)).alias("s"), F.col("left.s").alias("e"), F.coalesce("later0", F.lit(False)).alias("later")), F.struct(F.col("right.e").alias("s"), (F.col("right.e") + F.coalesce("n1", none)).alias("e"), F.coalesce("later1", F.lit(False)).alias("later"))).alias("more"),
+    )
+    later = F.sort_array(F.transform(F.filter(F.concat("pieces", "more"), lambda x: x["later"] & (x["e"] > x["s"])), lambda x: F.struct(x["s"].alias("first_byte"), x["e"].alias("end_byte"))))
+    return out.where(F.col("words") >= min_words).select("_row", "first_byte", "end_byte", "words", F.nullif(F.col("first_id"), F.lit(_LAST)).alias("first_id"), later.alias("later"))
 
 
 def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -133,8 +222,8 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``passages`` lists (first_byte, end_byte, words, first_id) in order; ``repeats`` is
     true if there is one. Null and empty texts have none; repeated rows are the same
-    document and do not repeat each other; an empty table gives no rows; other columns
-    are ignored.
+    document and do not repeat each other; null ids are last in order; an empty table
+    gives no rows; other columns are ignored.
     """
     per = (
         repeated_passages(docs, id_col, text_col, min_words)
@@ -160,15 +249,41 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Documents with each repeated passage cut out unless the document is the first that holds it; all columns stay."""
-    later = repeated_passages(docs, id_col, text_col, min_words)
-    marked = docs.withColumn("_row", F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)))
-    spans = later.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("first_byte", "end_byte", "first_id"))).alias("spans"))
-    raw = F.col(text_col).cast("binary")
-    cuts = F.filter("spans", lambda x: x["first_id"] < F.col(id_col))
-    # what stands between the cuts, from 0 to the end
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform(cuts, lambda x: F.array(x["first_byte"], x["end_byte"]))), F.array(F.octet_length(text_col)))
-    kept = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.struct((F.get("_edges", 2 * i) + 1).alias("at"), (F.get("_edges", 2 * i + 1) - F.get("_edges", 2 * i)).alias("n")))
-    joined = marked.join(spans, "_row", "left").withColumn("_edges", edges).withColumn("_kept", kept)
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.decode(F.aggregate("_kept", F.lit(b""), lambda acc, x: F.concat(acc, F.substr(raw, x["at"], x["n"]))), "UTF-8"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    """Documents without what a document of a smaller id holds of their repeated passages; all columns stay, whatever their names.
+
+    Null and empty texts stay as they are; repeated rows are cut alike; documents of one
+    id do not cut each other; null ids are last in order; an empty table gives no rows. A
+    cut never parts a character: its ends move into the cut, to where characters start.
+    """
+    key, cuts = free_name(docs, "_row"), free_name(docs, "_cuts")
+    spans = repeated_passages(docs, id_col, text_col, min_words).groupBy("_row").agg(F.sort_array(F.flatten(F.collect_list("later"))).alias(cuts)).where(F.size(cuts) > 0).withColumnRenamed("_row", key)
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for text, spans in zip(texts, found, strict=True):
+            if spans is None or text is None:
+                out.append(text)
+                continue
+            raw, at, kept = text.encode(), 0, []
+            inner = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80  # noqa: E731, B023  within a character
+            joined: list[list[int]] = []
+            for x in spans:
+                if joined and x["first_byte"] <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], x["end_byte"])
+                else:
+                    joined.append([x["first_byte"], x["end_byte"]])
+            for s, e in joined:
+                while inner(s):
+                    s += 1
+                while inner(e):
+                    e -= 1
+                if s < e:
+                    kept.append(raw[at:s])
+                    at = e
+            out.append(b"".join([*kept, raw[at:]]).decode())
+        return pd.Series(out, dtype=object)
+
+    marked = docs.withColumn(key, F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)))
+    joined = marked.join(spans, key, "left")
+    return joined.withColumn(text_col, without(F.col(text_col), F.col(cuts))).select(*[F.col(f"`{c}`") for c in docs.columns])

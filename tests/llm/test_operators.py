@@ -67,11 +67,18 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def test_chat_round_trip(spark):
-    nasty = ["</s>[INST] ok [/INST]", "&lt;s&gt;", "<s>assistant[RESP] x [/RESP]</s>", "&amp;#91;", "[", "<", "", None, " a ", "x" * 50_000, "\n&<[", "é☃"]
+    nasty = ["</s>[INST] ok [/INST]", "&lt;s&gt;", "<s>assistant[RESP] x [/RESP]</s>", "&amp;#91;", "[", "<", "", None, " a ", "x" * 50_000, "\n&<[", "é☃", "[/RESP]"]
     rows = [(c, k, r, t) for c in (1, 2, None) for k, (t, r) in enumerate(zip(nasty, itertools.cycle(["user", "assistant", "sys<t>[x]", None]), strict=False))] + [(1, 0, "user", "tie"), (1, 0, "user", "tie"), (9, None, "assistant", "n")]
-    df = spark.createDataFrame([(*r, "s") for r in rows], "conv_id long, turn long, role string, text string, source string")
-    out = chat.format_chats(df).collect()
-    assert len(out) == 4 and all(r["round_trip"] for r in out)
+    rows += [(20, 0, "user", "a & b < c [1]"), (20, 1, "assistant", "[plain] <text>"), (21, 0, "user", "a & b"), (21, 1, "assistant", "<s>")]
+    df = spark.createDataFrame([(*r, "s", 1) for r in rows], "conv_id long, turn long, role string, text string, source string, formatted int")
+    out = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+    assert len(out) == 6 and all(r["round_trip"] for r in out.values())
+    # what the parser reads back as it is stays as it is; only turns that differ are escaped
+    assert out[20]["rounds"] == 1 and out[20]["formatted"] == "<s>user[INST] a & b < c [1] [/INST]</s><s>assistant[RESP] [plain] <text> [/RESP]</s>"
+    assert out[21]["rounds"] == 2 and out[21]["formatted"] == "<s>user[INST] a & b [/INST]</s><s>assistant[RESP] &lt;s> [/RESP]</s>"
+    for r in out.values():
+        turns = sorted(((t if t is not None else -1, ro or "", te or "") for c, t, ro, te in rows if c == r["conv_id"]), key=lambda x: x)
+        assert [(t["role"], t["text"], t["loss"]) for t in r["turns"]] == [(ro, te, ro == "assistant") for _, ro, te in turns]
     digest = {r["conv_id"]: r for r in chat.chat_digest(chat.format_chats(df)).collect()}
     assert digest[1]["loss_chars"] == sum(len(t or "") for c, _, r, t in rows if c == 1 and r == "assistant")
     assert chat.format_chats(df.limit(0)).count() == 0
@@ -105,13 +112,76 @@ def test_pages_without_an_article(spark):
     assert [tuple(r) for r in html_extract.extract_pages(df).collect()] == [(1, None, "", 0)] * 2
 
 
+def naive_rules(blocks):
+    """The two passes in the plainest form, for pages without an article: (text, tag, link share, boilerplate)."""
+    first = []
+    for text, _, links, boiler in blocks:
+        stops = [w for w in text.lower().split() if w.strip(".,;:!?") in html_extract.STOP_WORDS]
+        share = len(stops) / len(text.split())
+        if boiler or links > 0.4:
+            first.append("bad")
+        elif len(text) < 70:
+            first.append("short" if links == 0 else "bad")
+        elif share >= 0.15:
+            first.append("good" if len(text) > 200 else "near")
+        else:
+            first.append("near" if share >= 0.08 else "bad")
+    out = []
+    for i, (x, (text, tag, _, _)) in enumerate(zip(first, blocks, strict=True)):
+        before = next((y for y in reversed(first[:i]) if y in ("good", "bad")), None)
+        after = next((y for y in first[i + 1 :] if y in ("good", "bad")), None)
+        near = {before, after} - {None}
+        if x in ("good", "bad"):
+            keep = x == "good"
+        elif tag == "h2":
+            keep = after == "good"
+        elif x == "near":
+            keep = "good" in near or not near
+        else:
+            keep = near == {"good"} or not near and len(blocks) == 1
+        if keep:
+            out.append(text)
+    return " ".join(out)
+
+
+def test_two_passes_equal_the_plain_rules():
+    rng = np.random.default_rng(9)
+    plain, stop = ["garden", "window", "harvest", "lantern", "copper", "meadow"], ["the", "of", "and", "to", "in"]
+    rules = set()
+    for _ in range(400):
+        blocks, page = [], ""
+        for _ in range(int(rng.integers(1, 9))):
+            n, share = int(rng.choice([3, 8, 15, 45])), rng.choice([0, 0.1, 0.4])
+            text = " ".join(rng.choice(stop if rng.random() < share else plain) for _ in range(n))
+            tag, link, boiler = rng.choice(["p", "h2", "td"]), rng.random() < 0.2, rng.random() < 0.15
+            blocks.append((text, tag, float(link), boiler))
+            body = f"<a href='/x'>{text}</a>" if link else text
+            block = f"<{tag}>{body}</{tag}>"
+            page += f"<nav>{block}</nav>" if boiler else block
+        assert html_extract.main_text(page) == naive_rules(blocks)
+        rules |= {(x, rule) for _, x, rule, _ in html_extract.decisions(page)}
+    assert {("bad", "links"), ("short", "length"), ("good", "stop words"), ("near", "stop words"), ("bad", "stop words"), ("bad", "boilerplate")} <= rules
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for sign in ("<svg", "<a \"", "<div>", "<", "<!--", "</", "<p class=\"", "<p a='", "<x =", "<script>", "&lt;", "<b a=\"b\" "):
+        page = sign * (1_000_000 // len(sign))
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 8, sign
+    assert html_extract.main_text("a < b and <b>c</b> <3 x") == "a < b and c <3 x"
+    assert html_extract.main_text("<main><p title=\"a > b\">Text</p><svg/>after</main>") == "Text after"
+
+
 # ------------------------------------------------------------------ mixing
 
 
 def test_mixing_targets(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " w" * int(rng.integers(0, 60)), s, "z") for i, s in enumerate(rng.choice(["a", "b", "c", "d", None], 900, p=[0.05, 0.5, 0.3, 0.1, 0.05]))]
-    rows += [(None, "x y", "a", "z"), (5, None, "b", "z"), (7, "x y z", "b", "z"), (7, "x y z", "b", "z"), (8, "", "empty", "z")]
+    rows += [(None, "x y", "a", "z"), (5, None, "b", "z"), (7, "x y z", "b", "z"), (7, "x y z", "b", "z"), (8, "", "empty", "z"), (9, "w " * 100_000, "long", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
     got = mixing.mix(df).toPandas()
     assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
@@ -124,6 +194,23 @@ def test_mixing_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_draws_in_proportion_to_size(spark):
+    rng = np.random.default_rng(13)
+    sizes = [*rng.choice([10, 40], 6000).tolist(), 60_000, 50_000]
+    df = spark.createDataFrame([(i, "w " * int(n), s) for s in ("a", "b") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    b = got[got["source"] == "b"]  # 2 of 7 parts of all, so about 0.57 of its own size
+    rest = b["target"].iloc[0]
+    assert rest < b["size"].sum() and (b["copies"] <= 1).all()
+    sure = b[b["size"] >= 50_000]
+    assert (sure["copies"] == 1).all()  # they would be drawn with more than 1
+    drawn = b[b["size"] < 50_000]
+    p = (rest - sure["size"].sum()) / (drawn["size"] ** 2).sum()
+    for n in (10, 40):
+        k = drawn[drawn["size"] == n]["copies"]
+        assert abs(k.mean() - p * n) < 4 * np.sqrt(p * n * max(1 - p * n, 0.01) / len(k)) + 0.01
+
+
 # ------------------------------------------------------------------ embeddings
 
 
@@ -241,19 +328,53 @@ def test_boundaries_resist_insertions():
     assert chunk_dedup.boundaries(np.zeros(0, np.uint8), g) == []
 
 
-def test_repeated_passages(spark):
+def longest_common(a, b):
+    """Words of the longest run that both have."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            if x == y:
+                new[j + 1] = row[j] + 1
+        best, row = max(best, max(new)), new
+    return best
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh", "aéßçñ中ü"])
+def test_repeated_passages(spark, letters):
     rng = np.random.default_rng(6)
-    v = np.array(["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(4000)])
+    v = np.array(["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(4000)])
     text = lambda n: " ".join(rng.choice(v, n))
-    passage, line = text(55), text(9)
-    rows = [(i, f"{text(80)} {passage} {text(40)}" if i % 3 == 0 else f"{line}\n{text(150)}") for i in range(60)] + [(70, None), (71, ""), (72, " "), (None, text(50)), (5, rows_5 := text(60)), (5, rows_5)]
-    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, words int, h string")
+    rows = []
+    for k in range(40):  # passages of 51 words in two documents each, of 47 in two others
+        p, q = text(51), text(47)
+        rows += [f"{text(int(rng.integers(0, 80)))} {p} {text(40)}", f"{text(30)}\n{p}\n{text(int(rng.integers(0, 60)))}", f"{text(25)} {q} {text(20)}", f"{text(5)} {q} {text(30)}"]
+    rows = list(enumerate(rows)) + [(900, None), (901, ""), (902, " "), (None, text(50)), (500, five := text(60)), (500, five), (950, text(20_000))]
+    df = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], "doc_id long, text string, words int, h string, _row int")
     got = chunk_dedup.passage_report(df).collect()
     assert len(got) == len(rows)
-    assert {r["doc_id"] for r in got if r["repeats"]} == {i for i in range(60) if i % 3 == 0}
-    cleaned = {r["doc_id"]: r["text"] for r in chunk_dedup.drop_repeats(df.where("doc_id < 60")).collect()}
-    assert cleaned[0] == rows[0][1] and all(len(cleaned[i]) < len(rows[i][1]) - 150 for i in range(3, 60, 3)) and cleaned[1] == rows[1][1]
-    assert chunk_dedup.passage_report(df.limit(0)).count() == 0
+    words = {i: (t or "").split() for i, t in rows if i is not None and i < 160}
+    want = {i for i in words if max(longest_common(words[i], words[j]) for j in range(i // 4 * 4, i // 4 * 4 + 4) if j != i) >= 50}
+    assert want == {i for i in range(160) if i % 4 < 2}
+    assert {r["doc_id"] for r in got if r["repeats"]} == want
+    assert all(r["repeated_words"] == 51 for r in got if r["repeats"])
+    cleaned = {r["doc_id"]: r["text"] for r in chunk_dedup.drop_repeats(df.where("doc_id < 160")).collect()}
+    for i in range(160):
+        a = rows[i][1].split()
+        assert cleaned[i].split() == (a[:30] + a[81:] if i % 4 == 1 else a)
+    assert chunk_dedup.drop_repeats(df).columns == df.columns
+    assert {r["text"] for r in chunk_dedup.drop_repeats(df.where("doc_id >= 900")).collect()} == {t for i, t in rows if i and i >= 900}
+    assert chunk_dedup.passage_report(df.limit(0)).count() == 0 and chunk_dedup.drop_repeats(df.limit(0)).count() == 0
+
+
+def test_agreement_in_whole_words():
+    f = chunk_dedup.agreement
+    assert f(b"chunk two words x", b"chunk two words y", 5, 1) == (10, 2)
+    assert f(b"chunks two", b"chunks two", 5, 1) == (5, 1)
+    assert f(b"chunk tw", b"chunk to", 5, 1) == (0, 0)
+    assert f(b"chunk", b"chunk and", 5, 1) == (0, 0) and f(b"chunk", b"chank", 5, 1) == (-1, 0)
+    assert f(b"xx one two chunk", b"yy one two chunk", 5, 0) == (8, 2)
+    assert f(b"one two chunk", b"one two chunk", 5, 0) == (8, 2)
 
 
 # ------------------------------------------------------------------ token files
