@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which spark.checkpoint.dir names."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names; unset in local mode, where all is one machine: a new one."""
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
         found = spark.sparkContext.getCheckpointDir()
     return found
