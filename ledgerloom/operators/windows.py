@@ -1,33 +1,64 @@
-"""Ranks over a whole table without sorting it in one task."""
+"""Ranks, tiles and medians over large tables without sorting them in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import materialize
 
-def global_ranks(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """Adds ``rank``, ``dense_rank`` and ``running_sum`` (ties share) by ``value``, descending.
 
-    Boundary values deal rows into ranges; each range's counts and sums are added up over
-    the ranges before it (one row each), and rows rank within their range only. Equal
-    values share a range, so ties stay exact. Null values are ranked last.
+def global_ranks(df: DataFrame, value: str, tie: str | None = None, prefix: str = "", once: bool = True) -> DataFrame:
+    """Adds ``rank``, ``dense_rank``, ``row_number`` and ``running_sum`` (ties share) by ``value``, descending.
+
+    Boundary values deal rows into about as many ranges as a shuffle has partitions; each
+    range's counts and sums are added up over the ranges before it (one row each), and rows
+    rank within their range only. Equal values share a range, so ties stay exact;
+    ``row_number`` breaks them by ``tie``, descending. Null values are ranked last.
+    ``once``: materialize the table first, as it is read three times.
     """
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
-    bounds = (cuts.first()[0] or []) if df.columns else []
-    edges = sorted(set(bounds), reverse=True)
-    bucket = F.lit(len(edges) + 1)
-    for k in reversed(range(len(edges))):
-        bucket = F.when(F.col(value) >= F.lit(edges[k]), k).otherwise(bucket)
-    x = df.withColumn("_b", F.when(F.col(value).isNull(), len(edges) + 2).otherwise(bucket))
+    df = materialize(df) if once else df
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    bounds = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    edges = F.array(*[F.lit(b) for b in sorted(set(bounds), reverse=True)])
+    # how many boundaries lie above the value
+    bucket = F.when(F.col(value).isNull(), F.lit(buckets + 1)).otherwise(F.size(F.filter(edges, lambda b: b > F.col(value)))) if bounds else F.lit(0)
+    x = df.withColumn("_b", bucket)
     sums = x.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(value).alias("d"), F.sum(value).alias("s"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in "nds"])
     own = Window.partitionBy("_b").orderBy(F.col(value).desc_nulls_last())
-    ranked = x.join(F.broadcast(offsets), "_b")  # at most buckets + 2 rows
-    return (
-        ranked.withColumn("rank", (F.rank().over(own) + F.col("_n")).cast("long"))
-        .withColumn("dense_rank", (F.dense_rank().over(own) + F.col("_d")).cast("long"))
-        .withColumn("running_sum", F.sum(value).over(own.rangeBetween(Window.unboundedPreceding, 0)) + F.col("_s"))
-        .drop("_b", "_n", "_d", "_s")
-    )
+    each = Window.partitionBy("_b").orderBy(F.col(value).desc_nulls_last(), *([F.desc(tie)] if tie else []))
+    ranked = x.join(F.broadcast(offsets), "_b")  # a row per range
+    out = {
+        "rank": (F.rank().over(own) + F.col("_n")).cast("long"),
+        "dense_rank": (F.dense_rank().over(own) + F.col("_d")).cast("long"),
+        "row_number": (F.row_number().over(each) + F.col("_n")).cast("long"),
+        "running_sum": F.sum(value).over(own.rangeBetween(Window.unboundedPreceding, 0)) + F.col("_s"),
+    }
+    return ranked.select(*df.columns, *[c.alias(f"{prefix}{k}") for k, c in out.items()])
+
+
+def tile(row_number: Column, rows: Column, tiles: int) -> Column:
+    """The tile of a row, as ntile gives it: the first ``rows % tiles`` tiles hold one row more."""
+    small, more = F.floor(rows / tiles), rows % tiles
+    head = more * (small + 1)
+    return F.when(row_number <= head, F.ceil(row_number / (small + 1))).otherwise(more + F.ceil((row_number - head) / F.greatest(small, F.lit(1)))).cast("int")
+
+
+def grouped_median(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """The median of each group, from counts of its different values: no task holds a group's rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by)
+    through = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = counts.withColumn("_through", through).withColumn("_all", F.sum("_n").over(w))
+    low = F.min(F.when(F.col("_through") >= F.floor((F.col("_all") + 1) / 2), F.col(value)))
+    high = F.min(F.when(F.col("_through") >= F.floor(F.col("_all") / 2) + 1, F.col(value)))
+    return c.groupBy(*by).agg(((low + high).cast("double") / 2).alias(name))
+
+
+def rolling_anomaly(df: DataFrame, time: str, metric: str, factor: float = 2.0, width: str = "10 minutes") -> DataFrame:
+    """Rows whose metric exceeds ``factor`` times the mean of their tumbling window."""
+    x = df.withColumn("_w", F.window(F.col(time).cast("timestamp"), width)["start"])
+    mean = x.groupBy("_w").agg((F.sum(metric).cast("double") / F.count(metric)).alias("window_mean"))
+    return x.join(mean, "_w").where(F.col(metric).cast("double") > F.col("window_mean") * factor).drop("_w")

@@ -134,20 +134,11 @@ def ratio_query(key: str, table: str, rules: dict[str, tuple[str, float]], sql_r
 
 
 ratio_query("dq_not_null", "v_orders", {"order_id": ("order_id IS NOT NULL", 1.0), "customer_id": ("customer_id IS NOT NULL", 1.0), "even_only": ("CASE WHEN order_id % 2 = 0 THEN order_id END IS NOT NULL", 0.9)})
-ratio_query("dq_values_in_set", "v_orders", {"known_status": ("status IN ('completed','processing','shipped')", 0.99)})
-ratio_query("dq_range", "v_products", {"price": ("price BETWEEN 20 AND 400", 0.95), "stock": ("stock_quantity BETWEEN 0 AND 100", 0.5)})
 ratio_query("dq_regex", "v_customers", {"name": ("name RLIKE '^(?:Customer#[0-9]+)'", 1.0)}, {"name": "regexp_matches(name, '^(?:Customer#[0-9]+)')"})
 ratio_query("dq_no_future_dates", "v_orders", {"order_date": ("order_date <= DATE '2001-01-01'", 1.0)})
 ratio_query("dq_cross_field", "v_items", {"discounted_total": ("quantity * unit_price * (100 - discount_percent) / 100 <= quantity * unit_price", 1.0)})
 
 
-@query("dq_unique", "SELECT count(order_id) AS filled, count(DISTINCT order_id) AS different, round(CAST(count(DISTINCT order_id) AS DOUBLE) / count(order_id), 6) AS ratio FROM v_items")
-def _(v):
-    # counted by key first, so that no task holds all values
-    k = v("v_items").groupBy("order_id").agg(F.count("order_id").alias("n")).agg(F.sum("n").alias("filled"), F.count("order_id").alias("different"))
-    return k.select("filled", "different", F.round(F.try_divide("different", "filled"), 6).alias("ratio"))
-
-
 @query("top_duplicates", "SELECT order_id, count(*) AS n FROM v_items GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, 1 LIMIT 10")
 def _(v):
     return quality.duplicates(v("v_items"), ["order_id"]).orderBy(F.desc("n"), "order_id").limit(10)
@@ -172,13 +163,6 @@ def _(v):
     return p.crossJoin(stats).where(F.abs(F.col("price") - F.col("m")) > 2 * F.col("s")).select("product_id")
 
 
-@query("dq_score", "SELECT round((1.0 * a + 0.75 * b + 0.5 * c) / 2.25, 6) AS score, (CASE WHEN a < 1 THEN 1 ELSE 0 END)::INT AS critical_failures FROM (SELECT (avg(CASE WHEN total_amount > 0 THEN 1.0::DOUBLE ELSE 0 END) >= 1)::INT AS a, (avg(CASE WHEN status = 'completed' THEN 1.0::DOUBLE ELSE 0 END) >= 0.9)::INT AS b, (avg(CASE WHEN order_date IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) >= 1)::INT AS c FROM v_orders)")
-def _(v):
-    checks = quality.ratio_checks(v("v_orders"), {"critical": (F.col("total_amount") > 0, 1.0), "high": (F.col("status") == "completed", 0.9), "medium": (F.col("order_date").isNotNull(), 1.0)})
-    weight = F.when(F.col("rule_name") == "critical", 1.0).when(F.col("rule_name") == "high", 0.75).otherwise(0.5)
-    return checks.agg(F.round(F.sum(weight * F.col("passed").cast("int")) / F.sum(weight), 6).alias("score"), F.sum(((F.col("rule_name") == "critical") & ~F.col("passed")).cast("int")).cast("int").alias("critical_failures"))
-
-
 @query("dq_value_range_violations", "SELECT count(*) AS n FROM v_items WHERE quantity < 5 OR quantity > 45")
 def _(v):
     return A.accepted_range(v("v_items"), "quantity", 5, 45).agg(F.count(F.lit(1)).alias("n"))
@@ -198,16 +182,6 @@ def _(v):
     return v("v_orders").join(s, "order_id", "left").where(off).select("order_id", "total_amount", "items_total")
 
 
-@query("dq_negative_stock", "SELECT product_id FROM v_products WHERE stock_quantity - 20 < 0")
-def _(v):
-    return v("v_products").where("stock_quantity - 20 < 0").select("product_id")
-
-
-@query("dq_duplicate_orders", "SELECT customer_id, order_date, count(*) AS n FROM v_orders GROUP BY 1, 2 HAVING count(*) > 1")
-def _(v):
-    return quality.duplicates(v("v_orders"), ["customer_id", "order_date"])
-
-
 @query("require_fields", "SELECT order_id FROM v_orders WHERE order_id IS NOT NULL AND nullif(customer_id % 5, 0) IS NOT NULL")
 def _(v):
     return v("v_orders").withColumn("customer_id", F.nullif(F.col("customer_id") % 5, F.lit(0))).dropna(subset=["order_id", "customer_id"]).select("order_id")

@@ -22,6 +22,8 @@ def query(key: str, sql: str):
     """Registers a function of views, called with a reader of views, under ``key``."""
 
     def put(f):
+        if key in QUERIES:
+            raise ValueError(f"{key} is registered twice")
         QUERIES[key] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
         SQL[key] = with_views(sql)
         return f
@@ -65,65 +67,26 @@ def _(v):
 # ------------------------------------------------------------------ cleaning
 
 
-@query("clean_orders", "SELECT order_id, customer_id, upper(status) AS status, total_amount FROM v_orders WHERE order_id IS NOT NULL AND customer_id IS NOT NULL AND total_amount >= 0")
-def _(v):
-    o = v("v_orders").where("order_id IS NOT NULL AND customer_id IS NOT NULL AND total_amount >= 0")
-    return loading.deduplicate(o, ["order_id"], [F.desc("order_date"), "customer_id"]).select("order_id", "customer_id", F.upper("status").alias("status"), "total_amount")
-
-
 @query("order_size_tier", "SELECT order_id, CASE WHEN total_amount < 50 THEN 'Small' WHEN total_amount < 100 THEN 'Medium' WHEN total_amount < 250 THEN 'Large' WHEN total_amount < 500 THEN 'XLarge' ELSE 'Premium' END AS size_tier FROM v_orders")
 def _(v):
     return v("v_orders").select("order_id", C.tier(F.col("total_amount"), [50, 100, 250, 500], ["Small", "Medium", "Large", "XLarge", "Premium"]).alias("size_tier"))
 
 
-@query("order_value_tier_cut", "SELECT order_id, CASE WHEN total_amount > 0 AND total_amount <= 50 THEN 'Low' WHEN total_amount > 50 AND total_amount <= 100 THEN 'Medium' WHEN total_amount > 100 AND total_amount <= 250 THEN 'High' WHEN total_amount > 250 AND total_amount <= 500 THEN 'Very High' WHEN total_amount > 500 THEN 'Top' END AS value_tier FROM v_orders")
-def _(v):
-    return v("v_orders").select("order_id", C.bucketize_right_closed(F.col("total_amount"), [0, 50, 100, 250, 500, None], ["Low", "Medium", "High", "Very High", "Top"]).alias("value_tier"))
-
-
 @query("order_status_flags", "SELECT order_id, status IN ('completed','delivered','shipped') AS is_completed, status IN ('cancelled','refunded') AS is_cancelled, status IN ('pending','processing','on_hold') AS is_pending FROM v_orders")
 def _(v):
     return v("v_orders").select("order_id", done().alias("is_completed"), F.col("status").isin("cancelled", "refunded").alias("is_cancelled"), F.col("status").isin("pending", "processing", "on_hold").alias("is_pending"))
 
 
-@query("order_time_features", "SELECT order_id, year(order_date) AS y, quarter(order_date) AS q, month(order_date) AS m, CAST(isodow(order_date) - 1 AS INT) AS dow, day(order_date) AS dom, isodow(order_date) >= 6 AS is_weekend, day(order_date) <= 7 AS month_start, day(order_date) >= 24 AS month_end, CASE WHEN month(order_date) IN (12,1,2) THEN 'Winter' WHEN month(order_date) <= 5 THEN 'Spring' WHEN month(order_date) <= 8 THEN 'Summer' ELSE 'Fall' END AS season FROM v_orders")
-def _(v):
-    d = F.col("order_date")
-    season = F.when(F.month(d).isin(12, 1, 2), "Winter").when(F.month(d) <= 5, "Spring").when(F.month(d) <= 8, "Summer").otherwise("Fall")
-    return v("v_orders").select("order_id", F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m"), F.weekday(d).alias("dow"), F.dayofmonth(d).alias("dom"), (F.weekday(d) >= 5).alias("is_weekend"), (F.dayofmonth(d) <= 7).alias("month_start"), (F.dayofmonth(d) >= 24).alias("month_end"), season.alias("season"))
-
-
 @query("md5_surrogate_int", "SELECT order_id, CAST('0x' || substr(md5(CAST(order_id AS VARCHAR)), 1, 8) AS BIGINT) AS sk FROM v_orders")
 def _(v):
     return v("v_orders").select("order_id", C.md5_surrogate_int(F.col("order_id")).alias("sk"))
 
 
-@query("surrogate_key_md5", "SELECT order_id, md5(CAST(order_id AS VARCHAR) || '-' || coalesce(CAST(customer_id AS VARCHAR), '_null_')) AS sk FROM v_orders")
-def _(v):
-    return v("v_orders").select("order_id", C.surrogate_key(F.col("order_id"), F.col("customer_id")).alias("sk"))
-
-
 @query("date_key", "SELECT order_id, CAST(strftime(order_date, '%Y%m%d') AS INT) AS date_key FROM v_orders")
 def _(v):
     return v("v_orders").select("order_id", C.date_key(F.col("order_date")).alias("date_key"))
 
 
-@query("line_item_pricing", "SELECT order_id, line_number, product_id, quantity, CAST(CAST(floor(quantity * unit_price * discount_percent) AS DOUBLE) / 100.0 AS DECIMAL(18,2)) AS discount_amount, CAST(quantity * unit_price AS DECIMAL(18,2)) AS subtotal FROM v_items")
-def _(v):
-    gross = F.col("quantity") * F.col("unit_price")
-    return v("v_items").select("order_id", "line_number", "product_id", "quantity", (F.floor(gross * F.col("discount_percent")).cast("double") / 100.0).cast("decimal(18,2)").alias("discount_amount"), gross.cast("decimal(18,2)").alias("subtotal"))
-
-
-@query("product_price_tier_cut", "SELECT product_id, CASE WHEN price > 0 AND price <= 25 THEN 'Budget' WHEN price > 25 AND price <= 50 THEN 'Economy' WHEN price > 50 AND price <= 100 THEN 'Standard' WHEN price > 100 AND price <= 250 THEN 'Premium' WHEN price > 250 AND price <= 500 THEN 'Luxury' WHEN price > 500 THEN 'Ultra' END AS price_tier FROM v_products")
-def _(v):
-    return v("v_products").select("product_id", C.bucketize_right_closed(F.col("price"), [0, 25, 50, 100, 250, 500, None], ["Budget", "Economy", "Standard", "Premium", "Luxury", "Ultra"]).alias("price_tier"))
-
-
-@query("product_stock_status_cut", "SELECT product_id, stock_quantity > 0 AS in_stock, CASE WHEN stock_quantity <= 0 THEN 'Out' WHEN stock_quantity <= 10 THEN 'Low' WHEN stock_quantity <= 50 THEN 'Medium' WHEN stock_quantity <= 100 THEN 'Good' ELSE 'High' END AS stock_status FROM v_products")
-def _(v):
-    return v("v_products").select("product_id", (F.col("stock_quantity") > 0).alias("in_stock"), C.bucketize_right_closed(F.col("stock_quantity"), [-1, 0, 10, 50, 100, None], ["Out", "Low", "Medium", "Good", "High"]).alias("stock_status"))
-
-
 @query("minmax_normalize", "SELECT product_id, round(CAST((price - (SELECT min(price) FROM v_products)) AS DOUBLE) / CAST((SELECT max(price) - min(price) FROM v_products) AS DOUBLE), 6) AS scaled FROM v_products")
 def _(v):
     p = v("v_products")
@@ -146,11 +109,6 @@ def _(v):
     return v("v_items").join(v("v_orders"), "order_id").select("order_id", "product_id", "quantity", "order_date")
 
 
-@query("join_anti_orphans", "SELECT c.customer_id FROM v_customers c WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.customer_id = c.customer_id)")
-def _(v):
-    return v("v_customers").join(v("v_orders"), "customer_id", "left_anti").select("customer_id")
-
-
 @query("join_left_dim_metrics", "SELECT c.customer_id, coalesce(n, 0) AS orders, CAST(coalesce(s, 0) AS DECIMAL(28,2)) AS spent FROM v_customers c LEFT JOIN (SELECT customer_id, count(*) AS n, sum(total_amount) AS s FROM v_orders GROUP BY 1) m USING (customer_id)")
 def _(v):
     m = v("v_orders").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("s"))
@@ -170,16 +128,6 @@ def daily_sales(o: DataFrame) -> DataFrame:
     )
 
 
-@query("daily_sales_mart", DAILY)
-def _(v):
-    return daily_sales(v("v_orders"))
-
-
-@query("gold_daily_sales", "SELECT order_date, count(*) AS orders, CAST(sum(total_amount) AS DECIMAL(28,2)) AS gross, round(CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS completion_rate FROM v_orders GROUP BY 1")
-def _(v):
-    return v("v_orders").groupBy("order_date").agg(F.count(F.lit(1)).alias("orders"), total("total_amount", "gross"), F.round(F.sum((F.col("status") == "completed").cast("double")) / F.count(F.lit(1)), 6).alias("completion_rate"))
-
-
 MONTHLY = "SELECT date_trunc('month', order_date)::DATE AS month, count(*) AS orders, CAST(sum(total_amount) AS DECIMAL(28,2)) AS revenue FROM v_orders GROUP BY 1"
 
 
@@ -187,53 +135,6 @@ def monthly(o: DataFrame) -> DataFrame:
     return o.groupBy(F.trunc("order_date", "month").alias("month")).agg(F.count(F.lit(1)).alias("orders"), total("total_amount", "revenue"))
 
 
-@query("monthly_sales_mart", f"WITH m AS ({MONTHLY}) SELECT month, orders, revenue, round(CAST(revenue - lag(revenue) OVER (ORDER BY month) AS DOUBLE) / CAST(lag(revenue) OVER (ORDER BY month) AS DOUBLE) * 100, 4) AS growth FROM m")
-def _(v):
-    before = F.lag("revenue").over(Window.orderBy("month"))  # a row per month
-    return monthly(v("v_orders")).select("month", "orders", "revenue", F.round((F.col("revenue") - before).cast("double") / before.cast("double") * 100, 4).alias("growth"))
-
-
-@query("q01_monthly_yoy", f"WITH m AS ({MONTHLY}) SELECT a.month, a.revenue, b.revenue AS last_year FROM m a LEFT JOIN m b ON b.month = a.month - INTERVAL 1 YEAR")
-def _(v):
-    m = monthly(v("v_orders"))
-    old = m.select(F.add_months("month", 12).alias("month"), F.col("revenue").alias("last_year"))
-    return m.join(old, "month", "left").select("month", "revenue", "last_year")
-
-
-@query("q02_moving_averages", "WITH d AS (SELECT order_date, sum(total_amount) AS r FROM v_orders GROUP BY 1) SELECT order_date, CAST(r AS DECIMAL(28,2)) AS revenue, round(avg(CAST(r AS DOUBLE)) OVER (ORDER BY order_date ROWS 6 PRECEDING), 4) AS ma7, CAST(lag(r, 7) OVER (ORDER BY order_date) AS DECIMAL(28,2)) AS week_before FROM d")
-def _(v):
-    d = v("v_orders").groupBy("order_date").agg(total("total_amount", "revenue"))
-    w = Window.orderBy("order_date")  # a row per day
-    return d.select("order_date", "revenue", F.round(F.avg(F.col("revenue").cast("double")).over(w.rowsBetween(-6, 0)), 4).alias("ma7"), F.lag("revenue", 7).over(w).alias("week_before"))
-
-
-@query("q03_revenue_by_dow", "SELECT CAST(isodow(order_date) - 1 AS INT) AS dow, CAST(sum(total_amount) AS DECIMAL(28,2)) AS revenue, round(CAST(sum(total_amount) AS DOUBLE) / CAST((SELECT sum(total_amount) FROM v_orders) AS DOUBLE), 6) AS share FROM v_orders GROUP BY 1")
-def _(v):
-    d = v("v_orders").groupBy(F.weekday("order_date").alias("dow")).agg(total("total_amount", "revenue"))
-    return d.select("dow", "revenue", F.round(F.col("revenue").cast("double") / F.sum("revenue").over(Window.partitionBy()).cast("double"), 6).alias("share"))
-
-
-@query("q04_abc_analysis", "WITH p AS (SELECT product_id, sum(quantity * unit_price) AS r FROM v_items GROUP BY 1), c AS (SELECT product_id, r, CAST(sum(r) OVER (ORDER BY r DESC RANGE UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(r) OVER () AS DOUBLE) AS share FROM p) SELECT product_id, CAST(r AS DECIMAL(28,2)) AS revenue, CASE WHEN share <= 0.7 THEN 'A' WHEN share <= 0.9 THEN 'B' ELSE 'C' END AS class FROM c")
-def _(v):
-    p = v("v_items").groupBy("product_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).cast("decimal(28,2)").alias("revenue"))
-    share = F.col("running_sum").cast("double") / F.col("total").cast("double")
-    ranked = windows.global_ranks(p, "revenue").crossJoin(F.broadcast(p.agg(F.sum("revenue").alias("total"))))
-    return ranked.select("product_id", "revenue", F.when(share <= 0.7, "A").when(share <= 0.9, "B").otherwise("C").alias("class"))
-
-
-@query("q05_product_affinity", "WITH b AS (SELECT DISTINCT order_id, product_id FROM v_items) SELECT x.product_id AS a, y.product_id AS b, count(*) AS n FROM b x JOIN b y ON x.order_id = y.order_id AND x.product_id < y.product_id GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 50")
-def _(v):
-    b = v("v_items").select("order_id", "product_id").distinct()
-    pairs = b.withColumnRenamed("product_id", "a").join(b.withColumnRenamed("product_id", "b"), "order_id").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a", "b").limit(50)
-
-
-@query("q10_churn_risk", f"WITH c AS (SELECT customer_id, date_diff('day', max(order_date), DATE '{AS_OF}') AS d FROM v_orders GROUP BY 1) SELECT CASE WHEN d <= 30 THEN 'Active' WHEN d <= 90 THEN 'At risk' WHEN d <= 180 THEN 'Churning' ELSE 'Churned' END AS bucket, count(*) AS customers FROM c GROUP BY 1")
-def _(v):
-    c = v("v_orders").groupBy("customer_id").agg(F.date_diff(F.lit(AS_OF).cast("date"), F.max("order_date")).alias("d"))
-    return c.groupBy(F.when(F.col("d") <= 30, "Active").when(F.col("d") <= 90, "At risk").when(F.col("d") <= 180, "Churning").otherwise("Churned").alias("bucket")).agg(F.count(F.lit(1)).alias("customers"))
-
-
 RFM = f"WITH c AS (SELECT customer_id, date_diff('day', max(order_date), DATE '{AS_OF}') AS recency, count(*) AS frequency, CAST(sum(total_amount) AS DECIMAL(28,2)) AS monetary FROM v_orders GROUP BY 1) SELECT customer_id, recency, frequency, monetary, CASE WHEN recency <= 30 THEN 5 WHEN recency <= 60 THEN 4 WHEN recency <= 90 THEN 3 WHEN recency <= 180 THEN 2 ELSE 1 END AS r, CASE WHEN frequency >= 10 THEN 5 WHEN frequency >= 7 THEN 4 WHEN frequency >= 4 THEN 3 WHEN frequency >= 2 THEN 2 ELSE 1 END AS f, CASE WHEN monetary >= 5000 THEN 5 WHEN monetary >= 2000 THEN 4 WHEN monetary >= 1000 THEN 3 WHEN monetary >= 500 THEN 2 ELSE 1 END AS m FROM c"
 
 
@@ -245,42 +146,6 @@ def steps(x, edges, above: bool):
     return out.otherwise(1)
 
 
-@query("customer_rfm_mart", RFM)
-def _(v):
-    c = v("v_orders").groupBy("customer_id").agg(F.date_diff(F.lit(AS_OF).cast("date"), F.max("order_date")).alias("recency"), F.count(F.lit(1)).alias("frequency"), total("total_amount", "monetary"))
-    return c.select("*", steps(F.col("recency"), (30, 60, 90, 180), False).alias("r"), steps(F.col("frequency"), (10, 7, 4, 2), True).alias("f"), steps(F.col("monetary"), (5000, 2000, 1000, 500), True).alias("m"))
-
-
-@query("product_performance_mart", "WITH p AS (SELECT product_id, sum(quantity)::BIGINT AS units, CAST(sum(quantity * unit_price) AS DECIMAL(28,2)) AS revenue, count(DISTINCT order_id) AS orders FROM v_items GROUP BY 1) SELECT p.*, rank() OVER (ORDER BY revenue DESC) AS revenue_rank, dense_rank() OVER (ORDER BY revenue DESC) AS revenue_dense_rank FROM p")
-def _(v):
-    p = v("v_items").groupBy("product_id").agg(F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("unit_price")).cast("decimal(28,2)").alias("revenue"), F.countDistinct("order_id").alias("orders"))
-    return windows.global_ranks(p, "revenue").select("product_id", "units", "revenue", "orders", F.col("rank").alias("revenue_rank"), F.col("dense_rank").alias("revenue_dense_rank"))
-
-
-@query("category_performance_mart", "SELECT category, sum(quantity)::BIGINT AS units, CAST(sum(quantity * unit_price) AS DECIMAL(28,2)) AS revenue, dense_rank() OVER (ORDER BY sum(quantity * unit_price) DESC)::BIGINT AS category_rank FROM v_items JOIN v_products USING (product_id) GROUP BY 1")
-def _(v):
-    c = v("v_items").join(v("v_products"), "product_id").groupBy("category").agg(F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("unit_price")).cast("decimal(28,2)").alias("revenue"))
-    return c.withColumn("category_rank", F.dense_rank().over(Window.orderBy(F.desc("revenue"))).cast("long"))  # a row per category
-
-
-@query("order_item_rollup", "SELECT order_id, count(*) AS lines, sum(quantity)::BIGINT AS units, CAST(sum(quantity * unit_price) AS DECIMAL(28,2)) AS subtotal, count(DISTINCT product_id) AS products, min(unit_price) AS cheapest, max(unit_price) AS dearest FROM v_items GROUP BY 1")
-def _(v):
-    return v("v_items").groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), F.sum(F.col("quantity") * F.col("unit_price")).cast("decimal(28,2)").alias("subtotal"), F.countDistinct("product_id").alias("products"), F.min("unit_price").alias("cheapest"), F.max("unit_price").alias("dearest"))
-
-
-@query("customer_order_sequence", "SELECT order_id, row_number() OVER w AS seq, lag(order_date) OVER w AS previous, date_diff('day', lag(order_date) OVER w, order_date)::INT AS gap FROM v_orders WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)")
-def _(v):
-    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
-    before = F.lag("order_date").over(w)
-    return v("v_orders").select("order_id", F.row_number().over(w).cast("long").alias("seq"), before.alias("previous"), F.date_diff("order_date", before).alias("gap"))
-
-
-@query("gold_fact_orders", "SELECT o.order_id, o.customer_id, o.total_amount, coalesce(r.n, 0) AS lines, coalesce(r.u, 0)::BIGINT AS units FROM v_orders o LEFT JOIN (SELECT order_id, count(*) AS n, sum(quantity) AS u FROM v_items GROUP BY 1) r USING (order_id)")
-def _(v):
-    r = v("v_items").groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("u"))
-    return v("v_orders").join(r, "order_id", "left").select("order_id", "customer_id", "total_amount", F.coalesce("n", F.lit(0)).alias("lines"), F.coalesce("u", F.lit(0)).alias("units"))
-
-
 # ------------------------------------------------------------------ reshaping
 
 
@@ -325,31 +190,11 @@ def _(v):
 # ------------------------------------------------------------------ quality
 
 
-@query("dq_completeness", "SELECT 'amount_positive' AS rule_name, round(avg(CASE WHEN total_amount > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS actual_value, avg(CASE WHEN total_amount > 0 THEN 1.0::DOUBLE ELSE 0 END) >= 1.0 AS passed FROM v_orders UNION ALL SELECT 'status_open', round(avg(CASE WHEN status = 'processing' THEN 1.0::DOUBLE ELSE 0 END), 6), avg(CASE WHEN status = 'processing' THEN 1.0::DOUBLE ELSE 0 END) >= 0.9 FROM v_orders")
-def _(v):
-    return quality.ratio_checks(v("v_orders"), {"amount_positive": (F.col("total_amount") > 0, 1.0), "status_open": (F.col("status") == "processing", 0.9)})
-
-
-@query("dq_primary_key", "SELECT order_id, line_number, count(*) AS n FROM v_items GROUP BY 1, 2 HAVING count(*) > 1")
-def _(v):
-    return quality.duplicates(v("v_items"), ["order_id", "line_number"])
-
-
-@query("dq_referential", "SELECT order_id, product_id FROM v_items i WHERE NOT EXISTS (SELECT 1 FROM v_products p WHERE p.product_id = i.product_id AND p.product_id % 50 <> 0)")
-def _(v):
-    return quality.orphans(v("v_items").select("order_id", "product_id"), "product_id", v("v_products").where("product_id % 50 <> 0"), "product_id").select("order_id", "product_id")
-
-
 @query("dq_outliers_iqr", "WITH q AS (SELECT quantile_cont(CAST(price AS DOUBLE), 0.25) AS lo, quantile_cont(CAST(price AS DOUBLE), 0.75) AS hi FROM v_products) SELECT product_id FROM v_products, q WHERE price < lo - 1.5 * (hi - lo) OR price > hi + 1.5 * (hi - lo)")
 def _(v):
     return quality.outliers_iqr(v("v_products").withColumn("price", F.col("price").cast("double")), "price").select("product_id")
 
 
-@query("quarantine_split", "SELECT order_id, CASE WHEN NOT total_amount >= 10 THEN 'amount' WHEN NOT order_date < DATE '2000-01-01' THEN 'date' END AS reason FROM v_orders")
-def _(v):
-    return quality.quarantine_reason(v("v_orders"), {"amount": F.col("total_amount") >= 10, "date": F.col("order_date") < F.lit("2000-01-01").cast("date")}).select("order_id", "reason")
-
-
 # ------------------------------------------------------------------ loading
 
 

@@ -1,20 +1,35 @@
-"""The retail model over the driver's tables: one expression list per view, for Spark and for the SQL oracle alike."""
+"""The retail model over the driver's tables: one expression list per view, for Spark and for the SQL oracle alike.
+
+``v_`` views are sound; ``d_`` views hold faults chosen by key (null, orphaned, repeated,
+negative, late and untrimmed values) for what cleans and checks. ``e_`` views are the
+enriched lines and orders that marts build on: a DataFrame here, SQL of its own for the oracle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: view: (source table, {column: expression})
+_AMOUNT = "CAST(floor(o_totalprice / 5) / 100.0 AS DECIMAL(12,2))"
+
+#: view: (source table, {column: expression}, condition of rows that occur twice)
 VIEWS = {
     "v_orders": ("orders", {
         "order_id": "o_orderkey",
         "customer_id": "o_custkey",
         "order_date": "CAST(o_orderdate AS DATE)",
-        "total_amount": "CAST(floor(o_totalprice / 5) / 100.0 AS DECIMAL(12,2))",
+        "total_amount": _AMOUNT,
         "status": "CASE WHEN o_orderkey % 20 = 0 THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'processing' ELSE 'shipped' END",
         "payment_method": "o_orderpriority",
-    }),
+        "shipping_method": "CASE o_orderkey % 4 WHEN 0 THEN 'Standard' WHEN 1 THEN 'Express' WHEN 2 THEN 'Overnight' ELSE 'Pickup' END",
+        "order_hour": "CAST(o_orderkey % 24 AS INT)",
+        "shipping_amount": "CAST((o_orderkey % 7) * 1.50 AS DECIMAL(10,2))",
+        "tax_amount": "CAST(floor(o_totalprice / 60) / 100.0 AS DECIMAL(10,2))",
+        "shipped_on": "CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INT)",
+        "delivered_on": "CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 + 1 + o_orderkey % 6 AS INT)",
+    }, None),
     "v_items": ("lineitem", {
         "order_id": "l_orderkey",
         "product_id": "l_partkey",
@@ -22,8 +37,9 @@ VIEWS = {
         "quantity": "CAST(l_quantity AS INT)",
         "unit_price": "CAST(floor(l_extendedprice / l_quantity) / 100.0 AS DECIMAL(12,2))",
         "discount_percent": "CAST(round(l_discount * 100, 0) AS INT)",
+        "tax_amount": "CAST(floor(l_extendedprice * l_tax) / 100.0 AS DECIMAL(10,2))",
         "ship_date": "CAST(l_shipdate AS DATE)",
-    }),
+    }, None),
     "v_products": ("part", {
         "product_id": "p_partkey",
         "name": "p_name",
@@ -31,16 +47,18 @@ VIEWS = {
         "category": "p_type",
         "price": "CAST(floor(p_retailprice * (1 + p_size)) / 100.0 AS DECIMAL(12,2))",
         "stock_quantity": "greatest(p_size * 3 - 10, 0)",
-    }),
+        "cost": "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(floor(p_retailprice * (1 + p_size) * 0.55) / 100.0 AS DECIMAL(12,2)) END",
+    }, None),
     "v_customers": ("customer", {
         "customer_id": "c_custkey",
         "name": "c_name",
         "nation_key": "c_nationkey",
         "segment": "c_mktsegment",
         "balance": "CAST(round(c_acctbal, 2) AS DECIMAL(12,2))",
-    }),
-    "v_nations": ("nation", {"nation_key": "n_nationkey", "nation": "n_name", "region_key": "n_regionkey"}),
-    "v_regions": ("region", {"region_key": "r_regionkey", "region": "r_name"}),
+        "registered_on": "DATE '1990-01-01' + CAST(c_custkey % 700 AS INT)",
+    }, None),
+    "v_nations": ("nation", {"nation_key": "n_nationkey", "nation": "n_name", "region_key": "n_regionkey"}, None),
+    "v_regions": ("region", {"region_key": "r_regionkey", "region": "r_name"}, None),
     "v_events": ("events", {
         "event_id": "event_id",
         "ts": "ts",
@@ -48,20 +66,148 @@ VIEWS = {
         "event_type": "event_type",
         "value": "CAST(round(value, 2) AS DECIMAL(18,2))",
         "props": "props",
-    }),
+        "session_id": "concat('s', CAST(user_id AS STRING), '-', CAST(event_id % 3 AS STRING))",
+        "page_url": "CASE event_id % 6 WHEN 0 THEN 'https://shop.example.com/' WHEN 1 THEN concat('https://shop.example.com/product/', CAST(event_id % 40 AS STRING)) WHEN 2 THEN concat('https://shop.example.com/category/', CAST(event_id % 7 AS STRING), '?page=2') WHEN 3 THEN 'https://shop.example.com/cart' WHEN 4 THEN 'https://shop.example.com/checkout?step=1' ELSE concat('https://shop.example.com/search?q=w', CAST(event_id % 9 AS STRING)) END",
+        "referrer_url": "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'https://www.google.com/search' WHEN 2 THEN 'https://www.bing.com/' ELSE 'https://news.example.org/a' END",
+        "device_type": "CASE event_id % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'tablet' ELSE 'desktop' END",
+        "country": "CASE event_id % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'US' ELSE 'FR' END",
+    }, None),
+    "d_orders": ("orders", {
+        "order_id": "CASE WHEN o_orderkey % 500 = 9 THEN NULL ELSE o_orderkey END",
+        "customer_id": "CASE WHEN o_orderkey % 50 = 3 THEN NULL WHEN o_orderkey % 100 = 7 THEN o_custkey + 100000000 ELSE o_custkey END",
+        "order_date": "CASE WHEN o_orderkey % 100 = 17 THEN DATE '2030-01-01' WHEN o_orderkey % 300 = 29 THEN NULL ELSE CAST(o_orderdate AS DATE) END",
+        "total_amount": f"CAST(CASE WHEN o_orderkey % 100 = 11 THEN -{_AMOUNT} WHEN o_orderkey % 200 = 13 THEN {_AMOUNT} * 100 ELSE {_AMOUNT} END AS DECIMAL(14,2))",
+        "status": "CASE WHEN o_orderkey % 100 = 23 THEN 'lost' WHEN o_orderkey % 60 = 31 THEN NULL WHEN o_orderkey % 20 = 0 THEN ' Cancelled' WHEN o_orderstatus = 'F' THEN 'completed ' WHEN o_orderstatus = 'O' THEN 'Processing' ELSE 'SHIPPED' END",
+        "payment_method": "CASE WHEN o_orderkey % 40 = 5 THEN NULL ELSE concat(' ', o_orderpriority, ' ') END",
+        "shipping_method": "CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'EXPRESS ' ELSE 'OVERNIGHT' END",
+        "shipping_amount": "CASE WHEN o_orderkey % 8 = 1 THEN NULL ELSE CAST((o_orderkey % 7) * 1.50 AS DECIMAL(10,2)) END",
+        "tax_amount": "CASE WHEN o_orderkey % 8 = 2 THEN NULL ELSE CAST(floor(o_totalprice / 60) / 100.0 AS DECIMAL(10,2)) END",
+    }, "o_orderkey % 100 = 19"),
+    "d_items": ("lineitem", {
+        "item_id": "CASE WHEN l_orderkey % 200 = 3 THEN NULL ELSE l_orderkey * 10 + l_linenumber END",
+        "order_id": "CASE WHEN l_orderkey % 300 = 5 THEN NULL ELSE l_orderkey END",
+        "product_id": "CASE WHEN l_partkey % 100 = 7 THEN NULL ELSE l_partkey END",
+        "quantity": "CASE WHEN l_partkey % 50 = 9 THEN 0 WHEN l_partkey % 50 = 10 THEN NULL ELSE CAST(l_quantity AS INT) END",
+        "unit_price": "CASE WHEN l_orderkey % 70 = 8 THEN CAST(-1 AS DECIMAL(12,2)) WHEN l_orderkey % 70 = 9 THEN NULL ELSE CAST(floor(l_extendedprice / l_quantity) / 100.0 AS DECIMAL(12,2)) END",
+        "discount_percent": "CASE WHEN l_orderkey % 40 = 1 THEN 140 WHEN l_orderkey % 40 = 2 THEN -5 WHEN l_orderkey % 40 = 3 THEN NULL ELSE CAST(round(l_discount * 100, 0) AS INT) END",
+        "tax_amount": "CASE WHEN l_orderkey % 30 = 4 THEN NULL ELSE CAST(floor(l_extendedprice * l_tax) / 100.0 AS DECIMAL(10,2)) END",
+        "discount_amount": "CASE WHEN l_orderkey % 30 = 6 THEN NULL ELSE CAST(floor(l_extendedprice * l_discount) / 100.0 AS DECIMAL(10,2)) END",
+    }, "l_orderkey % 90 = 11"),
+    "d_customers": ("customer", {
+        "customer_id": "c_custkey",
+        "first_name": "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE concat('  ', substr(c_name, 1, 8), ' ') END",
+        "last_name": "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE concat(substr(c_name, 10), '  ') END",
+        "full_name": "CASE WHEN c_custkey % 9 = 0 THEN 'Cher' ELSE concat('Ann van ', substr(c_name, 10)) END",
+        "email": "CASE c_custkey % 5 WHEN 0 THEN concat(' Cust', CAST(c_custkey AS STRING), '@Example.COM ') WHEN 1 THEN 'bad.email' WHEN 2 THEN NULL ELSE concat('u.x-', CAST(c_custkey AS STRING), '@mail.example.org') END",
+        "phone": "CASE c_custkey % 4 WHEN 0 THEN concat('+1 (555) ', CAST(1000000 + c_custkey AS STRING)) WHEN 1 THEN '555-12' WHEN 2 THEN NULL ELSE concat('0', CAST(490000000 + c_custkey AS STRING), ' ext') END",
+        "country": "CASE c_custkey % 6 WHEN 0 THEN ' USA' WHEN 1 THEN 'uk ' WHEN 2 THEN 'Great Britain' WHEN 3 THEN 'France' WHEN 4 THEN NULL ELSE 'US' END",
+        "state": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE concat(' ', lower(substr(c_mktsegment, 1, 2)), ' ') END",
+        "city": "concat(' City', CAST(c_nationkey AS STRING), ' ')",
+        "zip_code": "CASE WHEN c_custkey % 10 = 1 THEN NULL ELSE concat(CAST(10000 + c_custkey % 500 AS STRING), '-0001') END",
+        "segment": "CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE c_mktsegment END",
+        "birth_date": "CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE DATE '1931-01-01' + CAST(c_custkey * 37 % 25000 AS INT) END",
+        "registration_date": "CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE DATE '1998-01-01' + CAST(c_custkey * 7 % 1300 AS INT) END",
+    }, None),
+    "d_products": ("part", {
+        "product_id": "p_partkey",
+        "name": "CASE WHEN p_partkey % 30 = 0 THEN NULL ELSE concat('  ', upper(p_name), ' ') END",
+        "category": "CASE WHEN p_partkey % 12 = 0 THEN NULL ELSE concat(' ', lower(p_type), ' > ', p_brand, ' ') END",
+        "subcategory": "concat(p_type, ' ')",
+        "brand": "concat(' ', p_brand)",
+        "price": "CASE WHEN p_partkey % 25 = 0 THEN CAST(0 AS DECIMAL(12,2)) WHEN p_partkey % 40 = 1 THEN CAST(-3 AS DECIMAL(12,2)) WHEN p_partkey % 40 = 2 THEN NULL ELSE CAST(floor(p_retailprice * (1 + p_size)) / 100.0 AS DECIMAL(12,2)) END",
+        "cost": "CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN CAST(floor(p_retailprice * (1 + p_size) * 1.2) / 100.0 AS DECIMAL(12,2)) ELSE CAST(floor(p_retailprice * (1 + p_size) * ((p_partkey % 9) / 10.0)) / 100.0 AS DECIMAL(12,2)) END",
+        "stock_quantity": "CASE WHEN p_partkey % 21 = 0 THEN NULL WHEN p_partkey % 22 = 0 THEN -4 ELSE p_size * 3 - 10 END",
+        "is_active": "p_partkey % 6 <> 0",
+    }, None),
 }
 
+_DONE = "status IN ('completed','delivered','shipped')"
+
+#: SQL of the enriched views, for the oracle
+ENRICHED_SQL = {
+    "e_items": """SELECT *, CASE WHEN total_price > 0 THEN CAST(profit_amount AS DOUBLE) / CAST(total_price AS DOUBLE) * 100 ELSE 0.0 END AS profit_margin FROM (
+      SELECT *, CAST((unit_price - unit_cost) * quantity - discount_amount AS DECIMAL(18,2)) AS profit_amount FROM (
+      SELECT i.*, CAST(unit_price * quantity * discount_percent * 0.01 AS DECIMAL(18,2)) AS discount_amount, CAST(unit_price * quantity AS DECIMAL(18,2)) AS subtotal,
+        CAST(CAST(unit_price * quantity AS DECIMAL(18,2)) - CAST(unit_price * quantity * discount_percent * 0.01 AS DECIMAL(18,2)) + i.tax_amount AS DECIMAL(18,2)) AS total_price,
+        CAST(coalesce(cost, unit_price * 0.6) AS DECIMAL(16,4)) AS unit_cost
+      FROM v_items i LEFT JOIN (SELECT product_id, cost FROM v_products) p USING (product_id)))""",
+    "e_rollup": """SELECT order_id, count(*) AS item_count, CAST(sum(quantity) AS BIGINT) AS total_quantity, CAST(sum(subtotal) AS DECIMAL(28,2)) AS items_subtotal, CAST(sum(discount_amount) AS DECIMAL(28,2)) AS total_discount,
+      CAST(sum(tax_amount) AS DECIMAL(28,2)) AS total_tax, CAST(sum(total_price) AS DECIMAL(28,2)) AS items_total, CAST(sum(profit_amount) AS DECIMAL(28,2)) AS order_profit, avg(profit_margin) AS avg_profit_margin,
+      list_sort(list_distinct(list(product_id))) AS product_ids, min(unit_price) AS min_item_price, max(unit_price) AS max_item_price, CAST(sum(unit_price) AS DOUBLE) / count(*) AS avg_item_price FROM e_items GROUP BY order_id""",
+    "e_orders": f"""SELECT o.*, CASE WHEN total_amount < 50 THEN 'Small' WHEN total_amount < 100 THEN 'Medium' WHEN total_amount < 250 THEN 'Large' WHEN total_amount < 500 THEN 'XLarge' ELSE 'Premium' END AS order_size_tier,
+      {_DONE} AS is_completed, status IN ('cancelled','refunded') AS is_cancelled, isodow(order_date) >= 6 AS is_weekend,
+      row_number() OVER w > 1 AS is_repeat_customer, r.item_count, r.total_quantity, r.total_discount, r.order_profit, r.avg_profit_margin
+      FROM v_orders o LEFT JOIN e_rollup r USING (order_id) WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)""",
+}
+
+
+def done() -> F.Column:
+    return F.col("status").isin("completed", "delivered", "shipped")
+
+
+def enriched_items(v) -> DataFrame:
+    """Lines with discount, subtotal, total price, cost, profit and margin."""
+    gross = F.col("unit_price") * F.col("quantity")
+    i = v("v_items").join(v("v_products").select("product_id", "cost"), "product_id", "left")
+    i = i.withColumn("discount_amount", (gross * F.col("discount_percent") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)")).withColumn("subtotal", gross.cast("decimal(18,2)"))
+    i = i.withColumn("total_price", (F.col("subtotal") - F.col("discount_amount") + F.col("tax_amount")).cast("decimal(18,2)"))
+    i = i.withColumn("unit_cost", F.coalesce(F.col("cost").cast("decimal(16,4)"), (F.col("unit_price") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(16,4)"))).drop("cost")
+    i = i.withColumn("profit_amount", ((F.col("unit_price") - F.col("unit_cost")) * F.col("quantity") - F.col("discount_amount")).cast("decimal(18,2)"))
+    return i.withColumn("profit_margin", F.when(F.col("total_price") > 0, F.col("profit_amount").cast("double") / F.col("total_price").cast("double") * 100).otherwise(0.0))
+
+
+def order_rollup(items: DataFrame) -> DataFrame:
+    """Lines summed up by order."""
+    money = lambda c, name: F.sum(c).cast("decimal(28,2)").alias(name)
+    return items.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("item_count"), F.sum("quantity").alias("total_quantity"), money("subtotal", "items_subtotal"), money("discount_amount", "total_discount"), money("tax_amount", "total_tax"), money("total_price", "items_total"),
+        money("profit_amount", "order_profit"), F.avg("profit_margin").alias("avg_profit_margin"), F.sort_array(F.collect_set("product_id")).alias("product_ids"), F.min("unit_price").alias("min_item_price"), F.max("unit_price").alias("max_item_price"), (F.sum("unit_price").cast("double") / F.count(F.lit(1))).alias("avg_item_price"),
+    )
+
+
+def enriched_orders(v) -> DataFrame:
+    """Orders with size tier, flags, whether the customer bought before, and their lines summed up."""
+    tier = F.when(F.col("total_amount") < 50, "Small").when(F.col("total_amount") < 100, "Medium").when(F.col("total_amount") < 250, "Large").when(F.col("total_amount") < 500, "XLarge").otherwise("Premium")
+    sequence = F.row_number().over(Window.partitionBy("customer_id").orderBy("order_date", "order_id"))
+    r = order_rollup(v("e_items")).select("order_id", "item_count", "total_quantity", "total_discount", "order_profit", "avg_profit_margin")
+    o = v("v_orders").withColumn("order_size_tier", tier).withColumn("is_completed", done()).withColumn("is_cancelled", F.col("status").isin("cancelled", "refunded"))
+    return o.withColumn("is_weekend", F.weekday("order_date") >= 5).withColumn("is_repeat_customer", sequence > 1).join(r, "order_id", "left")
+
+
+_ENRICHED = {"e_items": enriched_items, "e_rollup": lambda v: order_rollup(v("e_items")), "e_orders": enriched_orders}
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a projection on its table: columns not used further never leave the scan."""
-    table, columns = VIEWS[name]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*[F.expr(e).alias(c) for c, e in columns.items()])
+    if name in _ENRICHED:
+        return _ENRICHED[name](lambda n: view(spark, sf_dir, n))
+    table, columns, twice = VIEWS[name]
+    raw = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if twice:
+        raw = raw.unionAll(raw.where(twice))
+    return raw.select(*[F.expr(e).alias(c) for c, e in columns.items()])
+
+
+def _cte(name: str) -> str:
+    if name in ENRICHED_SQL:
+        return ENRICHED_SQL[name]
+    table, columns, twice = VIEWS[name]
+    one = f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {table}"
+    return f"{one} UNION ALL {one} WHERE {twice}" if twice else one
 
 
 def with_views(sql: str) -> str:
-    """SQL with the views that it names put before it."""
-    used = [n for n in VIEWS if n in sql]
-    ctes = [f"{n} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in VIEWS[n][1].items())} FROM {VIEWS[n][0]})" for n in used]
+    """SQL with the views that it names, and those that they name, put before it."""
+    order = [*VIEWS, *ENRICHED_SQL]
+    used: set[str] = set()
+    todo = [sql]
+    while todo:
+        text = todo.pop()
+        for n in order:
+            if n not in used and re.search(rf"\b{n}\b", text):
+                used.add(n)
+                todo.append(_cte(n))
+    ctes = [f"{n} AS ({_cte(n)})" for n in order if n in used]
     body = sql.strip()
     if not ctes:
         return body

@@ -29,36 +29,6 @@ def line_total(name: str = "revenue") -> Column:
 # ------------------------------------------------------------------ analytic queries
 
 
-@query("q06_category_trend", f"WITH m AS (SELECT category, date_trunc('month', order_date)::DATE AS month, {LINE} AS revenue FROM v_items JOIN v_orders USING (order_id) JOIN v_products USING (product_id) GROUP BY 1, 2) SELECT category, month, revenue, lag(revenue) OVER (PARTITION BY category ORDER BY month) AS before FROM m")
-def _(v):
-    m = v("v_items").join(v("v_orders"), "order_id").join(v("v_products"), "product_id").groupBy("category", F.trunc("order_date", "month").alias("month")).agg(line_total())
-    return m.withColumn("before", F.lag("revenue").over(Window.partitionBy("category").orderBy("month")))
-
-
-@query("q07_cohort", "WITH f AS (SELECT customer_id, date_trunc('month', min(order_date))::DATE AS cohort FROM v_orders GROUP BY 1) SELECT cohort, (date_diff('month', cohort, date_trunc('month', order_date)::DATE) % 12)::INT AS months_since, count(DISTINCT customer_id) AS customers FROM v_orders JOIN f USING (customer_id) GROUP BY 1, 2")
-def _(v):
-    o = v("v_orders")
-    cohort = o.groupBy("customer_id").agg(F.trunc(F.min("order_date"), "month").alias("cohort"))
-    since = (F.months_between(F.trunc("order_date", "month"), "cohort").cast("int") % 12).alias("months_since")
-    return o.join(cohort, "customer_id").groupBy("cohort", since).agg(F.countDistinct("customer_id").alias("customers"))
-
-
-@query("q08_rfm_distribution", f"WITH s AS (SELECT monetary, CASE WHEN r + f + m >= 13 THEN 'Champions' WHEN r + f + m >= 10 THEN 'Loyal' WHEN r + f + m >= 7 THEN 'Potential' ELSE 'Lost' END AS segment FROM ({RFM})), g AS (SELECT segment, count(*) AS customers, CAST(sum(monetary) AS DECIMAL(28,2)) AS revenue FROM s GROUP BY 1) SELECT segment, customers, revenue, (CAST(customers AS DOUBLE) / (SELECT sum(customers) FROM g)) AS share, (CAST(revenue AS DOUBLE) / CAST((SELECT sum(revenue) FROM g) AS DOUBLE)) AS revenue_share FROM g")
-def _(v):
-    c = v("v_orders").groupBy("customer_id").agg(F.date_diff(F.lit(AS_OF).cast("date"), F.max("order_date")).alias("recency"), n().alias("frequency"), total("total_amount", "monetary"))
-    score = steps(F.col("recency"), (30, 60, 90, 180), False) + steps(F.col("frequency"), (10, 7, 4, 2), True) + steps(F.col("monetary"), (5000, 2000, 1000, 500), True)
-    g = c.groupBy(F.when(score >= 13, "Champions").when(score >= 10, "Loyal").when(score >= 7, "Potential").otherwise("Lost").alias("segment")).agg(n().alias("customers"), total("monetary", "revenue"))
-    every = Window.partitionBy()  # a row per segment
-    return g.select("*", per("customers", F.sum("customers").over(every)).alias("share"), per("revenue", F.sum("revenue").over(every)).alias("revenue_share"))
-
-
-@query("q09_ltv", f"WITH c AS (SELECT customer_id, date_diff('day', min(order_date), max(order_date)) AS days, {SPENT} AS spent FROM v_orders GROUP BY 1) SELECT segment, CASE WHEN days < 365 THEN 'Year 1' WHEN days < 1095 THEN 'Year 2-3' ELSE 'Longer' END AS tenure, count(*) AS customers, (CAST(sum(spent) AS DOUBLE) / count(*)) AS ltv, (CAST(sum(spent) AS DOUBLE) * 365 / CAST(nullif(sum(days), 0) AS DOUBLE)) AS per_year FROM c JOIN v_customers USING (customer_id) GROUP BY 1, 2")
-def _(v):
-    c = v("v_orders").groupBy("customer_id").agg(F.date_diff(F.max("order_date"), F.min("order_date")).alias("days"), total("total_amount", "spent"))
-    tenure = F.when(F.col("days") < 365, "Year 1").when(F.col("days") < 1095, "Year 2-3").otherwise("Longer").alias("tenure")
-    return c.join(v("v_customers"), "customer_id").groupBy("segment", tenure).agg(n().alias("customers"), per(F.sum("spent"), n()).alias("ltv"), per(F.sum("spent").cast("double") * 365, F.sum("days")).alias("per_year"))
-
-
 GEO = "v_orders JOIN v_customers USING (customer_id) JOIN v_nations USING (nation_key) JOIN v_regions USING (region_key)"
 
 
@@ -67,136 +37,17 @@ def geo(v):
     return v("v_orders").join(v("v_customers"), "customer_id").join(v("v_nations"), "nation_key").join(v("v_regions"), "region_key")
 
 
-@query("q11_regional", f"SELECT region, count(*) AS orders, {SPENT} AS revenue, (CAST(sum(total_amount) AS DOUBLE) / count(DISTINCT customer_id)) AS per_customer, (CAST(sum(total_amount) AS DOUBLE) / CAST((SELECT sum(total_amount) FROM {GEO}) AS DOUBLE)) AS share FROM {GEO} GROUP BY 1")
-def _(v):
-    g = geo(v).groupBy("region").agg(n().alias("orders"), total("total_amount", "revenue"), F.countDistinct("customer_id").alias("_c"))
-    return g.select("region", "orders", "revenue", per("revenue", "_c").alias("per_customer"), per("revenue", F.sum("revenue").over(Window.partitionBy())).alias("share"))
-
-
-@query("q12_city", f"SELECT nation, count(*) AS orders, {SPENT} AS revenue FROM {GEO} GROUP BY 1 HAVING count(*) >= 10 ORDER BY revenue DESC, nation LIMIT 50")
-def _(v):
-    return geo(v).groupBy("nation").agg(n().alias("orders"), total("total_amount", "revenue")).where("orders >= 10").orderBy(F.desc("revenue"), "nation").limit(50)
-
-
-@query("geographic_sales_mart", f"WITH g AS (SELECT region, nation, count(*) AS orders, {SPENT} AS revenue FROM {GEO} GROUP BY 1, 2) SELECT *, rank() OVER (PARTITION BY region ORDER BY revenue DESC) AS place FROM g")
-def _(v):
-    g = geo(v).groupBy("region", "nation").agg(n().alias("orders"), total("total_amount", "revenue"))
-    return g.withColumn("place", F.rank().over(Window.partitionBy("region").orderBy(F.desc("revenue"))).cast("long"))
-
-
-@query("q13_fulfilment", "WITH d AS (SELECT status, CAST(date_diff('day', order_date, ship_date) AS DOUBLE) AS days FROM v_items JOIN v_orders USING (order_id)) SELECT status, count(*) AS lines, round(median(days), 4) AS middle, round(quantile_cont(days, 0.95), 4) AS p95 FROM d GROUP BY 1")
-def _(v):
-    # exact percentiles merge counts of different values, and days are few
-    d = v("v_items").join(v("v_orders"), "order_id").select("status", F.date_diff("ship_date", "order_date").cast("double").alias("days"))
-    return d.groupBy("status").agg(n().alias("lines"), F.round(F.percentile("days", F.lit(0.5)), 4).alias("middle"), F.round(F.percentile("days", F.lit(0.95)), 4).alias("p95"))
-
-
-@query("q15_payment_methods", f"WITH g AS (SELECT payment_method, count(*) AS orders, {SPENT} AS revenue FROM v_orders GROUP BY 1) SELECT payment_method, orders, revenue, (CAST(orders AS DOUBLE) / (SELECT sum(orders) FROM g)) AS share, CAST(revenue * 0.029 AS DECIMAL(28,2)) AS fees FROM g")
-def _(v):
-    g = v("v_orders").groupBy("payment_method").agg(n().alias("orders"), total("total_amount", "revenue"))
-    return g.select("*", per("orders", F.sum("orders").over(Window.partitionBy())).alias("share"), (F.col("revenue") * F.lit("0.029").cast("decimal(4,3)")).cast("decimal(28,2)").alias("fees"))
-
-
 YTD = "SELECT count(*) FILTER (now)::DOUBLE AS o1, count(*) FILTER (NOT now)::DOUBLE AS o0, CAST(sum(CASE WHEN now THEN total_amount ELSE 0 END) AS DOUBLE) AS r1, CAST(sum(CASE WHEN NOT now THEN total_amount ELSE 0 END) AS DOUBLE) AS r0 FROM (SELECT total_amount, year(order_date) = 1998 AS now FROM v_orders WHERE year(order_date) IN (1997, 1998) AND dayofyear(order_date) <= 200)"
 
 
-@query("q16_ytd_vs_prev", f"WITH y AS ({YTD}) SELECT 'orders' AS metric, o1 AS this_year, o0 AS last_year FROM y UNION ALL SELECT 'revenue', r1, r0 FROM y UNION ALL SELECT 'average', (r1 / nullif(o1, 0)), (r0 / nullif(o0, 0)) FROM y")
-def _(v):
-    now = F.year("order_date") == 1998
-    o = v("v_orders").where(F.year("order_date").isin(1997, 1998) & (F.dayofyear("order_date") <= 200))
-    money = lambda c: F.coalesce(F.sum(F.when(c, F.col("total_amount")).otherwise(0)).cast("double"), F.lit(0.0))
-    y = o.agg(F.count_if(now).cast("double").alias("o1"), F.count_if(~now).cast("double").alias("o0"), money(now).alias("r1"), money(~now).alias("r0"))
-    rows = [("orders", "o1", "o0"), ("revenue", "r1", "r0")]
-    stacked = [F.struct(F.lit(m).alias("metric"), F.col(a).alias("this_year"), F.col(b).alias("last_year")) for m, a, b in rows]
-    stacked.append(F.struct(F.lit("average").alias("metric"), per("r1", "o1").alias("this_year"), per("r0", "o0").alias("last_year")))
-    return y.select(F.explode(F.array(*stacked)).alias("x")).select("x.*")
-
-
 # ------------------------------------------------------------------ marts
 
 
-@query("weekly_sales_mart", f"SELECT date_trunc('week', order_date)::DATE AS week_start, count(*) AS orders, {SPENT} AS revenue FROM v_orders GROUP BY 1")
-def _(v):
-    return v("v_orders").groupBy(F.trunc("order_date", "week").alias("week_start")).agg(n().alias("orders"), total("total_amount", "revenue"))
-
-
-@query("order_summary_period", f"SELECT date_trunc('quarter', order_date)::DATE AS period, count(*) AS orders, count(DISTINCT customer_id) AS customers, {SPENT} AS revenue, (CAST(sum(total_amount) AS DOUBLE) / count(*)) AS average FROM v_orders GROUP BY 1")
-def _(v):
-    return v("v_orders").groupBy(F.trunc("order_date", "quarter").alias("period")).agg(n().alias("orders"), F.countDistinct("customer_id").alias("customers"), total("total_amount", "revenue"), per(F.sum("total_amount"), n()).alias("average"))
-
-
-@query("daily_summary_trend", f"WITH d AS (SELECT order_date, {SPENT} AS revenue FROM v_orders GROUP BY 1) SELECT order_date, revenue, (CAST(revenue - lag(revenue) OVER w AS DOUBLE) / CAST(nullif(lag(revenue) OVER w, 0) AS DOUBLE)) AS change, CASE WHEN count(*) OVER r = 7 THEN (CAST(sum(revenue) OVER r AS DOUBLE) / 7) END AS mean7 FROM d WINDOW w AS (ORDER BY order_date), r AS (ORDER BY order_date ROWS 6 PRECEDING)")
-def _(v):
-    w = Window.orderBy("order_date")  # a row per day
-    r, before = w.rowsBetween(-6, 0), F.lag("revenue").over(w)
-    d = v("v_orders").groupBy("order_date").agg(total("total_amount", "revenue"))
-    return d.select("order_date", "revenue", per(F.col("revenue") - before, F.nullif(before, F.lit(0))).alias("change"), F.when(n().over(r) == 7, per(F.sum("revenue").over(r), F.lit(7))).alias("mean7"))
-
-
-@query("daily_sales_summary", f"WITH o AS (SELECT order_date, count(*) AS orders, CAST(sum(CASE WHEN isodow(order_date) >= 6 THEN total_amount ELSE 0 END) AS DECIMAL(28,2)) AS weekend_revenue FROM v_orders GROUP BY 1), i AS (SELECT order_date, count(*) AS lines, sum(quantity)::BIGINT AS units FROM v_items JOIN v_orders USING (order_id) GROUP BY 1) SELECT order_date, orders, weekend_revenue, lines, units FROM o LEFT JOIN i USING (order_date)")
-def _(v):
-    o = v("v_orders").groupBy("order_date").agg(n().alias("orders"), total(F.when(F.weekday("order_date") >= 5, F.col("total_amount")).otherwise(0), "weekend_revenue"))
-    i = v("v_items").join(v("v_orders"), "order_id").groupBy("order_date").agg(n().alias("lines"), F.sum("quantity").alias("units"))
-    return o.join(i, "order_date", "left")
-
-
-@query("hourly_patterns_mart", "SELECT hour(ts)::INT AS hour, (isodow(ts) - 1)::INT AS dow, count(*) AS events, CAST(sum(value) AS DECIMAL(28,2)) AS value, hour(ts) BETWEEN 9 AND 17 AS business_hours FROM v_events GROUP BY 1, 2, 5")
-def _(v):
-    return v("v_events").groupBy(F.hour("ts").alias("hour"), F.weekday("ts").alias("dow")).agg(n().alias("events"), total("value", "value")).withColumn("business_hours", F.col("hour").between(9, 17))
-
-
-@query("product_summary", f"WITH p AS (SELECT product_id, count(DISTINCT order_id) AS orders, sum(quantity)::BIGINT AS units, {LINE} AS revenue, min(order_date) AS first_sale, max(order_date) AS last_sale FROM v_items JOIN v_orders USING (order_id) GROUP BY 1) SELECT *, (CAST(revenue AS DOUBLE) / units) AS per_unit, CASE WHEN revenue > 0 AND revenue <= 1000 THEN 'Low' WHEN revenue > 1000 AND revenue <= 5000 THEN 'Medium' WHEN revenue > 5000 AND revenue <= 20000 THEN 'High' WHEN revenue > 20000 THEN 'Top' END AS revenue_tier FROM p")
-def _(v):
-    p = v("v_items").join(v("v_orders"), "order_id").groupBy("product_id").agg(F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("units"), line_total(), F.min("order_date").alias("first_sale"), F.max("order_date").alias("last_sale"))
-    return p.select("*", per("revenue", "units").alias("per_unit"), C.bucketize_right_closed(F.col("revenue"), [0, 1000, 5000, 20000, None], ["Low", "Medium", "High", "Top"]).alias("revenue_tier"))
-
-
-@query("gold_dim_customers", f"WITH m AS (SELECT customer_id, count(*) AS orders, {SPENT} AS spent, max(order_date) AS latest FROM v_orders GROUP BY 1) SELECT customer_id, segment, coalesce(orders, 0) AS orders, coalesce(spent, 0)::DECIMAL(28,2) AS spent, coalesce(date_diff('day', latest, DATE '{AS_OF}'), 9999)::INT AS recency, CASE WHEN orders IS NULL THEN 'Never' WHEN date_diff('day', latest, DATE '{AS_OF}') <= 90 THEN 'Active' ELSE 'Lapsed' END AS activity FROM v_customers LEFT JOIN m USING (customer_id)")
-def _(v):
-    m = v("v_orders").groupBy("customer_id").agg(n().alias("orders"), total("total_amount", "spent"), F.max("order_date").alias("latest"))
-    age = F.date_diff(F.lit(AS_OF).cast("date"), "latest")
-    joined = v("v_customers").join(m, "customer_id", "left")
-    return joined.select("customer_id", "segment", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), F.coalesce("spent", F.lit(0)).cast("decimal(28,2)").alias("spent"), F.coalesce(age, F.lit(9999)).alias("recency"), F.when(F.col("orders").isNull(), "Never").when(age <= 90, "Active").otherwise("Lapsed").alias("activity"))
-
-
 @query("gold_fact_order_items", "SELECT order_id, line_number, product_id, customer_id, order_date, status, quantity, CAST(quantity * unit_price AS DECIMAL(18,2)) AS line_total FROM v_items JOIN v_orders USING (order_id)")
 def _(v):
     return v("v_items").join(v("v_orders"), "order_id").select("order_id", "line_number", "product_id", "customer_id", "order_date", "status", "quantity", line().cast("decimal(18,2)").alias("line_total"))
 
 
-@query("mart_customer_analytics_sql", f"WITH c AS (SELECT customer_id, payment_method, count(*) AS n FROM v_orders GROUP BY 1, 2), p AS (SELECT customer_id, payment_method FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, payment_method) AS rn FROM c) WHERE rn = 1), s AS (SELECT customer_id, {SPENT} AS spent, count(*) FILTER (order_date >= DATE '{AS_OF}' - INTERVAL 90 DAY) AS recent FROM v_orders GROUP BY 1) SELECT customer_id, spent, recent, payment_method AS usual_payment FROM s JOIN p USING (customer_id)")
-def _(v):
-    # counted by (customer, method) first, so the most frequent is a max over few rows
-    g = v("v_orders").groupBy("customer_id", "payment_method").agg(n().alias("n"), F.sum("total_amount").alias("s"), F.count_if(F.col("order_date") >= F.date_sub(F.lit(AS_OF).cast("date"), 90)).alias("r"))
-    return g.groupBy("customer_id").agg(total("s", "spent"), F.sum("r").alias("recent"), F.min(F.struct(-F.col("n"), "payment_method")).getField("payment_method").alias("usual_payment"))
-
-
-@query("mart_category_performance_sql", f"WITH m AS (SELECT category, date_trunc('month', order_date)::DATE AS month, {LINE} AS revenue FROM v_items JOIN v_orders USING (order_id) JOIN v_products USING (product_id) GROUP BY 1, 2) SELECT category, month, revenue, (CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER (PARTITION BY month) AS DOUBLE)) AS share FROM m")
-def _(v):
-    m = v("v_items").join(v("v_orders"), "order_id").join(v("v_products"), "product_id").groupBy("category", F.trunc("order_date", "month").alias("month")).agg(line_total())
-    return m.withColumn("share", per("revenue", F.sum("revenue").over(Window.partitionBy("month"))))
-
-
-@query("customer_360", f"SELECT customer_id, segment, count(DISTINCT order_id) AS orders, sum(quantity)::BIGINT AS units, {LINE} AS revenue, date_diff('day', min(order_date), max(order_date))::INT AS lifetime FROM v_customers JOIN v_orders USING (customer_id) JOIN v_items USING (order_id) GROUP BY 1, 2")
-def _(v):
-    # lines are rolled up to orders before the customer's sums: order_id is then distinct by itself
-    i = v("v_items").groupBy("order_id").agg(F.sum("quantity").alias("units"), F.sum(line()).alias("revenue"))
-    o = v("v_orders").join(i, "order_id").groupBy("customer_id").agg(n().alias("orders"), F.sum("units").alias("units"), F.sum("revenue").cast("decimal(28,2)").alias("revenue"), F.date_diff(F.max("order_date"), F.min("order_date")).alias("lifetime"))
-    return v("v_customers").join(o, "customer_id").select("customer_id", "segment", "orders", "units", "revenue", "lifetime")
-
-
-@query("vw_daily_kpis", f"SELECT order_date, count(*) AS orders, (CAST(count(*) FILTER ({DONE}) AS DOUBLE) / count(*)) AS done_rate, (CAST(sum(total_amount) AS DOUBLE) / count(*)) AS average FROM v_orders GROUP BY 1")
-def _(v):
-    return v("v_orders").groupBy("order_date").agg(n().alias("orders"), per(F.count_if(done()), n()).alias("done_rate"), per(F.sum("total_amount"), n()).alias("average"))
-
-
-@query("vw_customer_segments", f"SELECT segment, count(*) AS orders, count(DISTINCT customer_id) AS customers, {SPENT} AS revenue FROM v_orders JOIN v_customers USING (customer_id) GROUP BY 1")
-def _(v):
-    # by customer first: the count of customers is then a count of rows
-    c = v("v_orders").groupBy("customer_id").agg(n().alias("k"), F.sum("total_amount").alias("s")).join(v("v_customers"), "customer_id")
-    return c.groupBy("segment").agg(F.sum("k").alias("orders"), n().alias("customers"), total("s", "revenue"))
-
-
 @query("lake_run_summary", f"SELECT count(*) AS orders, count(DISTINCT customer_id) AS customers, {SPENT} AS revenue, min(order_date) AS first_day, max(order_date) AS last_day FROM v_orders")
 def _(v):
     c = v("v_orders").groupBy("customer_id").agg(n().alias("k"), F.sum("total_amount").alias("s"), F.min("order_date").alias("a"), F.max("order_date").alias("b"))
@@ -254,23 +105,11 @@ def _(v):
 # ------------------------------------------------------------------ cleaning
 
 
-@query("quantity_tier", "SELECT order_id, line_number, quantity, CASE WHEN quantity > 0 AND quantity <= 1 THEN 'Single' WHEN quantity > 1 AND quantity <= 3 THEN 'Few' WHEN quantity > 3 AND quantity <= 10 THEN 'Several' WHEN quantity > 10 THEN 'Bulk' END AS quantity_tier FROM v_items")
-def _(v):
-    return v("v_items").select("order_id", "line_number", "quantity", C.bucketize_right_closed(F.col("quantity"), [0, 1, 3, 10, None], ["Single", "Few", "Several", "Bulk"]).alias("quantity_tier"))
-
-
 #: Units of USD for one of the currency; any other counts as 1.
 RATES = {"EUR": "1.10", "GBP": "1.27", "CAD": "0.74", "AUD": "0.65"}
 CURRENCY = "CASE order_id % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'CAD' WHEN 3 THEN 'AUD' WHEN 4 THEN 'USD' ELSE 'XXX' END"
 
 
-@query("convert_currency", f"SELECT order_id, currency, CAST(total_amount * CAST(CASE currency WHEN 'EUR' THEN 1.10 WHEN 'GBP' THEN 1.27 WHEN 'CAD' THEN 0.74 WHEN 'AUD' THEN 0.65 ELSE 1.00 END AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS total_usd FROM (SELECT order_id, total_amount, {CURRENCY} AS currency FROM v_orders)")
-def _(v):
-    o = v("v_orders").select("order_id", "total_amount", F.expr(CURRENCY).alias("currency"))
-    rate = F.coalesce(*[F.when(F.col("currency") == c, F.lit(r)) for c, r in RATES.items()], F.lit("1.00")).cast("decimal(4,2)")
-    return o.select("order_id", "currency", (F.col("total_amount") * rate).cast("decimal(18,2)").alias("total_usd"))
-
-
 @query("zscore_standardize", "SELECT product_id, round((CAST(price AS DOUBLE) - m) / s, 4) AS z FROM v_products, (SELECT avg(CAST(price AS DOUBLE)) AS m, stddev_samp(CAST(price AS DOUBLE)) AS s FROM v_products)")
 def _(v):
     p = v("v_products").select("product_id", F.col("price").cast("double").alias("price"))
@@ -278,27 +117,12 @@ def _(v):
     return p.crossJoin(stats).select("product_id", F.when(F.col("s") == 0, 0.0).otherwise(F.round((F.col("price") - F.col("m")) / F.col("s"), 4)).alias("z"))
 
 
-@query("clean_text", r"SELECT product_id, trim(regexp_replace(regexp_replace(name, '[^0-9A-Za-z_\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM v_products")
-def _(v):
-    return v("v_products").select("product_id", F.trim(F.regexp_replace(F.regexp_replace("name", r"[^0-9A-Za-z_\s]", ""), r"\s+", " ")).alias("name"))
-
-
 @query("nullcheck_table", "SELECT product_id, nullif(CASE WHEN product_id % 5 = 0 THEN '' ELSE brand END, '') AS brand, nullif(category, '') AS category FROM v_products")
 def _(v):
     p = v("v_products").select("product_id", F.when(F.col("product_id") % 5 == 0, "").otherwise(F.col("brand")).alias("brand"), "category")
     return p.select(*[F.nullif(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in p.schema])
 
 
-@query("silver_orders", "SELECT order_id, customer_id, year(order_date)::INT AS y, month(order_date)::INT AS m, lower(status) AS status, total_amount, CASE WHEN total_amount < 50 THEN 'Low' WHEN total_amount < 100 THEN 'Medium' WHEN total_amount < 200 THEN 'High' WHEN total_amount < 500 THEN 'Very High' ELSE 'Premium' END AS value_tier FROM v_orders")
-def _(v):
-    return v("v_orders").select("order_id", "customer_id", F.year("order_date").alias("y"), F.month("order_date").alias("m"), F.lower("status").alias("status"), "total_amount", C.tier(F.col("total_amount"), [50, 100, 200, 500], ["Low", "Medium", "High", "Very High", "Premium"]).alias("value_tier"))
-
-
-@query("silver_products", "SELECT product_id, trim(name) AS name, price, CASE WHEN price < 20 THEN 'Budget' WHEN price < 50 THEN 'Standard' WHEN price < 100 THEN 'Premium' ELSE 'Luxury' END AS price_tier, CASE WHEN stock_quantity <= 0 THEN 'Out of Stock' WHEN stock_quantity < 10 THEN 'Low Stock' WHEN stock_quantity < 50 THEN 'Medium Stock' ELSE 'In Stock' END AS stock_status FROM v_products")
-def _(v):
-    return v("v_products").select("product_id", F.trim("name").alias("name"), "price", C.tier(F.col("price"), [20, 50, 100], ["Budget", "Standard", "Premium", "Luxury"]).alias("price_tier"), C.tier(F.col("stock_quantity"), [1, 10, 50], ["Out of Stock", "Low Stock", "Medium Stock", "In Stock"]).alias("stock_status"))
-
-
 @query("decode_json_payload", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM v_events")
 def _(v):
     return v("v_events").select("event_id", F.from_json("props", "k LONG").alias("x")).select("event_id", "x.k")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import checks, retail, workbook  # noqa: F401
+from ledgerloom.plans import analytics, checks, cleaning, marts, products, retail, suites, workbook  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
