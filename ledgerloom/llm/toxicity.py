@@ -33,7 +33,7 @@ EVIDENCE = 10.0
 PREFIXES = (4, 5, 6)
 STRIPES = 3
 FOLDS = 5
-_MEMO = 300_000
+_MEMO = 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
