@@ -56,16 +56,25 @@ def recency(df: DataFrame, column: str, as_of: str, days: int, by: list[str]) ->
     return latest.where(F.col("latest") < F.date_sub(F.lit(as_of).cast("date"), days))
 
 
-def sequential_values(df: DataFrame, column: str, by: list[str], step: int = 1) -> DataFrame:
-    """Rows that do not follow their predecessor within the group by exactly ``step``."""
+def sequential_values(df: DataFrame, column: str, by: list[str], step: int = 1, unit: str | None = None) -> DataFrame:
+    """Rows that do not follow their predecessor within the group by exactly ``step``; with ``unit`` ("DAY", "HOUR") steps of time."""
     before = F.lag(column).over(Window.partitionBy(*by).orderBy(column))
-    return df.withColumn("previous", before).where(F.col(column) != F.col("previous") + step)
+    due = F.col("previous") + (F.lit(step) if unit is None else F.expr(f"INTERVAL {step} {unit}"))
+    return df.withColumn("previous", before).where(F.col(column) != due)
 
 
-def mutually_exclusive_ranges(df: DataFrame, lo: str, hi: str, by: list[str], order: list) -> DataFrame:
-    """Ranges that end after the next one of their group starts."""
+def mutually_exclusive_ranges(df: DataFrame, lo: str, hi: str, by: list[str], order: list, gaps: str = "allowed", zero_length: bool = False) -> DataFrame:
+    """Ranges that end before they start, or after the next one of their group starts.
+
+    ``gaps``: "allowed", "not_allowed" (the next starts where this one ends) or
+    "required"; ``zero_length`` lets a range end where it starts.
+    """
     after = F.lead(lo).over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("next_start", after).where(F.col(hi) > F.col("next_start"))
+    x = df.withColumn("next_start", after)
+    end, start = F.col(hi), F.col("next_start")
+    apart = {"allowed": end <= start, "not_allowed": end == start, "required": end < start}[gaps]
+    forward = F.col(lo) <= end if zero_length else F.col(lo) < end
+    return x.where(~(forward & F.coalesce(apart, F.lit(True))))
 
 
 def relationships_where(df: DataFrame, key: str, reference: DataFrame, ref_key: str, where: Column | None = None, ref_where: Column | None = None) -> DataFrame:

@@ -24,8 +24,9 @@ def orphans(df: DataFrame, key: str, reference: DataFrame, ref_key: str) -> Data
 
 
 def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    """Rows outside the quartile fences."""
-    q = df.agg(F.percentile(column, F.lit(0.25)).alias("_lo"), F.percentile(column, F.lit(0.75)).alias("_hi"))
+    """Rows outside the quartile fences; the quartiles come from counts of different values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    q = counts.agg(F.percentile(column, F.lit(0.25), F.col("_n")).alias("_lo"), F.percentile(column, F.lit(0.75), F.col("_n")).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) * k
     return df.crossJoin(F.broadcast(q)).where((F.col(column) < F.col("_lo") - width) | (F.col(column) > F.col("_hi") + width)).drop("_lo", "_hi")
 

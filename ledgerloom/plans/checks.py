@@ -68,6 +68,18 @@ def _(v):
     return A.sequential_values(v("v_items").select("order_id", "line_number"), "line_number", ["order_id"])
 
 
+@query("assert_sequential_dates", "SELECT order_date, previous FROM (SELECT order_date, lag(order_date) OVER (ORDER BY order_date) AS previous FROM (SELECT DISTINCT order_date FROM v_orders)) WHERE order_date <> previous + INTERVAL 1 DAY")
+def _(v):
+    # a row per day
+    return A.sequential_values(v("v_orders").select("order_date").distinct(), "order_date", [], 1, "DAY")
+
+
+@query("assert_ranges_without_gaps", "SELECT order_id, next_start FROM (SELECT order_id, order_date, lead(order_date) OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS next_start FROM v_orders) WHERE NOT coalesce(order_date + INTERVAL 30 DAY = next_start, true)")
+def _(v):
+    o = v("v_orders").withColumn("ends", F.date_add("order_date", 30))
+    return A.mutually_exclusive_ranges(o, "order_date", "ends", ["customer_id"], ["order_date", "order_id"], gaps="not_allowed").select("order_id", "next_start")
+
+
 @query("assert_mutually_exclusive_ranges", "SELECT order_id, next_start FROM (SELECT order_id, order_date, lead(order_date) OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS next_start FROM v_orders) WHERE order_date + INTERVAL 30 DAY > next_start")
 def _(v):
     o = v("v_orders").withColumn("ends", F.date_add("order_date", 30))
@@ -84,11 +96,11 @@ def _(v):
     return quality.duplicates(v("v_items"), ["product_id", "quantity"])
 
 
-_SIDES = "FROM (SELECT {by} AS k, count(*) AS n FROM v_orders WHERE order_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT {by} AS k, count(*) AS n FROM v_orders WHERE order_id % 3 = 0 GROUP BY 1) b USING (k)"
+_SIDES = "FROM (SELECT {by} AS k, count(*) AS n FROM v_orders GROUP BY 1) a FULL JOIN (SELECT {by} AS k, count(*) AS n FROM d_orders GROUP BY 1) b USING (k)"
 
 
 def sides(v):
-    return v("v_orders").where("order_id % 2 = 0"), v("v_orders").where("order_id % 3 = 0")
+    return v("v_orders"), v("d_orders")
 
 
 @query("assert_equal_rowcount", "SELECT k AS status, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b " + _SIDES.format(by="status") + " WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")

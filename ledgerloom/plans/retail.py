@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import loading, quality, windows
-from ledgerloom.streaming import events as stream
 
 from .views import view, with_views
 
@@ -24,7 +23,7 @@ def query(key: str, sql: str):
     def put(f):
         if key in QUERIES:
             raise ValueError(f"{key} is registered twice")
-        QUERIES[key] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
+        QUERIES[key] = lambda spark, sf_dir: f(lambda name, stored=None: view(spark, sf_dir, name, stored))
         SQL[key] = with_views(sql)
         return f
 
@@ -39,11 +38,6 @@ done = lambda: F.col("status").isin("completed", "delivered", "shipped")  # noqa
 # ------------------------------------------------------------------ scans
 
 
-@query("scan_parquet", "SELECT order_id, total_amount FROM v_orders WHERE total_amount > 500")
-def _(v):
-    return v("v_orders").where("total_amount > 500").select("order_id", "total_amount")
-
-
 @query("extract_table", "SELECT order_id, customer_id, total_amount FROM v_orders WHERE status = 'completed' ORDER BY total_amount DESC, order_id LIMIT 100")
 def _(v):
     return v("v_orders").where("status = 'completed'").select("order_id", "customer_id", "total_amount").orderBy(F.desc("total_amount"), "order_id").limit(100)
@@ -59,11 +53,6 @@ def _(v):
     return v("v_orders").where(F.col("order_date") >= F.date_sub(F.lit(AS_OF).cast("date"), 90)).select("order_id", "order_date")
 
 
-@query("extract_date_slice", "SELECT order_id, total_amount FROM v_orders WHERE order_date = DATE '1997-03-04'")
-def _(v):
-    return v("v_orders").where("order_date = DATE '1997-03-04'").select("order_id", "total_amount")
-
-
 # ------------------------------------------------------------------ cleaning
 
 
@@ -117,55 +106,10 @@ def _(v):
 
 # ------------------------------------------------------------------ marts
 
-DAILY = "SELECT order_date, count(*) AS orders, count(DISTINCT customer_id) AS customers, CAST(sum(total_amount) AS DECIMAL(28,2)) AS revenue, CAST(sum(CASE WHEN status IN ('completed','delivered','shipped') THEN total_amount ELSE 0 END) AS DECIMAL(28,2)) AS net_revenue, min(total_amount) AS least, max(total_amount) AS most, round(median(CAST(total_amount AS DOUBLE)), 6) AS middle, sum(CASE WHEN status = 'cancelled' THEN 1 ELSE 0 END)::BIGINT AS cancelled FROM v_orders GROUP BY 1"
-
-
-def daily_sales(o: DataFrame) -> DataFrame:
-    """Sales of each day."""
-    return o.groupBy("order_date").agg(
-        F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"), total("total_amount", "revenue"), total(F.when(done(), F.col("total_amount")).otherwise(0), "net_revenue"),
-        F.min("total_amount").alias("least"), F.max("total_amount").alias("most"), F.round(F.percentile(F.col("total_amount").cast("double"), F.lit(0.5)), 6).alias("middle"), F.sum((F.col("status") == "cancelled").cast("long")).alias("cancelled"),
-    )
-
-
-MONTHLY = "SELECT date_trunc('month', order_date)::DATE AS month, count(*) AS orders, CAST(sum(total_amount) AS DECIMAL(28,2)) AS revenue FROM v_orders GROUP BY 1"
-
-
-def monthly(o: DataFrame) -> DataFrame:
-    return o.groupBy(F.trunc("order_date", "month").alias("month")).agg(F.count(F.lit(1)).alias("orders"), total("total_amount", "revenue"))
-
-
-RFM = f"WITH c AS (SELECT customer_id, date_diff('day', max(order_date), DATE '{AS_OF}') AS recency, count(*) AS frequency, CAST(sum(total_amount) AS DECIMAL(28,2)) AS monetary FROM v_orders GROUP BY 1) SELECT customer_id, recency, frequency, monetary, CASE WHEN recency <= 30 THEN 5 WHEN recency <= 60 THEN 4 WHEN recency <= 90 THEN 3 WHEN recency <= 180 THEN 2 ELSE 1 END AS r, CASE WHEN frequency >= 10 THEN 5 WHEN frequency >= 7 THEN 4 WHEN frequency >= 4 THEN 3 WHEN frequency >= 2 THEN 2 ELSE 1 END AS f, CASE WHEN monetary >= 5000 THEN 5 WHEN monetary >= 2000 THEN 4 WHEN monetary >= 1000 THEN 3 WHEN monetary >= 500 THEN 2 ELSE 1 END AS m FROM c"
-
-
-def steps(x, edges, above: bool):
-    out = None
-    for score, e in zip((5, 4, 3, 2), edges, strict=True):
-        hit = x >= e if above else x <= e
-        out = F.when(hit, score) if out is None else out.when(hit, score)
-    return out.otherwise(1)
-
 
 # ------------------------------------------------------------------ reshaping
 
 
-@query("pivot", "SELECT payment_method, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'shipped') AS shipped, count(*) FILTER (status = 'cancelled') AS cancelled FROM v_orders GROUP BY 1")
-def _(v):
-    return v("v_orders").groupBy("payment_method").agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("completed", "processing", "shipped", "cancelled")])
-
-
-@query("unpivot", "SELECT product_id, 'price' AS field, CAST(price AS DECIMAL(18,2)) AS v FROM v_products UNION ALL SELECT product_id, 'stock', CAST(stock_quantity AS DECIMAL(18,2)) FROM v_products")
-def _(v):
-    p = v("v_products").select("product_id", dec("price").alias("price"), dec("stock_quantity").alias("stock"))
-    return p.unpivot("product_id", ["price", "stock"], "field", "v")
-
-
-@query("date_spine", "SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '2018-01-01', DATE '2018-01-09', INTERVAL 1 DAY) t(d)")
-def _(v):
-    one = v("v_orders").agg(F.lit("2018-01-01").cast("date").alias("a"), F.lit("2018-01-10").cast("date").alias("b"))
-    return one.select(F.explode(F.sequence("a", F.date_sub("b", 1))).alias("d"))
-
-
 @query("deduplicate", "SELECT customer_id, order_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY total_amount DESC, order_id) AS rn FROM v_orders) WHERE rn = 1")
 def _(v):
     return loading.deduplicate(v("v_orders"), ["customer_id"], [F.desc("total_amount"), "order_id"]).select("customer_id", "order_id")
@@ -176,17 +120,6 @@ def _(v):
     return v("v_orders").groupBy("customer_id").agg(total("total_amount", "spent")).orderBy(F.desc("spent"), "customer_id").limit(50)
 
 
-@query("distinct_values", "SELECT status, count(*) AS n FROM v_orders GROUP BY 1")
-def _(v):
-    return v("v_orders").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("except_both_ways", "(SELECT order_id, 'a' AS side FROM v_orders WHERE order_id % 3 = 0 EXCEPT SELECT order_id, 'a' FROM v_orders WHERE order_id % 2 = 0) UNION ALL (SELECT order_id, 'b' FROM v_orders WHERE order_id % 2 = 0 EXCEPT SELECT order_id, 'b' FROM v_orders WHERE order_id % 3 = 0)")
-def _(v):
-    o = v("v_orders").select("order_id")
-    return loading.except_both_ways(o.where("order_id % 3 = 0"), o.where("order_id % 2 = 0"))
-
-
 # ------------------------------------------------------------------ quality
 
 
@@ -198,28 +131,6 @@ def _(v):
 # ------------------------------------------------------------------ loading
 
 
-@query("merge_scd1", "SELECT customer_id, CASE WHEN customer_id % 4 = 0 THEN 'NEW' ELSE segment END AS segment FROM v_customers WHERE customer_id % 3 <> 0 OR customer_id % 4 = 0")
-def _(v):
-    c = v("v_customers").select("customer_id", "segment")
-    return loading.merge_scd1(c.where("customer_id % 3 <> 0"), c.where("customer_id % 4 = 0").withColumn("segment", F.lit("NEW")), ["customer_id"])
-
-
-@query("insert_ignore", "SELECT customer_id, segment FROM v_customers WHERE customer_id % 3 <> 0 UNION ALL SELECT customer_id, 'NEW' FROM v_customers WHERE customer_id % 4 = 0 AND customer_id % 3 = 0")
-def _(v):
-    c = v("v_customers").select("customer_id", "segment")
-    return loading.insert_ignore(c.where("customer_id % 3 <> 0"), c.where("customer_id % 4 = 0").withColumn("segment", F.lit("NEW")), ["customer_id"])
-
-
-@query("merge_scd2", "SELECT customer_id, segment, DATE '2000-01-01' AS effective_from, CASE WHEN customer_id % 4 = 0 THEN DATE '2001-01-01' END AS effective_to, customer_id % 4 <> 0 AS is_current FROM v_customers WHERE customer_id % 3 <> 0 UNION ALL SELECT customer_id, 'NEW', DATE '2001-01-01', NULL, true FROM v_customers WHERE customer_id % 4 = 0")
-def _(v):
-    c = v("v_customers").select("customer_id", "segment")
-    history = c.where("customer_id % 3 <> 0").select("*", F.lit("2000-01-01").cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.lit(True).alias("is_current"))
-    return loading.merge_scd2(history, c.where("customer_id % 4 = 0").withColumn("segment", F.lit("NEW")), ["customer_id"], ["segment"], "2001-01-01")
-
-
 # ------------------------------------------------------------------ streams (batch twins)
 
 
-@query("stream_realtime_kpis", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, count(*) AS events, count(DISTINCT user_id)::INT AS users, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)::BIGINT AS purchases, CAST(sum(value) AS DECIMAL(28,2)) AS value FROM v_events GROUP BY 1")
-def _(v):
-    return stream.windowed_kpis(v("v_events"))

@@ -64,6 +64,7 @@ VIEWS = {
         "ts": "ts",
         "user_id": "user_id",
         "event_type": "event_type",
+        "kind": "CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'product_view' WHEN 'signup' THEN 'add_to_cart' ELSE event_type END",
         "value": "CAST(round(value, 2) AS DECIMAL(18,2))",
         "props": "props",
         "session_id": "concat('s', CAST(user_id AS STRING), '-', CAST(event_id % 3 AS STRING))",
@@ -177,12 +178,16 @@ def enriched_orders(v) -> DataFrame:
 _ENRICHED = {"e_items": enriched_items, "e_rollup": lambda v: order_rollup(v("e_items")), "e_orders": enriched_orders}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a projection on its table: columns not used further never leave the scan."""
+def view(spark: SparkSession, sf_dir: str, name: str, stored: str | None = None) -> DataFrame:
+    """A view as a projection on its table: columns not used further never leave the scan.
+
+    ``stored`` is a condition on the table's own columns, which the scan can use.
+    """
     if name in _ENRICHED:
         return _ENRICHED[name](lambda n: view(spark, sf_dir, n))
     table, columns, twice = VIEWS[name]
     raw = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    raw = raw.where(stored) if stored else raw
     if twice:
         raw = raw.unionAll(raw.where(twice))
     return raw.select(*[F.expr(e).alias(c) for c, e in columns.items()])

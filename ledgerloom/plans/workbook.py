@@ -5,41 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import columns as C
-
-from .retail import AS_OF, RFM, done, monthly, query, steps, total
+from .retail import query, total
 
 n = lambda: F.count(F.lit(1))
 line = lambda: F.col("quantity") * F.col("unit_price")
-DONE = "status IN ('completed','delivered','shipped')"
 LINE = "CAST(sum(quantity * unit_price) AS DECIMAL(28,2))"
 SPENT = "CAST(sum(total_amount) AS DECIMAL(28,2))"
 
 
-def per(money: str | Column, count: str | Column) -> Column:
-    """A ratio in double precision, one division and no rounding, so that engines agree on ties; null for no rows."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (money, count))
-    return F.try_divide(a.cast("double"), b.cast("double"))
-
-
 def line_total(name: str = "revenue") -> Column:
     return F.sum(line()).cast("decimal(28,2)").alias(name)
 
 
-# ------------------------------------------------------------------ analytic queries
-
-
-GEO = "v_orders JOIN v_customers USING (customer_id) JOIN v_nations USING (nation_key) JOIN v_regions USING (region_key)"
-
-
 def geo(v):
     # nations and regions have a fixed number of rows; the planner broadcasts them
     return v("v_orders").join(v("v_customers"), "customer_id").join(v("v_nations"), "nation_key").join(v("v_regions"), "region_key")
 
 
-YTD = "SELECT count(*) FILTER (now)::DOUBLE AS o1, count(*) FILTER (NOT now)::DOUBLE AS o0, CAST(sum(CASE WHEN now THEN total_amount ELSE 0 END) AS DOUBLE) AS r1, CAST(sum(CASE WHEN NOT now THEN total_amount ELSE 0 END) AS DOUBLE) AS r0 FROM (SELECT total_amount, year(order_date) = 1998 AS now FROM v_orders WHERE year(order_date) IN (1997, 1998) AND dayofyear(order_date) <= 200)"
-
-
 # ------------------------------------------------------------------ marts
 
 
@@ -102,14 +84,6 @@ def _(v):
     return v("v_orders").select("order_id", F.when(n().over(w) >= 3, F.sum("total_amount").over(w).cast("decimal(28,2)")).alias("last3"))
 
 
-# ------------------------------------------------------------------ cleaning
-
-
-#: Units of USD for one of the currency; any other counts as 1.
-RATES = {"EUR": "1.10", "GBP": "1.27", "CAD": "0.74", "AUD": "0.65"}
-CURRENCY = "CASE order_id % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'CAD' WHEN 3 THEN 'AUD' WHEN 4 THEN 'USD' ELSE 'XXX' END"
-
-
 @query("zscore_standardize", "SELECT product_id, round((CAST(price AS DOUBLE) - m) / s, 4) AS z FROM v_products, (SELECT avg(CAST(price AS DOUBLE)) AS m, stddev_samp(CAST(price AS DOUBLE)) AS s FROM v_products)")
 def _(v):
     p = v("v_products").select("product_id", F.col("price").cast("double").alias("price"))
@@ -128,14 +102,3 @@ def _(v):
     return v("v_events").select("event_id", F.from_json("props", "k LONG").alias("x")).select("event_id", "x.k")
 
 
-@query("stream_session_metrics", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, user_id, count(*) AS events, count(DISTINCT event_type)::INT AS kinds, min(ts) AS first_ts, max(ts) AS last_ts, max((event_type = 'purchase')::INT)::INT AS converted FROM v_events GROUP BY 1, 2")
-def _(v):
-    g = v("v_events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "5 minutes"), "user_id")
-    m = g.agg(n().alias("events"), F.size(F.collect_set("event_type")).alias("kinds"), F.min("ts").cast("timestamp_ntz").alias("first_ts"), F.max("ts").cast("timestamp_ntz").alias("last_ts"), F.max((F.col("event_type") == "purchase").cast("int")).alias("converted"))
-    return m.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "user_id", "events", "kinds", "first_ts", "last_ts", "converted")
-
-
-@query("verify_load", "SELECT 'orders' AS name, count(*) AS n FROM v_orders UNION ALL SELECT 'items', count(*) FROM v_items UNION ALL SELECT 'customers', count(*) FROM v_customers UNION ALL SELECT 'products', count(*) FROM v_products")
-def _(v):
-    parts = [v(t).agg(n().alias("n")).select(F.lit(name).alias("name"), "n") for name, t in (("orders", "v_orders"), ("items", "v_items"), ("customers", "v_customers"), ("products", "v_products"))]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
