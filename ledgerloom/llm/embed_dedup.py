@@ -4,7 +4,7 @@ Equal vectors collapse to one first. Each of ``trees`` trees splits its node at
 median of a random projection; a band of ``spill`` of the node's vectors on either side
 of the median goes both ways. Split values of a node come from a sample of at most
 ``sample`` of its vectors, drawn on the executors; every vector is routed. Leaves over
-``leaf`` vectors are split again in further rounds until none is left or splitting no
+``block`` vectors are split again in further rounds until none is left or splitting no
 longer helps; those left over ``block`` are cut into parts that meet pairwise in tasks
 of their own. Within a leaf all pairs are compared in double precision. A pair that
 shares several leaves counts in the one with the smallest code, which each side can tell
@@ -14,6 +14,7 @@ per vector its number of new links and one link towards its leaf's component.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,9 @@ from .common import cut
 from .components import connected_components
 from .simhash import _forest
 
-TREES, LEAF, BLOCK, SAMPLE, SPILL, DEPTH, ROUNDS = 8, 512, 2048, 4096, 0.05, 7, 8
+TREES, LEAF, BLOCK, SAMPLE, SPILL, DEPTH = 8, 512, 2048, 4096, 0.05, 7
+#: Models that go to all tasks; each is at most 14 KB.
+MODELS = 1000
 
 
 def _mix(code: np.ndarray, path: np.ndarray) -> np.ndarray:
@@ -66,7 +69,7 @@ def route(code: int, bands: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.n
     return row, _mix(np.full(len(row), code), path)
 
 
-def _fitter(depths: dict[int, int], spill: float, least: float | None):
+def _fitter(spill: float, least: float | None):
     """A node's model from its sample: the depth, then the bands.
 
     With ``least``, none for a node in whose sample over a tenth of the pairs link: splits
@@ -74,16 +77,22 @@ def _fitter(depths: dict[int, int], spill: float, least: float | None):
     """
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        c = int(d["leaf"].iloc[0])
+        c, depth = int(d["leaf"].iloc[0]), int(d["depth"].iloc[0])
         x = _unit(d["embedding"])
         if least is not None and len(x) and (x[:1024] @ x[:1024].T >= least).mean() > 0.1:
             return pd.DataFrame({"leaf": np.zeros(0, np.int64), "model": np.zeros(0, object)})
-        bands = fit_node(c, x, depths[c], spill)
-        return pd.DataFrame({"leaf": [c], "model": [np.concatenate(([float(depths[c])], bands.ravel())).tobytes()]})
+        bands = fit_node(c, x, depth, spill)
+        return pd.DataFrame({"leaf": [c], "model": [np.concatenate(([float(depth)], bands.ravel())).tobytes()]})
 
     return run
 
 
+def _route_node(code: int, model: bytes, embeddings: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(model)
+    depth = int(raw[0])
+    return route(code, raw[1:].reshape(depth, 1 << depth, 2), _unit(embeddings))
+
+
 def _unit(column: pd.Series) -> np.ndarray:
     x = np.stack(column.to_numpy()).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -107,10 +116,7 @@ def _router(models: dict[int, bytes]):
                     rows.append(owner[at])
                     leaves.append(code[at])
                     continue
-                x = _unit(d["embedding"].iloc[owner[at]])
-                raw = np.frombuffer(models[c])
-                depth = int(raw[0])
-                r, leaf = route(c, raw[1:].reshape(depth, 1 << depth, 2), x)
+                r, leaf = _route_node(c, models[c], d["embedding"].iloc[owner[at]])
                 rows.append(owner[at][r])
                 leaves.append(leaf)
             row, leaf = np.concatenate(rows), np.concatenate(leaves)
@@ -120,6 +126,32 @@ def _router(models: dict[int, bytes]):
     return run
 
 
+def _route_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (node, embedding, leaf, model) to the codes of their leaves below; a row without a model keeps its code."""
+    for d in batches:
+        for c, at in d.groupby("leaf", sort=False).indices.items():
+            part = d.iloc[at]
+            node, model = part["node"].to_numpy(np.int64), part["model"].iloc[0]
+            if model is None:
+                yield pd.DataFrame({"node": node, "code": np.full(len(node), c, np.int64)})
+            else:
+                r, leaf = _route_node(int(c), model, part["embedding"])
+                yield pd.DataFrame({"node": node[r], "code": leaf})
+
+
+def route_rows(rows: DataFrame, models: DataFrame, few: int = MODELS) -> DataFrame:
+    """``rows`` with the codes that have a model replaced by those of the leaves below.
+
+    At most ``few`` models, a few KB each, go to the tasks; more are joined to the
+    vectors of their nodes.
+    """
+    if models.limit(few + 1).count() <= few:
+        return rows.mapInPandas(_router({r["leaf"]: bytes(r["model"]) for r in models.collect()}), rows.schema)
+    each = rows.select("node", "embedding", F.explode("codes").alias("leaf")).join(models, "leaf", "left")
+    codes = each.mapInPandas(_route_joined, "node long, code long").groupBy("node").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    return rows.drop("codes").join(codes, "node").select(*rows.columns)
+
+
 def _compare(least: float):
     """New links per vector of a leaf, and a link towards the smallest vector of its component."""
 
@@ -151,32 +183,31 @@ def _compare(least: float):
     return run
 
 
-def leaves(nodes: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, spill: float = SPILL, least: float = 0.95) -> tuple[DataFrame, DataFrame]:
+def leaves(nodes: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, spill: float = SPILL, least: float = 0.95, few: int = MODELS) -> tuple[DataFrame, DataFrame]:
     """``nodes`` (node, embedding, copies) with ``codes``, its leaves over all trees, and the sizes of the leaves."""
     dims = F.size("embedding")
     # trees of their own for each number of components
     rows = nodes.withColumn("codes", F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t, dims)))
-    before: dict[int, int] = {}
-    for turn in range(ROUNDS + 1):
+    tried = None
+    for turn in itertools.count():
         sizes = cut(rows.select(F.explode("codes").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")))
-        # the nodes to split in this round: at most 1,000, each model a few KB
-        big = {r["leaf"]: r["n"] for r in sizes.where(F.col("n") > (leaf if not before else block)).orderBy(F.desc("n"), "leaf").limit(1000).collect()}
-        big = {c: n for c, n in big.items() if c not in before}
-        if not big or turn == ROUNDS:
+        # a node is split once: its children have codes of their own, and one that was left whole stays whole
+        big = sizes.where(F.col("n") > (leaf if turn == 0 else block))
+        big = cut(big if tried is None else big.join(tried, "leaf", "left_anti"))
+        if big.isEmpty():
             break
-        rates = nodes.sparkSession.createDataFrame([(c, sample / n) for c, n in big.items()], "leaf long, rate double")
-        drawn = rows.select("embedding", "node", F.explode("codes").alias("leaf")).join(F.broadcast(rates), "leaf")
-        drawn = drawn.where(F.pmod(F.xxhash64(F.lit(5), "node", "leaf"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("embedding", "leaf")
-        sized = {c: max(1, min(DEPTH, int(np.ceil(np.log2(n / leaf))))) for c, n in big.items()}
-        models = {r["leaf"]: bytes(r["model"]) for r in drawn.groupBy("leaf").applyInPandas(_fitter(sized, spill, least if before else None), "leaf long, model binary").collect()}
-        before |= big
-        if not models:
+        depth = F.greatest(F.lit(1), F.least(F.lit(DEPTH), F.ceil(F.log2(F.col("n") / leaf)))).cast("int").alias("depth")
+        drawn = rows.select("embedding", "node", F.explode("codes").alias("leaf")).join(big.select("leaf", (F.lit(float(sample)) / F.col("n")).alias("rate"), depth), "leaf")
+        drawn = drawn.where(F.pmod(F.xxhash64(F.lit(5), "node", "leaf"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("embedding", "leaf", "depth")
+        models = cut(drawn.groupBy("leaf").applyInPandas(_fitter(spill, None if turn == 0 else least), "leaf long, model binary"))
+        tried = big.select("leaf") if tried is None else cut(tried.union(big.select("leaf")))
+        if models.isEmpty():
             break
-        rows = cut(rows.mapInPandas(_router(models), rows.schema))
+        rows = cut(route_rows(rows, models, few))
     return rows, sizes
 
 
-def embedding_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def embedding_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, few: int = MODELS) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``.
 
     Vectors link at a cosine of at least ``least``. Null vectors, zero vectors and those
@@ -189,7 +220,7 @@ def embedding_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     base = vectors.select(F.col(id_col).alias("_id"), F.when(fine, F.transform(v, lambda x: x + F.lit(0).cast("float"))).alias("embedding"))
     base = base.withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     nodes = cut(base.where("node is not null").groupBy("node").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")))
-    rows, sizes = leaves(nodes.select("node", "embedding", "copies"), trees, leaf, block, sample, least=least)
+    rows, sizes = leaves(nodes.select("node", "embedding", "copies"), trees, leaf, block, sample, least=least, few=few)
     each = rows.select("node", "embedding", "copies", "codes", F.explode("codes").alias("leaf"))
     parts = sizes.where(F.col("n") > block).select("leaf", F.ceil(F.col("n") * 2 / block).alias("parts"))
     if parts.isEmpty():

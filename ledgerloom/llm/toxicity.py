@@ -8,7 +8,8 @@ each class, by EM; voters whose residuals correlate share their weight. Its post
 labels train a logistic classifier over lexicon terms and votes, which scores texts.
 
 Lexicons and classifier are fitted on at most ``MOST_LABELLED`` labelled documents of
-each class, chosen by a hash of the id; scoring covers all documents.
+each class, chosen by a hash of the id; their terms and votes have no cap of their own.
+Scoring covers all documents.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import crc32_mod, cut
 
 MOST_LABELLED = 10_000
-MOST_TERMS = 4_000
 SUPPORT = 3
 RATIO = 6.0
 #: Least n * KL(share of toxic documents among a term's, share overall): chance terms stay under it.
@@ -67,23 +67,21 @@ def pattern_votes(text: str | None) -> list[int]:
     return [int(upper > 0.5 * n), int(t.count("!") > 0.02 * n), int(len(re.findall(r"[#$%&*]", t)) > 0.1 * n)]
 
 
-def _count_terms(known: dict | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            c: Counter = Counter()
-            memo: dict = {}
-            for t in d["text"]:
-                c.update(doc_terms(t, known, memo))
-            yield pd.DataFrame({"term": [str(k) for k in c], "n": np.fromiter(c.values(), np.int64, len(c))})
-
-    return run
+def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for d in batches:
+        c: Counter = Counter()
+        for t in d["text"]:
+            c.update(doc_terms(t))
+        yield pd.DataFrame({"term": [str(k) for k in c], "n": np.fromiter(c.values(), np.int64, len(c))})
 
 
-def evidence(toxic: float, clean: float, share: float) -> float:
+def evidence(toxic, clean, share: float):
     """n * KL(share of toxic documents among these, share overall); 0 if it isn't higher."""
+    toxic, clean = np.asarray(toxic, np.float64), np.asarray(clean, np.float64)
     n = toxic + clean
-    p = toxic / n if n else 0.0
-    return n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0)) if p > share else 0.0
+    p = toxic / np.maximum(n, 1)
+    rest = np.where(p < 1, (1 - p) * np.log(np.maximum(1 - p, 1e-300) / (1 - share)), 0.0)
+    return np.where(p > share, n * (p * np.log(np.maximum(p, 1e-300) / share) + rest), 0.0)
 
 
 def cover(found: list[list[int]], gold: np.ndarray, clean: np.ndarray, share: float) -> list[int]:
@@ -95,13 +93,11 @@ def cover(found: list[list[int]], gold: np.ndarray, clean: np.ndarray, share: fl
     while len(at):
         a = np.bincount(col, minlength=len(clean)).astype(np.float64)
         live = np.flatnonzero(a >= SUPPORT)
-        # candidates in order of how many they explain; the evidence decides
-        best, most = -1, EVIDENCE
-        for k in live[np.argsort(-(a[live] - clean[live]), kind="stable")][:50].tolist():
-            e = evidence(a[k], clean[k], share)
-            if e > most:
-                best, most = k, e
-        if best < 0:
+        if not len(live):
+            break
+        e = evidence(a[live], clean[live], share)
+        best = int(live[np.argmax(e)])
+        if e.max() <= EVIDENCE:
             break
         taken.append(best)
         gone = np.isin(at, at[col == best])
@@ -199,18 +195,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * most ids
     # copies of a text are one piece of evidence
     rows = cut(rows.groupBy(F.xxhash64("text").alias("_h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("_h"))
-    n1 = rows.where("toxic = 1").select("text").mapInPandas(_count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n1")).where(F.col("n1") >= SUPPORT)
-    first = {r["term"]: r["n1"] for r in n1.orderBy(F.desc("n1"), "term").limit(10 * MOST_TERMS).collect()}
-    candidate = {t: i for i, t in enumerate(first)}
-    names = list(first)
-    n0 = {names[int(r["term"])]: r["n0"] for r in rows.where("toxic <> 1").select("text").mapInPandas(_count_terms(candidate), "term string, n long").groupBy("term").agg(F.sum("n").alias("n0")).collect()} if first else {}
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     t1, t0 = sizes.get(True, 0), sizes.get(False, 0)
     if not t1 or not t0:
         return {"known": {}, "lexicon": [], "n_lexicons": 0, "n_votes": 5, "w": [0.0] * 5 + [4.0 if t1 and not t0 else -4.0], "probs": None}
-    ratio = {t: ((first[t] + 0.1) / (t1 + 1)) / ((n0.get(t, 0) + 0.1 * t0 / t1) / (t0 + 1)) for t in first}
     share = t1 / (t1 + t0)
-    strong = sorted((t for t in first if ratio[t] >= RATIO and evidence(first[t], n0.get(t, 0), share) >= EVIDENCE), key=lambda t: (-first[t] * np.log(ratio[t]), t))[:MOST_TERMS]
+
+    def counts(where: str, name: str) -> DataFrame:
+        return rows.where(where).select("text").mapInPandas(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
+
+    # both tests are made where the counts are: only the terms that pass come to the driver, which the sample's size bounds
+    both = counts("toxic = 1", "n1").where(F.col("n1") >= SUPPORT).join(counts("toxic <> 1", "n0"), "term", "left").fillna({"n0": 0})
+    odds = ((F.col("n1") + 0.1) / (t1 + 1)) / ((F.col("n0") + 0.1 * t0 / t1) / (t0 + 1))
+    p = F.col("n1") / (F.col("n1") + F.col("n0"))
+    proof = (F.col("n1") + F.col("n0")) * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    passed = both.withColumn("odds", odds).where((F.col("odds") >= RATIO) & (p > share)).where(proof >= EVIDENCE).collect()
+    first, n0 = {r["term"]: r["n1"] for r in passed}, {r["term"]: r["n0"] for r in passed}
+    strong = sorted(first, key=lambda t: (-first[t] * np.log(((first[t] + 0.1) / (t1 + 1)) / ((n0[t] + 0.1 * t0 / t1) / (t0 + 1))), t))
     model = _lexicons(strong)
     make = _rows(model)
 

@@ -214,8 +214,8 @@ def test_mixing_draws_in_proportion_to_size(spark):
 # ------------------------------------------------------------------ embeddings
 
 
-@pytest.mark.parametrize("block", [2048, 70])
-def test_embedding_links_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "few"), [(2048, 1000), (70, 1)])
+def test_embedding_links_equal_brute_force(spark, block, few):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((700, 24)).astype(np.float32)
     dense = x[0] + 0.05 * rng.standard_normal((90, 24)).astype(np.float32)
@@ -224,7 +224,7 @@ def test_embedding_links_equal_brute_force(spark, block):
     rows = [(i, v.tolist(), 0, "n") for i, v in enumerate(all_)]
     rows += [(5000, None, 0, "n"), (5001, [0.0] * 24, 0, "n"), (5002, [float("nan")] * 24, 0, "n"), (5003, [None] + [1.0] * 23, 0, "n"), (5004, [], 0, "n"), (5005, [1.0, 2.0], 0, "n"), (5006, [2.0, 4.0], 0, "n"), (5007, [float("inf")] * 24, 0, "n")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, codes string")
-    got = {r["vec_id"]: r for r in embed_dedup.embedding_classes(df, trees=6, leaf=64, block=block).collect()}
+    got = {r["vec_id"]: r for r in embed_dedup.embedding_classes(df, trees=6, leaf=64, block=block, few=few).collect()}
     y = all_.astype(np.float64)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     near = y @ y.T >= 0.95
