@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, small_batches
 from .components import connected_components
 from .set_join import BROADCAST_NODES, set_sketch, similar_components
 
@@ -279,7 +279,9 @@ def near_duplicate_roots(docs: DataFrame, words: int = 5, similarity: float = 0.
     """
     row = F.xxhash64(F.lit(3), "doc_id", "text").alias("_row")
     # texts without words are alike only in having none
-    seen = cut(docs.select("doc_id", row, set_sketch(F.col("text"), words, similarity).alias("x")).where("x.node is not null").select("doc_id", "_row", "x.*"))
+    sketched = docs.select("doc_id", row, set_sketch(F.col("text"), words, similarity).alias("x")).where("x.node is not null").select("doc_id", "_row", "x.*")
+    with small_batches(docs.sparkSession):
+        seen = cut(sketched)
     nodes = cut(seen.groupBy("node").agg(F.min(F.struct("_row", "n", "bits", "prefix")).alias("x")).select("node", "x.*"))
     wanted = nodes.select("_row", "node")
 
