@@ -419,14 +419,55 @@ def test_words_apart_have_the_ids_of_the_whole_text():
 
 
 def test_pipeline(spark):
+    """Each stage's rows against what its operator's report, or a brute-force version, says of the same input."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES:
-        before, kept = kept, stage(spark, kept, SF).cache()
-        if name != "token ids":
-            assert sorted(kept.columns) == sorted(docs.columns)
-        if name != "mixing":
-            assert 0 < kept.count() <= before.count()
-    assert corpus_pipeline.run(spark, SF).count() == kept.count()
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    clean = stages["toxicity"](spark, docs, SF).cache()
+    scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert ids(clean) == ids(scores.where("predicted = 0"))
+    unique = stages["near-duplicates"](spark, clean, SF).cache()
+    rows = sorted(clean.collect(), key=lambda r: r["doc_id"])
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(r["text"]) for r in rows], list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    assert ids(unique) == Counter(r["doc_id"] for i, r in enumerate(rows) if root[i] == i or not sets[i])
+    fresh = stages["decontamination"](spark, unique, SF).cache()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert ids(fresh) == Counter(r["doc_id"] for r in unique.collect() if not brute_items(r["text"], items))
+    mixed = stages["mixing"](spark, fresh, SF).cache()
+    assert ids(mixed) == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(fresh).collect() if r["copies"]})
+    coded = stages["token ids"](spark, mixed, SF).collect()
+    t = Tokenizer.from_file(queries.vocabulary())
+    size = {r["doc_id"]: len(t.encode(r["text"], add_special_tokens=False).ids) + 1 for r in fresh.collect()}
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in coded) == Counter((r["doc_id"], size[r["doc_id"]]) for r in mixed.collect())
+    for x in (clean, unique, fresh, mixed):
+        assert sorted(x.columns) == sorted(docs.columns) and x.count()
+    assert corpus_pipeline.run(spark, SF).count() == len(coded)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_embedding_recall_on_the_tables(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.embedding_classes(table).select("vec_id", "n_links").collect()}
+    pdf = table.select("vec_id", "embedding").toPandas()
+    fine = pdf["embedding"].map(lambda e: e is not None and len(e) == len(pdf["embedding"].iloc[0]) and np.isfinite(np.asarray(e, np.float64)).all() and np.any(np.asarray(e) != 0))
+    ids, x = pdf["vec_id"][fine].to_numpy(), np.stack(pdf["embedding"][fine].to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 100 == 0) if sf == "0.1" else np.arange(len(ids))
+    want = np.concatenate([(x[asked[i : i + 500]] @ x.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(asked), 500)])
+    have = np.array([got[int(i)] for i in ids[asked]])
+    assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
