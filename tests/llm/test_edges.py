@@ -86,6 +86,26 @@ def test_parities_settle_only_what_they_may():
                 assert got == (real >= 0.8)
 
 
+def test_sparse_parities_keep_alike_pairs():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    rows, alike = [], set()
+    for k, n in enumerate((60, 500, 520, 1000, 1300, 5000, 20_000)):
+        for similarity in (0.3, 0.81, 0.9):
+            both = int(np.ceil(2 * n * similarity / (1 + similarity)))
+            s = np.unique(rng.integers(0, 1 << 63, 2 * n - both)).astype(np.uint64)
+            for name, x in ((0, s[:n]), (1, np.concatenate([s[:both], s[n:]]))):
+                node = 100 * k + int(similarity * 10) * 2 + name
+                rows.append((100 * k + int(similarity * 10), 0, node, node, len(x), 0, set_join.sparse_parities(x)))
+            if similarity > 0.8:
+                alike.add(node - 1)
+    d = pd.DataFrame(rows, columns=["h", "block", "node", "comp", "n", "side", "bits"]).sort_values(["h", "n"])
+    got = set(pd.concat(list(set_join._pairs(0.8, False)(iter([d]))))["a"])
+    assert got == alike
+
+
 def test_names_with_prefix_are_found(docs):
     from ledgerloom.llm.common import free_name
 
