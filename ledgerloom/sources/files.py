@@ -64,10 +64,10 @@ def sink_multi_output(df: DataFrame, outputs: dict[str, tuple[Column, list[str]]
         df.unpersist()
 
 
-def scan_jdbc(spark: SparkSession, url: str, table: str, column: str, parts: int, fetch: int = 10_000, **options) -> DataFrame:
-    """A table in parallel ranges of a numeric column, whose bounds are asked for first."""
+def scan_jdbc(spark: SparkSession, url: str, table: str, column: str, parts: int, fetch: int = 10_000, quote: str = '"', **options) -> DataFrame:
+    """A table in parallel ranges of a numeric column, whose bounds are asked for first; ``quote`` is the database's sign around names."""
     o = {"url": url, "fetchsize": str(fetch), **options}
-    lo, hi = spark.read.format("jdbc").options(**o, dbtable=f"(SELECT min({column}) AS lo, max({column}) AS hi FROM {table}) b").load().first()
+    lo, hi = spark.read.format("jdbc").options(**o, dbtable=f"(SELECT min({quote}{column}{quote}) AS lo, max({quote}{column}{quote}) AS hi FROM {table}) b").load().first()
     if lo is None:
         return spark.read.format("jdbc").options(**o, dbtable=table).load()
     return spark.read.format("jdbc").options(**o, dbtable=table, partitionColumn=column, lowerBound=str(lo), upperBound=str(hi + 1), numPartitions=str(parts)).load()

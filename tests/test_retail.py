@@ -54,7 +54,8 @@ def test_late_rows_in_append_mode(spark, tmp_path):
     import datetime as d
 
     at = lambda h, m: d.datetime(2024, 1, 1, h, m)
-    for k, rows in enumerate(([row(1, at(10, 0)), row(2, at(10, 20))], [row(3, at(10, 12)), row(4, at(10, 0))], [row(5, at(15, 0))], [row(6, at(15, 1))])):
+    # a batch filters late rows by the watermark that its predecessor started with
+    for k, rows in enumerate(([row(1, at(10, 0)), row(2, at(10, 20))], [row(3, at(10, 12))], [row(4, at(10, 0))], [row(5, at(15, 0))], [row(6, at(15, 1))])):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     q = events.to_parquet(events.realtime_kpis(stream).select("window_start", "total_events"), str(tmp_path / "out"), str(tmp_path / "ck"), (), {"availableNow": True})
@@ -73,8 +74,8 @@ def test_jdbc_round_trip(spark, tmp_path):
     files.sink_jdbc(rows.where("id > 90"), url, "numbers", **driver)
     back = files.scan_jdbc(spark, url, "numbers", "id", 4, **driver)
     assert back.rdd.getNumPartitions() == 4 and back.count() == 110
-    files.sink_jdbc(rows.limit(0), url, "none", mode="overwrite", **driver)
-    assert files.scan_jdbc(spark, url, "none", "id", 4, **driver).count() == 0
+    files.sink_jdbc(rows.limit(0), url, "no_rows", mode="overwrite", **driver)
+    assert files.scan_jdbc(spark, url, "no_rows", "id", 4, **driver).count() == 0
 
 
 def test_foreach_batch_skips_empty_and_repeats_safely(spark, tmp_path):
