@@ -15,7 +15,7 @@ as_of = lambda: F.lit(AS_OF).cast("date")
 # ------------------------------------------------------------------ assertions
 
 
-@query("expression_is_true", "SELECT order_id, line_number FROM v_items WHERE NOT (quantity * unit_price < 500)")
+@query("assert_expression_is_true", "SELECT order_id, line_number FROM v_items WHERE NOT (quantity * unit_price < 500)")
 def _(v):
     return A.expression_is_true(v("v_items"), F.col("quantity") * F.col("unit_price") < 500).select("order_id", "line_number")
 

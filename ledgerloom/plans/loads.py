@@ -154,7 +154,20 @@ def _(v):
     return o.sparkSession.sql(text, args={"status": "completed", "since": datetime.date(1996, 1, 1)}, o=o, c=v("v_customers"))
 
 
-# ------------------------------------------------------------------ joins by lookup
+# ------------------------------------------------------------------ joins with itself and by lookup
+
+
+@query("join_self_pairs", "SELECT a.order_id, a.line_number AS first_line, b.line_number AS second_line FROM v_items a JOIN v_items b ON a.order_id = b.order_id AND a.product_id < b.product_id WHERE a.discount_percent = b.discount_percent")
+def _(v):
+    side = lambda name: v("v_items").select("order_id", F.col("product_id").alias(f"_{name}"), F.col("line_number").alias(f"{name}_line"), "discount_percent")
+    return side("first").join(side("second"), ["order_id", "discount_percent"]).where("_first < _second").select("order_id", "first_line", "second_line")
+
+
+@query("join_self_yoy", f"WITH m AS (SELECT date_trunc('month', order_date)::DATE AS month, {M.format('total_amount', 'revenue')} FROM v_orders GROUP BY 1) SELECT a.month, a.revenue, b.revenue AS last_year FROM m a LEFT JOIN m b ON b.month = a.month - INTERVAL 1 YEAR")
+def _(v):
+    m = v("v_orders").groupBy(F.trunc("order_date", "month").alias("month")).agg(money("total_amount", "revenue"))
+    old = m.select(F.add_months("month", 12).alias("month"), F.col("revenue").alias("last_year"))
+    return m.join(old, "month", "left")
 
 
 @query("join_lookup_key", "SELECT order_id, CAST('0x' || substr(md5(CAST(c.customer_id AS VARCHAR)), 1, 8) AS BIGINT) AS customer_key FROM v_orders o LEFT JOIN (SELECT customer_id FROM v_customers WHERE customer_id % 11 <> 0) c USING (customer_id)")
@@ -582,6 +595,14 @@ def _(v):
     return parts[0].union(parts[1])
 
 
+@query("stream_sink_console", "SELECT kind, count(*) AS n FROM v_events GROUP BY 1")
+def _(v):
+    s, spark, path = streamed(v("v_events").select("event_id", "kind"))
+    name = f"shown_{path.rsplit('-', 1)[-1]}"
+    S.to_console(s.groupBy("kind").agg(n().alias("n")), name, f"{path}/ck", "memory", ONCE).awaitTermination()
+    return spark.table(name)
+
+
 @query("transformation_log", "SELECT 'clean' AS step, (SELECT count(*) FROM d_orders) AS rows_in, (SELECT count(*) FROM d_orders WHERE total_amount >= 0) AS rows_out")
 def _(v):
     # both counts in the one pass that does the step
