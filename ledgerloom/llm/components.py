@@ -17,10 +17,14 @@ from .common import cut
 
 
 HOT_SHARE, PARTS = 1000, 64
+#: Edges up to which a node can have no more of them than one task joins at ease.
+FEW = 200_000
 
 
 def _join_nodes(edges: DataFrame, nodes: DataFrame, key: str, other: str, total: int) -> DataFrame:
     """``edges`` with what ``nodes`` (``key``, ``m``, ``n``: its edges) say of ``key``; hot nodes' edges are spread over parts by ``other``."""
+    if total <= FEW:
+        return edges.join(nodes.drop("n"), key)
     is_hot = F.col("n") > max(total // HOT_SHARE, 10 * PARTS)
     hot = F.broadcast(nodes.where(is_hot).select(F.col(key).alias("_k"), F.lit(True).alias("_hot")))  # at most 2 * HOT_SHARE rows
     spread = edges.join(hot, edges[key] == hot["_k"], "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
