@@ -28,7 +28,8 @@ from .common import cut, free_name
 
 MIN_CHUNK, MAX_CHUNK = 16, 128
 CUT_ONE_IN = 32
-MIN_WORDS = 50
+#: Passages of over 50 words are meant: five words of slack where an end meets no further agreement.
+MIN_WORDS = 45
 #: Words that an island of marked chunks must hold to be extended: passages of MIN_WORDS seldom keep fewer.
 SEED_WORDS = 8
 #: Bytes compared beyond an island, on either side.
