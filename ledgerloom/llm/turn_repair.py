@@ -207,14 +207,14 @@ class _Run:
         else:
             paths = multiply(self.matrix, block_matrix(self.waiting))
         return {
-            "conv_id": self.conv_id, "at": self.at, "blank": self.faults["b"], "duplicate": self.faults["d"], "truncated": self.faults["t"], "illegal": self.illegal, "turns": self.turns, "first_turn": self.first_turn, "last_turn": self.last_turn,
+            "conv_id": self.conv_id, "at": self.at, "whole": whole and self.matrix is None, "blank": self.faults["b"], "duplicate": self.faults["d"], "truncated": self.faults["t"], "illegal": self.illegal, "turns": self.turns, "first_turn": self.first_turn, "last_turn": self.last_turn,
             "first": self.first, "last": self.last, "paths": [{"entry": a, "exit": b, "cost": c, "audit": s} for (a, b), (c, s) in paths.items()],
         }
 
 
 _COUNTS = [(c, pa.int64()) for c in ("blank", "duplicate", "truncated", "illegal")]
-_RUN = pa.schema([("conv_id", pa.int64()), ("at", pa.int64()), *_COUNTS, ("turns", pa.int64()), ("first_turn", pa.int64()), ("last_turn", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("paths", pa.list_(pa.struct([("entry", pa.int32()), ("exit", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())])))])
-_RUN_DDL = "conv_id long, at long, blank long, duplicate long, truncated long, illegal long, turns long, first_turn long, last_turn long, first string, last string, paths array<struct<entry: int, exit: int, cost: long, audit: string>>"
+_RUN = pa.schema([("conv_id", pa.int64()), ("at", pa.int64()), ("whole", pa.bool_()), *_COUNTS, ("turns", pa.int64()), ("first_turn", pa.int64()), ("last_turn", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("paths", pa.list_(pa.struct([("entry", pa.int32()), ("exit", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())])))])
+_RUN_DDL = "conv_id long, at long, whole boolean, blank long, duplicate long, truncated long, illegal long, turns long, first_turn long, last_turn long, first string, last string, paths array<struct<entry: int, exit: int, cost: long, audit: string>>"
 _MERGED = pa.schema([("conv_id", pa.int64()), ("gaps", pa.int64()), *_COUNTS, ("cost", pa.int64()), ("audit", pa.string()), ("parts", pa.list_(pa.struct([("run", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("audit", pa.string())])))])
 _MERGED_DDL = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, parts array<struct<run: long, entry: int, exit: int, audit: string>>"
 _EDIT = pa.schema([("conv_id", pa.int64()), ("run", pa.int64()), ("step", pa.int32()), ("edit", pa.string()), ("given", pa.string()), ("at", pa.int64())])
@@ -353,8 +353,14 @@ def repair(df: DataFrame) -> Repair:
     """
     ordered = ordered_rows(df)
     light = ordered.select("conv_id", "at", "turn", F.substring("role", 1, 1).alias("initial"), "fault")
-    merged = light.mapInArrow(_runs, _RUN_DDL).groupBy("conv_id").applyInArrow(_merge, _MERGED_DDL)
-    return Repair(ordered, cut(merged))
+    runs = cut(light.mapInArrow(_runs, _RUN_DDL))
+    # most conversations lie within one block of one task and are done; only the others' runs meet
+    path = F.col("paths")[0]
+    part = F.struct(F.col("at").alias("run"), path["entry"].alias("entry"), path["exit"].alias("exit"), path["audit"].alias("audit"))
+    gaps = F.coalesce(F.col("last_turn") - F.col("first_turn") + 1 - F.col("turns"), F.lit(0))
+    whole = runs.where("whole").select("conv_id", gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal", path["cost"].alias("cost"), path["audit"].alias("audit"), F.array(part).alias("parts"))
+    met = runs.where("not whole").groupBy("conv_id").applyInArrow(_merge, _MERGED_DDL)
+    return Repair(ordered, cut(whole.unionByName(met)))
 
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
