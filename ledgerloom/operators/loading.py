@@ -1,4 +1,4 @@
-"""Upserts, history and incremental loads over immutable snapshots."""
+"""Upserts, history and reshaping over immutable snapshots."""
 
 from __future__ import annotations
 
@@ -80,59 +80,17 @@ def except_both_ways(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("side", F.lit("a")).unionByName(b.subtract(a).withColumn("side", F.lit("b")))
 
 
-def incremental_load(source: DataFrame, target: str, control: str, table: str, column: str) -> int:
-    """Append rows beyond the last loaded value of ``column`` to ``target``, advance the mark in ``control``; how many came.
-
-    The mark is written after the rows, so a failed load is repeated, not lost.
-    """
-    spark = source.sparkSession
-    last = None
-    if _exists(spark, control):
-        last = spark.read.parquet(control).where(F.col("table_name") == table).agg(F.max("last_value")).first()[0]
-    new = source if last is None else source.where(F.col(column) > F.lit(last).cast(source.schema[column].dataType))
-    mark, rows = new.agg(F.max(column).cast("string"), F.count(F.lit(1))).first()
-    if rows:
-        new.write.mode("append").parquet(target)
-        spark.createDataFrame([(table, mark)], "table_name string, last_value string").write.mode("append").parquet(control)
-    return rows
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """By Spark's own reader, which knows every file system."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return False
-        raise
-    return True
-
-
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Overwrite the partitions that ``df`` holds and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def job_log(df: DataFrame, path: str, job: str, started: str, ended: str, status: str = "success", error: str | None = None) -> None:
-    """Append one row on a run: status, rows, times, duration, error."""
-    row = df.agg(F.count(F.lit(1)).alias("records_processed")).select(F.lit(job).alias("job_name"), F.lit(status).alias("status"), "records_processed", F.lit(started).cast("timestamp_ntz").alias("start_time"), F.lit(ended).cast("timestamp_ntz").alias("end_time"), F.lit(error).cast("string").alias("error_message"))
-    row.withColumn("duration_seconds", F.timestamp_diff("SECOND", "start_time", "end_time")).write.mode("append").parquet(path)
-
-
 def table_stats(spark: SparkSession, path: str) -> DataFrame:
     """Rows, files and bytes of a Parquet table; no column is read."""
     files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").agg(F.count(F.lit(1)).alias("rows"))
     return files.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("row_count"), F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("total_bytes"))
 
 
-def snapshot_read_at(table: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The table as of a time: of each key the row that came in last by then, ties by the larger batch."""
-    seen = table.where(F.col("_ingested_at") <= F.lit(at).cast("timestamp_ntz"))
-    return deduplicate(seen, keys, [F.desc("_ingested_at"), F.desc("_batch_id")])
-
-
 def compact_table(spark: SparkSession, path: str, out: str, file_bytes: int = 256 << 20) -> None:
     """Rewrite a table of many small files into few under a new path, sized by their bytes."""
     total = table_stats(spark, path).first()["total_bytes"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -31,10 +31,23 @@ def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     return df.crossJoin(F.broadcast(q)).where((F.col(column) < F.col("_lo") - width) | (F.col(column) > F.col("_hi") + width)).drop("_lo", "_hi")
 
 
-def quarantine_reason(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Adds ``reason``: the first rule that a row breaks, null for good rows; a rule that is null counts as broken."""
-    out = None
-    for name, ok in rules.items():
-        broken = ~F.coalesce(ok, F.lit(False))
-        out = F.when(broken, name) if out is None else out.when(broken, name)
-    return df.withColumn("reason", out)
+def outliers_zscore(df: DataFrame, column: str, deviations: float = 3.0) -> DataFrame:
+    """Rows further from the mean than so many standard deviations; nulls and a column without spread have none."""
+    x = F.col(column).cast("double")
+    stats = F.broadcast(df.agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd")))  # one row
+    return df.crossJoin(stats).where(F.abs(x - F.col("_mean")) > F.col("_sd") * deviations).drop("_mean", "_sd")
+
+
+def broken_rules(df: DataFrame, rules: dict[str, Column], name: str = "reasons") -> DataFrame:
+    """Adds an array of the names of all rules that a row breaks, in their order; empty for good rows. A rule that is null counts as broken."""
+    each = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in rules.items()]
+    return df.withColumn(name, F.array_compact(F.array(*each)))
+
+
+def write_quarantined(df: DataFrame, rules: dict[str, Column], path: str) -> dict[str, int]:
+    """Write all rows once, below ``outcome=good`` and ``outcome=quarantined``, with the rules they break; the rows of each outcome, counted by the write."""
+    seen = Observation()
+    out = broken_rules(df, rules).withColumn("outcome", F.when(F.size("reasons") == 0, "good").otherwise("quarantined"))
+    out = out.observe(seen, F.count_if(F.col("outcome") == "good").alias("good"), F.count_if(F.col("outcome") == "quarantined").alias("quarantined"))
+    out.write.mode("overwrite").partitionBy("outcome").parquet(path)
+    return dict(seen.get)

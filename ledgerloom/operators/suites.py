@@ -1,9 +1,8 @@
 """Suites of quality checks: a list of dictionaries in, a row per check out.
 
 A check names its kind under ``check``, mostly a ``column``, and may set ``threshold``
-(least share of rows that hold), ``severity`` and what its kind needs. All checks that one
-aggregation can answer share one pass over the table; each check of uniqueness, reference or
-outliers is one aggregation of its own. Only one-row results are joined.
+(least share of rows that hold), ``severity`` and what its kind needs. All checks of a run
+share one pass over each table and one shuffle, but for those of outliers.
 """
 
 from __future__ import annotations
@@ -38,101 +37,177 @@ def share(holds: Column, of: Column | None = None) -> Column:
     return F.coalesce(F.try_divide(hit.cast("double"), asked.cast("double")), F.lit(1.0))
 
 
-def _simple(spec: dict, as_of: str, df: DataFrame) -> Column | None:
-    """The aggregate of a check that needs no pass of its own."""
-    kind, c = spec["check"], F.col(spec["column"]) if "column" in spec else None
+def _row_tests(spec: dict, as_of: str, df: DataFrame) -> list[tuple[Column, Column]] | None:
+    """What a check that looks at one row at a time asks: pairs of (holds, of which rows)."""
+    kind, c, every = spec["check"], F.col(spec["column"]) if "column" in spec else None, F.lit(True)
     filled = c.isNotNull() if c is not None else None
     if kind == "not_null":
-        return share(filled)
+        return [(filled, every)]
     if kind == "completeness":
-        each = [share(F.col(x).isNotNull()) for x in spec.get("columns") or df.columns]
-        return sum(each[1:], each[0]) / len(each)
+        return [(F.col(x).isNotNull(), every) for x in spec.get("columns") or df.columns]
     if kind == "values_in_set":
-        return share(c.isin(*spec["valid_values"]), filled)
+        return [(c.isin(*spec["valid_values"]), filled)]
     if kind == "range":
         inside = F.lit(True)
         if spec.get("min_value") is not None:
             inside &= c >= spec["min_value"]
         if spec.get("max_value") is not None:
             inside &= c <= spec["max_value"]
-        return share(inside, filled)
+        return [(inside, filled)]
     if kind in ("regex", "email_format", "phone_format"):
         pattern = {"email_format": EMAIL, "phone_format": PHONE}.get(kind) or spec["pattern"]
-        return share(c.cast("string").rlike(f"^(?:{pattern})"), filled)
+        return [(c.cast("string").rlike(f"^(?:{pattern})"), filled)]
     if kind == "no_future_dates":
-        return share(c <= F.lit(as_of).cast("timestamp"), filled)
-    if kind == "freshness":
-        return F.timestamp_diff("SECOND", F.max(c).cast("timestamp"), F.lit(as_of).cast("timestamp")).cast("double") / 3600
+        return [(c <= F.lit(as_of).cast("timestamp"), filled)]
     if kind == "cross_field":
-        return share(F.expr(spec["condition"]))
+        return [(F.expr(spec["condition"]), every)]
     if kind == "custom":
-        return share(spec["holds"](df))
+        return [(spec["holds"](df), every)]
     if kind == "not_empty":
-        return (F.count(F.lit(1)) > 0).cast("double")
+        return [(every, every)]
     return None
 
 
-def _own(spec: dict, df: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
-    """One row (``v``) of a check that needs a pass of its own."""
-    kind = spec["check"]
-    if kind == "unique":
-        c = spec["column"]
-        k = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        return k.agg(F.coalesce(F.try_divide(F.count(F.lit(1)).cast("double"), F.sum("k").cast("double")), F.lit(1.0)).alias("v"))
-    if kind == "primary_key":
-        keys = spec.get("columns") or [spec["column"]]
-        filled = F.lit(True)
-        for c in keys:
-            filled &= F.col(c).isNotNull()
-        k = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).withColumn("ok", filled & (F.col("k") == 1))
-        return k.agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("ok"), F.col("k")).otherwise(0)).cast("double"), F.sum("k").cast("double")), F.lit(1.0)).alias("v"))
-    if kind == "referential":
-        c, ref = spec["column"], references[spec["reference"]].select(F.col(spec["reference_column"]).alias("_r")).where("_r is not null").distinct()
-        k = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        met = k.join(ref, k[c] == ref["_r"], "left")
-        return met.agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("_r").isNotNull(), F.col("k")).otherwise(0)).cast("double"), F.sum("k").cast("double")), F.lit(1.0)).alias("v"))
-    if kind == "outliers":
-        # counts of different values first: quartiles and the share both come from them
-        k = df.select(F.col(spec["column"]).cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
-        if spec.get("method", "iqr") == "iqr":
-            b = k.agg(F.percentile("x", F.lit(0.25), F.col("k")).alias("a"), F.percentile("x", F.lit(0.75), F.col("k")).alias("b")).select((F.col("a") - 1.5 * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + 1.5 * (F.col("b") - F.col("a"))).alias("hi"))
-        else:
-            b = df.select(F.col(spec["column"]).cast("double").alias("x")).agg((F.avg("x") - 3 * F.stddev_samp("x")).alias("lo"), (F.avg("x") + 3 * F.stddev_samp("x")).alias("hi"))
-        inside = F.coalesce((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.lit(True))
-        return k.crossJoin(F.broadcast(b)).agg(F.coalesce(F.try_divide(F.sum(F.when(inside, F.col("k")).otherwise(0)).cast("double"), F.sum("k").cast("double")), F.lit(1.0)).alias("v"))  # one row
-    raise ValueError(f"unknown check {kind!r}")
+def _keys(spec: dict) -> list[str]:
+    return spec.get("columns") or [spec["column"]]
 
 
-def run_checks(df: DataFrame, specs: list[dict], dataset: str, as_of: str, references: dict[str, DataFrame] | None = None) -> DataFrame:
-    """``dataset, rule_name, check_type, severity, expected_threshold, actual_value, passed, error``, a row per check.
+def _key_text(columns: list[str]) -> Column:
+    """Key columns as one text, different for different keys; numbers of any width agree."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
+
+
+def _outliers(spec: dict, df: DataFrame) -> DataFrame:
+    """One row (``v``): the share within the fences. Counts of different values come first: quartiles and the share both come from them."""
+    k = df.select(F.col(spec["column"]).cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
+    if spec.get("method", "iqr") == "iqr":
+        b = k.agg(F.percentile("x", F.lit(0.25), F.col("k")).alias("a"), F.percentile("x", F.lit(0.75), F.col("k")).alias("b")).select((F.col("a") - 1.5 * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + 1.5 * (F.col("b") - F.col("a"))).alias("hi"))
+    else:
+        b = df.select(F.col(spec["column"]).cast("double").alias("x")).agg((F.avg("x") - 3 * F.stddev_samp("x")).alias("lo"), (F.avg("x") + 3 * F.stddev_samp("x")).alias("hi"))
+    inside = F.coalesce((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.lit(True))
+    return k.crossJoin(F.broadcast(b)).agg(F.coalesce(F.try_divide(F.sum(F.when(inside, F.col("k")).otherwise(0)).cast("double"), F.sum("k").cast("double")), F.lit(1.0)).alias("v"))  # one row
+
+
+_KEYED = ("unique", "primary_key", "referential")
+
+
+def run_suites(tables: dict[str, tuple[DataFrame, list[dict]]], as_of: str, references: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``dataset, rule_name, check_type, severity, expected_threshold, actual_value, passed, error``: a row for each check of each dataset.
+
+    All checks of all datasets share one pass over each table and one shuffle. A row goes
+    out once with the answers of all checks that look at rows, which add up before the
+    shuffle, and once with each key that is checked; keys of a referenced table, which may be
+    one of the datasets, go to the same place and mark theirs as known. Only checks of
+    outliers need a pass of their own.
 
     A column that the table lacks fails its check, with an error; a table without rows
     holds everywhere but where freshness or rows are asked for.
     """
-    if not specs:
+    if not tables or not all(specs for _, specs in tables.values()):
         raise ValueError("no checks")
-    simple, own, missing = {}, {}, set()
-    for i, s in enumerate(specs):
-        if any(c not in df.columns for c in [*([s["column"]] if "column" in s else []), *s.get("columns", [])]):
-            missing.add(i)
-            continue
-        made = _simple(s, as_of, df)
-        if made is None:
-            own[i] = _own(s, df, references or {})
-        else:
-            simple[i] = made
-    row = df.agg(*[c.alias(f"v{i}") for i, c in simple.items()] or [F.count(F.lit(1)).alias("_n")])
-    for i, one in own.items():
-        row = row.crossJoin(one.withColumnRenamed("v", f"v{i}"))  # one row each
+    references = dict(references or {})
+    own, asked, missing, tests, ages, wanted = [], 0, set(), {}, {}, {}  # wanted: referenced table -> [(lane, column)]
+    lanes: dict[str, list[tuple[int, dict]]] = {d: [] for d in tables}
+    slots: dict[str, list[tuple[Column, Column]]] = {d: [] for d in tables}
+    times: dict[str, list[str]] = {d: [] for d in tables}
+    lane_of: dict[tuple[str, int], int] = {}
+    for d, (df, specs) in tables.items():
+        for i, s in enumerate(specs):
+            if any(c not in df.columns for c in [*([s["column"]] if "column" in s else []), *s.get("columns", [])]):
+                missing.add((d, i))
+            elif s["check"] == "freshness":
+                ages[d, i] = len(times[d])
+                times[d].append(s["column"])
+            elif s["check"] in _KEYED:
+                lane_of[d, i] = asked
+                lanes[d].append((asked, s))
+                if s["check"] == "referential":
+                    wanted.setdefault(s["reference"], []).append((asked, s["reference_column"]))
+                asked += 1
+            elif s["check"] == "outliers":
+                own.append((d, i, _outliers(s, df)))
+            else:
+                found = _row_tests(s, as_of, df)
+                if found is None:
+                    raise ValueError(f"unknown check {s['check']!r}")
+                tests[d, i] = (len(slots[d]), len(found))
+                slots[d] += found
+
+    number = {d: k for k, d in enumerate(tables)}
+    lane_type = "array<struct<lane: int, key: string, own: int, known: int>>"
+
+    def spread(df: DataFrame, d: str | None, of: list[tuple[int, str]]) -> DataFrame:
+        each = [F.struct(F.lit(k).alias("lane"), F.when(F.col(c).isNotNull(), _key_text([c])).alias("key"), F.lit(0).alias("own"), F.lit(1).alias("known")) for k, c in of]
+        if d is not None:
+            each.append(F.struct(F.lit(-1 - number[d]).alias("lane"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("own"), F.lit(0).alias("known")))
+            for k, s in lanes[d]:
+                whole = F.lit(True)
+                for c in _keys(s):
+                    whole &= F.col(c).isNotNull()
+                # a primary key with a null counts, marked, as broken; other checks don't ask about nulls
+                key = _key_text(_keys(s)) if s["check"] == "primary_key" else F.when(whole, _key_text([s["column"]]))
+                each.append(F.struct(F.lit(k).alias("lane"), key.alias("key"), F.lit(1).alias("own"), (~whole).cast("int").alias("known")))
+        answers = [F.coalesce(x, F.lit(False)) for h, o in (slots[d] if d else []) for x in (h & o, o)]
+        seen = [F.col(c).cast("timestamp") for c in (times[d] if d else [])]
+        row = df.select(F.array(*[a.cast("int") for a in answers]).cast("array<int>").alias("h"), F.array(*seen).cast("array<timestamp>").alias("t"), F.array(*each).cast(lane_type).alias("lanes"))
+        # answers travel with the row's own lane alone
+        return row.select("h", "t", F.inline("lanes")).select("lane", "key", "own", "known", F.when(F.col("lane") < 0, F.col("h")).alias("h"), F.when(F.col("lane") < 0, F.col("t")).alias("t"))
+
+    parts = [spread(df, d, wanted.pop(d, [])) for d, (df, _) in tables.items()]
+    parts += [spread(references[r], None, of) for r, of in wanted.items()]
+    everything = parts[0]
+    for p in parts[1:]:
+        everything = everything.unionByName(p)
+    most, latest = max(2 * len(x) for x in slots.values()), max(len(x) for x in times.values())
+    # keys count before they move; a row without a key asks nothing of a check of unique or referenced values
+    met = everything.where((F.col("lane") < 0) | F.col("key").isNotNull()).groupBy("lane", "key").agg(F.sum("own").alias("k"), F.max("known").alias("known"), *[F.sum(F.get("h", F.lit(j))).alias(f"h{j}") for j in range(most)], *[F.max(F.get("t", F.lit(j))).alias(f"t{j}") for j in range(latest)])
+
+    def ratio(hit: Column, of: Column) -> Column:
+        return F.coalesce(F.try_divide(F.coalesce(hit, F.lit(0)).cast("double"), F.coalesce(of, F.lit(0)).cast("double")), F.lit(1.0))
+
+    values = []
+    for d, (_, specs) in tables.items():
+        mine = F.col("lane") == -1 - number[d]
+        slot = lambda j, mine=mine: F.max(F.when(mine, F.col(f"h{j}")))  # noqa: E731  one group a dataset
+        for i, s in enumerate(specs):
+            name = f"v{number[d]}_{i}"
+            if (d, i) in ages:
+                last = F.max(F.when(mine, F.col(f"t{ages[d, i]}")))
+                values.append((F.timestamp_diff("SECOND", last, F.lit(as_of).cast("timestamp")).cast("double") / 3600).alias(name))
+            elif (d, i) in tests:
+                at, many = tests[d, i]
+                each = [ratio(slot(2 * j), slot(2 * j + 1)) for j in range(at, at + many)]
+                v = sum(each[1:], each[0]) / many
+                values.append((F.coalesce((slot(2 * at + 1) > 0).cast("double"), F.lit(0.0)) if s["check"] == "not_empty" else v).alias(name))
+            elif (d, i) in lane_of:
+                here = (F.col("lane") == lane_of[d, i]) & (F.col("k") > 0)
+                total = F.sum(F.when(here, F.col("k")))
+                if s["check"] == "unique":
+                    hit = F.count_if(here)
+                elif s["check"] == "primary_key":
+                    hit = F.sum(F.when(here & (F.col("k") == 1) & (F.col("known") == 0), F.col("k")))
+                else:
+                    hit = F.sum(F.when(here & (F.col("known") > 0), F.col("k")))
+                values.append(ratio(hit, total).alias(name))
+    row = met.agg(*values or [F.count(F.lit(1)).alias("_n")])
+    for d, i, one in own:
+        row = row.crossJoin(one.withColumnRenamed("v", f"v{number[d]}_{i}"))  # one row each
     out = []
-    for i, s in enumerate(specs):
-        threshold = float(s.get("threshold", s.get("max_age_hours", 1.0)))
-        v = F.lit(0.0) if i in missing else F.col(f"v{i}")
-        ok = F.lit(False) if i in missing else F.coalesce(v <= threshold if s["check"] == "freshness" else v >= threshold, F.lit(False))
-        out.append(F.struct(F.lit(dataset).alias("dataset"), F.lit(rule_name(s)).alias("rule_name"), F.lit(TYPES[s["check"]]).alias("check_type"), F.lit(s.get("severity", "medium")).alias("severity"), F.lit(threshold).alias("expected_threshold"), F.round(v, 6).alias("actual_value"), ok.alias("passed"), F.lit("column not found" if i in missing else None).cast("string").alias("error")))
+    for d, (_, specs) in tables.items():
+        for i, s in enumerate(specs):
+            lost = (d, i) in missing
+            threshold = float(s.get("threshold", s.get("max_age_hours", 1.0)))
+            v = F.lit(0.0) if lost else F.col(f"v{number[d]}_{i}")
+            ok = F.lit(False) if lost else F.coalesce(v <= threshold if s["check"] == "freshness" else v >= threshold, F.lit(False))
+            out.append(F.struct(F.lit(d).alias("dataset"), F.lit(rule_name(s)).alias("rule_name"), F.lit(TYPES[s["check"]]).alias("check_type"), F.lit(s.get("severity", "medium")).alias("severity"), F.lit(threshold).alias("expected_threshold"), F.round(v, 6).alias("actual_value"), ok.alias("passed"), F.lit("column not found" if lost else None).cast("string").alias("error")))
     return row.select(F.inline(F.array(*out)))
 
 
+def run_checks(df: DataFrame, specs: list[dict], dataset: str, as_of: str, references: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The suite of one dataset; see ``run_suites``."""
+    return run_suites({dataset: (df, specs)}, as_of, references)
+
+
 def profile(df: DataFrame) -> list[dict]:
     """Checks by type: no nulls anywhere, no outliers in numbers, no later dates."""
     specs: list[dict] = []
@@ -167,12 +242,6 @@ def gate(average_score: float) -> str:
     return "load" if average_score >= LOAD_AT else "quarantine" if average_score >= QUARANTINE_AT else "fail"
 
 
-def split(df: DataFrame, good: Column, reason: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that hold, and the others (null counts as not holding) with a reason."""
-    ok = F.coalesce(good, F.lit(False))
-    return df.where(ok), df.where(~ok).withColumn("reason", F.lit(reason))
-
-
 def validate_schema(df: DataFrame, expected: dict[str, str]) -> list[str]:
     """What is missing or of another type."""
     have = {f.name: f.dataType.simpleString() for f in df.schema}

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import windows
+from ledgerloom.operators import affinity, windows
+from ledgerloom.operators.jobs import Mart
 from ledgerloom.sources.scratch import materialize
 
 from .marts import RFM, A, M, R, every, flagged, mean, money, n, ratio, rfm
-from .products import CATEGORY, CUSTOMER, GEOGRAPHIC, LAST, PERF, SALES, category_mart, customer_mart, geographic_mart, performance, sales
+from .products import CATEGORY, CUSTOMER, GEOGRAPHIC, LAST, PERF, SALES, category_mart, customer_mart, geographic_mart, performance, product_ranks, sales
 from .retail import query
+from .views import enriched_items, enriched_orders
 
 MONTHLY = f"SELECT year(full_date) AS year, month(full_date) AS month, monthname(full_date) AS month_name, CAST(sum(net_revenue) AS DECIMAL(28,2)) AS revenue, CAST(sum(total_orders) AS BIGINT) AS orders, CAST(sum(unique_customers) AS BIGINT) AS customers FROM ({SALES}) GROUP BY 1, 2, 3"
 
@@ -44,20 +46,32 @@ def _(v):
 @query("q04_abc_analysis", f"WITH p AS ({PERF}), c AS (SELECT product_id, total_revenue, CAST(sum(total_revenue) OVER () AS DOUBLE) AS total, CAST(sum(total_revenue) OVER (ORDER BY total_revenue DESC RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS run FROM p WHERE total_revenue > 0) SELECT product_id, name, category, brand, total_revenue, CAST(total_revenue AS DOUBLE) / total * 100 AS revenue_pct, run / total * 100 AS cumulative_pct, CASE WHEN run / total <= 0.70 THEN 'A' WHEN run / total <= 0.90 THEN 'B' ELSE 'C' END AS abc_class FROM c JOIN v_products USING (product_id)")
 def _(v):
     p = materialize(performance(v("e_items")).select("product_id", "total_revenue").where("total_revenue > 0"))
-    r = windows.global_ranks(p, "total_revenue", once=False).crossJoin(F.broadcast(p.agg(F.sum("total_revenue").cast("double").alias("total"))))  # one row
+    r = windows.global_orders(p, "product_id", {"running_sum": ("total_revenue", "running_sum")}, once=False).crossJoin(F.broadcast(p.agg(F.sum("total_revenue").cast("double").alias("total"))))  # one row
     share = F.col("running_sum").cast("double") / F.col("total")
     x = r.join(v("v_products").select("product_id", "name", "category", "brand"), "product_id")
     return x.select("product_id", "name", "category", "brand", "total_revenue", (F.col("total_revenue").cast("double") / F.col("total") * 100).alias("revenue_pct"), (share * 100).alias("cumulative_pct"), F.when(share <= 0.70, "A").when(share <= 0.90, "B").otherwise("C").alias("abc_class"))
 
 
-@query("q05_product_affinity", "WITH l AS (SELECT DISTINCT order_id, product_id FROM v_items) SELECT a.product_id AS product_1, b.product_id AS product_2, count(*) AS times_bought_together, CAST(count(*) AS DOUBLE) / (SELECT count(DISTINCT order_id) FROM v_items) * 100 AS support_pct FROM l a JOIN l b ON a.order_id = b.order_id AND a.product_id < b.product_id GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY times_bought_together DESC, 1, 2 LIMIT 50")
-def _(v):
-    # the least count is a parameter of the workbook; the data's orders are too few for 10
-    lines = v("v_items").select("order_id", "product_id").distinct()
-    pairs = lines.withColumnRenamed("product_id", "product_1").join(lines.withColumnRenamed("product_id", "product_2"), "order_id").where("product_1 < product_2")
-    top = pairs.groupBy("product_1", "product_2").agg(n().alias("times_bought_together")).where("times_bought_together >= 2").orderBy(F.desc("times_bought_together"), "product_1", "product_2").limit(50)
+def affinity_sql(lines: str, least: int) -> str:
+    return f"WITH l AS (SELECT DISTINCT order_id, item FROM ({lines})) SELECT a.item AS item_1, b.item AS item_2, count(*) AS times_bought_together, CAST(count(*) AS DOUBLE) / (SELECT count(DISTINCT order_id) FROM l) * 100 AS support_pct FROM l a JOIN l b ON a.order_id = b.order_id AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= {least} ORDER BY times_bought_together DESC, 1, 2 LIMIT 50"
+
+
+def top_pairs(lines: DataFrame, least: int) -> DataFrame:
+    """The fifty pairs of ``item`` that most orders hold, ``least`` at least."""
+    top = affinity.affinity(lines, "order_id", "item", least).orderBy(F.desc("times_bought_together"), "item_1", "item_2").limit(50)
     orders = F.broadcast(lines.agg(F.countDistinct("order_id").alias("orders")))  # one row
-    return top.crossJoin(orders).select("product_1", "product_2", "times_bought_together", ratio("times_bought_together", "orders", 100).alias("support_pct"))
+    return top.crossJoin(orders).select("item_1", "item_2", "times_bought_together", ratio("times_bought_together", "orders", 100).alias("support_pct"))
+
+
+@query("q05_product_affinity", "SELECT item_1 AS product_1, item_2 AS product_2, times_bought_together, support_pct FROM (" + affinity_sql("SELECT order_id, product_id AS item FROM v_items", 2) + ")")
+def _(v):
+    # the least count is a parameter of the workbook; the data's products are too many for 10
+    return top_pairs(v("v_items").select("order_id", F.col("product_id").alias("item")), 2).withColumnsRenamed({"item_1": "product_1", "item_2": "product_2"})
+
+
+@query("q05_brand_affinity", affinity_sql("SELECT order_id, brand AS item FROM v_items JOIN v_products USING (product_id)", 10))
+def _(v):
+    return top_pairs(v("v_items").join(v("v_products").select("product_id", F.col("brand").alias("item")), "product_id").select("order_id", "item"), 10)
 
 
 @query("q06_category_trend", f"WITH c AS ({CATEGORY}) SELECT category, year, month, total_revenue, total_units_sold, prev_month_revenue, revenue_growth_pct AS mom_growth_pct, revenue_share_pct FROM c WHERE year >= {LAST[:4]} - 1")
@@ -166,12 +180,13 @@ def _(v):
     return a.crossJoin(v("v_products").agg(n().alias("products")))  # one row each
 
 
-def refresh_order() -> list[tuple[str, object]]:
-    """The marts that later ones read come first."""
-    return [("sales_summary", sales), ("category_performance", category_mart), ("customer_analytics", customer_mart), ("geographic_sales", geographic_mart)]
-
-
-def refresh(v, put) -> DataFrame | None:
-    """Write every mart by ``put(name, frame)``."""
-    for name, build in refresh_order():
-        put(name, build(v))
+#: The warehouse's marts: enriched lines and orders are stored first, and the five marts read them.
+WAREHOUSE_MARTS = [
+    Mart("sales_summary", ("e_orders",), sales),
+    Mart("product_performance", ("e_items",), product_ranks),
+    Mart("customer_analytics", ("e_orders",), customer_mart),
+    Mart("category_performance", ("e_items",), category_mart),
+    Mart("geographic_sales", ("e_orders",), geographic_mart),
+    Mart("e_orders", ("e_items",), enriched_orders),
+    Mart("e_items", (), enriched_items),
+]

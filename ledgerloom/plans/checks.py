@@ -145,10 +145,10 @@ def ratio_query(key: str, table: str, rules: dict[str, tuple[str, float]], sql_r
     query(key, ratio_sql(oracle, table))(lambda v: quality.ratio_checks(v(table), {k: (F.expr(c), t) for k, (c, t) in rules.items()}))
 
 
-ratio_query("dq_not_null", "v_orders", {"order_id": ("order_id IS NOT NULL", 1.0), "customer_id": ("customer_id IS NOT NULL", 1.0), "even_only": ("CASE WHEN order_id % 2 = 0 THEN order_id END IS NOT NULL", 0.9)})
-ratio_query("dq_regex", "v_customers", {"name": ("name RLIKE '^(?:Customer#[0-9]+)'", 1.0)}, {"name": "regexp_matches(name, '^(?:Customer#[0-9]+)')"})
-ratio_query("dq_no_future_dates", "v_orders", {"order_date": ("order_date <= DATE '2001-01-01'", 1.0)})
-ratio_query("dq_cross_field", "v_items", {"discounted_total": ("quantity * unit_price * (100 - discount_percent) / 100 <= quantity * unit_price", 1.0)})
+ratio_query("dq_not_null", "d_orders", {"order_id": ("order_id IS NOT NULL", 1.0), "customer_id": ("customer_id IS NOT NULL", 0.95), "status": ("status IS NOT NULL", 0.95), "shipping_method": ("shipping_method IS NOT NULL", 0.9)})
+ratio_query("dq_regex", "d_customers", {"phone": ("coalesce(phone, '') RLIKE '^(?:[+]1 [(]555[)] [0-9]{7})$'", 0.9), "full_name": ("full_name RLIKE '^(?:Ann van .*)'", 0.5)}, {"phone": "regexp_matches(coalesce(phone, ''), '^(?:[+]1 [(]555[)] [0-9]{7})$')", "full_name": "regexp_matches(full_name, '^(?:Ann van .*)')"})
+ratio_query("dq_no_future_dates", "d_orders", {"order_date": (f"order_date IS NULL OR order_date <= DATE '{AS_OF}'", 1.0)})
+ratio_query("dq_cross_field", "d_items", {"discounted_total": ("discount_amount <= quantity * unit_price", 0.99), "tax": ("tax_amount <= quantity * unit_price", 0.5)})
 
 
 @query("top_duplicates", "SELECT order_id, count(*) AS n FROM v_items GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, 1 LIMIT 10")
@@ -162,17 +162,21 @@ def _(v):
     return v("v_orders").agg(F.max("order_date").alias("latest")).select("latest", age.alias("age"), (age <= 1).alias("passed"))
 
 
-@query("dq_table_freshness_report", f"SELECT 'orders' AS name, count(*) AS n, date_diff('day', max(order_date), DATE '{AS_OF}')::INT AS age FROM v_orders UNION ALL SELECT 'items', count(*), date_diff('day', max(ship_date), DATE '{AS_OF}')::INT FROM v_items UNION ALL SELECT 'events', count(*), date_diff('day', max(ts)::DATE, DATE '{AS_OF}')::INT FROM v_events")
+# Hours that a table's last change may lie back.
+LIMITS = {"r_customers": 24, "r_products": 24, "r_orders": 4, "r_items": 4}
+
+
+@query("dq_table_freshness_report", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, {h} AS max_hours, CAST(date_diff('second', max(updated_at), TIMESTAMP '{AS_OF} 00:00:00') AS DOUBLE) / 3600 AS hours_since_update, coalesce(date_diff('second', max(updated_at), TIMESTAMP '{AS_OF} 00:00:00') <= {h} * 3600, false) AS passed FROM {t}" for t, h in LIMITS.items()))
 def _(v):
-    parts = [v(t).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.date_diff(as_of(), F.max(c).cast("date")).alias("age")) for name, t, c in (("orders", "v_orders", "order_date"), ("items", "v_items", "ship_date"), ("events", "v_events", "ts"))]
-    return parts[0].union(parts[1]).union(parts[2]).select(F.col("name"), "n", "age")
+    now, last = F.lit(f"{AS_OF} 00:00:00").cast("timestamp"), F.max("updated_at").cast("timestamp")
+    hours = F.timestamp_diff("SECOND", last, now).cast("double") / 3600
+    parts = [v(t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n"), F.lit(h).alias("max_hours"), hours.alias("hours_since_update"), F.coalesce(hours <= h, F.lit(False)).alias("passed")) for t, h in LIMITS.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query("dq_outliers_zscore", "SELECT product_id FROM v_products, (SELECT avg(CAST(price AS DOUBLE)) AS m, stddev_samp(CAST(price AS DOUBLE)) AS s FROM v_products) WHERE abs(CAST(price AS DOUBLE) - m) > 2 * s")
+@query("dq_outliers_zscore", "SELECT order_id, total_amount FROM d_orders, (SELECT avg(CAST(total_amount AS DOUBLE)) AS m, stddev_samp(CAST(total_amount AS DOUBLE)) AS s FROM d_orders) WHERE abs(CAST(total_amount AS DOUBLE) - m) > 3 * s")
 def _(v):
-    p = v("v_products").select("product_id", F.col("price").cast("double").alias("price"))
-    stats = F.broadcast(p.agg(F.avg("price").alias("m"), F.stddev_samp("price").alias("s")))  # one row
-    return p.crossJoin(stats).where(F.abs(F.col("price") - F.col("m")) > 2 * F.col("s")).select("product_id")
+    return quality.outliers_zscore(v("d_orders").select("order_id", "total_amount"), "total_amount")
 
 
 @query("dq_value_range_violations", "SELECT count(*) AS n FROM v_items WHERE quantity < 5 OR quantity > 45")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import cleaning as K
+from ledgerloom.operators.loading import deduplicate
 
 from .retail import AS_OF, query
 
@@ -221,9 +222,9 @@ def _(v):
     return v("d_orders").select("order_id", "status", F.coalesce("shipping_amount", F.lit(0).cast("decimal(10,2)")).alias("shipping_amount")).fillna({"status": "Unknown"})
 
 
-@query("remove_duplicates", "SELECT order_id, count(DISTINCT customer_id) AS customers FROM (SELECT DISTINCT order_id, customer_id, status FROM d_orders) GROUP BY 1")
+@query("remove_duplicates", "SELECT order_id, customer_id, status, total_amount FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY order_date NULLS FIRST, customer_id NULLS FIRST, total_amount NULLS FIRST, status NULLS FIRST) AS rn FROM d_orders) WHERE rn = 1")
 def _(v):
-    return v("d_orders").select("order_id", "customer_id", "status").dropDuplicates().groupBy("order_id").agg(F.countDistinct("customer_id").alias("customers"))
+    return deduplicate(v("d_orders"), ["order_id"], ["order_date", "customer_id", "total_amount", "status"]).select("order_id", "customer_id", "status", "total_amount")
 
 
 @query("clean_string_columns", "SELECT customer_id, trim(city) AS city, lower(trim(email)) AS email FROM d_customers")

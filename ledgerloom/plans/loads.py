@@ -5,16 +5,23 @@ Files, tables and streams are written from the views into the shared folder firs
 
 from __future__ import annotations
 
+import datetime
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
+from ledgerloom.operators import incremental as I
+from ledgerloom.operators import jobs as J
 from ledgerloom.operators import loading as L
 from ledgerloom.sources import files
 from ledgerloom.sources.scratch import scratch_path
 from ledgerloom.streaming import events as S
+from ledgerloom.streaming import ledger as T
 
-from .analytics import refresh_order
+from .analytics import WAREHOUSE_MARTS
 from .cleaning import BATCH
 from .marts import A, M, mean, money, n
 from .retail import AS_OF, query
@@ -57,15 +64,29 @@ def _(v):
     return files.scan_csv_directory(spark, path, PRODUCT_SCHEMA, "part-*.csv").select("product_id", "name", F.endswith("_source_file", F.lit(".csv")).alias("from_csv"))
 
 
+def in_pages(p: DataFrame, rows: int) -> DataFrame:
+    """Products with the number of their page of so many ids: pages grow in number with the table, not in size."""
+    return p.withColumn("page", F.floor((F.col("product_id") - 1) / rows))
+
+
 @query("scan_json", f"SELECT product_id, name, price FROM ({PRODUCT_SQL})")
 def _(v):
     p = products(v)
     spark, path = new_path(p)
-    # an envelope a group of products
-    p.groupBy((F.col("product_id") % 7).alias("page")).agg(F.collect_list(F.struct("product_id", "name", "price")).alias("data")).write.partitionBy("page").json(path)
+    # an envelope a page of products
+    in_pages(p, 500).groupBy("page").agg(F.collect_list(F.struct("product_id", "name", "price")).alias("data")).write.partitionBy("page").json(path)
     return files.scan_json(spark, path, "product_id: bigint, name: string, price: decimal(12,2)", "data")
 
 
+@query("scan_json_array", f"SELECT product_id, name, price FROM ({PRODUCT_SQL})")
+def _(v):
+    p = products(v)
+    spark, path = new_path(p)
+    # a plain array a file
+    in_pages(p, 500).groupBy("page").agg(F.to_json(F.collect_list(F.struct("product_id", "name", "price"))).alias("value")).write.partitionBy("page").text(path)
+    return files.scan_json(spark, path, "product_id bigint, name string, price decimal(12,2)").select("product_id", "name", "price")
+
+
 @query("scan_jsonl", f"SELECT product_id, category, stock_quantity FROM ({PRODUCT_SQL})")
 def _(v):
     p = products(v)
@@ -74,11 +95,14 @@ def _(v):
     return files.scan_jsonl(spark, path, PRODUCT_SCHEMA).select("product_id", "category", "stock_quantity")
 
 
-@query("scan_paged_json", "SELECT page, product_id FROM (SELECT product_id, (row_number() OVER (ORDER BY product_id) - 1) // 25 AS page FROM v_products WHERE product_id <= 130)")
+@query("scan_paged_json", "SELECT (product_id - 1) // 25 AS page, product_id FROM v_products")
 def _(v):
-    p = v("v_products").where("product_id <= 130").withColumn("page", F.floor((F.row_number().over(Window.orderBy("product_id")) - 1) / 25))  # 130 rows
+    p = in_pages(v("v_products").select("product_id"), 25)
     spark, path = new_path(p)
-    p.groupBy("page").agg(F.collect_list(F.struct("product_id")).alias("items")).withColumn("file", F.col("page")).write.partitionBy("file").json(path)
+    pages = p.groupBy("page").agg(F.collect_list(F.struct("product_id")).alias("items"))
+    # an empty page ends the reading; one that lies beyond it must not be read
+    beyond = p.agg(F.max("page").alias("last")).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "last").select((F.col("last") + F.col("k")).alias("page"), F.expr("CASE WHEN k = 1 THEN cast(array() AS array<struct<product_id: bigint>>) ELSE array(struct(-1L AS product_id)) END AS items"))
+    pages.unionByName(beyond).withColumn("file", F.col("page")).write.partitionBy("file").json(path)
     return files.scan_paged_json(spark, path, "product_id: bigint", "items", 25)
 
 
@@ -123,12 +147,12 @@ for _fmt in ("parquet", "csv", "json"):
     query(f"sink_{_fmt}", PRODUCT_SQL)(_round_trip(_fmt))
 
 
-@query("sink_lake_hourly", "SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour FROM v_events WHERE hour(ts) = 5")
+@query("sink_lake_hourly", "SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour FROM v_events")
 def _(v):
     e = v("v_events").select("event_id", "ts")
     spark, path = new_path(e)
-    files.sink_lake_hourly(e.where("hour(ts) BETWEEN 4 AND 6"), path, "ts")
-    return spark.read.parquet(path).where("hour = 5").select("event_id", "year", "month", "day", "hour")
+    files.sink_lake_hourly(e, path, "ts")
+    return spark.read.parquet(path).select("event_id", "year", "month", "day", "hour")
 
 
 @query("sink_multi_output", "SELECT 'completed' AS output, count(*) AS n FROM v_orders WHERE status = 'completed' UNION ALL SELECT 'cancelled', count(*) FROM v_orders WHERE status = 'cancelled' UNION ALL SELECT 'amounts', count(*) FROM v_orders")
@@ -149,8 +173,6 @@ def _(v):
 def _(v):
     o = v("v_orders")
     text = "SELECT segment, count(*) AS orders, CAST(sum(total_amount) AS DECIMAL(28,2)) AS revenue FROM {o} JOIN {c} USING (customer_id) WHERE status = :status AND order_date >= :since GROUP BY segment"
-    import datetime
-
     return o.sparkSession.sql(text, args={"status": "completed", "since": datetime.date(1996, 1, 1)}, o=o, c=v("v_customers"))
 
 
@@ -261,12 +283,18 @@ def _(v):
     return L.union_relations({"customers": c, "products": p}, exclude=("nation_key",), where="amount > 0", types={"amount": "decimal(14,2)"})
 
 
-@query("union_by_prefix", "SELECT order_id, total_amount, 'sales_completed' AS _source_relation FROM v_orders WHERE status = 'completed' UNION ALL SELECT order_id, total_amount, 'sales_shipped' FROM v_orders WHERE status = 'shipped'")
+@query("union_by_prefix", "SELECT order_id, total_amount, 'sales_' || status AS _source_relation FROM v_orders")
 def _(v):
     o = v("v_orders").select("order_id", "total_amount", "status")
-    for s in ("completed", "shipped"):
-        o.where(F.col("status") == s).drop("status").createOrReplaceTempView(f"sales_{s}")
-    return L.union_by_prefix(o.sparkSession, "sales_")
+    spark, run = o.sparkSession, f"sales_{uuid.uuid4().hex}_"  # names of this run, dropped at its end
+    names = {s: f"{run}{s}" for s in ("completed", "shipped", "processing", "cancelled")}
+    for s, name in names.items():
+        o.where(F.col("status") == s).drop("status").createOrReplaceTempView(name)
+    try:
+        return L.union_by_prefix(spark, run).withColumn("_source_relation", F.concat(F.lit("sales_"), F.substring("_source_relation", len(run) + 1, 100)))
+    finally:
+        for name in names.values():
+            spark.catalog.dropTempView(name)
 
 
 @query("distinct_values", "SELECT payment_method, count(*) AS n FROM v_orders WHERE total_amount > 100 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
@@ -371,14 +399,24 @@ def _(v):
     return L.scd2_point_in_time(v("v_orders").select("order_id", "customer_id", "order_date"), merged(v), ["customer_id"], "order_date").select("order_id", "segment")
 
 
-@query("incremental_load", "SELECT order_id, order_date, 1 AS loads FROM v_orders")
+@query("incremental_load", "SELECT order_id, order_date, CASE WHEN order_date < DATE '1997-01-01' THEN 1 ELSE 2 END AS batch FROM v_orders")
 def _(v):
     o = v("v_orders").select("order_id", "order_date")
     spark, path = new_path(o, "load")
     for until in ("1997-01-01", "9999-01-01", "9999-01-01"):  # the last one finds nothing new
-        L.incremental_load(o.where(F.col("order_date") < F.lit(until).cast("date")), f"{path}/rows", f"{path}/control", "orders", "order_date")
-    loads = spark.read.parquet(f"{path}/control").agg((n() >= 1).cast("int").alias("loads"))
-    return spark.read.parquet(f"{path}/rows").crossJoin(loads)  # one row
+        I.incremental_load(o.where(F.col("order_date") < F.lit(until).cast("date")), f"{path}/rows", f"{path}/control", "orders", "order_date")
+    return I.loaded(spark, f"{path}/rows", f"{path}/control", "orders").select("order_id", "order_date", F.col("_batch").alias("batch"))
+
+
+@query("incremental_load_numeric", "SELECT order_id, product_id FROM v_items")
+def _(v):
+    # the mark is the number of the order, loaded in steps of ever more digits; lines that tie with it come by their keys
+    i = v("v_items").select("order_id", "line_number", "product_id")
+    spark, path = new_path(i, "load")
+    for until in (9, 10, 99, 1000, 1 << 62):
+        part = i.where((F.col("order_id") < until) | (F.col("order_id") == until) & (F.col("line_number") == 1))
+        I.incremental_load(part, f"{path}/rows", f"{path}/control", "items", "order_id", ["order_id", "line_number"])
+    return I.loaded(spark, f"{path}/rows", f"{path}/control", "items").select("order_id", "product_id")
 
 
 @query("replace_aggregate", f"SELECT year(order_date)::INT AS year, order_date, count(*) AS total_orders, {M.format('total_amount', 'total_revenue')}, {A.format('total_amount', 'avg_order_value')}, count(DISTINCT customer_id) AS unique_customers FROM v_orders GROUP BY 1, 2")
@@ -391,21 +429,37 @@ def _(v):
     return spark.read.schema(d.schema).parquet(path).select(*d.columns)
 
 
-@query("refresh_marts", "SELECT 'sales_summary' AS job_name, count(DISTINCT order_date) AS records_processed, 'success' AS status FROM v_orders UNION ALL SELECT 'category_performance', count(*), 'success' FROM (SELECT DISTINCT category, year(order_date), month(order_date) FROM v_items JOIN v_orders USING (order_id) JOIN v_products USING (product_id)) UNION ALL SELECT 'customer_analytics', count(*), 'success' FROM v_customers UNION ALL SELECT 'geographic_sales', count(*), 'success' FROM (SELECT DISTINCT nation_key, segment, year(order_date), quarter(order_date) FROM v_orders JOIN v_customers USING (customer_id))")
+_MARTS = {
+    "e_items": "v_items",
+    "e_orders": "v_orders",
+    "sales_summary": "(SELECT DISTINCT order_date FROM v_orders)",
+    "product_performance": "v_products",
+    "customer_analytics": "v_customers",
+    "category_performance": "(SELECT DISTINCT category, year(order_date), month(order_date) FROM v_items JOIN v_orders USING (order_id) JOIN v_products USING (product_id))",
+    "geographic_sales": "(SELECT DISTINCT nation_key, segment, year(order_date), quarter(order_date) FROM v_orders JOIN v_customers USING (customer_id))",
+}
+
+
+@query("refresh_marts", " UNION ALL ".join(f"SELECT '{k}' AS job_name, count(*) AS records_processed, 'success' AS status, count(*) AS stored FROM {t}" for k, t in _MARTS.items()))
 def _(v):
     spark, path = new_path(v("v_orders"), "marts")
-    for name, build in refresh_order():
-        build(v).write.parquet(f"{path}/{name}")
-        L.job_log(spark.read.parquet(f"{path}/{name}"), f"{path}/log", name, f"{AS_OF} 00:00:00", f"{AS_OF} 00:00:10")
-    return spark.read.parquet(f"{path}/log").select("job_name", "records_processed", "status")
+    J.refresh(spark, path, WAREHOUSE_MARTS, v)
+    stored = None
+    for m in WAREHOUSE_MARTS:
+        one = J.current(spark, path, m.name).agg(n().alias("stored")).withColumn("job_name", F.lit(m.name))
+        stored = one if stored is None else stored.unionByName(one)
+    return spark.read.parquet(f"{path}/_log").select("job_name", "records_processed", "status").join(stored, "job_name")
 
 
-@query("etl_job_log", f"SELECT 'orders' AS job_name, 'success' AS status, count(*) AS records_processed, 90::BIGINT AS duration_seconds, CAST(NULL AS VARCHAR) AS error_message FROM v_orders UNION ALL SELECT 'items', 'failed', count(*), 5, 'lost' FROM v_items")
+@query("etl_job_log", "SELECT 'orders' AS job_name, 'success' AS status, count(*) AS records_processed, 90::BIGINT AS duration_seconds, false AS has_error FROM v_orders UNION ALL SELECT 'items', 'failed', 0, 90, true")
 def _(v):
     spark, path = new_path(v("v_orders"), "log")
-    L.job_log(v("v_orders"), path, "orders", f"{AS_OF} 00:00:00", f"{AS_OF} 00:01:30")
-    L.job_log(v("v_items"), path, "items", f"{AS_OF} 00:00:00", f"{AS_OF} 00:00:05", "failed", "lost")
-    return spark.read.parquet(path).select("job_name", "status", "records_processed", "duration_seconds", "error_message")
+    times = iter(datetime.datetime.fromisoformat(f"{AS_OF} 00:0{m}") for m in ("0:00", "1:30", "2:00", "3:30"))
+    J.run_job(spark, f"{path}/log", "orders", lambda: v("v_orders"), f"{path}/orders", lambda: next(times))
+    # a line that may not be makes the write fail
+    broken = v("v_items").withColumn("quantity", F.when(F.col("quantity") > 0, F.raise_error(F.lit("line refused"))).otherwise(F.col("quantity")))
+    J.run_job(spark, f"{path}/log", "items", lambda: broken, f"{path}/items", lambda: next(times))
+    return spark.read.parquet(f"{path}/log").select("job_name", "status", "records_processed", "duration_seconds", F.coalesce(F.col("error_message").contains("line refused"), F.lit(False)).alias("has_error"))
 
 
 @query("table_stats", "SELECT count(*) AS row_count, 3::BIGINT AS file_count, true AS has_bytes FROM v_products")
@@ -425,9 +479,26 @@ def ingested(v) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("snapshot_read_at", "SELECT product_id, CAST(CASE WHEN product_id % 2 = 0 THEN price * 2 ELSE price END AS DECIMAL(14,2)) AS price FROM v_products")
+@query("snapshot_read_at", f"SELECT product_id, CAST(CASE WHEN product_id % 2 = 0 THEN price * 2 ELSE price END AS DECIMAL(14,2)) AS price FROM v_products WHERE product_id % 10 <> 0")
+def _(v):
+    spark, path = stored_batches(v)
+    return I.snapshot_read_at(spark, path, ["product_id"], at="2001-08-03 12:00:00").select("product_id", "price")
+
+
+@query("snapshot_read_at_batch", "SELECT product_id, CAST(price * CASE WHEN product_id % 3 = 0 THEN 3 WHEN product_id % 2 = 0 THEN 2 ELSE 1 END AS DECIMAL(14,2)) AS price FROM v_products WHERE product_id % 3 = 0 OR product_id % 10 <> 0")
 def _(v):
-    return L.snapshot_read_at(ingested(v), ["product_id"], "2001-08-03 12:00:00").select("product_id", "price")
+    spark, path = stored_batches(v)
+    return I.snapshot_read_at(spark, path, ["product_id"], batch=3).select("product_id", "price")
+
+
+def stored_batches(v) -> tuple[SparkSession, str]:
+    """Three batches below a new path; the second one deletes some products, of which the third brings some back."""
+    p = v("v_products").select("product_id", "price")
+    spark, path = new_path(p, "batches")
+    for k, (_, at, price) in enumerate(BATCHES):
+        rows = p.where(f"product_id % {k + 1} = 0").select("product_id", F.expr(price).cast("decimal(14,2)").alias("price"))
+        I.append_batch(rows, path, k + 1, at, F.col("product_id") % 10 == 0 if k == 1 else None)
+    return spark, path
 
 
 @query("bronze_ingest", f"SELECT _batch_id, count(*) AS n FROM (SELECT '{BATCHES[0][0]}' AS _batch_id FROM v_products UNION ALL SELECT '{BATCHES[1][0]}' FROM v_products WHERE product_id % 2 = 0 UNION ALL SELECT '{BATCHES[2][0]}' FROM v_products WHERE product_id % 3 = 0) GROUP BY 1")
@@ -474,6 +545,11 @@ def _(v):
 
 # ------------------------------------------------------------------ streams
 
+
+def local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 _RATE = "coalesce(CAST({0} AS DOUBLE) / nullif(CAST({1} AS DOUBLE), 0) * 100, 0)"
 KPIS = f"""WITH k AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, count(event_id) AS total_events, count(DISTINCT user_id) AS unique_users, count(DISTINCT session_id) AS active_sessions, count(*) FILTER (kind = 'page_view') AS page_views, count(*) FILTER (kind = 'product_view') AS product_views, count(*) FILTER (kind = 'add_to_cart') AS add_to_carts, count(*) FILTER (kind = 'purchase') AS purchases, count(*) FILTER (device_type IN ('mobile','tablet')) AS mobile_events, count(DISTINCT country) AS countries_active, {A.format('value', 'avg_cart_value')} FROM v_events GROUP BY 1)
 SELECT *, window_start + INTERVAL 1 MINUTE AS window_end, {_RATE.format('mobile_events', 'total_events')} AS mobile_percentage, {_RATE.format('purchases', 'active_sessions')} AS conversion_rate, {_RATE.format('add_to_carts', 'product_views')} AS cart_rate FROM k"""
@@ -506,7 +582,10 @@ def _(v):
 
 @query("stream_hour_slice", "SELECT event_id, ts FROM v_events WHERE ts >= TIMESTAMP '2024-01-02 03:00:00' AND ts < TIMESTAMP '2024-01-02 04:00:00'")
 def _(v):
-    return S.hour_slice(v("v_events"), "2024-01-02 03:00:00").select("event_id", "ts")
+    # what has landed by now is read as a stream, once
+    s, spark, path = streamed(v("v_events").select("event_id", "ts"))
+    S.to_parquet(S.hour_slice(s, "2024-01-02 03:00:00"), f"{path}/hour", f"{path}/ck", (), ONCE).awaitTermination()
+    return spark.read.schema("event_id long, ts timestamp_ntz").parquet(f"{path}/hour")
 
 
 PAYLOAD = "event_id bigint, user_id bigint, kind string, value decimal(18,2)"
@@ -580,18 +659,19 @@ def _(v):
 @query("stream_sink_foreach_batch", "SELECT kind, count(*) AS n FROM v_events GROUP BY 1")
 def _(v):
     s, spark, path = streamed(v("v_events").select("event_id", "kind"))
-    # a batch's folder is overwritten when it is repeated
-    S.to_batches(s, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/ck", trigger=ONCE).awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("kind").agg(n().alias("n"))
+    url = f"jdbc:derby:{local_dir()}/db;create=true"  # an embedded database lives on one machine, the driver's
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    T.to_jdbc(s, url, "events_sink", "events", f"{path}/ck", trigger=ONCE, **driver).awaitTermination()
+    rows = spark.read.format("jdbc").options(url=url, dbtable="events_sink", **driver).load()
+    return rows.groupBy("kind").agg(n().alias("n"))
 
 
-@query("stream_multi_query", "SELECT 'purchases' AS query, count(*) AS n FROM v_events WHERE kind = 'purchase' UNION ALL SELECT 'all', count(*) FROM v_events")
+@query("stream_multi_query", "SELECT 'purchases' AS query, count(*) AS n, (SELECT count(*) FROM v_events) AS rows_in FROM v_events WHERE kind = 'purchase' UNION ALL SELECT 'all', count(*), count(*) FROM v_events")
 def _(v):
     s, spark, path = streamed(v("v_events").select("event_id", "kind"))
     outputs = {"purchases": s.where("kind = 'purchase'"), "all": s}
-    for q in S.start_all([lambda k=k, d=d: S.to_parquet(d, f"{path}/{k}", f"{path}/ck-{k}", (), ONCE) for k, d in outputs.items()]):
-        q.awaitTermination()
-    parts = [spark.read.parquet(f"{path}/{k}").agg(n().alias("n")).select(F.lit(k).alias("query"), "n") for k in outputs]
+    rows = T.supervise(spark, {k: lambda k=k, d=d: S.to_parquet(d, f"{path}/{k}", f"{path}/ck-{k}", (), ONCE) for k, d in outputs.items()})
+    parts = [spark.read.parquet(f"{path}/{k}").agg(n().alias("n")).select(F.lit(k).alias("query"), "n", F.lit(rows[k]).cast("long").alias("rows_in")) for k in outputs]
     return parts[0].union(parts[1])
 
 
@@ -603,8 +683,14 @@ def _(v):
     return spark.table(name)
 
 
-@query("transformation_log", "SELECT 'clean' AS step, (SELECT count(*) FROM d_orders) AS rows_in, (SELECT count(*) FROM d_orders WHERE total_amount >= 0) AS rows_out")
+_FILLED = "SELECT * FROM d_orders WHERE order_id IS NOT NULL AND customer_id IS NOT NULL AND order_date IS NOT NULL"
+
+
+@query("transformation_log", f"""WITH f AS ({_FILLED}), o AS (SELECT * FROM f WHERE total_amount >= 0), u AS (SELECT DISTINCT order_id FROM o)
+SELECT 0 AS position, 'required fields' AS step, (SELECT count(*) FROM d_orders) AS rows_in, (SELECT count(*) FROM f) AS rows_out UNION ALL SELECT 1, 'amounts', (SELECT count(*) FROM f), (SELECT count(*) FROM o) UNION ALL SELECT 2, 'one per id', (SELECT count(*) FROM o), (SELECT count(*) FROM u) UNION ALL SELECT 3, 'defaults', (SELECT count(*) FROM u), (SELECT count(*) FROM u)""")
 def _(v):
-    # both counts in the one pass that does the step
-    o = v("d_orders")
-    return o.agg(F.lit("clean").alias("step"), n().alias("rows_in"), F.count_if(F.col("total_amount") >= 0).alias("rows_out"))
+    spark, path = new_path(v("d_orders"), "steps")
+    chain = J.Steps(v("d_orders")).then("required fields", lambda d: d.dropna(subset=["order_id", "customer_id", "order_date"])).then("amounts", lambda d: d.where("total_amount >= 0"))
+    chain = chain.then("one per id", lambda d: L.deduplicate(d, ["order_id"], [F.desc("order_date"), "customer_id", "total_amount"])).then("defaults", lambda d: d.fillna({"payment_method": "UNKNOWN", "shipping_method": "STANDARD"}))
+    chain.write(f"{path}/clean", f"{path}/log")
+    return spark.read.parquet(f"{path}/log")

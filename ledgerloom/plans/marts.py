@@ -228,17 +228,16 @@ q AS (SELECT t.*, CAST(customer_lifetime_days AS DOUBLE) / nullif(total_orders -
 SELECT *, recency_score * 100 + frequency_score * 10 + monetary_score AS rfm_score FROM q""")
 def _(v):
     s = v("e_orders").groupBy("customer_id").agg(n().alias("total_orders"), money("total_amount", "total_revenue"), mean("total_amount").alias("avg_order_value"), F.min("total_amount").alias("min_order_value"), F.max("total_amount").alias("max_order_value"), F.sum("total_quantity").alias("total_items_purchased"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"))
-    s = materialize(s.withColumn("customer_lifetime_days", F.date_diff("last_order_date", "first_order_date")).withColumn("days_since_last_order", F.date_diff(now(), "last_order_date")).withColumn("customer_segment", C.bucketize_right_closed(F.col("total_revenue"), *CLASS)))
+    s = s.withColumn("customer_lifetime_days", F.date_diff("last_order_date", "first_order_date")).withColumn("days_since_last_order", F.date_diff(now(), "last_order_date")).withColumn("customer_segment", C.bucketize_right_closed(F.col("total_revenue"), *CLASS))
     s = s.withColumn("avg_days_between_orders", ratio("customer_lifetime_days", F.col("total_orders") - 1))
-    kept = s.columns
-    rows = s.count()
-    for c, name in (("days_since_last_order", "recency_score"), ("total_orders", "frequency_score"), ("total_revenue", "monetary_score")):
+    scores = {"recency_score": "days_since_last_order", "frequency_score": "total_orders", "monetary_score": "total_revenue"}
+    s = windows.global_orders(s, "customer_id", {**{name: (c, "row_number") for name, c in scores.items()}, "_rows": ("total_orders", "rows")})
+    rows = F.col("_rows")
+    for name in scores:
         # the place in ascending order, ties by the smaller id, from that in descending order
-        ranked = windows.global_ranks(s, c, "customer_id", once=False)
-        up = F.lit(rows) - F.col("row_number") + 1
-        fifth = F.greatest(F.lit(1), F.ceil((up - 1) * 5 / F.lit(max(rows - 1, 1)))).cast("int") if rows >= 5 else F.lit(None).cast("int")
-        kept = [*kept, name]
-        s = ranked.withColumn(name, 6 - fifth if name == "recency_score" else fifth).select(*kept)
+        fifth = F.greatest(F.lit(1), F.ceil((rows - F.col(name)) * 5 / F.greatest(rows - 1, F.lit(1)))).cast("int")
+        s = s.withColumn(name, F.when(rows >= 5, 6 - fifth if name == "recency_score" else fifth))
+    s = s.drop("_rows")
     return s.withColumn("rfm_score", F.col("recency_score") * 100 + F.col("frequency_score") * 10 + F.col("monetary_score"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import cleaning as K
 from ledgerloom.operators import windows
-from ledgerloom.sources.scratch import materialize
+from ledgerloom.streaming import events as S
 
 from .cleaning import cut_sql
 from .marts import AGE, A, M, R, every, flagged, mean, money, n, now, ratio
@@ -25,32 +25,20 @@ def performance(items: DataFrame) -> DataFrame:
     )
 
 
-def ranked(df: DataFrame, *ranks: tuple[str, str, str]) -> DataFrame:
-    """(value, kind of rank, name) added one after the other; ``df`` is materialized."""
-    kept = df.columns
-    for value, kind, name in ranks:
-        kept = [*kept, name]
-        df = windows.global_ranks(df, value, "product_id", once=False).withColumnRenamed(kind, name).select(*kept)
-    return df
-
-
 @query("product_performance_mart", f"""WITH p AS ({PERF}), r AS (SELECT *, dense_rank() OVER (ORDER BY total_revenue DESC) AS revenue_rank, dense_rank() OVER (ORDER BY total_quantity_sold DESC) AS quantity_rank, dense_rank() OVER (ORDER BY total_profit DESC) AS profit_rank, ntile(100) OVER (ORDER BY total_revenue, product_id)::INT AS revenue_percentile FROM p)
 SELECT r.*, revenue_rank <= 100 AS is_top_seller, quantity_rank > max(quantity_rank) OVER () * 0.9 AS is_slow_mover, name, category, brand, cost FROM r LEFT JOIN v_products USING (product_id)""")
 def _(v):
-    p = materialize(performance(v("e_items")))
-    total = p.count()
-    r = ranked(p, ("total_quantity_sold", "dense_rank", "quantity_rank"), ("total_profit", "dense_rank", "profit_rank"), ("total_revenue", "row_number", "_place"), ("total_revenue", "dense_rank", "revenue_rank"))
+    r = windows.global_orders(performance(v("e_items")), "product_id", {"quantity_rank": ("total_quantity_sold", "dense_rank"), "profit_rank": ("total_profit", "dense_rank"), "revenue_rank": ("total_revenue", "dense_rank"), "_place": ("total_revenue", "row_number"), "_rows": ("total_revenue", "rows"), "_last": ("total_quantity_sold", "distinct")})
     # the place in ascending order, ties by the smaller id, from that in descending order
-    r = r.withColumn("revenue_percentile", windows.tile(F.lit(total) - F.col("_place") + 1, F.lit(total), 100)).drop("_place")
-    last = p.agg(F.countDistinct("total_quantity_sold").alias("_last"))  # the largest dense rank; one row
-    r = r.crossJoin(F.broadcast(last)).withColumn("is_top_seller", F.col("revenue_rank") <= 100).withColumn("is_slow_mover", F.col("quantity_rank") > F.col("_last") * 0.9).drop("_last")
+    r = r.withColumn("revenue_percentile", windows.tile(F.col("_rows") - F.col("_place") + 1, F.col("_rows"), 100))
+    r = r.withColumn("is_top_seller", F.col("revenue_rank") <= 100).withColumn("is_slow_mover", F.col("quantity_rank") > F.col("_last") * 0.9).drop("_place", "_rows", "_last")
     return r.join(v("v_products").select("product_id", "name", "category", "brand", "cost"), "product_id", "left")
 
 
 @query("ntile", "SELECT product_id, ntile(100) OVER (ORDER BY price DESC, product_id DESC)::INT AS tile FROM v_products")
 def _(v):
-    p = materialize(v("v_products").select("product_id", "price"))
-    return windows.global_ranks(p, "price", "product_id", once=False).select("product_id", windows.tile(F.col("row_number"), F.lit(p.count()), 100).alias("tile"))
+    r = windows.global_orders(v("v_products").select("product_id", "price"), "product_id", {"place": ("price", "row_number"), "rows": ("price", "rows")})
+    return r.select("product_id", windows.tile(F.col("place"), F.col("rows"), 100).alias("tile"))
 
 
 SUMMARY = f"SELECT product_id, count(*) AS times_ordered, sum(quantity)::BIGINT AS total_quantity_sold, count(DISTINCT order_id) AS unique_orders, count(DISTINCT customer_id) AS unique_customers, {M.format('total_price', 'total_revenue')}, {A.format('unit_price', 'avg_selling_price')}, {M.format('profit_amount', 'total_profit')}, round(avg(profit_margin), 8) AS avg_profit_margin, {M.format('discount_amount', 'total_discounts_given')}, min(order_date) AS first_order_date, max(order_date) AS last_order_date FROM e_items JOIN (SELECT order_id, order_date, customer_id FROM v_orders) o USING (order_id) GROUP BY 1"
@@ -62,7 +50,7 @@ def _(v):
         n().alias("times_ordered"), F.sum("quantity").alias("total_quantity_sold"), F.countDistinct("order_id").alias("unique_orders"), F.countDistinct("customer_id").alias("unique_customers"), money("total_price", "total_revenue"), mean("unit_price").alias("avg_selling_price"), money("profit_amount", "total_profit"),
         F.round(F.avg("profit_margin"), 8).alias("avg_profit_margin"), money("discount_amount", "total_discounts_given"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"),
     )
-    r = ranked(materialize(p), ("total_revenue", "dense_rank", "revenue_rank"), ("total_quantity_sold", "dense_rank", "quantity_rank"))
+    r = windows.global_orders(p, "product_id", {"revenue_rank": ("total_revenue", "dense_rank"), "quantity_rank": ("total_quantity_sold", "dense_rank")})
     return r.join(v("v_products").select("product_id", "name", "category", "brand"), "product_id", "left")
 
 
@@ -86,20 +74,18 @@ def dim_products(v) -> DataFrame:
 
 @query("gold_dim_products", f"WITH d AS ({DIM}), r AS (SELECT *, dense_rank() OVER (ORDER BY total_revenue DESC) AS revenue_rank, dense_rank() OVER (ORDER BY total_quantity_sold DESC) AS quantity_rank, percent_rank() OVER (ORDER BY total_revenue DESC) AS revenue_percentile FROM d) SELECT *, CASE WHEN revenue_percentile <= 0.1 THEN 'Top 10%' WHEN revenue_percentile <= 0.25 THEN 'Top 25%' WHEN revenue_percentile <= 0.5 THEN 'Top 50%' ELSE 'Bottom 50%' END AS performance_tier FROM r")
 def _(v):
-    d = materialize(dim_products(v))
-    rows = d.count()
-    r = ranked(d, ("total_quantity_sold", "dense_rank", "quantity_rank"), ("total_revenue", "rank", "_rank"), ("total_revenue", "dense_rank", "revenue_rank"))
-    share = (F.col("_rank") - 1).cast("double") / F.lit(float(max(rows - 1, 1)))
+    r = windows.global_orders(dim_products(v), "product_id", {"revenue_rank": ("total_revenue", "dense_rank"), "quantity_rank": ("total_quantity_sold", "dense_rank"), "_rank": ("total_revenue", "rank"), "_rows": ("total_revenue", "rows")})
+    share = (F.col("_rank") - 1).cast("double") / F.greatest(F.col("_rows") - 1, F.lit(1)).cast("double")
     x = F.col("revenue_percentile")
-    return r.withColumn("revenue_percentile", share).drop("_rank").withColumn("performance_tier", F.when(x <= 0.1, "Top 10%").when(x <= 0.25, "Top 25%").when(x <= 0.5, "Top 50%").otherwise("Bottom 50%"))
+    return r.withColumn("revenue_percentile", share).drop("_rank", "_rows").withColumn("performance_tier", F.when(x <= 0.1, "Top 10%").when(x <= 0.25, "Top 25%").when(x <= 0.5, "Top 50%").otherwise("Bottom 50%"))
 
 
 @query("gold_product_performance", f"WITH d AS ({DIM}), m AS (SELECT product_id, year(order_date) AS y, month(order_date) AS mo, sum(quantity) AS q, CAST(sum(net_amount) AS DECIMAL(28,2)) AS r FROM {NET} JOIN (SELECT order_id, order_date FROM v_orders) o USING (order_id) GROUP BY 1, 2, 3) SELECT d.product_id, product_name, category, brand, total_quantity_sold, total_revenue, dense_rank() OVER (ORDER BY total_revenue DESC) AS revenue_rank, avg_monthly_revenue, best_month_revenue, worst_month_revenue FROM d LEFT JOIN (SELECT product_id, {A.format('r', 'avg_monthly_revenue')}, max(r) AS best_month_revenue, min(r) AS worst_month_revenue FROM m GROUP BY 1) USING (product_id)")
 def _(v):
     months = v("e_items").join(v("v_orders").select("order_id", "order_date"), "order_id").groupBy("product_id", F.trunc("order_date", "month").alias("month")).agg(money(F.col("subtotal") - F.col("discount_amount"), "r"))
     best = months.groupBy("product_id").agg(mean("r").alias("avg_monthly_revenue"), F.max("r").alias("best_month_revenue"), F.min("r").alias("worst_month_revenue"))
-    d = materialize(dim_products(v).select("product_id", "product_name", "category", "brand", "total_quantity_sold", "total_revenue"))
-    return ranked(d, ("total_revenue", "dense_rank", "revenue_rank")).join(best, "product_id", "left")
+    d = dim_products(v).select("product_id", "product_name", "category", "brand", "total_quantity_sold", "total_revenue")
+    return windows.global_orders(d, "product_id", {"revenue_rank": ("total_revenue", "dense_rank")}).join(best, "product_id", "left")
 
 
 @query("gold_fact_orders", "WITH i AS (SELECT order_id, count(*) AS k, sum(quantity) AS q, sum(discount_amount) AS d, count(DISTINCT product_id) AS u FROM e_items GROUP BY 1) SELECT order_id, customer_id, order_date, total_amount, coalesce(k, 0) AS line_item_count, coalesce(q, 0)::BIGINT AS total_quantity, CAST(coalesce(d, 0) AS DECIMAL(28,2)) AS total_discount, coalesce(u, 0) AS unique_products, CAST(total_amount - coalesce(d, 0) AS DECIMAL(28,2)) AS net_revenue FROM v_orders LEFT JOIN i USING (order_id)")
@@ -199,15 +185,20 @@ def product_mart(v) -> DataFrame:
     return p.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(m.schema[c].dataType)) for c in counts})
 
 
+def product_ranks(v) -> DataFrame:
+    """The warehouse's products with their places by revenue, by units, and within their category."""
+    r = windows.global_orders(product_mart(v), "product_id", {"revenue_rank": ("total_revenue", "rank"), "units_sold_rank": ("total_units_sold", "rank")})
+    return r.withColumn("category_revenue_rank", F.rank().over(Window.partitionBy("category").orderBy(F.desc_nulls_last("total_revenue"))).cast("long"))
+
+
 @query("mart_product_performance_sql", f"WITH p AS ({PRODUCT}) SELECT *, rank() OVER (ORDER BY total_revenue DESC NULLS LAST) AS revenue_rank, rank() OVER (ORDER BY total_units_sold DESC NULLS LAST) AS units_sold_rank, rank() OVER (PARTITION BY category ORDER BY total_revenue DESC NULLS LAST) AS category_revenue_rank FROM p")
 def _(v):
-    r = ranked(materialize(product_mart(v)), ("total_revenue", "rank", "revenue_rank"), ("total_units_sold", "rank", "units_sold_rank"))
-    return r.withColumn("category_revenue_rank", F.rank().over(Window.partitionBy("category").orderBy(F.desc_nulls_last("total_revenue"))).cast("long"))
+    return product_ranks(v)
 
 
 @query("vw_top_products", f"WITH p AS ({PRODUCT}), r AS (SELECT *, rank() OVER (ORDER BY total_revenue DESC NULLS LAST) AS revenue_rank FROM p) SELECT product_name, category, brand, price, total_orders, total_units_sold, total_revenue, total_profit, revenue_rank, revenue_last_30d, units_sold_last_30d FROM r WHERE revenue_rank <= 100")
 def _(v):
-    r = ranked(materialize(product_mart(v)), ("total_revenue", "rank", "revenue_rank")).where("revenue_rank <= 100")
+    r = windows.global_orders(product_mart(v), "product_id", {"revenue_rank": ("total_revenue", "rank")}).where("revenue_rank <= 100")
     return r.select("product_name", "category", "brand", "price", "total_orders", "total_units_sold", "total_revenue", "total_profit", "revenue_rank", "revenue_last_30d", "units_sold_last_30d")
 
 
@@ -291,5 +282,4 @@ def _(v):
 
 @query("rolling_anomaly", "WITH k AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, count(*) AS events FROM v_events GROUP BY 1), m AS (SELECT *, CAST(sum(events) OVER w AS DOUBLE) / count(*) OVER w AS window_mean FROM k WINDOW w AS (PARTITION BY time_bucket(INTERVAL 10 MINUTE, window_start))) SELECT * FROM m WHERE events > window_mean * 1.2")
 def _(v):
-    k = v("v_events").groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("window_start")).agg(n().alias("events"))
-    return windows.rolling_anomaly(k, "window_start", "events", 1.2)
+    return S.rolling_anomaly(v("v_events"), 1.2)

@@ -104,9 +104,6 @@ def _(v):
     return v("v_customers").join(m, "customer_id", "left").select("customer_id", F.coalesce("n", F.lit(0)).alias("orders"), F.coalesce("s", F.lit(0)).cast("decimal(28,2)").alias("spent"))
 
 
-# ------------------------------------------------------------------ marts
-
-
 # ------------------------------------------------------------------ reshaping
 
 
@@ -123,14 +120,6 @@ def _(v):
 # ------------------------------------------------------------------ quality
 
 
-@query("dq_outliers_iqr", "WITH q AS (SELECT quantile_cont(CAST(price AS DOUBLE), 0.25) AS lo, quantile_cont(CAST(price AS DOUBLE), 0.75) AS hi FROM v_products) SELECT product_id FROM v_products, q WHERE price < lo - 1.5 * (hi - lo) OR price > hi + 1.5 * (hi - lo)")
+@query("dq_outliers_iqr", "WITH q AS (SELECT quantile_cont(CAST(total_amount AS DOUBLE), 0.25) AS lo, quantile_cont(CAST(total_amount AS DOUBLE), 0.75) AS hi FROM d_orders) SELECT order_id, CAST(total_amount AS DOUBLE) AS total_amount FROM d_orders, q WHERE total_amount < lo - 1.5 * (hi - lo) OR total_amount > hi + 1.5 * (hi - lo)")
 def _(v):
-    return quality.outliers_iqr(v("v_products").withColumn("price", F.col("price").cast("double")), "price").select("product_id")
-
-
-# ------------------------------------------------------------------ loading
-
-
-# ------------------------------------------------------------------ streams (batch twins)
-
-
+    return quality.outliers_iqr(v("d_orders").select("order_id", F.col("total_amount").cast("double").alias("total_amount")), "total_amount")

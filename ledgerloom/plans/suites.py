@@ -137,31 +137,29 @@ def _(v):
 
 
 WAREHOUSE = {
-    "dim_customers": ("d_customers", [{"check": "not_empty", **med}, {"check": "not_null", "column": "customer_id"}, {"check": "not_null", "column": "email", "threshold": 0.95}, {"check": "unique", "column": "customer_id"}, {"check": "values_in_set", "column": "segment", "valid_values": ["Premium", "Regular", "New", "VIP"]}]),
-    "dim_products": ("d_products", [{"check": "not_empty"}, {"check": "not_null", "column": "product_id"}, {"check": "not_null", "column": "name"}, {"check": "unique", "column": "product_id"}, {"check": "range", "column": "price", "min_value": 0}, {"check": "range", "column": "cost", "min_value": -100, "max_value": 100}]),
-    "fact_orders": ("d_orders", [{"check": "not_empty"}, {"check": "not_null", "column": "order_id"}, {"check": "not_null", "column": "customer_id", "threshold": 0.95}, {"check": "unique", "column": "order_id"}, {"check": "range", "column": "total_amount", "name": "positive", "min_value": 0}, {"check": "range", "column": "tax_amount", "name": "tax_positive", "min_value": 0}, {"check": "range", "column": "total_amount", "min_value": 0, "max_value": 100000}, {"check": "values_in_set", "column": "status", "valid_values": ["pending", "processing", "shipped", "completed", "cancelled"]}, {"check": "referential", "column": "customer_id", "reference": "d_customers", "reference_column": "customer_id"}]),
-    "fact_order_items": ("d_items", [{"check": "not_empty"}, {"check": "unique", "column": "item_id"}, {"check": "range", "column": "quantity", "min_value": 1}, {"check": "range", "column": "unit_price", "min_value": 0}, {"check": "referential", "column": "product_id", "reference": "d_products", "reference_column": "product_id"}, {"check": "referential", "column": "order_id", "reference": "d_orders", "reference_column": "order_id"}]),
+    "d_customers": [{"check": "not_empty", **med}, {"check": "not_null", "column": "customer_id"}, {"check": "not_null", "column": "email", "threshold": 0.95}, {"check": "unique", "column": "customer_id"}, {"check": "values_in_set", "column": "segment", "valid_values": ["Premium", "Regular", "New", "VIP"]}],
+    "d_products": [{"check": "not_empty"}, {"check": "not_null", "column": "product_id"}, {"check": "not_null", "column": "name"}, {"check": "unique", "column": "product_id"}, {"check": "range", "column": "price", "min_value": 0}, {"check": "range", "column": "cost", "min_value": -100, "max_value": 100}],
+    "d_orders": [{"check": "not_empty"}, {"check": "not_null", "column": "order_id"}, {"check": "not_null", "column": "customer_id", "threshold": 0.95}, {"check": "unique", "column": "order_id"}, {"check": "range", "column": "total_amount", "name": "positive", "min_value": 0}, {"check": "range", "column": "tax_amount", "name": "tax_positive", "min_value": 0}, {"check": "range", "column": "total_amount", "min_value": 0, "max_value": 100000}, {"check": "values_in_set", "column": "status", "valid_values": ["pending", "processing", "shipped", "completed", "cancelled"]}, {"check": "referential", "column": "customer_id", "reference": "d_customers", "reference_column": "customer_id"}, {"check": "referential", "column": "order_date", "reference": "g_calendar", "reference_column": "full_date"}],
+    "g_daily": [{"check": "not_empty"}, {"check": "range", "column": "net_revenue", "name": "positive", "min_value": 0}, {"check": "range", "column": "total_orders", "min_value": 0}, {"check": "unique", "column": "date_key"}],
+    "g_calendar": [{"check": "not_empty"}, {"check": "unique", "column": "date_key"}],
 }
+LINES = [{"check": "not_empty"}, {"check": "unique", "column": "item_id"}, {"check": "range", "column": "quantity", "min_value": 1}, {"check": "range", "column": "unit_price", "min_value": 0}, {"check": "referential", "column": "product_id", "reference": "d_products", "reference_column": "product_id"}, {"check": "referential", "column": "order_id", "reference": "d_orders", "reference_column": "order_id"}]
 
 
 def warehouse(v) -> DataFrame:
-    out = None
-    for name, (table, specs) in WAREHOUSE.items():
-        refs = {s["reference"]: v(s["reference"]) for s in specs if s["check"] == "referential"}
-        r = S.run_checks(v(table), specs, name, NOW, refs)
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Customers, products, orders, the daily sales and their calendar, each read once."""
+    return S.run_suites({t: (v(t), specs) for t, specs in WAREHOUSE.items()}, NOW)
 
 
-WAREHOUSE_SQL = " UNION ALL ".join(suite_sql(specs, table, name) for name, (table, specs) in WAREHOUSE.items())
+WAREHOUSE_SQL = " UNION ALL ".join(suite_sql(specs, t, t) for t, specs in WAREHOUSE.items())
 query("dq_suite_warehouse", WAREHOUSE_SQL)(warehouse)
+query("dq_suite_lines", suite_sql(LINES, "d_items", "fact_order_items"))(lambda v: S.run_checks(v("d_items"), LINES, "fact_order_items", NOW, {t: v(t) for t in ("d_products", "d_orders")}))
 
 ALL_SQL = " UNION ALL ".join((suite_sql(ORDERS, "d_orders", "orders", COLUMNS["d_orders"]), suite_sql(CUSTOMERS, "d_customers", "customers"), suite_sql(PRODUCTS, "d_products", "products")))
 
 
 def suites(v) -> DataFrame:
-    parts = [S.run_checks(v(t), specs, name, NOW) for t, specs, name in (("d_orders", ORDERS, "orders"), ("d_customers", CUSTOMERS, "customers"), ("d_products", PRODUCTS, "products"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return S.run_suites({name: (v(t), specs) for t, specs, name in (("d_orders", ORDERS, "orders"), ("d_customers", CUSTOMERS, "customers"), ("d_products", PRODUCTS, "products"))}, NOW)
 
 
 _W = "CASE severity WHEN 'low' THEN 0.25 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.75 ELSE 1.0 END"
@@ -183,19 +181,18 @@ def _(v):
     return S.overall(warehouse(v)).select("overall_status")
 
 
-#: Rows changed in the last days before a fixed day.
-SINCE = "order_date >= DATE '1998-06-01'"
-RECENT = [
-    *[{"check": "not_null", "column": c, **crit} for c in ("order_id", "customer_id")],
-    *[{"check": "not_null", "column": c, **high} for c in ("order_date", "total_amount")],
-    {"check": "unique", "column": "order_id", **crit},
-    {"check": "range", "column": "total_amount", "min_value": 0, "max_value": 1000000, **high},
-]
+# rows updated in the 24 hours before the run
+DAY = f"updated_at >= TIMESTAMP '{NOW}' - INTERVAL '24' HOUR"
+RECENT = {
+    "r_customers": [*[{"check": "not_null", "column": c, **x} for c, x in (("customer_id", crit), ("email", high), ("first_name", med), ("last_name", med))], {"check": "unique", "column": "customer_id", **crit}, {"check": "unique", "column": "email", **high}, {"check": "email_format", "column": "email", **med}],
+    "r_products": [*[{"check": "not_null", "column": c, **x} for c, x in (("product_id", crit), ("name", high), ("category", med), ("price", high))], {"check": "unique", "column": "product_id", **crit}, {"check": "range", "column": "price", "min_value": 0.01, "max_value": 100000, **high}, {"check": "range", "column": "stock_quantity", "min_value": 0, "max_value": 1000000, **med}],
+    "r_orders": [*[{"check": "not_null", "column": c, **x} for c, x in (("order_id", crit), ("customer_id", crit), ("order_date", high), ("total_amount", high))], {"check": "unique", "column": "order_id", **crit}, {"check": "range", "column": "total_amount", "min_value": 0, "max_value": 1000000, **high}, {"check": "values_in_set", "column": "status", "valid_values": STATUSES, **med}, {"check": "freshness", "column": "updated_at", "max_age_hours": 24, **high}],
+}
 
 
-@query("dq_suite_recent", f"WITH recent AS (SELECT * FROM d_orders WHERE {SINCE}) {suite_sql(RECENT, 'recent', 'fact_orders')}")
+@query("dq_suite_recent", "WITH " + ", ".join(f"recent_{t} AS (SELECT * FROM {t} WHERE {DAY})" for t in RECENT) + " " + " UNION ALL ".join(suite_sql(specs, f"recent_{t}", t) for t, specs in RECENT.items()))
 def _(v):
-    return S.run_checks(v("d_orders").where(SINCE), RECENT, "fact_orders", NOW)
+    return S.run_suites({t: (v(t).where(DAY), specs) for t, specs in RECENT.items()}, NOW)
 
 
 @query("dq_unique", "WITH k AS (SELECT order_id, count(*) AS k FROM d_orders WHERE order_id IS NOT NULL GROUP BY 1) SELECT sum(k)::BIGINT AS total_count, count(*) AS unique_count, CAST(sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS BIGINT) AS duplicate_count, CAST(count(*) AS DOUBLE) / CAST(sum(k) AS DOUBLE) AS ratio FROM k")
@@ -285,10 +282,15 @@ def _(v):
     return S.history(r.sparkSession.read.parquet(path), 20).select("dataset", "rule_name", "passed", "checked_at")
 
 
-@query("quarantine_split", "SELECT order_id, total_amount, CASE WHEN coalesce(total_amount > 0, false) THEN NULL ELSE 'invalid_amount' END AS reason FROM d_orders")
+RULES = {"invalid_amount": "total_amount > 0", "no_customer": "customer_id IS NOT NULL", "future_date": f"order_date <= DATE '{AS_OF}'", "unknown_status": "lower(trim(status)) <> 'lost'"}
+
+
+@query("quarantine_split", "SELECT order_id, total_amount, CASE WHEN reasons = '' THEN 'good' ELSE 'quarantined' END AS outcome, reasons FROM (SELECT *, concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{k}' END" for k, c in RULES.items()) + ") AS reasons FROM d_orders)")
 def _(v):
-    good, bad = S.split(v("d_orders").select("order_id", "total_amount"), F.col("total_amount") > 0, "invalid_amount")
-    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+    o = v("d_orders").select("order_id", "customer_id", "order_date", "status", "total_amount")
+    path = scratch_path(o.sparkSession, "quarantine")
+    quality.write_quarantined(o, {k: F.expr(c) for k, c in RULES.items()}, path)
+    return o.sparkSession.read.parquet(path).select("order_id", "total_amount", "outcome", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("quality_gate", f"WITH r AS ({ALL_SQL}), s AS ({SCORE_SQL}) SELECT CASE WHEN avg(overall_score) >= 0.9 THEN 'load' WHEN avg(overall_score) >= 0.7 THEN 'quarantine' ELSE 'fail' END AS path FROM s")

@@ -48,10 +48,10 @@ def sink(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite"
 
 
 def sink_lake_hourly(df: DataFrame, path: str, time: str) -> None:
-    """Appended below ``year=/month=/day=/hour=`` of a timestamp."""
+    """Appended below ``year=/month=/day=/hour=`` of a timestamp; an hour's rows meet first, a large hour's in several tasks, so that files are few."""
     t = F.col(time)
     x = df.withColumns({"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "hour": F.hour(t)})
-    sink(x, path, mode="append", partition_by=("year", "month", "day", "hour"))
+    sink(x.hint("rebalance", "year", "month", "day", "hour"), path, mode="append", partition_by=("year", "month", "day", "hour"))
 
 
 def sink_multi_output(df: DataFrame, outputs: dict[str, tuple[Column, list[str]]]) -> None:

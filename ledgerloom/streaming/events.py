@@ -1,7 +1,9 @@
 """Windowed event metrics, decoding and sinks; the same functions serve a stream and a batch.
 
 On a stream, rows beyond the watermark are dropped, and distinct values are counted as the
-size of their set, which is exact; a batch counts them by shuffles.
+size of their set, which is exact and keeps them all in state; a batch counts them by
+shuffles. With ``error``, both count by sketches of a fixed size instead (HyperLogLog++),
+whose relative standard error that is.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ def _timed(events: DataFrame, watermark: str) -> DataFrame:
     return e.withWatermark("ts", watermark) if e.isStreaming else e
 
 
-def _distinct(df: DataFrame, c: str) -> Column:
+def _distinct(df: DataFrame, c: str, error: float | None = None) -> Column:
+    if error:
+        return F.approx_count_distinct(c, error)
     return F.size(F.collect_set(c)).cast("long") if df.isStreaming else F.countDistinct(c)
 
 
@@ -35,42 +39,59 @@ def _window(columns: list[str]) -> list[Column]:
     return [F.col("window.start").cast("timestamp_ntz").alias("window_start"), F.col("window.end").cast("timestamp_ntz").alias("window_end"), *map(F.col, columns)]
 
 
-def realtime_kpis(events: DataFrame, width: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
+def realtime_kpis(events: DataFrame, width: str = "1 minute", watermark: str = "10 minutes", error: float | None = None) -> DataFrame:
     """Per tumbling window: events, users, sessions, events by kind, mobile share, countries, mean value, conversion and cart rates."""
     e = _timed(events, watermark)
     kind = F.col("kind")
     k = e.groupBy(F.window("ts", width)).agg(
-        F.count("event_id").alias("total_events"), _distinct(e, "user_id").alias("unique_users"), _distinct(e, "session_id").alias("active_sessions"), _count(kind == "page_view", "page_views"), _count(kind == "product_view", "product_views"), _count(kind == "add_to_cart", "add_to_carts"),
+        F.count("event_id").alias("total_events"), _distinct(e, "user_id", error).alias("unique_users"), _distinct(e, "session_id", error).alias("active_sessions"), _count(kind == "page_view", "page_views"), _count(kind == "product_view", "product_views"), _count(kind == "add_to_cart", "add_to_carts"),
         _count(kind == "purchase", "purchases"), _count(F.col("device_type").isin("mobile", "tablet"), "mobile_events"), _distinct(e, "country").alias("countries_active"), (F.sum("value").cast("double") / F.count("value")).alias("avg_cart_value"),
     )
     k = k.select("*", _rate("mobile_events", "total_events").alias("mobile_percentage"), _rate("purchases", "active_sessions").alias("conversion_rate"), _rate("add_to_carts", "product_views").alias("cart_rate"))
     return k.select(*_window(k.columns[1:]))
 
 
-def session_metrics(events: DataFrame, width: str = "5 minutes", watermark: str = "30 minutes") -> DataFrame:
+def session_metrics(events: DataFrame, width: str = "5 minutes", watermark: str = "30 minutes", error: float | None = None) -> DataFrame:
     """Per tumbling window and session: events, pages, events by kind, first user, device and country, start, end, duration, whether it bought."""
     e = _timed(events, watermark)
     kind, first = F.col("kind"), lambda c: F.min(F.struct("ts", "event_id", c)).getField(c).alias(c)
     m = e.groupBy(F.window("ts", width), "session_id").agg(
-        F.count("event_id").alias("event_count"), _distinct(e, "page_url").alias("pages_viewed"), _count(kind == "product_view", "products_viewed"), _count(kind == "add_to_cart", "add_to_cart_events"), _count(kind == "purchase", "purchases"), first("user_id"), first("device_type"), first("country"),
+        F.count("event_id").alias("event_count"), _distinct(e, "page_url", error).alias("pages_viewed"), _count(kind == "product_view", "products_viewed"), _count(kind == "add_to_cart", "add_to_cart_events"), _count(kind == "purchase", "purchases"), first("user_id"), first("device_type"), first("country"),
         F.min("ts").alias("_a"), F.max("ts").alias("_b"), F.max("value").alias("max_cart_value"),
     )
     m = m.withColumns({"session_start": F.col("_a").cast("timestamp_ntz"), "session_end": F.col("_b").cast("timestamp_ntz"), "session_duration_seconds": F.unix_timestamp("_b") - F.unix_timestamp("_a"), "is_converted": F.col("purchases") > 0}).drop("_a", "_b")
     return m.select(*_window(m.columns[1:]))
 
 
-def order_metrics(orders: DataFrame, width: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
+def order_metrics(orders: DataFrame, width: str = "1 minute", watermark: str = "10 minutes", error: float | None = None) -> DataFrame:
     """Per tumbling window: orders, revenue, their mean, items, customers, completed and failed ones, high-value share, methods used."""
     o = _timed(orders, watermark)
     high = F.when(F.col("total_amount") >= 200, F.col("total_amount")).otherwise(0)
     m = o.groupBy(F.window("ts", width)).agg(
-        F.count("order_id").alias("orders_count"), F.sum("total_amount").cast("decimal(28,2)").alias("total_revenue"), (F.sum("total_amount").cast("double") / F.count("total_amount")).alias("avg_order_value"), F.sum("items_count").alias("total_items"), _distinct(o, "customer_id").alias("unique_customers"), _count(F.col("status") == "completed", "completed_orders"),
+        F.count("order_id").alias("orders_count"), F.sum("total_amount").cast("decimal(28,2)").alias("total_revenue"), (F.sum("total_amount").cast("double") / F.count("total_amount")).alias("avg_order_value"), F.sum("items_count").alias("total_items"), _distinct(o, "customer_id", error).alias("unique_customers"), _count(F.col("status") == "completed", "completed_orders"),
         _count(F.col("status") == "failed", "failed_orders"), F.sum(high).cast("decimal(28,2)").alias("high_value_revenue"), F.array_join(F.sort_array(F.collect_set("payment_method")), ",").alias("payment_methods_used"),
     )
     m = m.select("*", _rate("completed_orders", "orders_count").alias("completion_rate"), _rate("high_value_revenue", "total_revenue").alias("high_value_percentage"))
     return m.select(*_window(m.columns[1:]))
 
 
+def rolling_anomaly(events: DataFrame, factor: float = 2.0, width: str = "1 minute", within: str = "10 minutes", watermark: str = "10 minutes") -> DataFrame:
+    """``window_start, events, window_mean`` of minutes whose count exceeds ``factor`` times the mean of their ten minutes.
+
+    Two aggregations by event time, one on the other: minutes are counted, then a window
+    gathers the counts of its minutes, of which there are few. On a stream in append mode a
+    minute is final once the watermark passes it, and so is its window; rows beyond the
+    watermark change neither.
+    """
+    e = _timed(events, watermark)
+    minutes = e.groupBy(F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    minutes = minutes.select(F.window_time("w").alias("at"), F.col("w.start").alias("start"), "events") if e.isStreaming else minutes.select(F.col("w.start").alias("at"), F.col("w.start").alias("start"), "events")
+    mean = (F.sum("events").cast("double") / F.count("events")).alias("window_mean")
+    tens = minutes.groupBy(F.window("at", within)).agg(F.collect_list(F.struct("start", "events")).alias("minutes"), mean)
+    each = tens.select(F.inline("minutes"), "window_mean").where(F.col("events") > F.col("window_mean") * factor)
+    return each.select(F.col("start").cast("timestamp_ntz").alias("window_start"), "events", "window_mean")
+
+
 def hour_slice(events: DataFrame, hour: str) -> DataFrame:
     """Events from an hour's start, before the next one's."""
     start = F.lit(hour).cast("timestamp_ntz")
@@ -135,16 +156,3 @@ def to_console(stream: DataFrame, name: str, checkpoint: str, fmt: str = "consol
     """The whole result after each batch, untruncated; ``fmt="memory"`` keeps it as a table instead."""
     w = stream.writeStream.format(fmt).outputMode("complete").queryName(name).option("checkpointLocation", checkpoint)
     return (w.option("truncate", False) if fmt == "console" else w).trigger(**(trigger or {"processingTime": "1 minute"})).start()
-
-
-def start_all(starts: list[Callable[[], StreamingQuery]]) -> list[StreamingQuery]:
-    """Start several queries; if one can't start, those that did are stopped."""
-    running: list[StreamingQuery] = []
-    try:
-        for start in starts:
-            running.append(start())
-    except Exception:
-        for q in running:
-            q.stop()
-        raise
-    return running
