@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import materialize
+
 #: Lines of a basket that one task pairs; larger baskets are dealt into parts.
 PART = 256
 #: Items up to which their list is sent to all tasks.
@@ -30,6 +32,8 @@ def pairs(lines: DataFrame, basket: str, item: str) -> DataFrame:
     meets the rows of each part under a key of its own, so that no task pairs a whole basket.
     """
     sizes = lines.groupBy(basket).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > PART)
+    if sizes.isEmpty():
+        return lines.select(basket, F.col(item).alias("item_1")).join(lines.select(basket, F.col(item).alias("item_2")), basket).where("item_1 < item_2")
     parts = F.coalesce(F.ceil(F.col("_size") / PART), F.lit(1)).cast("int")
     dealt = lines.select(basket, item).join(sizes, basket, "left").withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
@@ -40,6 +44,6 @@ def pairs(lines: DataFrame, basket: str, item: str) -> DataFrame:
 
 def affinity(lines: DataFrame, basket: str, item: str, least: int) -> DataFrame:
     """``item_1, item_2, times_bought_together`` of pairs in ``least`` baskets or more. Rows with a null basket or item count nowhere."""
-    different = lines.select(basket, item).where(F.col(basket).isNotNull() & F.col(item).isNotNull()).distinct()
-    counted = pairs(prune(different, item, least), basket, item).groupBy("item_1", "item_2").agg(F.count(F.lit(1)).alias("times_bought_together"))
+    different = materialize(lines.select(basket, item).where(F.col(basket).isNotNull() & F.col(item).isNotNull()).distinct())
+    counted = pairs(materialize(prune(different, item, least)), basket, item).groupBy("item_1", "item_2").agg(F.count(F.lit(1)).alias("times_bought_together"))
     return counted.where(F.col("times_bought_together") >= least)

@@ -73,7 +73,9 @@ def _keys(spec: dict) -> list[str]:
 
 
 def _key_text(columns: list[str]) -> Column:
-    """Key columns as one text, different for different keys; numbers of any width agree."""
+    """Key columns as one text, different for different keys; numbers of any width agree. A single null is the empty text."""
+    if len(columns) == 1:
+        return F.coalesce(F.concat(F.lit("="), F.col(columns[0]).cast("string")), F.lit(""))
     return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
 
 

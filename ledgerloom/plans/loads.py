@@ -66,7 +66,7 @@ def _(v):
 
 def in_pages(p: DataFrame, rows: int) -> DataFrame:
     """Products with the number of their page of so many ids: pages grow in number with the table, not in size."""
-    return p.withColumn("page", F.floor((F.col("product_id") - 1) / rows))
+    return p.withColumn("page", F.floor(F.col("product_id") / rows))
 
 
 @query("scan_json", f"SELECT product_id, name, price FROM ({PRODUCT_SQL})")
@@ -95,7 +95,7 @@ def _(v):
     return files.scan_jsonl(spark, path, PRODUCT_SCHEMA).select("product_id", "category", "stock_quantity")
 
 
-@query("scan_paged_json", "SELECT (product_id - 1) // 25 AS page, product_id FROM v_products")
+@query("scan_paged_json", "SELECT product_id // 25 AS page, product_id FROM v_products")
 def _(v):
     p = in_pages(v("v_products").select("product_id"), 25)
     spark, path = new_path(p)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import cleaning as K
 from ledgerloom.operators import windows
-from ledgerloom.sources.scratch import materialize
 
 from .cleaning import cut_sql
 from .retail import AS_OF, query
@@ -68,8 +67,7 @@ SELECT *, {R.format('completed_orders', 'total_orders')} * 100 AS completion_rat
   coalesce(CASE WHEN net_revenue > 0 THEN {R.format('total_profit', 'net_revenue')} * 100 END, 0) AS profit_margin, year(order_date) AS year, month(order_date) AS month, day(order_date) AS day, dayofweek(order_date) + 1 AS day_of_week, week(order_date) AS week_of_year, quarter(order_date) AS quarter, isodow(order_date) >= 6 AS is_weekend
 FROM d JOIN m USING (order_date)""")
 def _(v):
-    # computed once: the aggregates and the median both read it
-    o = materialize(v("e_orders").drop("payment_method", "shipping_method", "shipped_on", "delivered_on"))
+    o = v("e_orders")
     d = daily(o).join(windows.grouped_median(o, ["order_date"], "total_amount", "median_order_value"), "order_date")
     c = F.col("order_date")
     return d.select(

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import scratch_path
+
 _AMOUNT = "CAST(floor(o_totalprice / 5) / 100.0 AS DECIMAL(12,2))"
 
 #: view: (source table, {column: expression}, condition of rows that occur twice)
@@ -190,13 +192,42 @@ def enriched_orders(v) -> DataFrame:
 _ENRICHED = {"e_items": enriched_items, "e_rollup": lambda v: order_rollup(v("e_items")), "e_orders": enriched_orders}
 
 
+#: Enriched tables that are written once for all queries of an application, and the tables they come from
+STORED = {"e_items": ("lineitem", "part"), "e_orders": ("orders", "lineitem", "part")}
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple:
+    """Bytes, files and last change of tables, as their file system tells them: a changed table has another state."""
+    out = []
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        whole = fs.getContentSummary(path)
+        out.append((t, whole.getLength(), whole.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
+def _enriched(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An enriched table; those of ``STORED`` are written at their first use and read from then on, until a table they come from changes."""
+    build = lambda: _ENRICHED[name](lambda n: view(spark, sf_dir, n))
+    if name not in STORED:
+        return build()
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir, STORED[name]))
+    if key not in _WRITTEN:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, stored: str | None = None) -> DataFrame:
     """A view as a projection on its table: columns not used further never leave the scan.
 
     ``stored`` is a condition on the table's own columns, which the scan can use.
     """
     if name in _ENRICHED:
-        return _ENRICHED[name](lambda n: view(spark, sf_dir, n))
+        return _enriched(spark, sf_dir, name)
     if name in DERIVED:
         below = re.search(r"FROM (\w+)", DERIVED[name])[1]
         return spark.sql(re.sub(rf"\b{below}\b", "{below}", DERIVED[name]), below=view(spark, sf_dir, below))

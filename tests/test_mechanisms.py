@@ -355,3 +355,19 @@ def test_outliers_at_three_deviations(spark):
     df = spark.createDataFrame([(v,) for v in [10, 12, 11, 13, 10, 12] * 3 + [1000]] + [(None,)], "value int")
     assert [r["value"] for r in Q.outliers_zscore(df, "value").collect()] == [1000]
     assert Q.outliers_zscore(df.where("value = 10"), "value").count() == 0 and Q.outliers_zscore(df.limit(0), "value").count() == 0
+
+
+def test_enriched_tables_are_stored_until_their_tables_change(spark, tmp_path):
+    import shutil
+
+    from ledgerloom.plans import views as V
+
+    for t in ("orders", "lineitem", "part"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    first = V.view(spark, str(tmp_path), "e_items").inputFiles()
+    assert V.view(spark, str(tmp_path), "e_items").inputFiles() == first
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(100)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/new")
+    shutil.copy(next(iter((tmp_path / "new").glob("*.parquet"))), tmp_path / "lineitem.parquet")
+    (tmp_path / ".lineitem.parquet.crc").unlink(missing_ok=True)
+    assert V.view(spark, str(tmp_path), "e_items").count() == 100 and V.view(spark, str(tmp_path), "e_items").inputFiles() != first
