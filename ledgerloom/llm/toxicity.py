@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
 Voters: lexicons of words and word beginnings that occur far more often in toxic
-documents, dealt into several by kind and strength; one that objects when no lexicon
-finds anything; patterns (shouting, exclamation, symbol noise); and the human label. A
-generative model with a hidden class gives each voter a probability of each vote under
-each class, by EM; voters whose residuals correlate share their weight. Its posterior
-labels train a logistic classifier over lexicon terms and votes, which scores texts.
+documents, dealt into several by kind; one for several finds, one that objects when no
+lexicon finds anything; one for texts of which lexicon words make up a share, and one that
+objects to a lesser share, as in long texts a word begins so by chance; patterns (shouting,
+exclamation, symbol noise); and the human label. A generative model with a hidden class
+gives each voter a probability of each vote under each class, by EM; voters whose residuals
+correlate share their weight, which is estimated anew every few rounds. The human label
+keeps its whole weight, and its accuracy has a prior. Posterior labels train a logistic
+classifier over lexicon terms and votes, which scores texts.
 
 Lexicons and classifier are fitted on at most ``MOST_LABELLED`` labelled documents of
 each class, chosen by a hash of the id; their terms and votes have no cap of their own.
@@ -33,6 +36,8 @@ EVIDENCE = 10.0
 PREFIXES = (4, 5, 6)
 STRIPES = 3
 FOLDS = 5
+#: Prior accuracy of human labels, which counts as much as the labels themselves.
+GOLD = 0.95
 _MEMO = 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -42,13 +47,20 @@ def terms_of(word: str) -> list[str]:
     return [word, *[f"{word[:k]}*" for k in PREFIXES if len(word) > k]]
 
 
-def doc_terms(text: str | None, known: dict | None = None, memo: dict | None = None) -> set:
-    """Different terms of a text; with ``known`` only those, by their number."""
+def doc_terms(text: str | None) -> set:
+    """Different terms of a text."""
     out: set = set()
     for w in set(_WORDS.findall((text or "").lower())):
-        if known is None:
-            out.update(terms_of(w))
-            continue
+        out.update(terms_of(w))
+    return out
+
+
+def known_terms(text: str | None, known: dict, memo: dict) -> tuple[list[int], float]:
+    """Numbers of the known terms that a text holds, and the share of its words that have one."""
+    count = Counter(_WORDS.findall((text or "").lower()))
+    out: set = set()
+    hits = 0
+    for w, n in count.items():
         hit = memo.get(w)
         if hit is None:
             if len(memo) > _MEMO:
@@ -56,7 +68,8 @@ def doc_terms(text: str | None, known: dict | None = None, memo: dict | None = N
             hit = memo[w] = tuple(known[t] for t in terms_of(w) if t in known)
         if hit:
             out.update(hit)
-    return out
+            hits += n
+    return sorted(out), hits / max(count.total(), 1)
 
 
 def pattern_votes(text: str | None) -> list[int]:
@@ -114,62 +127,86 @@ def _lexicons(terms: list[str]) -> dict:
         lexicon.append(k * STRIPES + placed[k] % STRIPES)
         placed[k] += 1
     n = (len(PREFIXES) + 1) * STRIPES
-    return {"known": {t: i for i, t in enumerate(terms)}, "lexicon": lexicon, "n_lexicons": n, "n_votes": n + 5}
+    return {"known": {t: i for i, t in enumerate(terms)}, "lexicon": lexicon, "n_lexicons": n, "n_votes": n + 7, "cut": 0.0}
 
 
-def _vote(row: np.ndarray, hit: list[int], model: dict) -> None:
-    """Votes of the lexicons, of several finds, and against."""
+def _vote(row: np.ndarray, hit: list[int], share: float, model: dict) -> None:
+    """Votes of the lexicons, of several finds, against, of the share and against it."""
     n = model["n_lexicons"]
     for k in hit:
         row[model["lexicon"][k]] = 1
     row[n] = 1 if len(hit) >= 3 else 0
     row[n + 1] = -1 if not hit else 0
+    row[n + 2] = 1 if hit and share >= model["cut"] else 0
+    row[n + 3] = -1 if hit and share < model["cut"] else 0
 
 
 def _rows(model: dict):
     known = model["known"]
 
-    def run(texts) -> tuple[list[list[int]], np.ndarray]:
+    def run(texts) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
         memo: dict = {}
-        found, votes = [], np.zeros((len(texts), model["n_votes"]), np.int8)
+        found, shares, votes = [], np.zeros(len(texts)), np.zeros((len(texts), model["n_votes"]), np.int8)
         for i, t in enumerate(texts):
-            hit = sorted(doc_terms(t, known, memo))
+            hit, shares[i] = known_terms(t, known, memo)
             found.append(hit)
-            votes[i, model["n_lexicons"] + 2 :] = pattern_votes(t)
-            _vote(votes[i], hit, model)
-        return found, votes
+            votes[i, model["n_lexicons"] + 4 :] = pattern_votes(t)
+            _vote(votes[i], hit, shares[i], model)
+        return found, shares, votes
 
     return run
 
 
+def best_cut(shares: np.ndarray, gold: np.ndarray) -> float:
+    """The share that parts toxic from clean documents with the fewest errors, halfway between its neighbours; of documents that hold any term."""
+    s, g = shares[shares > 0], gold[shares > 0]
+    if not len(s) or g.min() == g.max():
+        return 0.0
+    at = np.unique(s)
+    edges = np.concatenate([[0.0], (at[:-1] + at[1:]) / 2, [np.inf]])
+    order = np.argsort(s, kind="stable")
+    s, g = s[order], g[order]
+    below = np.searchsorted(s, edges)
+    toxic = np.concatenate([[0], np.cumsum(g)])
+    errors = toxic[below] + (len(s) - below) - (toxic[-1] - toxic[below])
+    return float(edges[int(errors.argmin())])
+
+
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1, vote probabilities (voter, class, vote + 1) and voter weights.
 
     ``gold`` (0 or 1) votes last. A voter's weight is one over one plus the absolute
-    correlations of its residual with those of the other voters.
+    correlations of its residual with those of the other voters, but for the gold label's,
+    which is one; the classes' shares are those of the gold labels.
     """
     v = np.concatenate([votes, np.where(gold[:, None] > 0, 1, -1)], axis=1).astype(np.int64)
     n, m = v.shape
-    q = np.where(gold > 0, 0.95, 0.05)
+    share = np.clip(gold.mean(), 1e-3, 1 - 1e-3)
+    q = np.where(gold > 0, GOLD, 1 - GOLD)
     weight = np.ones(m)
     probs = np.zeros((m, 2, 3))
     for step in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         for y, w in ((0, 1 - q), (1, q)):
             for k in range(3):
                 probs[:, y, k] = ((v == k - 1) * w[:, None]).sum(axis=0) + 0.5
+            right = 2 * y
+            accuracy = (probs[-1, y, right] + GOLD * w.sum()) / (2 * w.sum() + 1)
+            probs[-1, y] = 1e-9
+            probs[-1, y, right], probs[-1, y, 2 - right] = accuracy, 1 - accuracy
         probs /= probs.sum(axis=2, keepdims=True)
         ratio = np.log(probs[:, 1] / probs[:, 0])
-        score = np.log(prior / (1 - prior)) + (ratio[np.arange(m)[None, :], v + 1] * weight).sum(axis=1)
+        score = np.log(share / (1 - share)) + (ratio[np.arange(m)[None, :], v + 1] * weight).sum(axis=1)
         q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if step == 5:
+        if step % 5 == 4:
             mean = probs @ np.array([-1.0, 0.0, 1.0])
             res = v - (q[:, None] * mean[:, 1] + (1 - q)[:, None] * mean[:, 0])
             sd = res.std(axis=0)
             z = res / np.where(sd > 1e-9, sd, 1)
             rho = np.abs(z.T @ z) / n
             np.fill_diagonal(rho, 0)
+            rho[:, -1] = 0
             weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
+            weight[-1] = 1.0
     return q, probs, weight
 
 
@@ -194,11 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict:
     chosen = known_ids.where("toxic = 1").orderBy(order, "doc_id").limit(most).unionByName(known_ids.where("toxic <> 1").orderBy(order, "doc_id").limit(most))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * most ids
     # copies of a text are one piece of evidence
-    rows = cut(rows.groupBy(F.xxhash64("text").alias("_h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("_h"))
+    rows = cut(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     t1, t0 = sizes.get(True, 0), sizes.get(False, 0)
     if not t1 or not t0:
-        return {"known": {}, "lexicon": [], "n_lexicons": 0, "n_votes": 5, "w": [0.0] * 5 + [4.0 if t1 and not t0 else -4.0], "probs": None}
+        return {"known": {}, "lexicon": [], "n_lexicons": 0, "n_votes": 7, "cut": 0.0, "w": [0.0] * 7 + [4.0 if t1 and not t0 else -4.0], "probs": None}
     share = t1 / (t1 + t0)
 
     def counts(where: str, name: str) -> DataFrame:
@@ -213,16 +250,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict:
     first, n0 = {r["term"]: r["n1"] for r in passed}, {r["term"]: r["n0"] for r in passed}
     strong = sorted(first, key=lambda t: (-first[t] * np.log(((first[t] + 0.1) / (t1 + 1)) / ((n0[t] + 0.1 * t0 / t1) / (t0 + 1))), t))
     model = _lexicons(strong)
-    make = _rows(model)
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            found, votes = make(list(d["text"]))
-            yield pd.DataFrame({"toxic": d["toxic"].astype("int32"), "found": found, "votes": [x.tobytes() for x in votes]})
+    def features(model: dict) -> pd.DataFrame:
+        make = _rows(model)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in batches:
+                found, shares, votes = make(list(d["text"]))
+                yield pd.DataFrame({"h": d["h"], "toxic": d["toxic"].astype("int32"), "found": found, "share": shares, "votes": [x.tobytes() for x in votes]})
 
-    got = rows.select("toxic", "text").mapInPandas(features, "toxic int, found array<int>, votes binary").toPandas()  # at most 2 * most rows of features
-    got = got.assign(key=[f"{a}|{b.hex()}|{list(c)}" for a, b, c in zip(got["toxic"], got["votes"], got["found"], strict=True)]).sort_values("key")
-    votes = np.stack([np.frombuffer(x, np.int8) for x in got["votes"]])
+        out = rows.select("h", "toxic", "text").mapInPandas(run, "h long, toxic int, found array<int>, share double, votes binary").toPandas()  # at most 2 * most rows of features
+        return out.sort_values("h").reset_index(drop=True)
+
+    got = features(model)
     gold = (got["toxic"].to_numpy() == 1).astype(np.int64)
     # only terms that explain toxic documents which stronger terms leave unexplained: a word that is merely common in them explains none
     found = [[int(k) for k in f] for f in got["found"]]
@@ -231,13 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict:
     usual = float(np.median([first[strong[k]] for k in taken])) if taken else np.inf
     taken += [k for k, t in enumerate(strong) if k not in set(taken) and first[t] >= usual / 2 and n0.get(t, 0) <= 0.02 * first[t] and evidence(first[t], n0.get(t, 0), share) >= 2 * EVIDENCE]
     model = _lexicons([strong[k] for k in taken])
-    place = {k: i for i, k in enumerate(taken)}
-    found = [sorted(place[k] for k in f if k in place) for f in found]
-    n_lex = model["n_lexicons"]
-    patterns, votes = votes[:, n_lex + 2 :], np.zeros((len(found), model["n_votes"]), np.int8)
-    votes[:, n_lex + 2 :] = patterns
+    got = features(model)
+    shares = got["share"].to_numpy()
+    model["cut"] = best_cut(shares, gold)
+    found = [[int(k) for k in f] for f in got["found"]]
+    votes = np.stack([np.frombuffer(x, np.int8) for x in got["votes"]]).copy()
     for i, f in enumerate(found):
-        _vote(votes[i], f, model)
+        _vote(votes[i], f, shares[i], model)
     q, probs, weight = label_model(votes, gold)
     n = len(taken)
     x = [[*f, *(n + np.flatnonzero(v)).tolist()] for f, v in zip(found, votes, strict=True)]
@@ -252,7 +292,7 @@ def score(text: Column, model: dict) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        found, votes = make(list(texts))
+        found, _, votes = make(list(texts))
         z = np.array([w[f].sum() if f else 0.0 for f in found]) + (votes != 0) @ w[n:-1] + w[-1]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
