@@ -327,10 +327,27 @@ def test_seating_matches_enumeration():
     want = np.exp(logit - logit.max())
     want /= want.sum()
     n = 20_000
-    t = hpy_lm.sample_tables(np.full(n, c), np.full(n, p), np.full(n, others), np.full(n, theta), d, s, np.random.default_rng(0))
+    t = hpy_lm.sample_tables(np.full(n, c), np.full(n, p), np.full(n, others), theta, d, s, np.random.default_rng(0))
     assert np.allclose(np.bincount(t, minlength=5)[1:] / n, want, atol=0.015)
 
 
+def test_sweeps_follow_the_joint_distribution():
+    """A restaurant of two dishes: seatings of many sweeps against all pairs of table counts, weighed exactly."""
+    d, theta, c, p = 0.4, 1.5, np.array([4, 3]), np.array([0.5, 0.2])
+    s = hpy_lm.log_stirling(d, 64)
+    cells = [(a, b) for a in range(1, 5) for b in range(1, 4)]
+    logit = np.array([s[4, a] + s[3, b] + a * np.log(p[0]) + b * np.log(p[1]) + sum(np.log(theta + d * i) for i in range(a + b)) for a, b in cells])
+    want = np.exp(logit - logit.max())
+    want /= want.sum()
+    n, rng = 4000, np.random.default_rng(1)  # restaurants side by side
+    t, u_at = np.ones(2 * n, np.int64), np.repeat(np.arange(n), 2)
+    for _ in range(12):
+        hpy_lm.resample(t, np.tile(c, n), np.tile(p, n), u_at, theta, d, s, rng)
+    pairs = t.reshape(-1, 2)
+    got = np.array([((pairs[:, 0] == a) & (pairs[:, 1] == b)).mean() for a, b in cells])
+    assert np.allclose(got, want, atol=0.03)
+
+
 def test_articles_keep_all_their_text():
     main = html_extract.main_text
     assert main("<article><h2><a href=/a>Linked heading</a></h2><p><a href=/b>A paragraph of links</a> x</p><ul><li><a href=/c>item</a></ul><p>Text.</p></article>") == "Linked heading A paragraph of links x item Text."
