@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path
+from .common import cut, scratch_path, small_batches
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
@@ -29,7 +29,7 @@ MOST_RANGES = 20_000
 #: Different words whose ids a task remembers; beyond it the memory starts anew.
 MEMORY_WORDS = 600_000
 #: Text that a task encodes at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _byte_kinds() -> np.ndarray:
@@ -196,14 +196,15 @@ def write_token_files(docs: DataFrame, path: str, vocab: str, end_id: int = END_
     parts = max(1, min(MOST_RANGES, -(-total // file_bytes)), min(docs.sparkSession.sparkContext.defaultParallelism, total >> 20))
     dealt = narrow.repartitionByRange(int(parts), "doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     ids = dealt.mapInArrow(_encoder(vocab, end_id), "doc_id long, n_tokens long, ids array<int>")
-    (
-        ids.write.option("parquet.block.size", row_group_bytes)
-        .option("parquet.page.size", page_bytes)
-        .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
-        .option("parquet.writer.version", "v2")
-        .option("maxRecordsPerFile", max(1, 2 * rows * file_bytes // max(total, 1)))
-        .parquet(path)
-    )
+    with small_batches(docs.sparkSession):  # long texts wait in small batches, on both sides of the worker
+        (
+            ids.write.option("parquet.block.size", row_group_bytes)
+            .option("parquet.page.size", page_bytes)
+            .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
+            .option("parquet.writer.version", "v2")
+            .option("maxRecordsPerFile", max(1, 2 * rows * file_bytes // max(total, 1)))
+            .parquet(path)
+        )
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
