@@ -234,7 +234,8 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     rows = read_token_files(spark, path)
     files = cut(rows.groupBy("file").agg(F.sum("n_tokens").alias("n")))  # reads the counts alone
     before = files.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).select("file", "before")
-    read = rows.select("file", "row", "doc_id", "n_tokens", "ids").mapInArrow(_crc, "file long, row long, doc_id long, n_tokens long, n_read long, ids_crc32 long")
+    with small_batches(spark):  # lists of ids wait in small batches; what is kept of them is a few numbers a document
+        read = cut(rows.select("file", "row", "doc_id", "n_tokens", "ids").mapInArrow(_crc, "file long, row long, doc_id long, n_tokens long, n_read long, ids_crc32 long"))
     order = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return read.join(before, "file").select("doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long").alias("start"), F.col("n_read").alias("n_tokens"), "ids_crc32")
 
