@@ -11,8 +11,13 @@ Hits say on which diagonal (document position minus item position) to look. Ther
 item and document are compared token by token: the item counts as contained when a
 stretch of min(16, item length) tokens agrees in at least 80 %. A fixed-size bit map
 of the item hashes drops document positions that can match nothing before any join;
-it only ever passes too many. Items and hits join on hashes; nothing is broadcast by
-hint, and no document array is repeated except once for each (item, diagonal).
+it only ever passes too many. Items and hits join on hashes.
+
+Such a stretch holds its hit, so what a hit proves depends only on the 15 tokens before
+and after it. Positions with equal surroundings in one text prove the same; the first
+stands for all, on both sides, before the join: a text of one repeated word, of a
+repeated line or passage has as many hits as different surroundings. Hits are verified
+on blocks of 64 tokens with those margins, and no document array is repeated.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ WINDOW = 16
 AGREE = 0.8
 _MAP_BITS = 20
 BROADCAST_KEYS = 500_000
+BLOCK = 64
 
 
 def tokens(text: Column) -> Column:
@@ -68,9 +74,15 @@ def _contiguous(n: int):
     return n, lambda t, i: _whole(t, i, n)
 
 
+def _around(t: Column, i: Column) -> Column:
+    """Hash of all tokens that a stretch over position i can hold, and of how many stand before i."""
+    first = F.greatest(i - F.lit(WINDOW - 1), F.lit(0))
+    return F.xxhash64(i - first, F.slice(t, first + 1, i - first + F.lit(WINDOW)))
+
+
 def _seeds(positions: Column, t: Column, f) -> Column:
-    """(at, h) of the given positions."""
-    return F.transform(positions, lambda i: F.struct(i.alias("at"), f(t, i).alias("h")))
+    """(at, h, around) of the given positions."""
+    return F.transform(positions, lambda i: F.struct(i.alias("at"), f(t, i).alias("h"), _around(t, i).alias("around")))
 
 
 def needed(length: Column) -> Column:
@@ -85,10 +97,10 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     short = sorted(r[0] for r in it.where(F.col("n") < SPAN).select("n").distinct().collect())  # seven values at most
     spans = [_spaced(mask, k) for k, mask in enumerate(MASKS)]
     seeds = [_seeds(F.when(F.col("n") >= SPAN, _positions(F.col("n"), s)).otherwise(F.array().cast("array<int>")), F.col("it"), f) for s, f in spans]
-    seeds += [F.when(F.col("n") == n, F.array(F.struct(F.lit(0).alias("at"), _whole(F.col("it"), F.lit(0), n).alias("h")))) .otherwise(F.array().cast("array<struct<at:int,h:bigint>>")) for n in short]
-    pairs = F.transform(_positions(F.col("n"), 2), lambda i: F.struct(F.lit(-1).alias("at"), _pair(F.col("it"), i).alias("h")))
+    seeds += [F.when(F.col("n") == n, _seeds(F.array(F.lit(0)), F.col("it"), _contiguous(n)[1])).otherwise(F.array().cast("array<struct<at:int,h:bigint,around:bigint>>")) for n in short]
+    pairs = F.transform(_positions(F.col("n"), 2), lambda i: F.struct(F.lit(-1).alias("at"), _pair(F.col("it"), i).alias("h"), F.lit(0).cast("long").alias("around")))
     seeds.append(pairs)  # at -1: they only fill the bit map
-    seeded = it.select("item_id", "it", "n", F.explode(F.concat(*seeds)).alias("s")).select("item_id", F.col("s.at").alias("item_at"), F.col("s.h").alias("h")).distinct()
+    seeded = it.select("item_id", "it", "n", F.explode(F.concat(*seeds)).alias("s")).groupBy("item_id", F.col("s.h").alias("h"), F.col("s.around").alias("around")).agg(F.min("s.at").alias("item_at")).drop("around")
     # the bit map: 2^20 bits in 2^14 longs at most, however many items
     cell = F.shiftrightunsigned(F.col("h"), 64 - _MAP_BITS)
     rows = seeded.select(F.shiftright(cell, 6).cast("int").alias("w"), (cell % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).collect()
@@ -117,8 +129,9 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     doc = doc.withColumn("pairs", _held(F.filter(_positions(n, 2), lambda i: passes(_pair(F.col("dt"), i)))))
     hit = doc.withColumn("hits", _held(F.concat(*[found_by(s, f) for s, f in tests]))).where(F.size("hits") > 0).select("_key", "hits")
     seeded = seeded.where("item_at >= 0")
-    at = hit.select("_key", F.explode("hits").alias("x")).select("_key", F.col("x.at").alias("doc_at"), F.col("x.h").alias("h"))
-    diagonals = cut(at.join(seeded, "h").select("_key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("d")).distinct())
+    at = hit.select("_key", F.explode("hits").alias("x")).groupBy("_key", F.col("x.h").alias("h"), F.col("x.around").alias("around")).agg(F.min("x.at").alias("doc_at"))
+    block = F.floor(F.col("doc_at") / BLOCK).cast("int").alias("block")
+    diagonals = cut(at.join(seeded, "h").select("_key", "item_id", block, (F.col("doc_at") - F.col("item_at")).alias("d")).distinct())
     # only texts on a diagonal are tokenized again; their keys are broadcast while they are few
     keys = diagonals.select("_key").distinct()
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
@@ -128,15 +141,26 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     return verify(diagonals, kept, it)
 
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """``_key, block, from, dt``: each text's tokens in blocks, with the margins that a stretch over a block's tokens can reach; ``from``: the first one's position."""
+    first = lambda b: F.greatest(b * F.lit(BLOCK) - F.lit(WINDOW - 1), F.lit(0))
+    last = lambda b: (b + 1) * F.lit(BLOCK) + F.lit(WINDOW - 1)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("dt") - 1) / BLOCK).cast("int")), lambda b: F.struct(b.alias("block"), first(b).alias("from"), F.slice("dt", first(b) + 1, last(b) - first(b)).alias("dt")))
+    return docs.where(F.size("dt") > 0).select("_key", F.explode(cuts).alias("c")).select("_key", "c.*")
+
+
 def verify(diagonals: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Best stretch of each (text, item) over its diagonals, where it agrees enough."""
-    pair = diagonals.join(items, "item_id").join(docs, "_key")
-    width = F.least(F.col("n"), F.lit(WINDOW))
-    equal = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when((i + F.col("d") >= 0) & (F.get("dt", F.greatest(i + F.col("d"), F.lit(0))) == F.get("it", i)), 1).otherwise(0))
+    """Best stretch of each (text, item) over the blocks of its diagonals, where it agrees enough."""
+    pair = diagonals.join(blocks(docs), ["_key", "block"]).join(items, "item_id")
+    low = F.greatest(F.col("block") * BLOCK - (WINDOW - 1) - F.col("d"), F.lit(0))
+    high = F.least((F.col("block") + 1) * BLOCK + (WINDOW - 2) - F.col("d"), F.col("n") - 1)
+    at = lambda i: i + F.col("d") - F.col("from")
+    equal = F.transform(F.sequence(low, high), lambda i: F.when((at(i) >= 0) & (F.get("dt", F.greatest(at(i), F.lit(0))) == F.get("it", i)), 1).otherwise(0))
     # running sums: a stretch's count is a difference of two
     sums = F.aggregate("eq", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("w")), lambda i: F.get("sums", i + F.col("w")) - F.get("sums", i)))
-    scored = pair.withColumn("eq", _held(equal)).withColumn("w", width).withColumn("sums", _held(sums)).select("_key", "item_id", "n", "w", _held(best).alias("best"))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("eq") - F.col("w")), lambda i: F.get("sums", i + F.col("w")) - F.get("sums", i)))
+    scored = pair.withColumn("eq", _held(equal)).withColumn("w", F.least(F.col("n"), F.lit(WINDOW))).select("_key", "item_id", "n", "w", "eq").where(F.size("eq") >= F.col("w"))
+    scored = scored.withColumn("sums", _held(sums)).select("_key", "item_id", "n", "w", _held(best).alias("best"))
     kept = scored.where(F.col("best") >= needed(F.col("n")))
     return kept.groupBy("_key", "item_id").agg(F.max("best").alias("agreeing"), F.max("w").alias("stretch"))
 

@@ -63,6 +63,28 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contamination(df.limit(0), it).count() == 0
 
 
+def test_decontamination_of_repeated_words_and_lines(spark):
+    """One word or phrase over and over on both sides, and stretches over the seams of blocks."""
+    rng = np.random.default_rng(11)
+    v = [f"r{i}" for i in range(300)]
+    line = list(rng.choice(v, 12))
+    items = [(0, "a " * 40), (1, "a b " * 20), (2, "a b c d e " * 6), (3, " ".join(line * 3)), (4, "a " * 5), (5, "a b " * 4), (6, " ".join(rng.choice(v, 90)))]
+    passage = items[6][1].split()
+    docs = ["a " * 3_000, "a b " * 1_000, "b a " * 9, "a b c d e " * 500, " ".join(line * 200), " ".join(line), "a " * 15, "a " * 13 + "z z z", "a " * 4, "z " * 50 + "a " * 16 + "z " * 50, "a b a c " * 100]
+    for before in (0, 1, 47, 48, 49, 50, 63, 64, 65, 113, 128):
+        docs.append(" ".join([*rng.choice(v, before), *passage[20:33], "z", "z", "z", *rng.choice(v, 30)]))
+        docs.append(" ".join([*rng.choice(v, before), *passage[20:32], "z", "z", "z", "z", *rng.choice(v, 30)]))
+        docs.append(" ".join([*rng.choice(v, before), *passage[74:]]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(df, it).collect()}
+    assert got == {i: brute_items(t, items) for i, t in enumerate(docs)}
+    assert got[0] and got[1] and got[3] and got[4] and any(6 in x for x in got.values())
+    long = spark.createDataFrame([(1, "a " * 20_000)], "doc_id long, text string")
+    same = spark.createDataFrame([(1, "a " * 20_000)], "item_id long, text string")
+    assert decontaminate.contamination(long, same).first()["agreeing"] == 16
+
+
 # ------------------------------------------------------------------ chat
 
 
