@@ -3,7 +3,8 @@
 Each round is two aggregations and two joins over the edges, with partial
 aggregation before each shuffle, so no task ever holds a node's neighbour list. A node
 with over a ``HOT_SHARE``th of all edges is joined in parts; there are at most
-``2 * HOT_SHARE`` such nodes, whatever the number of edges.
+``2 * HOT_SHARE`` such nodes, whatever the number of edges. Up to ``FEW`` edges are not
+dealt by node at all: the nodes go to them.
 Rounds end when the edges form stars around the smallest node of each component;
 their number grows with the logarithm of the longest path.
 """
@@ -17,14 +18,14 @@ from .common import cut
 
 
 HOT_SHARE, PARTS = 1000, 64
-#: Edges up to which a node can have no more of them than one task joins at ease.
+#: Edges up to which what is said of their nodes, at most twice as many rows of 24 bytes, is broadcast.
 FEW = 200_000
 
 
 def _join_nodes(edges: DataFrame, nodes: DataFrame, key: str, other: str, total: int) -> DataFrame:
     """``edges`` with what ``nodes`` (``key``, ``m``, ``n``: its edges) say of ``key``; hot nodes' edges are spread over parts by ``other``."""
     if total <= FEW:
-        return edges.join(nodes.drop("n"), key)
+        return edges.join(F.broadcast(nodes.drop("n")), key)
     is_hot = F.col("n") > max(total // HOT_SHARE, 10 * PARTS)
     hot = F.broadcast(nodes.where(is_hot).select(F.col(key).alias("_k"), F.lit(True).alias("_hot")))  # at most 2 * HOT_SHARE rows
     spread = edges.join(hot, edges[key] == hot["_k"], "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))

@@ -271,7 +271,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("_id").alias(id_col), hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_roots(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
+def near_duplicate_roots(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 3072) -> DataFrame:
     """``_row`` (hash of id and text) and ``root`` of every document that has words.
 
     Documents link when their sets of shingles of ``words`` words have a Jaccard
