@@ -7,16 +7,22 @@ the boundaries next to it. Chunks are told apart by a 64-bit digest of their byt
 Digests are counted with partial aggregation; a digest found in two documents marks its
 chunks, and neighbouring marked chunks join into islands.
 
-A passage seldom starts or ends at a boundary, so islands are seeds: at both ends the
-bytes around are compared with those of another document that holds the chunk there (the
-one of the smallest id), which also confirms the chunk itself, and the passage is extended
-as far as both agree, in whole words, by up to ``CONTEXT`` bytes a side. Only these
-stretches travel, never whole texts. The words of the extended passage are counted.
+Two neighbours belong to one island only if another document holds both in a row, so
+quotations from different documents stay apart where they meet.
+
+A passage seldom starts or ends at a boundary, so islands, however short, are seeds: at
+both ends the bytes around are compared with those of another document that holds the
+chunk there (the one of the smallest id), which also confirms the chunk itself, and the
+passage is extended as far as both agree, in whole words. Rounds compare ``CONTEXT`` bytes
+a side, then ``WIDER`` times as many for the ends that still agreed there, until none is
+left; so only these stretches travel, and no extension has a limit. The words of the
+extended passage are counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,10 +36,8 @@ MIN_CHUNK, MAX_CHUNK = 16, 128
 CUT_ONE_IN = 32
 #: Passages of over 50 words are meant: five words of slack where an end meets no further agreement.
 MIN_WORDS = 45
-#: Words that an island of marked chunks must hold to be extended: passages of MIN_WORDS seldom keep fewer.
-SEED_WORDS = 8
-#: Bytes compared beyond an island, on either side.
-CONTEXT = 512
+#: Bytes compared beyond an island, on either side, in the first round, and how many times as many in each further one.
+CONTEXT, WIDER = 64, 8
 _LAST = (1 << 63) - 1  # stands for a null id: last in order
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -126,19 +130,35 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("_row"), F.coalesce(F.col(id_col), F.lit(_LAST)).alias("_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes asked for: up to ``CONTEXT`` beyond a chunk, and the chunk. ``side`` 0: before its end, 1: after its start."""
-    for b in batches:
-        rows, texts, asks = (b.column(b.schema.names.index(x)) for x in ("_row", "text", "asked"))
-        out: list[list] = [[], [], [], [], []]
-        for row, text, asked in zip(rows.to_pylist(), texts.to_pylist(), asks.to_pylist(), strict=True):
-            for a in asked:
-                s, e, side = a["s"], a["e"], a["side"]
-                piece = text[max(0, s - CONTEXT) : e] if side == 0 else text[s : e + CONTEXT]
-                for x, y in zip(out, (row, s, e, side, piece), strict=True):
-                    x.append(y)
+_PIECE = "_row long, s int, e int, side int, piece binary"
+
+
+def _contexts(context: int):
+    """The bytes asked for: up to ``context`` beyond a chunk, and the chunk. ``side`` 0: before its end, 1: after its start."""
+
+    def batch(out: list[list]) -> pa.RecordBatch:
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["_row", "s", "e", "side", "piece"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["_row", "s", "e", "side", "piece"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, texts, asks = (b.column(b.schema.names.index(x)) for x in ("_row", "text", "asked"))
+            out: list[list] = [[], [], [], [], []]
+            held = 0
+            for i in range(b.num_rows):
+                row, text = rows[i].as_py(), texts[i].as_py()
+                for a in asks[i].as_py():
+                    s, e, side = a["s"], a["e"], a["side"]
+                    piece = text[max(0, s - context) : e] if side == 0 else text[s : e + context]
+                    for x, y in zip(out, (row, s, e, side, piece), strict=True):
+                        x.append(y)
+                    held += len(piece)
+                    if held > 16 << 20:
+                        yield batch(out)
+                        out, held = [[], [], [], [], []], 0
+            yield batch(out)
+
+    return run
 
 
 def agreement(own: bytes, other: bytes, size: int, side: int) -> tuple[int, int]:
@@ -168,6 +188,30 @@ def agreement(own: bytes, other: bytes, size: int, side: int) -> tuple[int, int]
     return k - size, int((~inside & before).sum())
 
 
+def _extended(keyed: DataFrame, ends: DataFrame) -> DataFrame:
+    """What agrees beyond each end (``g``: bytes, words), compared in rounds of wider contexts; each row of ``ends`` once."""
+    context, done = CONTEXT, []
+    while True:
+        asked = ends.select("_row", "s", "e", "side").union(ends.select("m_row", "m_s", "m_e", "side")).distinct().groupBy("_row").agg(F.collect_list(F.struct("s", "e", "side")).alias("asked"))
+        told = cut(keyed.select("_row", "text").join(asked, "_row").mapInArrow(_contexts(context), _PIECE).dropDuplicates(["_row", "s", "e", "side"]))
+
+        @F.pandas_udf("bytes int, words int")
+        def grown(own: pd.Series, other: pd.Series, size: pd.Series, side: pd.Series) -> pd.DataFrame:
+            got = [agreement(*x) for x in zip(own, other, size, side, strict=True)]
+            return pd.DataFrame({"bytes": [g[0] for g in got], "words": [g[1] for g in got]})
+
+        mates = told.select(F.col("_row").alias("m_row"), F.col("s").alias("m_s"), F.col("e").alias("m_e"), "side", F.col("piece").alias("m_piece"))
+        both = ends.join(told, ["_row", "s", "e", "side"]).join(mates, ["m_row", "m_s", "m_e", "side"])
+        # equal pieces that are as long as a round's can be may go on
+        on = (F.octet_length("piece") == F.col("e") - F.col("s") + F.lit(context)) & (F.col("piece") == F.col("m_piece"))
+        both = cut(both.select(*ends.columns, grown("piece", "m_piece", F.col("e") - F.col("s"), "side").alias("g"), on.alias("on")))
+        done.append(both.where("not on").select("_row", "island", "side", (F.col("m_id") < F.col("_id")).alias("later"), "g"))
+        ends = both.where("on").drop("g", "on")
+        if ends.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        context *= WIDER
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Passages of at least ``min_words`` words that also occur in another document.
 
@@ -183,28 +227,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mate = F.when(F.col("a._row") == F.col("_row"), F.col("b")).otherwise(F.col("a"))
     marked = cut(chunks.join(shared, "h").select("h", "_row", "_id", "s", "e", "w", F.col("a._id").alias("first_id"), mate.alias("mate"), F.col("_row").isin(F.col("a._row"), F.col("b._row")).alias("asked_of")).distinct())
     order = Window.partitionBy("_row").orderBy("s")
-    runs = marked.withColumn("new", (F.col("s") != F.coalesce(F.lag("e").over(order), F.lit(-1))).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # neighbours that another document holds in a row, too, have a joint
+    pair = F.when(F.lag("e").over(order) == F.col("s"), F.xxhash64(F.lag("h").over(order), "h"))
+    paired = cut(marked.select("_row", "_id", "h", "s", "e", "w", "first_id", "mate", pair.alias("pair")))
+    joints = paired.where("pair is not null").groupBy("pair").agg(F.min("_row").alias("lo"), F.max("_row").alias("hi")).where("lo <> hi").select("pair", F.lit(True).alias("joint"))
+    runs = paired.join(joints, "pair", "left").withColumn("new", F.col("joint").isNull().cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     edge = F.struct("s", "e", "h", "mate")
     islands = cut(
         runs.groupBy("_row", "_id", "island")
         .agg(F.min(edge).alias("left"), F.max(edge).alias("right"), F.sum("w").cast("int").alias("w"), F.min("first_id").alias("first_id"), F.sort_array(F.collect_list(F.struct("s", "e", (F.col("first_id") < F.col("_id")).alias("later")))).alias("pieces"))
-        .where(F.col("w") >= min(SEED_WORDS, min_words))
     )
     # both ends with the same chunk of another document
     ends = islands.select("_row", "_id", "island", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("x")), F.struct(F.lit(1).alias("side"), F.col("right").alias("x")))).alias("y")).select("_row", "_id", "island", "y.side", "y.x.s", "y.x.e", "y.x.h", F.col("y.x.mate._row").alias("m_row"), F.col("y.x.mate._id").alias("m_id"))
     places = marked.where("asked_of").groupBy("h", F.col("_row").alias("m_row")).agg(F.min("s").alias("m_s"))
     ends = cut(ends.join(places, ["h", "m_row"]).withColumn("m_e", F.col("m_s") + F.col("e") - F.col("s")))
-    asked = ends.select("_row", "s", "e", "side").union(ends.select("m_row", "m_s", "m_e", "side")).distinct().groupBy("_row").agg(F.collect_list(F.struct("s", "e", "side")).alias("asked"))
-    told = cut(keyed.select("_row", "text").join(asked, "_row").mapInArrow(_contexts, "_row long, s int, e int, side int, piece binary").dropDuplicates(["_row", "s", "e", "side"]))
-
-    @F.pandas_udf("bytes int, words int")
-    def grown(own: pd.Series, other: pd.Series, size: pd.Series, side: pd.Series) -> pd.DataFrame:
-        got = [agreement(*x) for x in zip(own, other, size, side, strict=True)]
-        return pd.DataFrame({"bytes": [g[0] for g in got], "words": [g[1] for g in got]})
-
-    mates = told.select(F.col("_row").alias("m_row"), F.col("s").alias("m_s"), F.col("e").alias("m_e"), "side", F.col("piece").alias("m_piece"))
-    both = ends.join(told, ["_row", "s", "e", "side"]).join(mates, ["m_row", "m_s", "m_e", "side"])
-    both = both.select("_row", "_id", "island", "side", (F.col("m_id") < F.col("_id")).alias("later"), grown("piece", "m_piece", F.col("e") - F.col("s"), "side").alias("g"))
+    both = _extended(keyed, ends)
     on = lambda side, what: F.max(F.when(F.col("side") == side, what))
     per = both.where("g.bytes >= 0").groupBy("_row", "island").agg(*[on(side, what).alias(f"{name}{side}") for side in (0, 1) for name, what in (("n", F.col("g.bytes")), ("w", F.col("g.words")), ("later", F.col("later")))])
     none = F.lit(0)

@@ -542,3 +542,28 @@ def test_embedding_recall_on_the_tables(spark, sf):
     want = np.concatenate([(x[asked[i : i + 500]] @ x.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(asked), 500)])
     have = np.array([got[int(i)] for i in ids[asked]])
     assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
+
+
+def test_passages_grow_without_limit_and_part_where_documents_do(spark):
+    rng, letters = np.random.default_rng(31), list("abcdefghijklmnop")
+    gear, least = chunk_dedup.gear_table(), (1 << 16) // chunk_dedup.CUT_ONE_IN
+
+    def free(words):  # words that no chunk ends in
+        out = b" "
+        while words:
+            more = out + "".join(rng.choice(letters, 5)).encode() + b" "
+            if (chunk_dedup.gear_hashes(np.frombuffer(more, np.uint8), gear)[len(out) :] >= least).all():
+                out, words = more, words - 1
+        return out.decode()
+
+    text = lambda n: " ".join("".join(rng.choice(letters, 6)) for _ in range(n))
+    # forced ends fall elsewhere in each document, so only the last words hold equal chunks
+    long = free(900) + text(40)
+    one, two = text(25), text(25)
+    rows = [(1, text(30) + long + " " + text(30)), (2, text(37) + "qq" + long + " " + text(30))]
+    # 25 words of one document and 25 of another meet: no document holds the 50
+    rows += [(3, f"{text(20)} {one} {text(20)}"), (4, f"{text(20)} {two} {text(20)}"), (5, f"{text(20)} {one} {two} {text(20)}")]
+    got = {r["doc_id"]: r for r in chunk_dedup.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (1, 2):
+        assert got[i]["n_passages"] == 1 and 935 <= got[i]["repeated_words"] <= 941
+    assert not any(got[i]["repeats"] for i in (3, 4, 5))
