@@ -8,15 +8,18 @@ Digests are counted with partial aggregation; a digest found in two documents ma
 chunks, and neighbouring marked chunks join into islands.
 
 Two neighbours belong to one island only if another document holds both in a row, so
-quotations from different documents stay apart where they meet.
+quotations from different documents stay apart where they meet. To the right, agreement
+beyond the next boundary would have made that chunk part of the island; to the left,
+boundaries can be out of step. So an island goes whose words, those of the next chunk and
+those of ``BEFORE`` bytes before it are too few, unless so many bytes agree there.
 
-A passage seldom starts or ends at a boundary, so islands, however short, are seeds: at
+A passage seldom starts or ends at a boundary, so islands are seeds: at
 both ends the bytes around are compared with those of another document that holds the
 chunk there (the one of the smallest id), which also confirms the chunk itself, and the
 passage is extended as far as both agree, in whole words. Rounds compare ``CONTEXT`` bytes
 a side, then ``WIDER`` times as many for the ends that still agreed there, until none is
-left; so only these stretches travel, and no extension has a limit. The words of the
-extended passage are counted.
+left, so no extension has a limit. The
+words of the extended passage are counted.
 """
 
 from __future__ import annotations
@@ -37,7 +40,13 @@ CUT_ONE_IN = 32
 #: Passages of over 50 words are meant: five words of slack where an end meets no further agreement.
 MIN_WORDS = 45
 #: Bytes compared beyond an island, on either side, in the first round, and how many times as many in each further one.
-CONTEXT, WIDER = 64, 8
+CONTEXT, WIDER = MAX_CHUNK, 8
+#: Bytes before a chunk whose hash travels with it; agreement over fewer adds at most half as many words, rounded up.
+BEFORE = 16
+#: A fixed-size bit map of the digests that repeat lets few of the others travel; at some 10^7 of them it lets most through, and the join alone decides.
+MAP_BITS = 24
+#: Ends up to which what a round asks for is broadcast, instead of dealing the texts.
+FEW_ENDS = 100_000
 _LAST = (1 << 63) - 1  # stands for a null id: last in order
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -78,7 +87,16 @@ def boundaries(data: np.ndarray, gear: np.ndarray) -> list[int]:
     return ends
 
 
-def _chunker(positions: bool):
+def _bit_map(digests: DataFrame) -> np.ndarray:
+    """Which values of the first ``MAP_BITS`` bits the column ``h`` has: 2 MB, whatever the number of rows."""
+    cell = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    words = digests.select(F.shiftright(cell, 6).cast("int").alias("w"), (cell % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return out.view(np.uint64)
+
+
+def _chunker(positions: bool, bit_map=None):
     gear = gear_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +106,18 @@ def _chunker(positions: bool):
         for b in batches:
             names = b.schema.names
             rows, ids, texts = (b.column(names.index(x)) for x in ("_row", "_id", "text"))
-            size, at, h, s, e, w = [], [], [], [], [], []
+            size, at, h, s, e, w, x, p = [], [], [], [], [], [], [], []
 
             def flush():
                 take = np.repeat(np.asarray(at, np.int64), size)
                 cols = [pa.array(np.array(h, dtype=np.uint64).view(np.int64)), rows.take(pa.array(take)), ids.take(pa.array(take))]
-                cols += [pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(e, np.int32)), pa.array(np.asarray(w, np.int32))] if positions else []
-                out = pa.RecordBatch.from_arrays(cols, names=["h", "_row", "_id", "s", "e", "w"] if positions else ["h", "_row", "_id"])
-                for x in (size, at, h, s, e, w):
-                    x.clear()
+                cols += [pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(e, np.int32)), pa.array(np.asarray(w, np.int32)), pa.array(np.asarray(x, np.int32)), pa.array(np.array(p, dtype=np.uint64).view(np.int64))] if positions else []
+                out = pa.RecordBatch.from_arrays(cols, names=["h", "_row", "_id", "s", "e", "w", "x", "p"] if positions else ["h", "_row", "_id"])
+                if bit_map is not None:
+                    cell = np.array(h, np.uint64) >> np.uint64(64 - MAP_BITS)
+                    out = out.filter(pa.array((bit_map.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)))
+                for part in (size, at, h, s, e, w, x, p):
+                    part.clear()
                 return out
 
             for i in range(b.num_rows):
@@ -107,7 +128,7 @@ def _chunker(positions: bool):
                 ends = boundaries(data, gear)
                 raw, start = t.to_pybytes(), 0
                 starts = [0, *ends[:-1]]
-                h += [digest(raw[x:y]) for x, y in zip(starts, ends, strict=True)]
+                h += [digest(raw[i:j]) for i, j in zip(starts, ends, strict=True)]
                 if positions:
                     # a word belongs to the chunk that holds its first byte
                     space = _SPACE[data]
@@ -115,7 +136,10 @@ def _chunker(positions: bool):
                     upto = np.concatenate(([0], np.cumsum(first)))
                     s += starts
                     e += ends
-                    w += (upto[ends] - upto[starts]).tolist()
+                    words = (upto[ends] - upto[starts]).tolist()
+                    w += words
+                    x += [*words[1:], 0]
+                    p += [digest(raw[max(0, i - BEFORE) : i]) for i in starts]
                 size.append(len(ends))
                 at.append(i)
                 if len(h) > 500_000:
@@ -192,7 +216,11 @@ def _extended(keyed: DataFrame, ends: DataFrame) -> DataFrame:
     """What agrees beyond each end (``g``: bytes, words), compared in rounds of wider contexts; each row of ``ends`` once."""
     context, done = CONTEXT, []
     while True:
+        few = ends.limit(FEW_ENDS + 1).count()
+        if done and not few:
+            return reduce(DataFrame.unionAll, done)
         asked = ends.select("_row", "s", "e", "side").union(ends.select("m_row", "m_s", "m_e", "side")).distinct().groupBy("_row").agg(F.collect_list(F.struct("s", "e", "side")).alias("asked"))
+        asked = F.broadcast(asked) if few <= FEW_ENDS else asked
         told = cut(keyed.select("_row", "text").join(asked, "_row").mapInArrow(_contexts(context), _PIECE).dropDuplicates(["_row", "s", "e", "side"]))
 
         @F.pandas_udf("bytes int, words int")
@@ -207,8 +235,6 @@ def _extended(keyed: DataFrame, ends: DataFrame) -> DataFrame:
         both = cut(both.select(*ends.columns, grown("piece", "m_piece", F.col("e") - F.col("s"), "side").alias("g"), on.alias("on")))
         done.append(both.where("not on").select("_row", "island", "side", (F.col("m_id") < F.col("_id")).alias("later"), "g"))
         ends = both.where("on").drop("g", "on")
-        if ends.isEmpty():
-            return reduce(DataFrame.unionAll, done)
         context *= WIDER
 
 
@@ -222,21 +248,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = _keyed(docs, id_col, text_col)
     seen = keyed.mapInArrow(_chunker(False), "h long, _row long, _id long")
     holder = F.struct("_id", "_row")
-    shared = seen.groupBy("h").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a._row <> b._row")
-    chunks = keyed.mapInArrow(_chunker(True), "h long, _row long, _id long, s int, e int, w int")
+    shared = cut(seen.groupBy("h").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a._row <> b._row"))
+    bit_map = docs.sparkSession.sparkContext.broadcast(_bit_map(shared))
+    chunks = keyed.mapInArrow(_chunker(True, bit_map), "h long, _row long, _id long, s int, e int, w int, x int, p long")
     mate = F.when(F.col("a._row") == F.col("_row"), F.col("b")).otherwise(F.col("a"))
-    marked = cut(chunks.join(shared, "h").select("h", "_row", "_id", "s", "e", "w", F.col("a._id").alias("first_id"), mate.alias("mate"), F.col("_row").isin(F.col("a._row"), F.col("b._row")).alias("asked_of")).distinct())
+    marked = cut(chunks.join(shared, "h").select("h", "_row", "_id", "s", "e", "w", "x", F.xxhash64("h", "p").alias("p"), F.col("a._id").alias("first_id"), mate.alias("mate"), F.col("_row").isin(F.col("a._row"), F.col("b._row")).alias("asked_of")).distinct())
     order = Window.partitionBy("_row").orderBy("s")
     # neighbours that another document holds in a row, too, have a joint
     pair = F.when(F.lag("e").over(order) == F.col("s"), F.xxhash64(F.lag("h").over(order), "h"))
-    paired = cut(marked.select("_row", "_id", "h", "s", "e", "w", "first_id", "mate", pair.alias("pair")))
-    joints = paired.where("pair is not null").groupBy("pair").agg(F.min("_row").alias("lo"), F.max("_row").alias("hi")).where("lo <> hi").select("pair", F.lit(True).alias("joint"))
-    runs = paired.join(joints, "pair", "left").withColumn("new", F.col("joint").isNull().cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    beside = marked.select("_row", "s", pair.alias("pair")).where("pair is not null")
+    joints = beside.groupBy("pair").agg(F.min("_row").alias("lo"), F.max("_row").alias("hi")).where("lo <> hi").select("pair")
+    # narrow rows alone are dealt by pair; a mark before a chunk says that it belongs to the one before it
+    marks = beside.join(joints, "pair", "left_semi").select("_row", "s", F.lit(0).alias("kind"))
+    lined = marked.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy("_row").orderBy("s", "kind")
+    joined = F.coalesce((F.lag("kind").over(order) == 0) & (F.lag("s").over(order) == F.col("s")), F.lit(False))
+    runs = lined.withColumn("new", ((F.col("kind") == 1) & ~joined).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind = 1")
     edge = F.struct("s", "e", "h", "mate")
     islands = cut(
         runs.groupBy("_row", "_id", "island")
-        .agg(F.min(edge).alias("left"), F.max(edge).alias("right"), F.sum("w").cast("int").alias("w"), F.min("first_id").alias("first_id"), F.sort_array(F.collect_list(F.struct("s", "e", (F.col("first_id") < F.col("_id")).alias("later")))).alias("pieces"))
+        .agg(F.min(edge).alias("left"), F.max(edge).alias("right"), F.sum("w").cast("int").alias("w"), F.min(F.struct("s", "p")).alias("p"), (F.sum("w") + F.max_by("x", "s") + (BEFORE + 1) // 2).alias("most"), F.min("first_id").alias("first_id"), F.sort_array(F.collect_list(F.struct("s", "e", (F.col("first_id") < F.col("_id")).alias("later")))).alias("pieces"))
     )
+    # what agrees to the right ends within the next chunk; fewer words than asked for, unless a document that holds the first chunk agrees before it
+    before = marked.groupBy("p").agg(F.min("_row").alias("lo"), F.max("_row").alias("hi")).where("lo <> hi").select("p")
+    islands = cut(islands.where(F.col("most") >= min_words).drop("p", "most").unionByName(islands.where(F.col("most") < min_words).withColumn("p", F.col("p.p")).join(before, "p", "left_semi").drop("p", "most")))
     # both ends with the same chunk of another document
     ends = islands.select("_row", "_id", "island", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("x")), F.struct(F.lit(1).alias("side"), F.col("right").alias("x")))).alias("y")).select("_row", "_id", "island", "y.side", "y.x.s", "y.x.e", "y.x.h", F.col("y.x.mate._row").alias("m_row"), F.col("y.x.mate._id").alias("m_id"))
     places = marked.where("asked_of").groupBy("h", F.col("_row").alias("m_row")).agg(F.min("s").alias("m_s"))
