@@ -18,8 +18,13 @@ from .views import done
 PERF = f"SELECT product_id, count(*) AS times_ordered, sum(quantity)::BIGINT AS total_quantity_sold, count(DISTINCT order_id) AS unique_orders, {M.format('total_price', 'total_revenue')}, {M.format('profit_amount', 'total_profit')}, {A.format('unit_price', 'avg_selling_price')}, {A.format('discount_percent', 'avg_discount_given')}, {M.format('discount_amount', 'total_discount_amount')}, round(avg(profit_margin), 8) AS avg_profit_margin, min(unit_price) AS min_selling_price, max(unit_price) AS max_selling_price FROM e_items GROUP BY 1"
 
 
+def by_product(lines: DataFrame):
+    """Lines grouped by product, which meet as they are, in few bytes: aggregates by product and each of what is counted once are wider, and no fewer, than the lines."""
+    return lines.repartition("product_id").groupBy("product_id")
+
+
 def performance(items: DataFrame) -> DataFrame:
-    return items.groupBy("product_id").agg(
+    return by_product(items).agg(
         n().alias("times_ordered"), F.sum("quantity").alias("total_quantity_sold"), F.countDistinct("order_id").alias("unique_orders"), money("total_price", "total_revenue"), money("profit_amount", "total_profit"), mean("unit_price").alias("avg_selling_price"), mean("discount_percent").alias("avg_discount_given"),
         money("discount_amount", "total_discount_amount"), F.round(F.avg("profit_margin"), 8).alias("avg_profit_margin"), F.min("unit_price").alias("min_selling_price"), F.max("unit_price").alias("max_selling_price"),
     )
@@ -46,9 +51,17 @@ SUMMARY = f"SELECT product_id, count(*) AS times_ordered, sum(quantity)::BIGINT
 
 @query("product_performance_summary", f"WITH p AS ({SUMMARY}) SELECT p.*, dense_rank() OVER (ORDER BY total_revenue DESC) AS revenue_rank, dense_rank() OVER (ORDER BY total_quantity_sold DESC) AS quantity_rank, name, category, brand FROM p LEFT JOIN v_products USING (product_id)")
 def _(v):
-    p = v("e_items").join(v("v_orders").select("order_id", "order_date", "customer_id"), "order_id").groupBy("product_id").agg(
-        n().alias("times_ordered"), F.sum("quantity").alias("total_quantity_sold"), F.countDistinct("order_id").alias("unique_orders"), F.countDistinct("customer_id").alias("unique_customers"), money("total_price", "total_revenue"), mean("unit_price").alias("avg_selling_price"), money("profit_amount", "total_profit"),
-        F.round(F.avg("profit_margin"), 8).alias("avg_profit_margin"), money("discount_amount", "total_discounts_given"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"),
+    # an order that occurs for several customers counts once, with the first of them
+    o = v("v_orders").select("order_id", "order_date", "customer_id").withColumn("first", F.row_number().over(Window.partitionBy("order_id").orderBy("customer_id")) == 1)
+    of = ("quantity", "total_price", "unit_price", "profit_amount", "profit_margin", "discount_amount")
+    lines = v("e_items").join(o, "order_id").select("product_id", "customer_id", "order_id", "order_date", "first", *of).repartition("product_id")
+    # lines of one order, then those of one customer, then all of a product, without moving again
+    k = lines.groupBy("product_id", "customer_id", "order_id").agg(F.max("first").cast("int").alias("orders"), n().alias("k"), *[F.sum(c).alias(c) for c in of], *[F.count(c).alias(f"n_{c}") for c in ("unit_price", "profit_margin")], F.min("order_date").alias("since"), F.max("order_date").alias("until"))
+    sums = ("orders", "k", *of, "n_unit_price", "n_profit_margin")
+    c = k.groupBy("product_id", "customer_id").agg(*[F.sum(x).alias(x) for x in sums], F.min("since").alias("since"), F.max("until").alias("until"))
+    p = c.groupBy("product_id").agg(
+        F.sum("k").alias("times_ordered"), F.sum("quantity").alias("total_quantity_sold"), F.sum("orders").alias("unique_orders"), F.count("customer_id").alias("unique_customers"), money("total_price", "total_revenue"), ratio(F.sum("unit_price"), F.sum("n_unit_price")).alias("avg_selling_price"), money("profit_amount", "total_profit"),
+        F.round(F.try_divide(F.sum("profit_margin"), F.sum("n_profit_margin")), 8).alias("avg_profit_margin"), money("discount_amount", "total_discounts_given"), F.min("since").alias("first_order_date"), F.max("until").alias("last_order_date"),
     )
     r = windows.global_orders(p, "product_id", {"revenue_rank": ("total_revenue", "dense_rank"), "quantity_rank": ("total_quantity_sold", "dense_rank")})
     return r.join(v("v_products").select("product_id", "name", "category", "brand"), "product_id", "left")
@@ -57,7 +70,7 @@ def _(v):
 @query("product_summary", f"""WITH p AS (SELECT product_id, count(*) AS total_orders, sum(quantity)::BIGINT AS total_quantity_sold, {M.format('total_price', 'total_revenue')}, count(DISTINCT customer_id) AS unique_customers, min(order_date) AS first_sale_date, max(order_date) AS last_sale_date FROM e_items JOIN (SELECT order_id, order_date, customer_id FROM v_orders) o USING (order_id) GROUP BY 1)
 SELECT *, {R.format('total_quantity_sold', 'total_orders')} AS avg_quantity_per_order, {R.format('total_revenue', 'total_quantity_sold')} AS revenue_per_unit, {AGE.format('first_sale_date')}::INT AS days_since_first_sale, {AGE.format('last_sale_date')}::INT AS days_since_last_sale, {cut_sql('total_revenue', *K.REVENUE)} AS performance_tier FROM p""")
 def _(v):
-    p = v("e_items").join(v("v_orders").select("order_id", "order_date", "customer_id"), "order_id").groupBy("product_id").agg(n().alias("total_orders"), F.sum("quantity").alias("total_quantity_sold"), money("total_price", "total_revenue"), F.countDistinct("customer_id").alias("unique_customers"), F.min("order_date").alias("first_sale_date"), F.max("order_date").alias("last_sale_date"))
+    p = by_product(v("e_items").join(v("v_orders").select("order_id", "order_date", "customer_id"), "order_id")).agg(n().alias("total_orders"), F.sum("quantity").alias("total_quantity_sold"), money("total_price", "total_revenue"), F.countDistinct("customer_id").alias("unique_customers"), F.min("order_date").alias("first_sale_date"), F.max("order_date").alias("last_sale_date"))
     return p.select("*", ratio("total_quantity_sold", "total_orders").alias("avg_quantity_per_order"), ratio("total_revenue", "total_quantity_sold").alias("revenue_per_unit"), F.date_diff(now(), "first_sale_date").alias("days_since_first_sale"), F.date_diff(now(), "last_sale_date").alias("days_since_last_sale"), C.bucketize_right_closed(F.col("total_revenue"), *K.REVENUE).alias("performance_tier"))
 
 
@@ -68,7 +81,7 @@ DIM = f"""SELECT product_id, name AS product_name, category, brand, coalesce(q,
 def dim_products(v) -> DataFrame:
     """Products with what they sold; those without sales at 0."""
     net = F.col("subtotal") - F.col("discount_amount")
-    m = v("e_items").groupBy("product_id").agg(F.sum("quantity").alias("q"), F.sum(net).alias("r"), n().alias("t"), mean("quantity").alias("avg_quantity_per_order"), mean("unit_price").alias("avg_selling_price"), F.countDistinct("order_id").alias("unique_orders"))
+    m = by_product(v("e_items")).agg(F.sum("quantity").alias("q"), F.sum(net).alias("r"), n().alias("t"), mean("quantity").alias("avg_quantity_per_order"), mean("unit_price").alias("avg_selling_price"), F.countDistinct("order_id").alias("unique_orders"))
     return v("v_products").join(m, "product_id", "left").select("product_id", F.col("name").alias("product_name"), "category", "brand", F.coalesce("q", F.lit(0)).cast("long").alias("total_quantity_sold"), F.coalesce("r", F.lit(0)).cast("decimal(28,2)").alias("total_revenue"), F.coalesce("t", F.lit(0)).cast("long").alias("times_ordered"), "avg_quantity_per_order", "avg_selling_price", "unique_orders")
 
 
@@ -176,10 +189,16 @@ PRODUCT = f"""SELECT product_id, name AS product_name, category, brand, price, c
 
 def product_mart(v) -> DataFrame:
     i = v("e_items").join(v("v_orders").select("order_id", "order_date"), "order_id")
+    new = [F.when(recent(d), F.col(c)).otherwise(0).alias(f"{c}_{d}") for d in (7, 30) for c in ("quantity", "total_price")]
+    lines = i.select("product_id", "order_id", "quantity", "total_price", "profit_amount", "unit_price", "discount_percent", "order_date").repartition("product_id")
+    # an order's lines of a product first: it counts once, and as recent if one of them is
+    of = ("quantity", "total_price", "profit_amount", "unit_price", "discount_percent")
+    one = lines.select("*", *new).groupBy("product_id", "order_id").agg(*[F.sum(c).alias(c) for c in (*of, *[f"{c}_{d}" for d in (7, 30) for c in of[:2]])], *[F.count(c).alias(f"n_{c}") for c in of[3:]], *[F.max(recent(d)).alias(f"recent_{d}") for d in (7, 30)])
     parts = []
     for d in (7, 30):
-        parts += [F.countDistinct(F.when(recent(d), F.col("order_id"))).alias(f"orders_last_{d}d"), F.sum(F.when(recent(d), F.col("quantity")).otherwise(0)).alias(f"units_sold_last_{d}d"), money(F.when(recent(d), F.col("total_price")).otherwise(0), f"revenue_last_{d}d")]
-    m = i.groupBy("product_id").agg(F.countDistinct("order_id").alias("total_orders"), F.sum("quantity").alias("total_units_sold"), money("total_price", "total_revenue"), money("profit_amount", "total_profit"), mean("unit_price").alias("avg_selling_price"), mean("discount_percent").alias("avg_discount_percent"), *parts)
+        parts += [F.count_if(f"recent_{d}").alias(f"orders_last_{d}d"), F.sum(f"quantity_{d}").alias(f"units_sold_last_{d}d"), money(f"total_price_{d}", f"revenue_last_{d}d")]
+    average = lambda c: ratio(F.sum(c), F.sum(f"n_{c}"))
+    m = one.groupBy("product_id").agg(n().alias("total_orders"), F.sum("quantity").alias("total_units_sold"), money("total_price", "total_revenue"), money("profit_amount", "total_profit"), average("unit_price").alias("avg_selling_price"), average("discount_percent").alias("avg_discount_percent"), *parts)
     p = v("v_products").select("product_id", F.col("name").alias("product_name"), "category", "brand", "price").join(m, "product_id", "left")
     counts = [c for c in m.columns if c.startswith(("total_orders", "orders_last", "units_sold_last", "revenue_last"))]
     return p.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(m.schema[c].dataType)) for c in counts})
@@ -204,7 +223,7 @@ def _(v):
 
 @query("mv_product_performance", f"SELECT product_id, name, category, brand, count(DISTINCT order_id) AS total_orders, sum(quantity)::BIGINT AS total_units, {M.format('total_price', 'total_revenue')}, {M.format('profit_amount', 'total_profit')}, round(avg(profit_margin), 8) AS avg_margin FROM v_products LEFT JOIN (SELECT * EXCLUDE (tax_amount) FROM e_items) USING (product_id) GROUP BY 1, 2, 3, 4")
 def _(v):
-    m = v("e_items").groupBy("product_id").agg(F.countDistinct("order_id").alias("k"), F.sum("quantity").alias("total_units"), money("total_price", "total_revenue"), money("profit_amount", "total_profit"), F.round(F.avg("profit_margin"), 8).alias("avg_margin"))
+    m = by_product(v("e_items")).agg(F.countDistinct("order_id").alias("k"), F.sum("quantity").alias("total_units"), money("total_price", "total_revenue"), money("profit_amount", "total_profit"), F.round(F.avg("profit_margin"), 8).alias("avg_margin"))
     return v("v_products").join(m, "product_id", "left").select("product_id", "name", "category", "brand", F.coalesce("k", F.lit(0)).cast("long").alias("total_orders"), "total_units", "total_revenue", "total_profit", "avg_margin")
 
 
@@ -223,6 +242,14 @@ def favourite(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return df.groupBy(key, value).agg(n().alias("k")).groupBy(key).agg(F.min(F.struct(-F.col("k"), value)).getField(value).alias(name))
 
 
+def favourites(df: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+    """The most frequent value of each of several text columns per key, ties by the smallest, from one pass over the rows."""
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("value")) for i, c in enumerate(names)]))
+    counts = df.select(key, each).groupBy(key, "of", "value").agg(n().alias("k"))
+    best = F.min_by("value", F.struct(-F.col("k"), "value"))
+    return counts.groupBy(key, "of").agg(best.alias("value")).groupBy(key).agg(*[F.max(F.when(F.col("of") == i, F.col("value"))).alias(a) for i, a in enumerate(names.values())])
+
+
 def customer_mart(v) -> DataFrame:
     parts = []
     for d in (30, 90):
@@ -233,9 +260,7 @@ def customer_mart(v) -> DataFrame:
     last = F.lit(LAST).cast("date")
     months = ((F.year(last) - F.year("registered_on")) * 12 + F.month(last) - F.month("registered_on")).cast("int")
     x = v("v_customers").select("customer_id", F.col("name").alias("full_name"), F.col("segment").alias("customer_segment"), months.alias("tenure_months")).join(o, "customer_id", "left").withColumn("days_since_last_order", F.date_diff(last, "last_order_date"))
-    for f in (favourite(lines, "customer_id", "category", "favorite_category"), favourite(lines, "customer_id", "brand", "favorite_brand"), favourite(v("v_orders"), "customer_id", "payment_method", "preferred_payment")):
-        x = x.join(f, "customer_id", "left")
-    return x
+    return x.join(favourites(lines, "customer_id", {"category": "favorite_category", "brand": "favorite_brand"}), "customer_id", "left").join(favourite(v("v_orders"), "customer_id", "payment_method", "preferred_payment"), "customer_id", "left")
 
 
 query("mart_customer_analytics_sql", CUSTOMER)(customer_mart)

@@ -371,3 +371,45 @@ def test_enriched_tables_are_stored_until_their_tables_change(spark, tmp_path):
     shutil.copy(next(iter((tmp_path / "new").glob("*.parquet"))), tmp_path / "lineitem.parquet")
     (tmp_path / ".lineitem.parquet.crc").unlink(missing_ok=True)
     assert V.view(spark, str(tmp_path), "e_items").count() == 100 and V.view(spark, str(tmp_path), "e_items").inputFiles() != first
+
+
+# ------------------------------------------------------------------ marts
+
+
+def shuffled(df):
+    """Names of the columns that an exchange moves, for each in the plan."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange (?:hashpartitioning\((.*?), \d+\))", plan)
+
+
+def test_lines_meet_by_product_and_order_before_they_are_summed(spark):
+    from ledgerloom.plans import products, retail
+    from ledgerloom.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    v = lambda name, stored=None: V.view(spark, sf, name, stored)
+    # what is stored holds no column that follows from others
+    assert set(spark.read.parquet(*v("e_items").inputFiles()).columns) == {*V.VIEWS["v_items"][1], "cost"}
+    assert not {"shipping_method", "delivered_on", "order_size_tier", "is_weekend"} & set(spark.read.parquet(*v("e_orders").inputFiles()).columns)
+    assert v("e_items").columns == V.enriched_items(v).columns and v("e_orders").columns == V.enriched_orders(v).columns
+    # one shuffle of lines by product alone, none by product and what is counted once
+    keys = shuffled(products.product_mart(v)) + shuffled(products.performance(v("e_items"))) + shuffled(retail.QUERIES["mv_product_performance"](spark, sf))
+    assert keys and not [k for k in keys if "product_id" in k and "," in k]
+
+
+def test_orders_of_several_customers_count_once(spark, tmp_path):
+    import shutil
+
+    from ledgerloom.plans import retail
+
+    for t in ("lineitem", "part", "customer"):
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    o.unionByName(o.where("o_orderkey % 3 = 0").withColumn("o_custkey", F.col("o_custkey") + F.lit(1).cast("long"))).unionByName(o.where("o_orderkey % 5 = 0")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    v = lambda name: __import__("ledgerloom.plans.views", fromlist=["view"]).view(spark, str(tmp_path), name)
+    x = v("e_items").join(v("v_orders").select("order_id", "customer_id"), "order_id")
+    want = {tuple(r) for r in x.groupBy("product_id").agg(F.countDistinct("order_id"), F.countDistinct("customer_id"), F.count(F.lit(1))).collect()}
+    got = retail.QUERIES["product_performance_summary"](spark, str(tmp_path)).select("product_id", "unique_orders", "unique_customers", "times_ordered")
+    assert {tuple(r) for r in got.collect()} == want
