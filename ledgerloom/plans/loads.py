@@ -102,8 +102,9 @@ def _(v):
     pages = p.groupBy("page").agg(F.collect_list(F.struct("product_id")).alias("items"))
     # an empty page ends the reading; one that lies beyond it must not be read
     beyond = p.agg(F.max("page").alias("last")).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "last").select((F.col("last") + F.col("k")).alias("page"), F.expr("CASE WHEN k = 1 THEN cast(array() AS array<struct<product_id: bigint>>) ELSE array(struct(-1L AS product_id)) END AS items"))
-    pages.unionByName(beyond).withColumn("file", F.col("page")).write.partitionBy("file").json(path)
-    return files.scan_paged_json(spark, path, "product_id: bigint", "items", 25)
+    # pages are landed many to a file, a line each
+    pages.unionByName(beyond).write.json(path)
+    return files.scan_paged_json(spark, path, "product_id: bigint", "items", 25, lines=True)
 
 
 @query("scan_files_generic", f"SELECT product_id, brand, 'orc' AS kind FROM ({PRODUCT_SQL})")

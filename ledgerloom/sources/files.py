@@ -34,9 +34,13 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def scan_paged_json(spark: SparkSession, folder: str, schema: str, data_key: str, page_size: int) -> DataFrame:
-    """Rows of landed pages (``page``, list) in order, up to and with the first page that is not full."""
-    pages = spark.read.schema(f"page long, {data_key} array<struct<{schema}>>").option("multiLine", True).json(folder).withColumn("_rows", F.coalesce(F.size(data_key), F.lit(0)))
+def scan_paged_json(spark: SparkSession, folder: str, schema: str, data_key: str, page_size: int, lines: bool = False) -> DataFrame:
+    """Rows of landed pages (``page``, list) in order, up to and with the first page that is not full.
+
+    A file holds one page, over any lines; with ``lines`` it holds many, a line each, so
+    that small pages don't cost a file each and large files are split.
+    """
+    pages = spark.read.schema(f"page long, {data_key} array<struct<{schema}>>").option("multiLine", not lines).json(folder).withColumn("_rows", F.coalesce(F.size(data_key), F.lit(0)))
     last = pages.where(F.col("_rows") < page_size).agg(F.min("page").alias("_last"))  # one row
     kept = pages.crossJoin(F.broadcast(last)).where(F.col("_last").isNull() | (F.col("page") <= F.col("_last")))
     return kept.select("page", F.inline(data_key))

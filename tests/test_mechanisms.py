@@ -413,3 +413,16 @@ def test_orders_of_several_customers_count_once(spark, tmp_path):
     want = {tuple(r) for r in x.groupBy("product_id").agg(F.countDistinct("order_id"), F.countDistinct("customer_id"), F.count(F.lit(1))).collect()}
     got = retail.QUERIES["product_performance_summary"](spark, str(tmp_path)).select("product_id", "unique_orders", "unique_customers", "times_ordered")
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_paged_json_lands_many_pages_a_file(spark, tmp_path):
+    from ledgerloom.plans import loads, retail
+    from ledgerloom.sources import files
+
+    df = retail.QUERIES["scan_paged_json"](spark, "/root/testdata/sf0.001")
+    assert len(df.inputFiles()) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 2
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.json").write_text('{"page":0,"items":[{"id":1},{"id":2}]}\n{"page":1,"items":[{"id":3}]}\n')
+    (tmp_path / "p" / "b.json").write_text('{"page":2,"items":[{"id":4},{"id":5}]}\n')
+    assert sorted(r["id"] for r in files.scan_paged_json(spark, f"{tmp_path}/p", "id: long", "items", 2, lines=True).collect()) == [1, 2, 3]
+    assert loads is not None
