@@ -146,13 +146,15 @@ WAREHOUSE = {
 LINES = [{"check": "not_empty"}, {"check": "unique", "column": "item_id"}, {"check": "range", "column": "quantity", "min_value": 1}, {"check": "range", "column": "unit_price", "min_value": 0}, {"check": "referential", "column": "product_id", "reference": "d_products", "reference_column": "product_id"}, {"check": "referential", "column": "order_id", "reference": "d_orders", "reference_column": "order_id"}]
 
 
-def warehouse(v) -> DataFrame:
+def warehouse(v, of: dict[str, list[dict]] = WAREHOUSE) -> DataFrame:
     """Customers, products, orders, the daily sales and their calendar, each read once."""
-    return S.run_suites({t: (v(t), specs) for t, specs in WAREHOUSE.items()}, NOW)
+    return S.run_suites({t: (v(t), specs) for t, specs in of.items()}, NOW)
 
 
 WAREHOUSE_SQL = " UNION ALL ".join(suite_sql(specs, t, t) for t, specs in WAREHOUSE.items())
-query("dq_suite_warehouse", WAREHOUSE_SQL)(warehouse)
+#: With the lines of orders
+WHOLE = WAREHOUSE | {"d_items": LINES}
+query("dq_suite_warehouse", " UNION ALL ".join(suite_sql(specs, t, t) for t, specs in WHOLE.items()))(lambda v: warehouse(v, WHOLE))
 query("dq_suite_lines", suite_sql(LINES, "d_items", "fact_order_items"))(lambda v: S.run_checks(v("d_items"), LINES, "fact_order_items", NOW, {t: v(t) for t in ("d_products", "d_orders")}))
 
 ALL_SQL = " UNION ALL ".join((suite_sql(ORDERS, "d_orders", "orders", COLUMNS["d_orders"]), suite_sql(CUSTOMERS, "d_customers", "customers"), suite_sql(PRODUCTS, "d_products", "products")))

@@ -426,3 +426,10 @@ def test_paged_json_lands_many_pages_a_file(spark, tmp_path):
     (tmp_path / "p" / "b.json").write_text('{"page":2,"items":[{"id":4},{"id":5}]}\n')
     assert sorted(r["id"] for r in files.scan_paged_json(spark, f"{tmp_path}/p", "id: long", "items", 2, lines=True).collect()) == [1, 2, 3]
     assert loads is not None
+
+
+def test_warehouse_suite_checks_lines(spark):
+    from ledgerloom.plans import retail
+
+    out = retail.QUERIES["dq_suite_warehouse"](spark, "/root/testdata/sf0.001").groupBy("dataset").count().collect()
+    assert {r["dataset"]: r["count"] for r in out} == {"d_customers": 5, "d_products": 6, "d_orders": 10, "g_daily": 4, "g_calendar": 2, "d_items": 6}
