@@ -294,14 +294,32 @@ def near_duplicate_roots(docs: DataFrame, words: int = 5, similarity: float = 0.
     return seen.select("doc_id", "_row", "node").join(comps, "node", "left").select("doc_id", "_row", "node", F.coalesce("component", "node").alias("root"))
 
 
+def fingerprint_roots(docs: DataFrame, words: int = 3, max_bits: int = 2, groups: int = 6, block: int = 4096) -> DataFrame:
+    """``doc_id``, ``_row`` (hash of id and text) and ``root`` of every document that has words; documents link by their fingerprints, as in ``simhash_classes``."""
+    rows = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # texts without words are alike only in having none
+    fps = cut(rows.select("doc_id", F.xxhash64(F.lit(3), "doc_id", "text").alias("_row"), simhash(F.col("text"), words).alias("fp")))
+    comps = connected_components(bucket_links(fps.select("fp").distinct(), max_bits, groups, block=block)).withColumnRenamed("node", "fp")
+    return fps.join(comps, "fp", "left").select("doc_id", "_row", F.coalesce("component", "fp").alias("root"))
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Documents without near-duplicates: of each group the one with the smallest (doc_id, text hash) stays.
+    """Documents without near-duplicates by the similarity of their shingles; see ``near_duplicate_roots`` and ``first_of_groups``."""
+    return first_of_groups(docs, near_duplicate_roots(docs.select("doc_id", "text"), words, similarity))
+
+
+def drop_similar_fingerprints(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """Documents without those whose fingerprints link them to an earlier one; see ``fingerprint_roots`` and ``first_of_groups``."""
+    return first_of_groups(docs, fingerprint_roots(docs.select("doc_id", "text"), words, max_bits))
+
+
+def first_of_groups(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each group of documents the one with the smallest (doc_id, text hash) stays.
 
     Null ids sort last; of rows that share id and text the one with the smallest hash of
     its columns stays; null and empty texts and others without words all stay; all columns
     come along, whatever their names; an empty table gives no rows.
     """
-    roots = cut(near_duplicate_roots(docs.select("doc_id", "text"), words, similarity))
+    roots = cut(roots)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
     stays = roots.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row")).distinct()
     key = free_name(docs, "_row")

@@ -116,3 +116,21 @@ def test_near_duplicates_equal_brute_force_jaccard(spark, block):
     for r in sh.near_duplicate_roots(df, block=block).collect():
         got.setdefault(r.root, []).append(r.doc_id)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_pipeline_drops_by_fingerprint(spark):
+    """The stage links what simhash_classes links, by its index, and keeps the first of each class."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = [None, "", " \n"]
+    for _ in range(60):
+        base = list(rng.choice(vocab, 120))
+        texts += [" ".join(base), " ".join(base), " ".join([*base, "more"]), " ".join(["new", *base[1:]]), " ".join(base[40:])]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    own = sh.simhash_classes(df.where("doc_id > 2")).where("doc_id = component_id").select("doc_id")
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").select("doc_id").collect()]
+    assert sorted(got) == [0, 1, 2, *sorted(r.doc_id for r in own.collect())]
+    assert 60 < len(got) < len(texts) - 60
