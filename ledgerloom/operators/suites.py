@@ -7,11 +7,14 @@ share one pass over each table and one shuffle, but for those of outliers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import materialize
+
 # Patterns of e-mail addresses and phone numbers, weights of severities, cuts of the gate.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 PHONE = r"^[\+]?[(]?[0-9]{3}[)]?[-\s\.]?[0-9]{3}[-\s\.]?[0-9]{4,6}$"
@@ -79,15 +82,52 @@ def _key_text(columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
 
 
+def counted_quantiles(k: DataFrame, at: list[float]) -> list[float] | None:
+    """Exact quantiles, interpolated as ``percentile`` does, of values ``x`` that occur ``k`` times; None without any.
+
+    Ranges of values are counted first, a row each; only the ranges that hold a rank asked
+    for are put in order, each by a task of its own. ``k`` is read twice.
+    """
+    ranges = max(int(k.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    parts = k.repartitionByRange(ranges, "x").groupBy(F.spark_partition_id().alias("p")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("k").alias("n")).orderBy("lo").collect()
+    total = sum(p["n"] for p in parts)
+    if not total:
+        return None
+    places = [q * (total - 1) for q in at]
+    ranks = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
+    before, wanted = 0, []
+    for p in parts:
+        if inside := [r - before for r in ranks if before <= r < before + p["n"]]:
+            wanted.append((before, p["lo"], p["hi"], inside))
+        before += p["n"]
+    part = F.coalesce(*[F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.lit(i)) for i, (_, lo, hi, _) in enumerate(wanted)])
+    through = F.sum("k").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = k.withColumn("part", part).where("part is not null").withColumn("through", through)
+    hit = F.lit(False)
+    for i, (_, _, _, inside) in enumerate(wanted):
+        for r in inside:
+            hit |= (F.col("part") == i) & (F.col("through") > r) & (F.col("through") - F.col("k") <= r)
+    found = [(wanted[x["part"]][0] + x["through"] - x["k"], wanted[x["part"]][0] + x["through"], x["x"]) for x in rows.where(hit).collect()]  # a row a rank at most
+    value = {r: next(x for lo, hi, x in found if lo <= r < hi) for r in ranks}
+    out = []
+    for x in places:
+        a, b = value[math.floor(x)], value[math.ceil(x)]
+        out.append(a if a == b else (math.ceil(x) - x) * a + (x - math.floor(x)) * b)
+    return out
+
+
 def _outliers(spec: dict, df: DataFrame) -> DataFrame:
     """One row (``v``): the share within the fences. Counts of different values come first: quartiles and the share both come from them."""
-    k = df.select(F.col(spec["column"]).cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
+    k = materialize(df.select(F.col(spec["column"]).cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("k")))
     if spec.get("method", "iqr") == "iqr":
-        b = k.agg(F.percentile("x", F.lit(0.25), F.col("k")).alias("a"), F.percentile("x", F.lit(0.75), F.col("k")).alias("b")).select((F.col("a") - 1.5 * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + 1.5 * (F.col("b") - F.col("a"))).alias("hi"))
+        low, high = counted_quantiles(k, [0.25, 0.75]) or (None, None)
+        lo, hi = (F.lit(None).cast("double"),) * 2 if low is None else (F.lit(low - 1.5 * (high - low)), F.lit(high + 1.5 * (high - low)))
+        fenced = k.withColumns({"lo": lo, "hi": hi})
     else:
         b = df.select(F.col(spec["column"]).cast("double").alias("x")).agg((F.avg("x") - 3 * F.stddev_samp("x")).alias("lo"), (F.avg("x") + 3 * F.stddev_samp("x")).alias("hi"))
+        fenced = k.crossJoin(F.broadcast(b))
     inside = F.coalesce((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.lit(True))
-    return k.crossJoin(F.broadcast(b)).agg(F.coalesce(F.try_divide(F.sum(F.when(inside, F.col("k")).otherwise(0)).cast("double"), F.sum("k").cast("double")), F.lit(1.0)).alias("v"))  # one row
+    return fenced.agg(F.coalesce(F.try_divide(F.sum(F.when(inside, F.col("k")).otherwise(0)).cast("double"), F.sum("k").cast("double")), F.lit(1.0)).alias("v"))  # one row
 
 
 _KEYED = ("unique", "primary_key", "referential")

@@ -433,3 +433,13 @@ def test_warehouse_suite_checks_lines(spark):
 
     out = retail.QUERIES["dq_suite_warehouse"](spark, "/root/testdata/sf0.001").groupBy("dataset").count().collect()
     assert {r["dataset"]: r["count"] for r in out} == {"d_customers": 5, "d_products": 6, "d_orders": 10, "g_daily": 4, "g_calendar": 2, "d_items": 6}
+
+
+def test_quantiles_of_counts_equal_percentile(spark):
+    from ledgerloom.operators import suites
+
+    for values in ([], [3.0], [1.0, 2.0], [5.0] * 40 + [1.0, 9.0], [float(i * i % 97) / 7 for i in range(500)], [float("inf"), -1.0, float("-inf"), 4.0, 4.5]):
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        want = df.agg(F.percentile("x", [0.25, 0.5, 0.75])).first()[0]
+        got = suites.counted_quantiles(df.groupBy("x").agg(F.count(F.lit(1)).alias("k")), [0.25, 0.5, 0.75])
+        assert got == want
