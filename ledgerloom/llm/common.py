@@ -52,6 +52,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """What is cut within keeps its partitioning: adaptive plans, which may change it, are off."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores put before it, so that no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

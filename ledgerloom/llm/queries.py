@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, chat, chunk_dedup, decontaminate, embed_dedup, html_extract, hpy_lm, mixing, simhash, token_files, toxicity, turn_repair, whitening
+from . import boosting, chat, chunk_dedup, decontaminate, embed_dedup, html_extract, hpy_words, mixing, simhash, token_files, toxicity, turn_repair, whitening
 from .common import read_table
 
 
@@ -51,7 +51,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hpy_lm.lm_scores(read_table(spark, sf_dir, "documents"))
+    return hpy_words.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
