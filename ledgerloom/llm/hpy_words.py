@@ -67,6 +67,12 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """Different values, sorted: many of them, for which np.unique's hash table is slow."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _places(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of x among sorted values, and whether it is there."""
     at = np.minimum(np.searchsorted(sorted_values, x), max(len(sorted_values) - 1, 0))
@@ -142,7 +148,7 @@ class Block:
         for p in parts:
             used[p[2]] = True
         used[CODES] = False
-        self.words = np.unique(np.concatenate([code_hashes[used[: len(code_hashes)]], *[p[3] for p in parts]]))
+        self.words = _different(np.concatenate([code_hashes[used[: len(code_hashes)]], *[p[3] for p in parts]]))
         of_code = np.zeros(CODES + 1, np.int64)
         of_code[: len(code_hashes)] = np.minimum(np.searchsorted(self.words, code_hashes), len(self.words) - 1)
         self.key, self.doc, self.ends, at, trained = [], [], [], 0, []
@@ -310,7 +316,7 @@ def _score(coded, hot: np.ndarray, hot_c: np.ndarray, hot_t: np.ndarray, parent:
             u, w = key // len(b.words), key % len(b.words)
             c, t = (np.where(there, x[at], 0) if len(b.cell) else np.zeros(len(key)) for x in (b.c, total))
             p = np.log10(predictive(c, t, customers[u], tables[u], p0[w], theta, d))
-            docs = np.unique(doc)
+            docs = _different(doc)
             place = np.searchsorted(docs, doc)
             out.append((batch, _pack(docs, np.bincount(place, weights=p), np.bincount(place, weights=base[u]), np.bincount(place, weights=known[u]).astype(np.uint32))))
         return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([rows.column("block")[0].as_py()] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], schema=schema)
