@@ -108,7 +108,8 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     for r in rows:
         full[r["w"]] = r["v"]
     # a literal: folded once, where a parsed or joined map would be looked up through more layers for each position
-    bits = F.expr("array(" + ",".join(f"{x}L" if x > -(1 << 63) else "bigint(-9223372036854775808)" for x in full) + ")") if rows else None
+    # from one string, as an expression for each long, kept by each plan, takes much of the driver's memory
+    bits = F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>") if rows else None
     doc = docs.select(F.xxhash64(F.lit(5), text_col).alias("_key"), _held(tokens(F.col(text_col))).alias("dt"))
     empty = "_key long, item_id long, agreeing int, stretch int"
     if bits is None:
@@ -121,13 +122,16 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFr
     n = F.size("dt")
     tests = [*spans, *[_contiguous(k) for k in short]]
 
-    def found_by(span: int, f) -> Column:
-        at = F.col("pairs") if span > 1 else _positions(n, 1)
-        return _seeds(F.filter(at, lambda i: (i + F.lit(span) <= n) & passes(f(F.col("dt"), i))), F.col("dt"), f)
+    def tested(span: int, f) -> Column:
+        at = F.filter(F.col("pairs"), lambda i: i + F.lit(span) <= n) if span > 1 else _positions(n, 1)
+        return F.transform(at, lambda i: F.struct(i.alias("at"), f(F.col("dt"), i).alias("h")))
 
     # every seed of two tokens or more looks at the first two: most positions end there
     doc = doc.withColumn("pairs", _held(F.filter(_positions(n, 2), lambda i: passes(_pair(F.col("dt"), i)))))
-    hit = doc.withColumn("hits", _held(F.concat(*[found_by(s, f) for s, f in tests]))).where(F.size("hits") > 0).select("_key", "hits")
+    # one look at the map for all tests, as each place that names it holds a copy
+    found = F.filter(F.concat(*[tested(s, f) for s, f in tests]), lambda x: passes(x["h"]))
+    hits = F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), _around(F.col("dt"), x["at"]).alias("around")))
+    hit = doc.withColumn("hits", _held(hits)).where(F.size("hits") > 0).select("_key", "hits")
     seeded = seeded.where("item_at >= 0")
     at = hit.select("_key", F.explode("hits").alias("x")).groupBy("_key", F.col("x.h").alias("h"), F.col("x.around").alias("around")).agg(F.min("x.at").alias("doc_at"))
     block = F.floor(F.col("doc_at") / BLOCK).cast("int").alias("block")
