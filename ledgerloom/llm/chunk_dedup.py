@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut_clean, free_name
 
 MIN_CHUNK, MAX_CHUNK = 16, 128
 CUT_ONE_IN = 32
@@ -221,7 +221,7 @@ def _extended(keyed: DataFrame, ends: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionAll, done)
         asked = ends.select("_row", "s", "e", "side").union(ends.select("m_row", "m_s", "m_e", "side")).distinct().groupBy("_row").agg(F.collect_list(F.struct("s", "e", "side")).alias("asked"))
         asked = F.broadcast(asked) if few <= FEW_ENDS else asked
-        told = cut(keyed.select("_row", "text").join(asked, "_row").mapInArrow(_contexts(context), _PIECE).dropDuplicates(["_row", "s", "e", "side"]))
+        told = cut_clean(keyed.select("_row", "text").join(asked, "_row").mapInArrow(_contexts(context), _PIECE).dropDuplicates(["_row", "s", "e", "side"]))
 
         @F.pandas_udf("bytes int, words int")
         def grown(own: pd.Series, other: pd.Series, size: pd.Series, side: pd.Series) -> pd.DataFrame:
@@ -232,7 +232,7 @@ def _extended(keyed: DataFrame, ends: DataFrame) -> DataFrame:
         both = ends.join(told, ["_row", "s", "e", "side"]).join(mates, ["m_row", "m_s", "m_e", "side"])
         # equal pieces that are as long as a round's can be may go on
         on = (F.octet_length("piece") == F.col("e") - F.col("s") + F.lit(context)) & (F.col("piece") == F.col("m_piece"))
-        both = cut(both.select(*ends.columns, grown("piece", "m_piece", F.col("e") - F.col("s"), "side").alias("g"), on.alias("on")))
+        both = cut_clean(both.select(*ends.columns, grown("piece", "m_piece", F.col("e") - F.col("s"), "side").alias("g"), on.alias("on")))
         done.append(both.where("not on").select("_row", "island", "side", (F.col("m_id") < F.col("_id")).alias("later"), "g"))
         ends = both.where("on").drop("g", "on")
         context *= WIDER
@@ -248,11 +248,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = _keyed(docs, id_col, text_col)
     seen = keyed.mapInArrow(_chunker(False), "h long, _row long, _id long")
     holder = F.struct("_id", "_row")
-    shared = cut(seen.groupBy("h").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a._row <> b._row"))
+    shared = cut_clean(seen.groupBy("h").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a._row <> b._row"))
     bit_map = docs.sparkSession.sparkContext.broadcast(_bit_map(shared))
     chunks = keyed.mapInArrow(_chunker(True, bit_map), "h long, _row long, _id long, s int, e int, w int, x int, p long")
     mate = F.when(F.col("a._row") == F.col("_row"), F.col("b")).otherwise(F.col("a"))
-    marked = cut(chunks.join(shared, "h").select("h", "_row", "_id", "s", "e", "w", "x", F.xxhash64("h", "p").alias("p"), F.col("a._id").alias("first_id"), mate.alias("mate"), F.col("_row").isin(F.col("a._row"), F.col("b._row")).alias("asked_of")).distinct())
+    marked = cut_clean(chunks.join(shared, "h").select("h", "_row", "_id", "s", "e", "w", "x", F.xxhash64("h", "p").alias("p"), F.col("a._id").alias("first_id"), mate.alias("mate"), F.col("_row").isin(F.col("a._row"), F.col("b._row")).alias("asked_of")).distinct())
     order = Window.partitionBy("_row").orderBy("s")
     # neighbours that another document holds in a row, too, have a joint
     pair = F.when(F.lag("e").over(order) == F.col("s"), F.xxhash64(F.lag("h").over(order), "h"))
@@ -265,17 +265,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = F.coalesce((F.lag("kind").over(order) == 0) & (F.lag("s").over(order) == F.col("s")), F.lit(False))
     runs = lined.withColumn("new", ((F.col("kind") == 1) & ~joined).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind = 1")
     edge = F.struct("s", "e", "h", "mate")
-    islands = cut(
+    islands = cut_clean(
         runs.groupBy("_row", "_id", "island")
         .agg(F.min(edge).alias("left"), F.max(edge).alias("right"), F.sum("w").cast("int").alias("w"), F.min(F.struct("s", "p")).alias("p"), (F.sum("w") + F.max_by("x", "s") + (BEFORE + 1) // 2).alias("most"), F.min("first_id").alias("first_id"), F.sort_array(F.collect_list(F.struct("s", "e", (F.col("first_id") < F.col("_id")).alias("later")))).alias("pieces"))
     )
     # what agrees to the right ends within the next chunk; fewer words than asked for, unless a document that holds the first chunk agrees before it
     before = marked.groupBy("p").agg(F.min("_row").alias("lo"), F.max("_row").alias("hi")).where("lo <> hi").select("p")
-    islands = cut(islands.where(F.col("most") >= min_words).drop("p", "most").unionByName(islands.where(F.col("most") < min_words).withColumn("p", F.col("p.p")).join(before, "p", "left_semi").drop("p", "most")))
+    islands = cut_clean(islands.where(F.col("most") >= min_words).drop("p", "most").unionByName(islands.where(F.col("most") < min_words).withColumn("p", F.col("p.p")).join(before, "p", "left_semi").drop("p", "most")))
     # both ends with the same chunk of another document
     ends = islands.select("_row", "_id", "island", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("x")), F.struct(F.lit(1).alias("side"), F.col("right").alias("x")))).alias("y")).select("_row", "_id", "island", "y.side", "y.x.s", "y.x.e", "y.x.h", F.col("y.x.mate._row").alias("m_row"), F.col("y.x.mate._id").alias("m_id"))
     places = marked.where("asked_of").groupBy("h", F.col("_row").alias("m_row")).agg(F.min("s").alias("m_s"))
-    ends = cut(ends.join(places, ["h", "m_row"]).withColumn("m_e", F.col("m_s") + F.col("e") - F.col("s")))
+    ends = cut_clean(ends.join(places, ["h", "m_row"]).withColumn("m_e", F.col("m_s") + F.col("e") - F.col("s")))
     both = _extended(keyed, ends)
     on = lambda side, what: F.max(F.when(F.col("side") == side, what))
     per = both.where("g.bytes >= 0").groupBy("_row", "island").agg(*[on(side, what).alias(f"{name}{side}") for side in (0, 1) for name, what in (("n", F.col("g.bytes")), ("w", F.col("g.words")), ("later", F.col("later")))])

@@ -40,6 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_clean(df: DataFrame) -> DataFrame:
+    """``cut``, after which the shuffle files that led to the rows go at once instead of when the driver next collects its garbage."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        ready = df.select("*")  # a frame keeps the setting of the time when it was made
+    finally:
+        spark.conf.set(key, before)
+    return cut(ready)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Python workers get rows in batches of that size while an action runs within: long texts then take little memory."""

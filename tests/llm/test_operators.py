@@ -567,3 +567,22 @@ def test_passages_grow_without_limit_and_part_where_documents_do(spark):
     for i in (1, 2):
         assert got[i]["n_passages"] == 1 and 935 <= got[i]["repeated_words"] <= 941
     assert not any(got[i]["repeats"] for i in (3, 4, 5))
+
+
+def test_passages_leave_no_shuffle_files_behind(spark):
+    import glob
+    import os
+    import time
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    size = lambda found: sum(os.path.getsize(f) for f in found if os.path.exists(f))
+    rng, letters = np.random.default_rng(3), list("abcdefghijklmnop")
+    text = lambda: " ".join("".join(rng.choice(letters, 6)) for _ in range(400))
+    rows = [(i, t) for i, t in enumerate([text() for _ in range(60)] * 2)]
+    before = files()
+    found = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    time.sleep(1)
+    # of the chunks' digests, the largest shuffles, nothing stays; counts may leave a few bytes
+    assert size(files() - before) < 20_000
+    assert found.count() >= 120
