@@ -199,6 +199,20 @@ def test_pairs_of_large_baskets(spark, monkeypatch):
     assert A.affinity(df.limit(0), "b", "i", 1).count() == 0
 
 
+def test_tasks_of_pairs_grow_with_the_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import affinity as A
+
+    monkeypatch.setattr(A, "PAIRS", 100, raising=False)
+    df = spark.range(4000).select((F.col("id") / 4).cast("long").alias("b"), F.col("id").alias("i"))
+    for part in (256, 2):  # baskets whole, and dealt into parts
+        monkeypatch.setattr(A, "PART", part)
+        made = A.pairs(df, "b", "i").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in made) == 6000
+        assert len(made) >= 40 and max(r["count"] for r in made) <= 400
+
+
 def test_suites_share_one_pass(spark):
     from ledgerloom.operators import suites as S
 
