@@ -275,9 +275,24 @@ CATEGORY = f"""WITH m AS (SELECT category, year(order_date) AS year, month(order
 SELECT *, CAST(total_revenue AS DOUBLE) / nullif(CAST(sum(total_revenue) OVER (PARTITION BY year, month) AS DOUBLE), 0) * 100 AS revenue_share_pct, lag(total_revenue) OVER w AS prev_month_revenue, {R.format('total_revenue - lag(total_revenue) OVER w', 'lag(total_revenue) OVER w')} * 100 AS revenue_growth_pct FROM m WINDOW w AS (PARTITION BY category ORDER BY year, month)"""
 
 
+def distinct_counts(df: DataFrame, keys: list[str], ids: dict[str, str]) -> DataFrame:
+    """How many different values of each of several id columns per key: ids go as rows of their own, so that no sums travel with them."""
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("id")) for i, c in enumerate(ids)]))
+    return df.select(*keys, each).distinct().groupBy(*keys).agg(*[F.count(F.when(F.col("of") == i, F.col("id"))).alias(a) for i, a in enumerate(ids.values())])
+
+
 def category_mart(v) -> DataFrame:
-    x = v("e_items").join(v("v_orders").select("order_id", "order_date", "customer_id"), "order_id").join(v("v_products").select("product_id", "category", "brand", "price"), "product_id")
-    m = x.groupBy("category", F.year("order_date").cast("long").alias("year"), F.month("order_date").cast("long").alias("month")).agg(F.countDistinct("product_id").alias("product_count"), F.countDistinct("brand").alias("brand_count"), mean("price").alias("avg_price"), F.countDistinct("order_id").alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"), F.sum("quantity").alias("total_units_sold"), money("total_price", "total_revenue"), money("profit_amount", "total_profit"), mean("total_price").alias("avg_order_value"), mean("discount_percent").alias("avg_discount_percent"), money("discount_amount", "total_discounts"))
+    keys = ["category", "year", "month"]
+    o = v("v_orders").select("order_id", "customer_id", F.year("order_date").cast("long").alias("year"), F.month("order_date").cast("long").alias("month"))
+    x = v("e_items").join(o, "order_id").join(v("v_products").select("product_id", "category", "brand", "price"), "product_id")
+    # sums by brand add up before they move and count the brands; the ids, which don't, move alone
+    summed = ("price", "quantity", "total_price", "profit_amount", "discount_percent", "discount_amount")
+    by_brand = x.groupBy(*keys, "brand").agg(*[F.sum(c).alias(c) for c in summed], *[F.count(c).alias(f"{c}_n") for c in ("price", "total_price", "discount_percent")])
+    counts = distinct_counts(x, keys, {"product_id": "product_count", "order_id": "total_orders", "customer_id": "unique_customers"})
+    both = by_brand.unionByName(counts, allowMissingColumns=True).groupBy(*keys)  # nulls of either add nothing
+    total = lambda c: F.sum(c).cast("decimal(28,2)")
+    avg = lambda c: ratio(F.sum(c), F.sum(f"{c}_n"))
+    m = both.agg(F.sum("product_count").alias("product_count"), F.count("brand").alias("brand_count"), avg("price").alias("avg_price"), F.sum("total_orders").alias("total_orders"), F.sum("unique_customers").alias("unique_customers"), F.sum("quantity").alias("total_units_sold"), total("total_price").alias("total_revenue"), total("profit_amount").alias("total_profit"), avg("total_price").alias("avg_order_value"), avg("discount_percent").alias("avg_discount_percent"), total("discount_amount").alias("total_discounts"))
     before = F.lag("total_revenue").over(Window.partitionBy("category").orderBy("year", "month"))
     return m.select("*", ratio("total_revenue", F.sum("total_revenue").over(Window.partitionBy("year", "month")), 100).alias("revenue_share_pct"), before.alias("prev_month_revenue"), ratio(F.col("total_revenue") - before, before, 100).alias("revenue_growth_pct"))
 

@@ -457,3 +457,22 @@ def test_quantiles_of_counts_equal_percentile(spark):
         want = df.agg(F.percentile("x", [0.25, 0.5, 0.75])).first()[0]
         got = suites.counted_quantiles(df.groupBy("x").agg(F.count(F.lit(1)).alias("k")), [0.25, 0.5, 0.75])
         assert got == want
+
+
+def test_category_mart_counts_ids_apart_from_sums(spark):
+    from ledgerloom.plans import products as P
+
+    # product 3 has no category, 2 no brand, 4 no price; order 2 has two rows of different customers, order 4 no customer
+    frames = {
+        "e_items": spark.sql("SELECT order_id, product_id, 1 AS quantity, CAST(product_id + 1 AS DECIMAL(18,2)) AS total_price, 1.00BD AS profit_amount, 5 AS discount_percent, CAST(NULL AS DECIMAL(18,2)) AS discount_amount FROM VALUES (1L, 1L), (1L, 1L), (1L, 2L), (2L, 1L), (2L, 3L), (3L, 3L), (3L, 4L), (4L, 4L) AS t(order_id, product_id)"),
+        "v_orders": spark.sql("SELECT * FROM VALUES (1L, 7L, DATE '2001-02-03'), (2L, 7L, DATE '2001-02-09'), (2L, 8L, DATE '2001-02-10'), (3L, 8L, DATE '2001-03-01'), (4L, NULL, DATE '2001-03-02') AS t(order_id, customer_id, order_date)"),
+        "v_products": spark.sql("SELECT * FROM VALUES (1L, 'a', 'x', 2.00BD), (2L, 'a', NULL, 3.00BD), (3L, NULL, 'y', 4.00BD), (4L, 'a', 'x', NULL) AS t(product_id, category, brand, price)"),
+    }
+    out = P.category_mart(lambda name: frames[name])
+    got = {(r["category"], r["month"]): r for r in out.collect()}
+    counts = lambda r: [r[c] for c in ("product_count", "brand_count", "total_orders", "unique_customers", "total_units_sold")]
+    assert {k: counts(r) for k, r in got.items()} == {("a", 2): [2, 1, 2, 2, 5], (None, 2): [1, 1, 1, 2, 2], ("a", 3): [1, 1, 2, 1, 2], (None, 3): [1, 1, 1, 1, 1]}
+    assert (got["a", 2]["avg_price"], got["a", 2]["avg_order_value"], got["a", 3]["avg_price"], got["a", 2]["total_discounts"]) == (2.2, 2.2, None, None)
+    assert float(got["a", 3]["revenue_growth_pct"]) == (10 - 11) / 11 * 100
+    # no row of sums for each kind of id
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
