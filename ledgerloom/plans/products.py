@@ -278,7 +278,7 @@ SELECT *, CAST(total_revenue AS DOUBLE) / nullif(CAST(sum(total_revenue) OVER (P
 def distinct_counts(df: DataFrame, keys: list[str], ids: dict[str, str]) -> DataFrame:
     """How many different values of each of several id columns per key: ids go as rows of their own, so that no sums travel with them."""
     each = F.inline(F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("id")) for i, c in enumerate(ids)]))
-    return df.select(*keys, each).distinct().groupBy(*keys).agg(*[F.count(F.when(F.col("of") == i, F.col("id"))).alias(a) for i, a in enumerate(ids.values())])
+    return df.select(*keys, each).repartition(*keys, "of", "id").distinct().groupBy(*keys).agg(*[F.count(F.when(F.col("of") == i, F.col("id"))).alias(a) for i, a in enumerate(ids.values())])
 
 
 def category_mart(v) -> DataFrame:
