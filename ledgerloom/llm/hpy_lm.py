@@ -53,7 +53,7 @@ def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names = coded.dictionary.to_pylist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(w, 1) for w in names), np.uint64, len(names)).view(np.int64)
-    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = coded.indices.to_numpy(zero_copy_only=False)
     if "" in names:  # before a leading and after a trailing separator
         real = at != names.index("")
         offsets = np.concatenate(([0], np.cumsum(real)))[offsets]
@@ -87,10 +87,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys += [hashes[c > 0], np.array([END])]
             counts += [c[c > 0], np.array([b.num_rows])]
             held += len(hashes)
-            if held > 3_000_000:
+            if held > 1_500_000:
                 k, c = _sum_by(keys, counts)
                 keys, counts, held = [k], [c], len(k)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["h", "c"])
                     keys, counts, held = [], [], 0
     if keys:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, cut, planned_once
+from .common import crc32_mod, cut_clean, planned_once
 from .hpy_lm import END, EXACT, FOLDS, HELD, _slices, _word_counts, log_stirling, sample_tables, tokenize
 
 BLOCK_TOKENS = 3_000_000
@@ -82,55 +82,80 @@ def _places(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nd
 # ------------------------------------------------------------------ packing the tokens
 
 
+def _sorted_tokens(at: np.ndarray, size: np.ndarray, mixed: np.ndarray, parts: np.ndarray, blocks: int) -> tuple[np.ndarray, ...]:
+    """Block, context, word and document of each token with the ends put in, sorted by block, context and document.
+
+    A slice's tokens are the most that an encoding task holds: names and blocks take four
+    bytes, documents two, and an array goes as soon as it is used.
+    """
+    total, last, end = int(size.sum()), np.cumsum(size) - 1, len(mixed) - 2
+    inside = np.ones(total, bool)
+    inside[last] = False
+    word = np.full(total, end, np.int32)
+    word[inside] = at
+    del inside
+    context = np.empty(total, np.int32)
+    context[1:] = word[:-1]
+    context[last - size + 1] = end + 1
+    doc = np.repeat(np.arange(len(size), dtype=np.uint16), size)
+    # the block of a context, and of each part of a hot one
+    block = (mixed % np.uint64(blocks)).astype(np.int32)[context]
+    many = np.flatnonzero((parts > 1)[context])
+    for s in range(0, len(many), 1 << 18):
+        i = many[s : s + (1 << 18)]
+        part = (mixed[word[i]] >> np.uint64(17)) % parts[context[i]].astype(np.uint64)
+        block[i] = ((mixed[context[i]] + part) % np.uint64(blocks)).astype(np.int32)
+    del many
+    if blocks * len(mixed) * len(size) >= 1 << 62:
+        order = np.lexsort((doc, context, block))
+    else:
+        key = block.astype(np.int64)
+        for x, n in ((context, len(mixed)), (doc, len(size))):
+            key *= n
+            key += x
+        order = np.argsort(key, kind="stable")
+        del key
+    block = block[order]
+    context = context[order]
+    word = word[order]
+    return block, context, word, doc[order]
+
+
 def _encoder(coded, hot_words: np.ndarray, hot_parts: np.ndarray, blocks: int):
     """Rows (block, batch, packed): a batch's triples for each block, and for a negative block its documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(rows: pa.RecordBatch, number: int) -> pa.RecordBatch:
         code_words, codes, _ = coded.value  # sorted hashes, their codes, and the hashes by code
+        out: tuple[list, list] = ([], [])
+        hashes, at, offsets = tokenize(rows.column("text"))
+        size = np.diff(offsets) + 1
+        names = np.concatenate((hashes, [END, START]))
+        place, found = _places(hot_words, names)
+        parts = np.where(found, hot_parts[place], 1) if len(hot_words) else np.ones(len(names), np.int64)
+        block, context, word, doc = _sorted_tokens(at, size, _mixed(names), parts, blocks)
+        del at
+        place, found = _places(code_words, names)
+        code = np.where(found, codes[place] if len(codes) else 0, CODES).astype(np.uint16)
+        held = np.packbits(rows.column("held_out").to_numpy(zero_copy_only=False))
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for s, e in zip(edges, [*edges[1:], len(block)], strict=True):
+            c = context[s:e]
+            runs = np.flatnonzero(np.diff(c, prepend=-1))
+            w = code[word[s:e]]
+            out[0].append(int(block[s]))
+            out[1].append(_pack(names[c[runs]], np.diff(np.append(runs, e - s)).astype(np.uint32), w, names[word[s:e][w == CODES]], np.diff(doc[s:e], prepend=np.uint16(0)), held))
+        out[0].append(-1 - number % blocks)
+        ids = rows.column("doc_id")
+        out[1].append(_pack(ids.fill_null(0).to_numpy().astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), rows.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8), size.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([number] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary())], names=["block", "batch", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for whole in batches:
-            for rows in (x for s in range(0, whole.num_rows, 1 << 16) for x in _slices(whole.slice(s, 1 << 16), "text")):  # documents of a batch are numbered in two bytes
-                out: tuple[list, list, list] = ([], [], [])
-                hashes, at, offsets = tokenize(rows.column("text"))
-                size = np.diff(offsets) + 1
-                total, last = int(size.sum()), np.cumsum(size) - 1
-                names = np.concatenate((hashes, [END, START]))
-                word = np.full(total, len(hashes), np.int64)
-                inside = np.ones(total, bool)
-                inside[last] = False
-                word[inside] = at
-                context = np.empty(total, np.int64)
-                context[1:] = word[:-1]
-                context[last - size + 1] = len(hashes) + 1
-                doc = np.repeat(np.arange(len(size)), size)
-                # the block of a context, and of each part of a hot one
-                mixed = _mixed(names)
-                block = (mixed % np.uint64(blocks)).astype(np.int64)[context]
-                place, found = _places(hot_words, names)
-                if found.any():
-                    parts = np.where(found, hot_parts[place], 1) if len(hot_words) else np.ones(len(names), np.int64)
-                    i = np.flatnonzero(parts[context] > 1)
-                    part = (mixed[word[i]] >> np.uint64(17)) % parts[context[i]].astype(np.uint64)
-                    block[i] = ((mixed[context[i]] + part) % np.uint64(blocks)).astype(np.int64)
-                # sorted by block, context and document
-                order = np.lexsort((doc, context, block)) if blocks * len(names) * len(size) >= 1 << 62 else np.argsort((block * len(names) + context) * len(size) + doc, kind="stable")
-                block, context, word, doc = block[order], context[order], word[order], doc[order]
-                place, found = _places(code_words, names)
-                code = np.where(found, codes[place] if len(codes) else 0, CODES).astype(np.uint16)
-                held = np.packbits(rows.column("held_out").to_numpy(zero_copy_only=False))
-                edges = np.flatnonzero(np.diff(block, prepend=-1))
-                for s, e in zip(edges, [*edges[1:], total], strict=True):
-                    c = context[s:e]
-                    runs = np.flatnonzero(np.diff(c, prepend=-1))
-                    w = code[word[s:e]]
-                    d = doc[s:e].astype(np.uint16)
-                    out[0].append(int(block[s]))
-                    out[2].append(_pack(names[c[runs]], np.diff(np.append(runs, e - s)).astype(np.uint32), w, names[word[s:e][w == CODES]], np.diff(d, prepend=np.uint16(0)), held))
-                out[0].append(-1 - number % blocks)
-                ids = rows.column("doc_id")
-                out[2].append(_pack(ids.fill_null(0).to_numpy().astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), rows.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8), size.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([number] * len(out[0]), pa.int64()), pa.array(out[2], pa.binary())], names=["block", "batch", "packed"])
-                number += 1
+            for s in range(0, whole.num_rows, 1 << 16):  # documents of a batch are numbered in two bytes
+                for rows in _slices(whole.slice(s, 1 << 16), "text"):
+                    yield encode(rows, number)
+                    number += 1
 
     return run
 
@@ -372,7 +397,7 @@ def lm_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     spark = docs.sparkSession
     held = crc32_mod(F.col("doc_id"), FOLDS) == HELD
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = cut(rows.where("not held_out").select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    counts = cut_clean(rows.where("not held_out").select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("h") == int(END), F.col("c"))), F.lit(0))).first()
     top = counts.orderBy(F.desc("c"), "h").limit(CODES).toArrow()  # at most 65,535 rows: words that travel in two bytes
     code_hashes = top.column("h").to_numpy()
@@ -385,7 +410,7 @@ def lm_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     hot_parts = np.array([hot[int(w)] for w in hot_words], np.int64)
     blocks = int(n // block_tokens + 1)
     with planned_once(spark):  # the stored rows stay dealt by block
-        dealt = cut(rows.mapInArrow(_encoder(coded, hot_words, hot_parts, blocks), "block long, batch long, packed binary").repartition(blocks, "block"))
+        dealt = cut_clean(rows.mapInArrow(_encoder(coded, hot_words, hot_parts, blocks), "block long, batch long, packed binary").repartition(blocks, "block"))
     tokens = dealt.where("block >= 0")
 
     def stats(told: DataFrame) -> tuple[np.ndarray, tuple, tuple]:
@@ -393,18 +418,18 @@ def lm_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         sums = np.sum([_unpack(x["n"])[0] for x in got if x["r"] == -2], axis=0) if got else np.zeros(2)
         return sums, _by_word([x for x in got if x["r"] == -3]), _by_word([x for x in got if x["r"] == -4])
 
-    told = cut(tokens.groupBy("block").applyInArrow(_first(coded, hot_words, blocks), _TOLD))
+    told = cut_clean(tokens.groupBy("block").applyInArrow(_first(coded, hot_words, blocks), _TOLD))
     (ones, twos), (found, hot_c, hot_t), _ = stats(told)
     d = discount(ones, twos)
     theta, rng, mean_t = 10.0, np.random.default_rng(11), hot_t
     for number in range(ROUNDS + 1):
-        answered = cut(told.where("r >= 0").groupBy("r").applyInArrow(_parent, _TOLD + ", all long, ones long, twos long"))
+        answered = cut_clean(told.where("r >= 0").groupBy("r").applyInArrow(_parent, _TOLD + ", all long, ones long, twos long"))
         customers, ones, twos = (x or 0 for x in answered.agg(F.sum("all"), F.sum("ones"), F.sum("twos")).first())
         parent = (customers, v, discount(ones, twos))
         answers = answered.drop("all", "ones", "twos").unionByName(told.where("r = -1"))
         if number == ROUNDS:
             break
-        told = cut(tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_seat(coded, found, hot_c, hot_t, parent, theta, d, number, blocks), _TOLD))
+        told = cut_clean(tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_seat(coded, found, hot_c, hot_t, parent, theta, d, number, blocks), _TOLD))
         (y, logx), (found, hot_c, hot_t), (_, mean_t, *_) = stats(told)
         more = auxiliary(hot_c, hot_t, theta, d, rng)
         theta_scored = theta  # the seating was drawn under it

@@ -67,3 +67,27 @@ def test_packing_returns_what_it_got():
     arrays = [np.arange(5), np.zeros(0, np.float64), np.array([1, 2], np.uint16)]
     for a, b in zip(arrays, hpy_words._unpack(hpy_words._pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_encoding_holds_few_bytes_a_token(monkeypatch):
+    """What a task holds while it sorts the tokens of a slice; two such tasks share an executor's memory."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(2000)])
+    texts = [" ".join(words[rng.integers(0, 2000, 1000)]) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([k % 7 == 2 for k in range(1000)]), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(hpy_words, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = hpy_words._encoder(SimpleNamespace(value=(none, none, none)), none, none, 10)
+    list(run(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 11 and peak < 60 * 1001 * 1000
