@@ -10,6 +10,7 @@ from ledgerloom.operators import suites as S
 from ledgerloom.sources.scratch import scratch_path
 
 from .retail import AS_OF, query
+from .views import VIEWS
 
 NOW = f"{AS_OF} 00:00:00"
 crit, high, med, low = ({"severity": s} for s in ("critical", "high", "medium", "low"))
@@ -123,16 +124,15 @@ def _(v):
     return S.run_checks(v("d_orders"), [{"check": "custom", "name": "round_amount", "holds": lambda d: d["total_amount"] > d["tax_amount"], "threshold": 0.5, **low}], "orders", NOW)
 
 
-PROFILED = ["order_id", "order_date", "total_amount", "status"]
+_NUMBERS = ("order_id", "customer_id", "total_amount", "shipping_amount", "tax_amount")
 _PROFILE = [
-    {"check": "not_null", "column": "order_id", "threshold": 0.95}, {"check": "outliers", "column": "order_id", "threshold": 0.95, **low}, {"check": "not_null", "column": "order_date", "threshold": 0.95}, {"check": "no_future_dates", "column": "order_date"},
-    {"check": "not_null", "column": "total_amount", "threshold": 0.95}, {"check": "outliers", "column": "total_amount", "threshold": 0.95, **low}, {"check": "not_null", "column": "status", "threshold": 0.95},
+    *[{"check": "not_null", "column": c, "threshold": 0.95} for c in VIEWS["d_orders"][1]], *[{"check": "outliers", "column": c, "threshold": 0.95, **low} for c in _NUMBERS], {"check": "no_future_dates", "column": "order_date"},
 ]
 
 
 @query("dq_profile_auto", suite_sql(_PROFILE, "d_orders", "orders"))
 def _(v):
-    o = v("d_orders").select(*PROFILED)
+    o = v("d_orders")
     return S.run_checks(o, S.profile(o), "orders", NOW)
 
 

@@ -476,3 +476,12 @@ def test_category_mart_counts_ids_apart_from_sums(spark):
     assert float(got["a", 3]["revenue_growth_pct"]) == (10 - 11) / 11 * 100
     # no row of sums for each kind of id
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_asks_about_every_column(spark):
+    from ledgerloom.plans import retail
+    from ledgerloom.plans import views as V
+
+    got = {r["rule_name"] for r in retail.QUERIES["dq_profile_auto"](spark, "/root/testdata/sf0.001").collect()}
+    numbers = ("order_id", "customer_id", "total_amount", "shipping_amount", "tax_amount")
+    assert got == {*(f"not_null_{c}" for c in V.VIEWS["d_orders"][1]), *(f"outliers_{c}" for c in numbers), "no_future_dates_order_date"}
