@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import shuffles_go
+
 from .incremental import exists
 
 LOG = "job_name string, status string, records_processed long, start_time timestamp_ntz, end_time timestamp_ntz, error_message string"
@@ -59,7 +61,8 @@ def run_job(spark: SparkSession, log: str, name: str, build: Callable[[], DataFr
     start, rows, status, error = now(), 0, "success", None
     try:
         df, seen = _counted(build())
-        df.write.mode("overwrite").parquet(path)
+        with shuffles_go(spark):  # else the files of one mart lie there while the next ones are made
+            df.write.mode("overwrite").parquet(path)
         rows = seen.get["rows"]
     except Exception as e:  # whatever breaks a job is what its log is for
         status, error = "failed", (str(e).strip().split("\n") or [""])[0] or type(e).__name__

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import cleaning as K
 from ledgerloom.operators import windows
+from ledgerloom.sources.scratch import materialize
 from ledgerloom.streaming import events as S
 
 from .cleaning import cut_sql
@@ -245,7 +246,8 @@ def favourite(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 def favourites(df: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
     """The most frequent value of each of several text columns per key, ties by the smallest, from one pass over the rows."""
     each = F.inline(F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("value")) for i, c in enumerate(names)]))
-    counts = df.select(key, each).groupBy(key, "of", "value").agg(n().alias("k"))
+    # rows move as they are, in few bytes: counts by key and value are no fewer, and each row counts several times
+    counts = df.select(key, *names).repartition(key).select(key, each).groupBy(key, "of", "value").agg(n().alias("k"))
     best = F.min_by("value", F.struct(-F.col("k"), "value"))
     return counts.groupBy(key, "of").agg(best.alias("value")).groupBy(key).agg(*[F.max(F.when(F.col("of") == i, F.col("value"))).alias(a) for i, a in enumerate(names.values())])
 
@@ -275,20 +277,26 @@ CATEGORY = f"""WITH m AS (SELECT category, year(order_date) AS year, month(order
 SELECT *, CAST(total_revenue AS DOUBLE) / nullif(CAST(sum(total_revenue) OVER (PARTITION BY year, month) AS DOUBLE), 0) * 100 AS revenue_share_pct, lag(total_revenue) OVER w AS prev_month_revenue, {R.format('total_revenue - lag(total_revenue) OVER w', 'lag(total_revenue) OVER w')} * 100 AS revenue_growth_pct FROM m WINDOW w AS (PARTITION BY category ORDER BY year, month)"""
 
 
-def distinct_counts(df: DataFrame, keys: list[str], ids: dict[str, str]) -> DataFrame:
-    """How many different values of each of several id columns per key: ids go as rows of their own, so that no sums travel with them."""
-    each = F.inline(F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("id")) for i, c in enumerate(ids)]))
-    return df.select(*keys, each).repartition(*keys, "of", "id").distinct().groupBy(*keys).agg(*[F.count(F.when(F.col("of") == i, F.col("id"))).alias(a) for i, a in enumerate(ids.values())])
+def order_counts(v, o: DataFrame, keys: list[str]) -> DataFrame:
+    """How many different orders and customers per category and month: an order goes once for each category to its customer's place, where both count."""
+    of = v("e_items").select("order_id", "product_id").join(v("v_products").select("product_id", "category"), "product_id")
+    each = of.select("order_id", "category").repartition("order_id").distinct().join(o, "order_id")
+    first = F.row_number().over(Window.partitionBy("order_id", *keys).orderBy("customer_id")) == 1
+    rows = each.select(*keys, "customer_id", first.cast("int").alias("orders")).repartition(*keys, "customer_id")
+    return rows.groupBy(*keys, "customer_id").agg(F.sum("orders").alias("orders")).groupBy(*keys).agg(F.sum("orders").alias("total_orders"), F.count("customer_id").alias("unique_customers"))
 
 
 def category_mart(v) -> DataFrame:
     keys = ["category", "year", "month"]
     o = v("v_orders").select("order_id", "customer_id", F.year("order_date").cast("long").alias("year"), F.month("order_date").cast("long").alias("month"))
-    x = v("e_items").join(o, "order_id").join(v("v_products").select("product_id", "category", "brand", "price"), "product_id")
-    # sums by brand add up before they move and count the brands; the ids, which don't, move alone
+    # counted first, a row a key, so that their shuffle files are gone when the sums move
+    counts = materialize(order_counts(v, o, keys))
+    x = v("e_items").join(o.drop("customer_id"), "order_id").join(v("v_products").select("product_id", "category", "brand", "price"), "product_id")
+    # sums by brand add up before they move and count the brands; lines meet by product, which counts with the first of them
     summed = ("price", "quantity", "total_price", "profit_amount", "discount_percent", "discount_amount")
-    by_brand = x.groupBy(*keys, "brand").agg(*[F.sum(c).alias(c) for c in summed], *[F.count(c).alias(f"{c}_n") for c in ("price", "total_price", "discount_percent")])
-    counts = distinct_counts(x, keys, {"product_id": "product_count", "order_id": "total_orders", "customer_id": "unique_customers"})
+    first = F.row_number().over(Window.partitionBy("product_id", *keys).orderBy("order_id")) == 1
+    lines = x.select("product_id", *keys, "brand", *summed, first.cast("int").alias("product_count"))
+    by_brand = lines.groupBy(*keys, "brand").agg(*[F.sum(c).alias(c) for c in ("product_count", *summed)], *[F.count(c).alias(f"{c}_n") for c in ("price", "total_price", "discount_percent")])
     both = by_brand.unionByName(counts, allowMissingColumns=True).groupBy(*keys)  # nulls of either add nothing
     total = lambda c: F.sum(c).cast("decimal(28,2)")
     avg = lambda c: ratio(F.sum(c), F.sum(f"{c}_n"))

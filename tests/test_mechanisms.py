@@ -479,9 +479,53 @@ def test_category_mart_counts_ids_apart_from_sums(spark):
 
 
 def test_profile_asks_about_every_column(spark):
-    from ledgerloom.plans import retail
+    from ledgerloom.plans import retail, suites
     from ledgerloom.plans import views as V
 
+    assert suites.VIEWS is V.VIEWS
     got = {r["rule_name"] for r in retail.QUERIES["dq_profile_auto"](spark, "/root/testdata/sf0.001").collect()}
     numbers = ("order_id", "customer_id", "total_amount", "shipping_amount", "tax_amount")
     assert got == {*(f"not_null_{c}" for c in V.VIEWS["d_orders"][1]), *(f"outliers_{c}" for c in numbers), "no_future_dates_order_date"}
+
+
+def test_marts_leave_no_shuffle_files(spark, tmp_path):
+    import time
+
+    from ledgerloom.operators import jobs as J
+    from ledgerloom.sources.scratch import materialize
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = held()
+    mart = J.Mart("a", (), lambda read: materialize(read("x").groupBy("k").count()).groupBy("count").agg(F.max("k")))
+    assert J.refresh(spark, str(tmp_path), [mart], lambda name: spark.range(1000).selectExpr("id % 7 AS k")) == {"a": "success"}
+    until = time.time() + 10
+    while held() - before and time.time() < until:  # they go in the background
+        time.sleep(0.1)
+    assert not held() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_favourites_move_once(spark):
+    from ledgerloom.plans import products as P
+
+    rows = [(1, "x", "p"), (1, "y", "p"), (1, "y", "q"), (2, "b", None), (2, "a", "r"), (3, None, None)]
+    out = P.favourites(spark.createDataFrame(rows, "id int, a string, b string"), "id", {"a": "fa", "b": "fb"})
+    assert len(shuffled(out)) == 1
+    got = {r["id"]: (r["fa"], r["fb"]) for r in out.collect()}
+    assert got[1] == ("y", "p") and got[2][0] == "a" and got[3] == (None, None)
+
+
+def test_customers_and_orders_of_a_category_count_once(spark):
+    from ledgerloom.plans import products as P
+
+    frames = {
+        "e_items": spark.sql("SELECT * FROM VALUES (1L, 1L), (1L, 2L), (1L, 3L), (2L, 1L), (3L, 3L), (9L, 1L), (3L, 9L) AS t(order_id, product_id)"),
+        "v_products": spark.sql("SELECT * FROM VALUES (1L, 'a'), (2L, 'a'), (3L, NULL) AS t(product_id, category)"),
+    }
+    # order 2 has rows of two customers and one without; order 9 and product 9 are unknown
+    o = spark.sql("SELECT * FROM VALUES (1L, 7L, 2L), (2L, 7L, 2L), (2L, 8L, 2L), (2L, NULL, 2L), (3L, 8L, 3L) AS t(order_id, customer_id, month)")
+    out = P.order_counts(lambda name: frames[name], o, ["category", "month"])
+    assert {tuple(r) for r in out.collect()} == {("a", 2, 2, 2), (None, 2, 1, 1), (None, 3, 1, 1)}
